@@ -126,8 +126,36 @@ def mirror_listing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def current_listing(spark: SparkSession, sf: str) -> DataFrame:
-    """The listing without every seventh page, written with other case, query and slash."""
-    rest = table(spark, sf, "pages").filter("page_id % 7 <> 0")
+    """The listing without one host, some addresses written with a fragment or a slash."""
+    rest = table(spark, sf, "pages").filter(~F.col("url").contains("spam-farm"))
     return rest.select(
         "page_id",
-        F.when(F.col("page_id") % 3 == 0, F.concat("url", F.lit("#again"))).otherwise(F.col("url")).alias("url"))
+        F.when(F.col("url").contains("?"), F.concat("url", F.lit("#again")))
+        .when(~F.col("url").rlike("[?#/]$|[?#]"), F.concat("url", F.lit("/"))).otherwise(F.col("url")).alias("url"))
+
+
+def raw_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Part names dressed with titles, suffixes and stray blanks."""
+    before = F.element_at(F.array(*map(F.lit, ["", "Dr. ", "mrs ", " Judge  ", "Prof. ", "Lord "])),
+                          (F.col("p_size") % 6 + 1).cast("int"))
+    after = F.element_at(F.array(*map(F.lit, ["", ", Jr.", " PhD", "  ", ", Esq", " III"])),
+                         (F.col("p_retailprice").cast("int") % 6 + 1).cast("int"))
+    return table(spark, sf, "part").select(
+        F.col("p_partkey").alias("id"), F.col("p_name").alias("plain"),
+        F.concat(before, F.regexp_replace("p_name", " ", "  "), after).alias("name"), "p_size", "p_brand", "p_type")
+
+
+def letters(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders written out as e-mail text: headers, amounts, account, case and registry numbers."""
+    o, key = table(spark, sf, "orders"), F.col("o_orderkey").cast("string")
+    cust = F.col("o_custkey").cast("string")
+    text = F.concat(
+        F.lit("From: Customer "), cust, F.lit(" <c"), cust, F.lit("@mail.example.com>\nTo: Desk <desk@example.org>; c"),
+        (F.col("o_custkey") + 1).cast("string"), F.lit("@mail.example.com\nSubject: Re: Fwd: order "),
+        F.col("o_orderpriority"), F.lit("\nDate: "), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"),
+        F.lit("\n\nPlease send a wire transfer of $"), F.floor("o_totalprice").cast("string"),
+        F.lit(".00 to account 55"), key, F.lit(" for case No. 12-cv-100"), key, F.lit(". Pilot of N"),
+        (F.col("o_custkey") % 900 + 100).cast("string"), F.lit("AB will meet you at 12 Oak Street.\n> earlier line "),
+        F.col("o_orderstatus"), F.lit("\nSincerely, Customer "), cust)
+    return o.select(F.col("o_orderkey").alias("doc_id"), text.alias("text"), F.col("o_custkey").alias("cust"),
+                    F.col("o_orderdate").alias("sent_at"))

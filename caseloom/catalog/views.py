@@ -41,8 +41,18 @@ V6D = """v6d AS (SELECT o_custkey AS thread_id, o_orderkey AS message_id, o_orde
 V7 = """v7 AS (SELECT l_orderkey AS document_id, l_returnflag AS item, l_suppkey % 4 AS annotator,
  CAST(l_quantity AS INT) AS score, l_linenumber AS slot FROM lineitem)"""
 V8 = """mirror AS (SELECT page_id, url FROM pages),
-current_l AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN url || '#again' ELSE url END AS url
- FROM pages WHERE page_id % 7 <> 0)"""
+current_l AS (SELECT page_id, CASE WHEN contains(url, '?') THEN url || '#again'
+  WHEN NOT regexp_matches(url, '[?#/]$|[?#]') THEN url || '/' ELSE url END AS url
+ FROM pages WHERE NOT contains(url, 'spam-farm'))"""
+NAMES = """raw_names AS (SELECT p_partkey AS id, p_name AS plain, ['', 'Dr. ', 'mrs ', ' Judge  ', 'Prof. ', 'Lord '][p_size % 6 + 1]
+ || replace(p_name, ' ', '  ') || ['', ', Jr.', ' PhD', '  ', ', Esq', ' III'][CAST(floor(p_retailprice) AS INT) % 6 + 1]
+ AS name, p_size, p_brand, p_type FROM part)"""
+LETTERS = r"""letters AS (SELECT o_orderkey AS doc_id, 'From: Customer ' || o_custkey || ' <c' || o_custkey
+ || E'@mail.example.com>\nTo: Desk <desk@example.org>; c' || (o_custkey + 1) || E'@mail.example.com\nSubject: Re: Fwd: order '
+ || o_orderpriority || E'\nDate: ' || strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') || E'\n\nPlease send a wire transfer of $'
+ || CAST(floor(o_totalprice) AS BIGINT) || '.00 to account 55' || o_orderkey || ' for case No. 12-cv-100' || o_orderkey
+ || '. Pilot of N' || (o_custkey % 900 + 100) || E'AB will meet you at 12 Oak Street.\n> earlier line ' || o_orderstatus
+ || E'\nSincerely, Customer ' || o_custkey AS text, o_custkey AS cust, o_orderdate AS sent_at FROM orders)"""
 
 
 def using(*views: str) -> str:
