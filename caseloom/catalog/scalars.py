@@ -274,13 +274,13 @@ def category_sql(column):
     return f"CASE {whens} ELSE 'other' END"
 
 
-TOPIC = "['sealed file', 'Wire payment', 'false statement', 'the Senator', 'obstruction of', 'nothing']"
+TOPICS = ["sealed file", "Wire payment", "false statement", "the Senator", "obstruction of", "nothing"]
 
 
 @query("categorize_text", f"""SELECT doc_id, {category_sql('t')} AS category FROM (SELECT doc_id,
- lower(substring(text, 1, 100) || ' ' || {TOPIC}[doc_id % 6 + 1]) AS t FROM documents)""")
+ lower(substring(text, 1, 100) || ' ' || {TOPICS}[doc_id % 6 + 1]) AS t FROM documents)""")
 def categorize_text(spark, sf):
-    topic = F.element_at(F.array(*map(F.lit, eval(TOPIC))), (F.col("doc_id") % 6 + 1).cast("int"))
+    topic = F.element_at(F.array(*map(F.lit, TOPICS)), (F.col("doc_id") % 6 + 1).cast("int"))
     t = F.concat(F.substring("text", 1, 100), F.lit(" "), topic)
     return b.table(spark, sf, "documents").select("doc_id", text.categorize(t).alias("category"))
 
