@@ -1 +1,282 @@
-"""Registered queries."""
+"""Aggregates."""
+
+from pyspark.sql import functions as F
+
+from caseloom import bindings as b
+from caseloom.catalog.registry import query
+from caseloom.catalog.scalars import TOPICS, category_sql
+from caseloom.catalog.views import SCORES, V1, V1S, V2, V3, V4, V5, V6D, V7, using
+from caseloom.functions.text import categorize, pattern_class
+from caseloom.operators import aggs
+from caseloom.operators.patterns import pattern_score
+from caseloom.operators.scoring import edge_weight
+from caseloom.plans.graph import document_edges
+
+
+@query("corpus_stats", """SELECT (SELECT count(*) FROM documents) AS total_documents,
+ (SELECT count(*) FROM labels WHERE quality = 1) AS processed_documents, (SELECT count(*) FROM part) AS total_entities,
+ (SELECT count(*) FROM lineitem) AS total_links, (SELECT count(*) FROM lineitem WHERE l_returnflag = 'R') AS total_gaps,
+ (SELECT count(*) FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'F') AS recovered_gaps,
+ (SELECT count(*) FROM customer) AS total_threads, (SELECT count(*) FROM benchmark) AS total_findings,
+ (SELECT count(*) FROM pages WHERE contains(url, 'spam-farm')) AS removed_files,
+ (SELECT count(*) FROM conversations WHERE role = 'system') AS recovered_files,
+ (SELECT count(*) FROM events WHERE event_type = 'view') AS pending_reviews,
+ (SELECT count(*) FROM orders WHERE o_orderstatus = 'P') AS pending_deletions""")
+def corpus_stats(spark, sf):
+    every, line = F.lit(True), F.col("l_returnflag") == "R"
+    t = lambda name: b.table(spark, sf, name)
+    return aggs.count_row([
+        (t("documents"), {"total_documents": every}), (t("labels"), {"processed_documents": F.col("quality") == 1}),
+        (t("part"), {"total_entities": every}),
+        (t("lineitem"), {"total_links": every, "total_gaps": line, "recovered_gaps": line & (F.col("l_linestatus") == "F")}),
+        (t("customer"), {"total_threads": every}), (t("benchmark"), {"total_findings": every}),
+        (t("pages"), {"removed_files": F.contains("url", F.lit("spam-farm"))}),
+        (t("conversations"), {"recovered_files": F.col("role") == "system"}),
+        (t("events"), {"pending_reviews": F.col("event_type") == "view"}),
+        (t("orders"), {"pending_deletions": F.col("o_orderstatus") == "P"})])
+
+
+@query("group_counts", "SELECT source, count(*) AS n FROM documents GROUP BY 1")
+def group_counts(spark, sf):
+    return b.table(spark, sf, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("conditional_sums", """SELECT o_orderpriority AS dataset, count(*) AS total_docs,
+ count(*) FILTER (WHERE o_orderstatus <> 'F') AS not_analyzed, count(*) FILTER (WHERE o_orderstatus = 'O') AS eligible,
+ count(*) FILTER (WHERE o_orderstatus = 'P') AS running, count(*) FILTER (WHERE o_orderstatus = 'F') AS analyzed
+FROM orders GROUP BY 1""")
+def conditional_sums(spark, sf):
+    s = F.col("o_orderstatus")
+    return aggs.count_if_by(
+        b.table(spark, sf, "orders").withColumnRenamed("o_orderpriority", "dataset"), "dataset",
+        {"total_docs": F.lit(True), "not_analyzed": s != "F", "eligible": s == "O", "running": s == "P", "analyzed": s == "F"})
+
+
+@query("stage_counts", """SELECT count(*) FILTER (WHERE o_orderstatus <> 'P') AS downloaded,
+ count(*) FILTER (WHERE o_orderstatus = 'F') AS text_done, count(*) FILTER (WHERE o_orderstatus = 'F' AND o_totalprice > 200000)
+ AS analyzed, count(*) FILTER (WHERE o_orderstatus = 'F' AND o_totalprice > 400000) AS reviewed FROM orders""")
+def stage_counts(spark, sf):
+    done, price = F.col("o_orderstatus") == "F", F.col("o_totalprice")
+    return aggs.count_row([(b.table(spark, sf, "orders"), {
+        "downloaded": F.col("o_orderstatus") != "P", "text_done": done, "analyzed": done & (price > 200000),
+        "reviewed": done & (price > 400000)})])
+
+
+@query("having_distinct", using(V1S) + """SELECT entity_id, count(DISTINCT document_id) AS doc_count,
+ array_to_string(list_sort(list(DISTINCT doc_type)), ',') AS types FROM v1s GROUP BY 1 HAVING count(DISTINCT doc_type) >= 2""")
+def having_distinct(spark, sf):
+    return aggs.seen_in_kinds(b.supplier_mentions(spark, sf))
+
+
+@query("concealment_ratio", using(V1S) + """, d AS (SELECT document_id, count(*) FILTER (WHERE redacted) AS marks FROM v1s GROUP BY 1),
+t AS (SELECT entity_id, count(*) AS total_docs, count(*) FILTER (WHERE marks > 0) AS redacted_docs,
+ CAST(sum(marks) AS BIGINT) AS total_redactions FROM (SELECT DISTINCT entity_id, document_id FROM v1s) JOIN d USING (document_id) GROUP BY 1)
+SELECT *, round(redacted_docs::DOUBLE / total_docs, 2) AS ratio FROM t WHERE redacted_docs::DOUBLE / total_docs >= 0.8
+ AND total_redactions >= 5""")
+def concealment_ratio(spark, sf):
+    return aggs.concealment(b.supplier_mentions(spark, sf), 0.8, 5)
+
+
+@query("min_max_merge", using(V6D) + """SELECT thread_id, count(*) AS message_count, strftime(min(sent_at), '%Y-%m-%d') AS first_at,
+ strftime(max(sent_at), '%Y-%m-%d') AS last_at, array_to_string(list_sort(list(DISTINCT sender)), ',') AS participants
+FROM v6d GROUP BY 1""")
+def min_max_merge(spark, sf):
+    t = aggs.thread_summary(b.dated_messages(spark, sf))
+    return t.select("thread_id", "message_count", b.day("first_at").alias("first_at"), b.day("last_at").alias("last_at"),
+                    F.array_join("participants", ",").alias("participants"))
+
+
+OBS = """obs AS (SELECT a.entity_id AS source_id, z.entity_id AS target_id, CASE a.doc_type WHEN '2-HIGH' THEN 'flew_with'
+  WHEN '3-MEDIUM' THEN 'financially_linked' END AS kind, a.document_id, a.doc_type AS note FROM
+  (SELECT DISTINCT entity_id, document_id, doc_type FROM v1) a JOIN (SELECT DISTINCT entity_id, document_id FROM v1) z
+  ON a.document_id = z.document_id AND a.entity_id < z.entity_id WHERE a.doc_type IN ('2-HIGH', '3-MEDIUM')
+ UNION ALL SELECT a.entity_id, z.entity_id, 'co_occurs_with', a.document_id, a.doc_type FROM
+  (SELECT DISTINCT entity_id, document_id, doc_type FROM v1) a JOIN (SELECT DISTINCT entity_id, document_id FROM v1) z
+  ON a.document_id = z.document_id AND a.entity_id < z.entity_id
+ UNION ALL SELECT DISTINCT a.entity_id, z.entity_id, 'emailed', a.document_id, a.doc_type FROM v1 a JOIN v1 z
+  ON a.document_id = z.document_id AND a.entity_id <> z.entity_id WHERE a.doc_type = '1-URGENT' AND a.evidence_type = 'A'
+  AND z.evidence_type = 'R')"""
+MERGED = """merged AS (SELECT source_id, target_id, kind, count(DISTINCT document_id) AS evidence,
+ max(CASE kind WHEN 'emailed' THEN 0.9 WHEN 'flew_with' THEN 0.95 WHEN 'financially_linked' THEN 0.8 ELSE 0.6 END::DOUBLE) AS confidence,
+ arg_min(note, document_id) AS note FROM obs GROUP BY 1, 2, 3)"""
+
+
+@query("edge_aggregate", using(V1, OBS, MERGED) + "SELECT * FROM merged")
+def edge_aggregate(spark, sf):
+    return aggs.merge_edges(document_edges(b.mentions(spark, sf))).select(
+        "source_id", "target_id", "kind", "evidence", "confidence", "note")
+
+
+@query("edge_weight", using(V1, OBS, MERGED) + """SELECT source_id, target_id, kind, round(CASE kind WHEN 'flew_with' THEN 3.0
+ WHEN 'emailed' THEN 1.5 WHEN 'financially_linked' THEN 2.5 ELSE 1.0 END::DOUBLE * (1 + log2(evidence)), 6) AS weight FROM merged""")
+def edge_weight_(spark, sf):
+    merged = aggs.merge_edges(document_edges(b.mentions(spark, sf)))
+    return merged.select("source_id", "target_id", "kind",
+                         F.round(edge_weight(F.col("kind"), F.col("evidence")), 6).alias("weight"))
+
+
+@query("evidence_breakdown", using(V1) + """SELECT entity_id, evidence_type, count(*) AS n, round(avg(evidence_score), 4) AS mean_score
+FROM v1 GROUP BY 1, 2""")
+def evidence_breakdown(spark, sf):
+    return b.mentions(spark, sf).groupBy("entity_id", "evidence_type").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("evidence_score"), 4).alias("mean_score"))
+
+
+CARD = "card AS (SELECT p_partkey AS entity_id FROM part WHERE p_name = 'red widget')"
+
+
+def card_members(spark, sf):
+    return b.table(spark, sf, "part").filter("p_name = 'red widget'").select(F.col("p_partkey").alias("entity_id"))
+
+
+@query("connection_totals", using(V5, CARD) + """SELECT other_id, round(sum(weight), 4) AS weight_total,
+ CAST(sum(evidence) AS BIGINT) AS evidence_total, count(*) AS edge_count, array_to_string(list_sort(list(DISTINCT kind)), ',') AS kinds
+FROM v5b WHERE entity_id IN (SELECT * FROM card) AND other_id NOT IN (SELECT * FROM card) GROUP BY 1
+ORDER BY sum(weight) DESC, evidence_total DESC, edge_count DESC, other_id LIMIT 14""")
+def connection_totals(spark, sf):
+    return aggs.connections_of(b.edges(spark, sf), card_members(spark, sf)).withColumn(
+        "weight_total", F.round("weight_total", 4))
+
+
+@query("doc_evidence_totals", using(V1, CARD) + """SELECT document_id, max(evidence_score) AS top_score, count(*) AS mention_count,
+ count(*) FILTER (WHERE evidence_type = 'R') AS typed_hits FROM v1 WHERE entity_id IN (SELECT * FROM card) GROUP BY 1
+ORDER BY top_score DESC, mention_count DESC, document_id DESC LIMIT 8""")
+def doc_evidence_totals(spark, sf):
+    return aggs.documents_of(b.mentions(spark, sf), card_members(spark, sf), "R")
+
+
+@query("degree_priority", using(V1, V3, V5, SCORES, V4) + """SELECT v4.entity_id, coalesce(d, 0) AS degree,
+ round(coalesce(d, 0) * 100 + score * 3 + document_count * 2 + CASE WHEN entity_type = 'person' THEN 25 ELSE 0 END, 4)::DOUBLE AS priority
+FROM v4 LEFT JOIN (SELECT entity_id, count(*) AS d FROM v5b GROUP BY 1) USING (entity_id)""")
+def degree_priority(spark, sf):
+    return aggs.node_priority(b.scored_parts(spark, sf), b.edges(spark, sf)).select(
+        "entity_id", "degree", F.round("priority", 4).alias("priority"))
+
+
+ROUTES = [("1-URGENT", "F"), ("P", "2-HIGH"), ("5-LOW", "O")]
+PLACES = ["1-URGENT", "F", "O"]
+
+
+@query("modal_route", using(V2) + """, c AS (SELECT registry, origin, dest, count(*) AS n, min((event_ts, event_id)) AS f FROM v2 GROUP BY 1, 2, 3)
+SELECT registry, origin || '-' || dest AS route, n, (origin, dest) IN (('1-URGENT', 'F'), ('P', '2-HIGH'), ('5-LOW', 'O')) AS is_known
+FROM (SELECT *, row_number() OVER (PARTITION BY registry ORDER BY n DESC, f) AS rn FROM c) WHERE rn = 1""")
+def modal_route(spark, sf):
+    return aggs.modal_route(b.flights(spark, sf), "registry", ROUTES)
+
+
+@query("timeline_correlation", using(V1S) + """, m AS (SELECT entity_id, strftime(event_ts, '%Y-%m') AS mo, count(*) AS n FROM v1s GROUP BY 1, 2),
+g AS (SELECT mo, n AS m FROM m WHERE entity_id = 0),
+s AS (SELECT entity_id, count(*) AS own, count(g.m) AS common, corr(n, g.m) AS r FROM m LEFT JOIN g USING (mo) WHERE entity_id <> 0 GROUP BY 1)
+SELECT entity_id, round(common::DOUBLE / (own + (SELECT count(*) FROM g) - common), 3) AS overlap_ratio,
+ round(CASE WHEN common >= 3 AND NOT isnan(r) THEN coalesce(r, 0) ELSE 0 END, 3)::DOUBLE AS correlation FROM s""")
+def timeline_correlation(spark, sf):
+    return aggs.timeline_correlation(b.supplier_mentions(spark, sf), 0)
+
+
+BUCKET = "CASE WHEN score >= 90 THEN '90+' WHEN score >= 70 THEN '70-89' WHEN score >= 50 THEN '50-69' WHEN score >= 30 THEN '30-49' ELSE '0-29' END"
+
+
+@query("facets", using(V1, V3, V5, SCORES, V4) + f"""SELECT 'type' AS facet, entity_type AS value, count(*) AS n FROM v4 GROUP BY 2
+UNION ALL SELECT 'score', {BUCKET}, count(*) FROM v4 GROUP BY 2 UNION ALL SELECT 'relation', kind, count(*) FROM v5 GROUP BY 2""")
+def facets(spark, sf):
+    return aggs.facets(b.scored_parts(spark, sf), b.edges(spark, sf))
+
+
+@query("score_buckets", using(V1, V3, V5, SCORES, V4) + f"SELECT {BUCKET} AS bucket, count(*) AS n FROM v4 GROUP BY 1")
+def score_buckets(spark, sf):
+    return b.scored_parts(spark, sf).groupBy(aggs.score_bucket(F.col("score")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("longest_text", """SELECT source, arg_max(doc_id, (length(text), -doc_id)) AS doc_id, max(length(text)) AS size FROM documents GROUP BY 1""")
+def longest_text(spark, sf):
+    docs = b.table(spark, sf, "documents").select("source", "doc_id", F.length("text").cast("long").alias("size"))
+    top = docs.groupBy("source").agg(F.max(F.struct("size", (-F.col("doc_id")).alias("o"))).alias("m"))
+    return top.select("source", (-F.col("m.o")).alias("doc_id"), F.col("m.size").alias("size"))
+
+
+# registry ids as six-character tails; well-funded customers are the known ones
+TAIL = "'N' || (10000 + (o_custkey * 53) % 90000)"
+SCORED_EVENTS = V2 + f""",
+tails AS (SELECT o_orderkey AS event_id, {TAIL} AS tail, CASE WHEN c_acctbal > 9000 THEN 1.0 WHEN c_acctbal > 8000 THEN 0.95 END AS conf
+ FROM orders LEFT JOIN customer ON c_custkey = o_custkey),
+strong AS (SELECT event_id, count(*) AS n FROM v2p JOIN supplier ON s_suppkey = entity_id WHERE s_acctbal >= 7000 GROUP BY 1),
+parts AS (SELECT v2.event_id, v2.registry, tail, conf IS NOT NULL AS known_registry,
+ coalesce(conf, CASE WHEN tail LIKE 'N9%' THEN 0.25 WHEN tail LIKE 'N4%' THEN 0.20 ELSE 0 END)::DOUBLE AS r,
+ CASE WHEN (origin, dest) IN (('1-URGENT', 'F'), ('P', '2-HIGH'), ('5-LOW', 'O')) THEN 1.0
+  WHEN (dest, origin) IN (('1-URGENT', 'F'), ('P', '2-HIGH'), ('5-LOW', 'O')) THEN 0.95
+  WHEN origin IN ('1-URGENT', 'F', 'O') AND dest IN ('1-URGENT', 'F', 'O') THEN 0.75
+  WHEN origin IN ('1-URGENT', 'F', 'O') OR dest IN ('1-URGENT', 'F', 'O') THEN 0.40 ELSE 0 END::DOUBLE AS t,
+ CASE WHEN event_ts BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1999-06-30' THEN 1.0 ELSE 0 END::DOUBLE AS d,
+ least(1.0, coalesce(n, 0) / 3.0)::DOUBLE AS p FROM v2 JOIN tails USING (event_id) LEFT JOIN strong USING (event_id)),
+scored_events AS (SELECT *, r * 0.40::DOUBLE + t * 0.25::DOUBLE + d * 0.20::DOUBLE + p * 0.15::DOUBLE AS raw,
+ round(r * 0.40::DOUBLE + t * 0.25::DOUBLE + d * 0.20::DOUBLE + p * 0.15::DOUBLE + 1e-9, 3) AS score FROM parts)"""
+
+
+def scored_flights(spark, sf):
+    tail = F.concat(F.lit("N"), (F.lit(10000) + F.col("registry") * 53 % 90000).cast("string"))
+    flights = b.flights(spark, sf).withColumn("tail", tail)
+    known = b.table(spark, sf, "customer").filter("c_acctbal > 8000").select(
+        F.concat(F.lit("N"), (F.lit(10000) + F.col("c_custkey") * 53 % 90000).cast("string")).alias("tail"),
+        F.when(F.col("c_acctbal") > 9000, 1.0).otherwise(0.95).alias("confidence"))
+    known = known.groupBy("tail").agg(F.max("confidence").alias("confidence"))
+    strong = b.table(spark, sf, "supplier").filter("s_acctbal >= 7000").select(F.col("s_suppkey").alias("entity_id"))
+    return pattern_score(flights, b.participants(spark, sf), known, strong, ROUTES, PLACES,
+                         [("1996-01-01", "1999-06-30")], {"N9": 0.25, "N4": 0.20})
+
+
+@query("pattern_score", using(SCORED_EVENTS) + """SELECT event_id, tail, r AS registry_score, t AS route_score, d AS date_score,
+ round(p, 3) AS people_score, score, array_to_string(list_filter([
+ CASE WHEN r >= 0.7 THEN 'known_registry' WHEN r >= 0.2 THEN 'possible_registry' END,
+ CASE WHEN t >= 0.7 THEN 'known_route' WHEN t >= 0.4 THEN 'known_place' END, CASE WHEN d >= 0.7 THEN 'date_overlap' END,
+ CASE WHEN raw >= 0.85 THEN 'high_correlation' WHEN raw >= 0.60 THEN 'medium_correlation' END], lambda x: x IS NOT NULL), ',') AS flags,
+ CASE WHEN raw >= 0.85 THEN 'very_high' WHEN raw >= 0.7 THEN 'high' WHEN raw >= 0.5 THEN 'medium' WHEN raw >= 0.3 THEN 'low'
+ ELSE 'very_low' END AS class FROM scored_events""")
+def pattern_score_(spark, sf):
+    return scored_flights(spark, sf).select(
+        "event_id", "tail", "registry_score", "route_score", "date_score", F.round("people_score", 3).alias("people_score"),
+        "score", F.array_join("flags", ",").alias("flags"), pattern_class(F.col("raw")).alias("class"))
+
+
+@query("entity_event_summary", using(SCORED_EVENTS) + """, j AS (SELECT v2p.entity_id, s.*, row_number() OVER (PARTITION BY v2p.entity_id
+ ORDER BY score DESC, event_id) AS rn FROM scored_events s JOIN v2p USING (event_id))
+SELECT entity_id, count(*) AS events, count(*) FILTER (WHERE known_registry) AS known_events, round(avg(score), 3) AS mean_score,
+ round(max(score), 3) AS max_score, array_to_string(list(event_id ORDER BY rn) FILTER (WHERE rn <= 10), ',') AS top_events,
+ CASE WHEN count(*) >= 3 AND avg(score) > 0.7 THEN 'high' WHEN count(*) >= 2 AND avg(score) > 0.5 THEN 'medium' ELSE 'low' END AS confidence
+FROM j GROUP BY 1""")
+def entity_event_summary(spark, sf):
+    scored = scored_flights(spark, sf).select("event_id", "known_registry", "score")
+    return aggs.event_summary(scored, b.participants(spark, sf))
+
+
+@query("card_confidence", using(V1, V5) + """, f AS (SELECT DISTINCT entity_id FROM v1 WHERE doc_type = '2-HIGH'),
+e AS (SELECT entity_id, count(*) AS n, count(DISTINCT evidence_type) AS k FROM v1 GROUP BY 1),
+l AS (SELECT entity_id, count(*) AS c FROM v5b GROUP BY 1)
+SELECT e.entity_id, round((least(1, n / 10.0) + least(1, coalesce(c, 0) / 5.0) + CASE WHEN f.entity_id IS NOT NULL THEN 1 ELSE 0.5 END)::DOUBLE / 3, 2)
+ AS confidence, k AS evidence_types, CASE WHEN k > 1 THEN 'multiple_sources' ELSE 'single_source' END AS corroboration
+FROM e LEFT JOIN l USING (entity_id) LEFT JOIN f ON f.entity_id = e.entity_id""")
+def card_confidence(spark, sf):
+    m = b.mentions(spark, sf)
+    return aggs.card_confidence(m, b.edges(spark, sf), m.filter("doc_type = '2-HIGH'"))
+
+
+@query("exposure_count", """SELECT l_suppkey AS entity_id, count(DISTINCT (l_orderkey, l_linenumber)) AS gaps FROM lineitem GROUP BY 1""")
+def exposure_count(spark, sf):
+    # one row per gap with its candidate list, then back to candidates
+    gaps = b.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.explode(F.array("l_suppkey")).alias("entity_id"))
+    return gaps.distinct().groupBy("entity_id").agg(F.count(F.lit(1)).alias("gaps"))
+
+
+@query("findings_by_category", f"""SELECT category, count(*) AS n, min(doc_id) AS first_at FROM (SELECT doc_id, {category_sql('t')} AS category
+ FROM (SELECT d.doc_id, lower(substring(text, 1, 100) || ' ' || {TOPICS}[quality * 3 + toxic + 1]) AS t FROM documents d JOIN labels USING (doc_id)))
+GROUP BY 1""")
+def findings_by_category(spark, sf):
+    docs = b.table(spark, sf, "documents").join(b.table(spark, sf, "labels"), "doc_id")
+    topic = F.element_at(F.array(*map(F.lit, TOPICS)), (F.col("quality") * 3 + F.col("toxic") + 1).cast("int"))
+    found = docs.select("doc_id", categorize(F.concat(F.substring("text", 1, 100), F.lit(" "), topic)).alias("category"))
+    return aggs.first_seen_counts(found, "category", "doc_id")
+
+
+@query("type_histogram", using(V1, V3) + """SELECT document_id, entity_type, count(*) AS n FROM v1 JOIN v3 USING (entity_id) GROUP BY 1, 2""")
+def type_histogram(spark, sf):
+    return b.mentions(spark, sf).join(b.entities(spark, sf).select("entity_id", "entity_type"), "entity_id").groupBy(
+        "document_id", "entity_type").agg(F.count(F.lit(1)).alias("n"))

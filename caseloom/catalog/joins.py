@@ -151,9 +151,7 @@ def last_views(spark, sf):
 
 def followed(spark, sf):
     """Purchases within 0-30 days after a view of the same user; days are whole elapsed ones."""
-    seconds = F.unix_timestamp(F.col("ts").cast("timestamp")) - F.unix_timestamp(F.col("seen").cast("timestamp"))
     micros = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("seen").cast("timestamp"))
-    del seconds
     gap = F.floor(micros / 86400000000).cast("long")
     return last_views(spark, sf).filter("event_type = 'purchase' AND seen IS NOT NULL").withColumn(
         "gap_days", gap).filter("gap_days BETWEEN 0 AND 30")

@@ -73,3 +73,46 @@ def bucketed_last(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequen
         .withColumn(out, F.coalesce(F.last("_v", ignorenulls=True).over(inside), F.col("_carry")))
         .drop("_v", "_carry")
     )
+
+
+def bucketed_before(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[Column], value: Column,
+                    out: str) -> DataFrame:
+    """Sum of ``value`` over all earlier rows of the key."""
+    keys = list(keys)
+    df = df.withColumn("_v", value)
+    chain = _per_key(keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        df.groupBy(*keys, bucket).agg(F.sum("_v").alias("_s"))
+        .select(*keys, bucket, F.coalesce(F.sum("_s").over(chain), F.lit(0)).alias("_before"))
+    )
+    inside = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        df.join(offsets, [*keys, bucket])
+        .withColumn(out, F.col("_before") + F.coalesce(F.sum("_v").over(inside), F.lit(0)))
+        .drop("_v", "_before")
+    )
+
+
+def page_of(df: DataFrame, bucket: str, order: Sequence[Column], page: int, size: int,
+            descending: bool = False) -> DataFrame:
+    """One page of the total order (bucket, *order), with its position and the number of pages.
+
+    A page past either end becomes the nearest one. Only the buckets that meet
+    the page are ordered, so a deep page costs as much as a shallow one.
+    """
+    by = F.col(bucket).desc() if descending else F.col(bucket).asc()
+    everything = Window.partitionBy(F.lit(0))
+    sizes = df.groupBy(bucket).agg(F.count(F.lit(1)).alias("_n"))
+    upto = everything.orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    pages = F.greatest(F.ceil(F.col("_total") / size), F.lit(1))
+    placed = (
+        sizes.withColumn("_before", F.coalesce(F.sum("_n").over(upto), F.lit(0)))
+        .withColumn("_total", F.sum("_n").over(everything))
+        .withColumn("total_pages", pages.cast("long"))
+        .withColumn("_from", (F.least(F.lit(max(page, 1)), F.col("total_pages")) - 1) * size)
+        .filter((F.col("_before") < F.col("_from") + size) & (F.col("_before") + F.col("_n") > F.col("_from")))
+    )
+    inside = Window.partitionBy(bucket).orderBy(*order)
+    ranked = df.join(placed, bucket).withColumn("position", F.col("_before") + F.row_number().over(inside))
+    return ranked.filter((F.col("position") > F.col("_from")) & (F.col("position") <= F.col("_from") + size)).drop(
+        "_n", "_before", "_total", "_from")
