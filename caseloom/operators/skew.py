@@ -116,3 +116,17 @@ def page_of(df: DataFrame, bucket: str, order: Sequence[Column], page: int, size
     ranked = df.join(placed, bucket).withColumn("position", F.col("_before") + F.row_number().over(inside))
     return ranked.filter((F.col("position") > F.col("_from")) & (F.col("position") <= F.col("_from") + size)).drop(
         "_n", "_before", "_total", "_from")
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, spread: str, most: int = 20000) -> DataFrame:
+    """Inner join where keys with very many rows on the right are cut into parts.
+
+    Rows of a hot key on the right are divided by a hash of ``spread``; left
+    rows of that key are copied to every part. Results equal the plain join.
+    """
+    hot = right.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > most).select(
+        key, F.ceil(F.col("_n") / most).alias("_parts"))
+    parts = F.coalesce(F.col("_parts"), F.lit(1))
+    r = right.join(hot, key, "left").withColumn("_part", F.pmod(F.xxhash64(spread), parts)).drop("_parts")
+    le = left.join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("_parts")
+    return le.join(r, [key, "_part"]).drop("_part")

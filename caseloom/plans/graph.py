@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseloom.fixed import EDGE_CONFIDENCE
+from caseloom.functions.names import looks_noisy, norm_rel_type, squeeze
+from caseloom.operators.aggs import node_priority
 from caseloom.operators.pairs import shared_pairs
+from caseloom.operators.scoring import both_ends
+from caseloom.operators.skew import salted_join
+from caseloom.session import cut
 
 
 def document_edges(mentions: DataFrame, email: str = "1-URGENT", flight: str = "2-HIGH", money: str = "3-MEDIUM",
@@ -36,3 +41,143 @@ def document_edges(mentions: DataFrame, email: str = "1-URGENT", flight: str = "
     return both.select(
         "source_id", "target_id", "kind", "document_id", confidence.alias("confidence"), F.lit(False).alias("inferred"),
         F.lit(None).cast("timestamp").alias("seen_at"), F.col("doc_type").alias("note"))
+
+
+def components(nodes: DataFrame, links: DataFrame, node: str = "id") -> DataFrame:
+    """(id, root): smallest id of the connected component, for links (a, b).
+
+    Labels take the smallest label of the neighbours and then jump to the label
+    of that label, so long chains close in few rounds. Each round is a written table.
+    """
+    both = cut(links.filter("a <> b").select(F.explode(F.array(
+        F.struct(F.col("a").alias("x"), F.col("b").alias("y")),
+        F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("e")).select("e.x", "e.y").distinct(), "links")
+    linked = both.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("label"))
+    labels = cut(linked.withColumnRenamed("x", "id"), "labels")
+    while True:
+        near = both.join(labels.select(F.col("id").alias("y"), F.col("label").alias("l")), "y").groupBy("x").agg(
+            F.min("l").alias("l"))
+        lower = labels.join(near.withColumnRenamed("x", "id"), "id").select(
+            "id", F.col("label").alias("old"), F.least("label", "l").alias("label"))
+        heads = labels.select(F.col("id").alias("label"), F.col("label").alias("up"))
+        stepped = cut(lower.join(heads, "label", "left").select(
+            "id", "old", F.least("label", F.coalesce("up", "label")).alias("label")), "labels")
+        labels = stepped.select("id", "label")
+        if stepped.filter("label <> old").isEmpty():
+            break
+    return nodes.select(F.col(node).alias("id")).join(labels, "id", "left").select(
+        "id", F.coalesce("label", "id").alias("root"))
+
+
+def khop(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
+    """(entity_id, distance) of everything within ``hops`` edges of the seeds."""
+    adjacent = cut(both_ends(edges).select("entity_id", "other_id").distinct(), "adjacent")
+    frontier = seeds.select("entity_id").distinct().withColumn("distance", F.lit(0))
+    visited = frontier
+    for hop in range(1, hops + 1):
+        reached = salted_join(frontier.select("entity_id"), adjacent, "entity_id", "other_id").select(
+            F.col("other_id").alias("entity_id")).distinct()
+        frontier = cut(reached.join(visited, "entity_id", "left_anti").withColumn("distance", F.lit(hop)), "frontier")
+        visited = visited.unionByName(frontier)
+    return visited
+
+
+def transitive_links(edges: DataFrame, strong: float = 2.0, hops: int = 3) -> DataFrame:
+    """Pairs at distance 2..hops of an end of a strong edge, with their distance and confidence."""
+    adjacent = cut(both_ends(edges).select("entity_id", "other_id").distinct(), "adjacent")
+    seeds = both_ends(edges.filter(F.col("weight") >= strong)).select(F.col("entity_id").alias("seed")).distinct()
+    level = adjacent.join(seeds, adjacent.entity_id == F.col("seed"), "left_semi").select(
+        F.col("entity_id").alias("seed"), F.col("other_id").alias("entity_id"))
+    seen, found = level, None
+    for hop in range(2, hops + 1):
+        step = salted_join(level, adjacent, "entity_id", "other_id").select("seed", F.col("other_id").alias("entity_id"))
+        fresh = step.filter("seed <> entity_id").distinct().join(seen, ["seed", "entity_id"], "left_anti")
+        level = cut(fresh, "level")
+        seen = seen.unionByName(level)
+        pairs = level.select(F.least("seed", "entity_id").alias("source_id"), F.greatest("seed", "entity_id").alias("target_id"),
+                             F.lit(hop).alias("degrees"))
+        found = pairs if found is None else found.unionByName(pairs)
+    return found.distinct().withColumn("confidence", F.round(F.lit(1.0) / F.col("degrees"), 2))
+
+
+def cluster_edges(members: DataFrame, at_least: int = 3) -> DataFrame:
+    """Inferred edges among the entities of each time cluster: clusters shared, lowest document."""
+    big = members.groupBy("start").agg(F.countDistinct("entity_id").alias("n"), F.min("document_id").alias("doc")).filter(
+        F.col("n") >= at_least).select("start", "doc")
+    pairs = shared_pairs(members.join(big, "start", "left_semi"), "start", "entity_id")
+    return pairs.join(big, "start").groupBy("a", "b").agg(
+        F.count(F.lit(1)).alias("clusters"), F.min("doc").alias("evidence_doc"))
+
+
+def merge_mentions(mentions: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Mentions with every id replaced by the survivor of its merge chain.
+
+    ``mapping`` is (dropped, kept) and may form chains; edges and counts are
+    recomputed from the result, so nothing is counted twice.
+    """
+    links = mapping.select(F.col("dropped").alias("a"), F.col("kept").alias("b"))
+    ids = links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    roots = components(ids, links).withColumnRenamed("id", "entity_id")
+    return mentions.join(roots, "entity_id", "left").withColumn("entity_id", F.coalesce("root", "entity_id")).drop("root")
+
+
+def merged_aliases(entities: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Survivors with the distinct names of everything merged into them."""
+    links = mapping.select(F.col("dropped").alias("a"), F.col("kept").alias("b"))
+    ids = links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    roots = components(ids, links).withColumnRenamed("id", "entity_id")
+    named = entities.join(roots, "entity_id").select(F.col("root").alias("entity_id"), "name").distinct()
+    return named.groupBy("entity_id").agg(F.array_sort(F.collect_list("name")).alias("aliases"))
+
+
+def deduplicated(entities: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, id map): entities with equal name and type become the best-scored one."""
+    clean = entities.filter(~looks_noisy(F.col("name"))).withColumn("_k", F.lower(squeeze(F.col("name"))))
+    nodes = clean.groupBy("_k", "entity_type").agg(
+        F.max(F.struct("score", (-F.col("entity_id")).alias("o"))).alias("m"), F.max("document_count").alias("document_count"))
+    nodes = nodes.withColumn("node_id", -F.col("m.o")).withColumn("score", F.col("m.score")).drop("m")
+    ids = clean.select("entity_id", "_k", "entity_type").join(nodes.select("_k", "entity_type", "node_id"), ["_k", "entity_type"])
+    return nodes.select("node_id", F.col("_k").alias("name"), "entity_type", "score", "document_count"), ids.select(
+        "entity_id", "node_id")
+
+
+def graph_view(entities: DataFrame, edges: DataFrame, center: int, fill: int = 45, most: int = 350,
+               most_links: int = 2500) -> tuple[DataFrame, DataFrame]:
+    """(nodes, links) around a centre: people at hop 1, people behind connectors, filled and capped by priority."""
+    nodes, ids = deduplicated(entities)
+    source = ids.select(F.col("entity_id").alias("source_id"), F.col("node_id").alias("s"))
+    target = ids.select(F.col("entity_id").alias("target_id"), F.col("node_id").alias("t"))
+    weight = F.greatest(F.lit(1.0), F.coalesce("weight", F.lit(1.0)))
+    links = edges.join(source, "source_id").join(target, "target_id").filter("s <> t").groupBy(
+        F.least("s", "t").alias("source_id"), F.greatest("s", "t").alias("target_id"), norm_rel_type(F.col("kind")).alias("kind")
+    ).agg(F.sum(weight).alias("weight"), F.count(F.lit(1)).alias("n"))
+    links = cut(links, "links")
+    ranked = cut(node_priority(nodes.withColumnRenamed("node_id", "entity_id"), links), "nodes")
+    hub = ranked.join(ids.filter(F.col("entity_id") == center).select(F.col("node_id").alias("entity_id")), "entity_id", "left_semi")
+    hub = hub.select("entity_id")
+    adjacent = cut(both_ends(links).select("entity_id", "other_id").distinct(), "adjacent")
+    people = ranked.filter("entity_type = 'person'").select("entity_id")
+    first = adjacent.join(hub, "entity_id", "left_semi").select(F.col("other_id").alias("entity_id"))
+    direct = first.join(people, "entity_id", "left_semi")
+    via = first.join(people, "entity_id", "left_anti").join(adjacent, "entity_id").join(
+        people.withColumnRenamed("entity_id", "other_id"), "other_id", "left_semi").join(
+        hub.withColumnRenamed("entity_id", "other_id"), "other_id", "left_anti")
+    ego = hub.union(direct).union(via.select("entity_id")).union(via.select("other_id")).distinct()
+    # below ``fill`` nodes, people join by priority; the rank of an outsider counts only outsiders
+    outside = ranked.filter("entity_type = 'person'").join(ego, "entity_id", "left_anti").orderBy(
+        F.desc("priority"), "entity_id").limit(fill)
+    ego = cut(ego, "ego")
+    room = F.greatest(F.lit(fill) - ego.agg(F.count(F.lit(1))).scalar(), F.lit(0))
+    place = F.row_number().over(Window.orderBy(F.desc("priority"), "entity_id"))  # at most ``fill`` rows
+    added = outside.withColumn("_r", place).filter(F.col("_r") <= room).select("entity_id")
+    keep = ranked.join(ego.union(added), "entity_id", "left_semi").withColumn(
+        "is_center", F.col("entity_id") == hub.agg(F.max("entity_id")).scalar())
+    keep = cut(keep.orderBy(F.desc("is_center"), F.desc("priority"), "entity_id").limit(most), "keep")
+    kind = keep.select("entity_id", (F.col("is_center") | (F.col("entity_type") == "person")).alias("p"))
+    inner = links.join(kind.select(F.col("entity_id").alias("source_id"), F.col("p").alias("ps")), "source_id").join(
+        kind.select(F.col("entity_id").alias("target_id"), F.col("p").alias("pt")), "target_id").filter("ps OR pt")
+    shown = inner.select("source_id", "target_id", "kind", "weight", "n").orderBy(
+        "kind", F.desc("weight"), "source_id", "target_id").limit(most_links)
+    ends = both_ends(inner.select("source_id", "target_id")).select("entity_id").distinct().withColumn("linked", F.lit(True))
+    final = keep.join(ends, "entity_id", "left").filter(F.coalesce("linked", F.lit(False)) | (F.col("score") >= 75)).drop("linked")
+    return final, shown
