@@ -1 +1,153 @@
-"""Registered queries."""
+"""Text jobs over documents and letters."""
+
+from pyspark.sql import functions as F
+
+from caseloom import bindings as b
+from caseloom import fixed
+from caseloom.catalog.joins import WATCH, watchlist
+from caseloom.catalog.registry import query
+from caseloom.catalog.scalars import STEMS
+from caseloom.catalog.views import LETTERS, using
+from caseloom.plans import mentions
+
+LETTER = 1_000_000_000_000  # id offset of letters in the joint corpus
+CORPUS = f"""corpus AS (SELECT doc_id, text FROM documents UNION ALL SELECT doc_id + {LETTER}, text FROM letters)"""
+
+
+def corpus(spark, sf):
+    """Documents and letters together."""
+    letters = b.letters(spark, sf).select((F.col("doc_id") + LETTER).alias("doc_id"), "text")
+    return b.table(spark, sf, "documents").select("doc_id", "text").unionByName(letters)
+
+
+def sq(pattern):
+    return pattern.replace("'", "''")
+
+
+def match_sql(i, kind, pattern, etype, width, name, canonical):
+    return f"""SELECT doc_id, {i} AS rule, '{kind}' AS kind, '{etype}' AS entity_type, {name} AS name, {canonical} AS canonical,
+ substring(text, greatest(instr(text, raw) - {width}, 1), instr(text, raw) + length(raw) + {width} - greatest(instr(text, raw) - {width}, 1)) AS context,
+ pos FROM (SELECT doc_id, text, unnest(ms) AS raw, generate_subscripts(ms, 1) AS pos FROM
+ (SELECT doc_id, text, regexp_extract_all(text, '{sq(pattern)}') AS ms FROM corpus WHERE length(trim(text)) >= 20))"""
+
+
+FORMS = {
+    "phone": ("trim(raw)", r"regexp_replace(trim(raw), '[\s\-()]', '', 'g')"),
+    "email": ("lower(raw)", "lower(raw)"),
+    "money": ("raw", "raw"), "registry": ("raw", "raw"),
+    "account": (f"'Account ' || regexp_extract(raw, '{fixed.ACCOUNT}', 1)", f"'ACCT:' || regexp_extract(raw, '{fixed.ACCOUNT}', 1)"),
+    "case": ("trim(raw)", r"upper(regexp_replace(trim(raw), '\s+', ' ', 'g'))"),
+    "address": ("trim(raw)", r"upper(regexp_replace(trim(raw), '\s+', ' ', 'g'))"),
+}
+MATCHES = "hits AS (" + "\nUNION ALL ".join(
+    match_sql(i, kind, pattern, etype, width, *FORMS[kind]) for i, (kind, pattern, etype, width) in enumerate(mentions.RULES)) + ")"
+
+
+@query("extract_patterns", using(LETTERS, CORPUS, MATCHES) + "SELECT doc_id, kind, name, canonical, context FROM hits")
+def extract_patterns(spark, sf):
+    return mentions.extract_patterns(corpus(spark, sf)).select("doc_id", "kind", "name", "canonical", "context")
+
+
+NORM_TEXT = r"' ' || trim(regexp_replace(strip_accents(lower(text)), '[^\p{L}\p{N}]+', ' ', 'g')) || ' '"
+NORM_NAME = r"' ' || trim(regexp_replace(strip_accents(lower(name)), '[^\p{L}\p{N}]+', ' ', 'g')) || ' '"
+
+
+@query("extract_entities", using(LETTERS, CORPUS, MATCHES, WATCH) + f""", n AS (SELECT doc_id, {NORM_TEXT} AS t FROM corpus WHERE length(trim(text)) >= 20),
+tag AS (SELECT doc_id, 'person' AS entity_type, name, canonical FROM n, w WHERE contains(t, {NORM_NAME})),
+every AS (SELECT doc_id, -1 AS rule, 0 AS pos, entity_type, name, canonical FROM tag UNION ALL
+ SELECT doc_id, rule, pos, entity_type, name, canonical FROM hits),
+firsts AS (SELECT *, row_number() OVER (PARTITION BY doc_id, canonical ORDER BY rule, pos, entity_type, name) AS rn FROM every),
+f AS (SELECT * FROM firsts WHERE rn = 1)
+SELECT canonical, entity_type, count(*) AS document_count, min(doc_id) AS first_doc, arg_min(name, (doc_id, name)) AS name FROM f GROUP BY 1, 2""")
+def extract_entities(spark, sf):
+    names = watchlist(spark, sf).withColumn("entity_type", F.lit("person"))
+    return mentions.entity_table(mentions.extract_entities(corpus(spark, sf), names))
+
+
+def pts(test, n):
+    return f"CASE WHEN {test} THEN {n} ELSE 0 END"
+
+
+def n_matches(pattern):
+    return f"len(regexp_extract_all(text, '{sq(pattern)}'))"
+
+
+def keyword_points(kind):
+    each, words = fixed.DOC_KEYWORDS[kind]
+    return " + ".join(pts(f"contains(low, '{w}')", each) for w in words)
+
+
+def hint(kind, parts):
+    return pts(" OR ".join(f"contains(stem, '{p}')" for p in parts), 10)
+
+
+CLASSIFY = using(LETTERS, CORPUS) + f""", t AS (SELECT doc_id, text, lower(text) AS low, lower({STEMS}[doc_id % 6 + 1]) AS stem FROM corpus),
+u AS (SELECT *, {n_matches(mentions.HEADER)} AS h, len(list_distinct(list_transform(regexp_extract_all(text, '{fixed.EMAIL}'), lambda x: lower(x)))) AS ad,
+ {n_matches(mentions.QUESTION)} AS qa FROM t),
+s AS (SELECT doc_id, [
+ {pts('h >= 1', 20)} + {pts('h >= 2', 25)} + {pts('h >= 4', 20)} + {pts('ad >= 2', 18)} + {pts('ad >= 4', 10)}
+ + {pts(f"regexp_matches(text, '{sq(mentions.FORWARD)}')", 12)} + {pts(f"regexp_matches(text, '{sq(mentions.REPLY)}')", 12)}
+ + {pts(f"regexp_matches(text, '{sq(mentions.FROM_NAME)}')", 8)} + {pts(f"regexp_matches(text, '{sq(mentions.TO_NAME)}')", 8)}
+ + {pts("contains(stem, 'mail') OR stem LIKE '%.eml' OR stem LIKE '%.msg'", 10)} + {keyword_points('email')},
+ CASE WHEN qa >= 5 THEN 50 WHEN qa >= 2 THEN 25 ELSE 0 END + {hint('deposition', ['depo'])} + {keyword_points('deposition')},
+ {pts(f"regexp_matches(text, '{fixed.REGISTRY_ID}')", 15)} + {hint('flight_log', ['flight', 'log', 'manifest'])} + {keyword_points('flight_log')},
+ {hint('financial', ['invoice', 'bank', 'financial'])} + {keyword_points('financial')},
+ {hint('court_filing', ['motion', 'order', 'filing'])} + {keyword_points('court_filing')},
+ {keyword_points('letter')}, {keyword_points('memo')}] AS p FROM u)
+SELECT doc_id, CASE WHEN list_max(p) = 0 THEN 'unknown' ELSE {mentions.ORDER}[list_position(p, list_max(p))] END AS doc_type, list_max(p) AS points,
+ round(least(list_max(p) / 80.0, 1), 3)::DOUBLE AS confidence FROM s"""
+
+
+@query("classify_documents", CLASSIFY)
+def classify_documents(spark, sf):
+    stem = F.element_at(F.array(*map(F.lit, STEMS)), (F.col("doc_id") % 6 + 1).cast("int"))
+    return mentions.classify(corpus(spark, sf), stem=stem).select("doc_id", "doc_type", "points", "confidence")
+
+
+SIGNALS = {"travel": r"\b(pilot|manifest|driver|pickup)\b", "money": r"\b(wire transfer|offshore account|shell company)\b",
+           "conceal": r"\b(delete|destroy|sealed|wipe)\b", "meeting": r"\b(meet|meeting)\b", "early": r"\bearlier\b"}
+COMBOS = [("travel", "money"), ("meeting", "early")]
+PLACES = ["oak street", "harbour"]
+WORDS = ["will", "the and", "desk"]
+
+
+def any_sql(column, needles):
+    return " OR ".join(f"contains({column}, '{n}')" for n in needles)
+
+
+def sig(name):
+    return f"regexp_matches(low, '{SIGNALS[name]}')"
+
+
+WORDED = r"regexp_matches(low, '\b(?:" + "|".join(WORDS) + r")\b')"
+PRIORITY_SQL = using(LETTERS, CORPUS, WATCH) + f""", t AS (SELECT doc_id, lower(text) AS low, doc_id % 11 = 0 AS removed, doc_id % 4 = 1 AS gaps,
+ doc_id % 6 = 2 AS att FROM corpus),
+s AS (SELECT *, {' + '.join(f'{sig(k)}::INT' for k in SIGNALS)} AS n FROM t)
+SELECT doc_id, least(100, {pts('removed', 50)} + {pts('EXISTS (SELECT 1 FROM w WHERE contains(low, lower(name)))', 30)} + {pts('gaps', 20)}
+ + {pts('att', 15)} + {pts(' OR '.join(f"regexp_matches(low, '(?i){p}')" for p in fixed.MONEY_TALK), 15)} + {pts(any_sql('low', PLACES), 10)}
+ + {pts(f"regexp_matches(low, '{fixed.CASE_NUMBER}')", 10)} + {pts(WORDED, 25)}
+ + least(n * 7, 28) + {pts(sig('travel') + ' AND ' + sig('money'), 12)} + {pts(sig('meeting') + ' AND ' + sig('early'), 10)}) AS priority FROM s"""
+
+
+@query("priority_score", PRIORITY_SQL)
+def priority_score(spark, sf):
+    k = F.col("doc_id")
+    docs = corpus(spark, sf).select("doc_id", "text", (k % 11 == 0).alias("removed"), (k % 4 == 1).alias("has_gaps"),
+                                    (k % 6 == 2).alias("has_attachment"))
+    return mentions.priority(docs, watchlist(spark, sf), PLACES, WORDS, SIGNALS, COMBOS).select("doc_id", "priority")
+
+
+@query("mask_protected", using(WATCH) + r""", m AS (SELECT doc_id, list(name ORDER BY length(name) DESC, name) AS names FROM documents, (SELECT DISTINCT name FROM w)
+ WHERE contains(text, name) GROUP BY 1)
+SELECT doc_id, replace(regexp_replace(coalesce(list_reduce(list_concat([text], names), lambda a, n: replace(a, n, '[PROTECTED]')), text),
+ '(?i)\w+@\w+\.example\.com', '[REDACTED]', 'g'), '([', '[REDACTED]') AS text FROM documents LEFT JOIN m USING (doc_id)""")
+def mask_protected(spark, sf):
+    docs = b.table(spark, sf, "documents").select("doc_id", "text")
+    return mentions.mask_protected(docs, "doc_id", "text", watchlist(spark, sf), [r"\w+@\w+\.example\.com", "(["])
+
+
+@query("paragraphs", r"""WITH p AS (SELECT doc_id, list_filter(regexp_split_to_array(replace(text, '. ', E'.\n\n'), '\n\s*\n'), lambda x: trim(x) <> '')[1:12] AS ps
+ FROM documents) SELECT doc_id, unnest(generate_series(0, len(ps) - 1))::INT AS pos, unnest(ps) AS paragraph FROM p WHERE len(ps) > 0""")
+def paragraphs(spark, sf):
+    docs = b.table(spark, sf, "documents").select("doc_id", F.replace("text", F.lit(". "), F.lit(".\n\n")).alias("text"))
+    return mentions.paragraphs(docs, "doc_id", "text")

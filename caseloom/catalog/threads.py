@@ -1 +1,38 @@
-"""Registered queries."""
+"""Message threads."""
+
+from pyspark.sql import functions as F
+
+from caseloom import bindings as b
+from caseloom.catalog.registry import query
+from caseloom.plans import threads
+
+# orders as messages: ten customers share a subject, some have none, bodies repeat within a month
+MAIL = """m AS (SELECT o_orderkey AS id, CASE WHEN o_orderpriority = '5-LOW' AND o_custkey % 10 = 0 THEN '' ELSE
+  lower(o_orderstatus) || ' order ' || (o_custkey // 10) END AS subject, o_custkey AS person,
+ md5(o_orderpriority || strftime(o_orderdate, '%Y-%m') || (o_custkey // 100)) AS body, o_orderdate AS sent_at FROM orders)"""
+
+
+def order_mail(spark, sf):
+    cust = F.col("o_custkey")
+    subject = F.when((F.col("o_orderpriority") == "5-LOW") & (cust % 10 == 0), "").otherwise(F.concat(
+        F.lower("o_orderstatus"), F.lit(" order "), F.floor(cust / 10).cast("string")))
+    person = F.concat(F.lit("c"), cust.cast("string"), F.lit("@mail.example.com"))
+    return b.table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("id"), subject.alias("subject"), F.array(person).alias("people"),
+        F.md5(F.concat("o_orderpriority", F.date_format("o_orderdate", "yyyy-MM"), F.floor(cust / 100).cast("string"))).alias("body_hash"),
+        F.col("o_orderdate").alias("sent_at"),
+        F.sha2(F.concat_ws("|", subject, person), 256).alias("thread_key"))
+
+
+@query("stitch_threads", f"""WITH RECURSIVE {MAIL}, s AS (SELECT DISTINCT subject FROM m WHERE subject <> ''),
+rel AS (SELECT x.subject AS s1, y.subject AS s2 FROM s x JOIN s y ON contains(y.subject, x.subject)),
+p AS (SELECT x.id AS a, y.id AS b FROM rel JOIN m x ON x.subject = s1 JOIN m y ON y.subject = s2 WHERE x.id <> y.id
+  AND (x.person = y.person OR x.body = y.body OR abs(date_diff('day', x.sent_at, y.sent_at)) <= 5)
+ UNION SELECT x.id, y.id FROM m x JOIN m y ON x.person = y.person AND x.id <> y.id WHERE x.subject = '' AND
+  (y.subject = '' OR x.body = y.body OR abs(date_diff('day', x.sent_at, y.sent_at)) <= 5)
+ UNION SELECT x.id, y.id FROM m x JOIN m y ON x.body = y.body AND x.id <> y.id WHERE x.subject = '' AND abs(date_diff('day', x.sent_at, y.sent_at)) <= 5),
+e AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
+r(id, root) AS (SELECT id, id FROM m UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id WHERE r.root < e.b)
+SELECT id, min(root) AS root FROM r GROUP BY 1""")
+def stitch_threads(spark, sf):
+    return threads.stitch(order_mail(spark, sf), days=5)

@@ -58,8 +58,8 @@ def bucketed_neighbours(df: DataFrame, keys: Sequence[str], bucket: str, order:
 
 
 def bucketed_last(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[str], value: Column,
-                  out: str) -> DataFrame:
-    """Latest non-null ``value`` of the key at or before each row."""
+                  out: str, strict: bool = False) -> DataFrame:
+    """Latest non-null ``value`` of the key at or before each row (before it, if ``strict``)."""
     keys, order = list(keys), list(order)
     df = df.withColumn("_v", value)
     seen = df.groupBy(*keys, bucket).agg(
@@ -67,7 +67,7 @@ def bucketed_last(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequen
     )
     chain = _per_key(keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     carry = seen.select(*keys, bucket, F.last(F.col("_m._v"), ignorenulls=True).over(chain).alias("_carry"))
-    inside = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if strict else 0)
     return (
         df.join(carry, [*keys, bucket])
         .withColumn(out, F.coalesce(F.last("_v", ignorenulls=True).over(inside), F.col("_carry")))

@@ -43,30 +43,35 @@ def document_edges(mentions: DataFrame, email: str = "1-URGENT", flight: str = "
         F.lit(None).cast("timestamp").alias("seen_at"), F.col("doc_type").alias("note"))
 
 
+def _lowest(directed: DataFrame) -> DataFrame:
+    """Edges (x, y) with the lowest of x and its neighbours; combined on the map side, joined back."""
+    low = directed.groupBy("x").agg(F.min("y").alias("m")).withColumn("m", F.least("x", "m"))
+    return directed.join(low, "x")
+
+
 def components(nodes: DataFrame, links: DataFrame, node: str = "id") -> DataFrame:
     """(id, root): smallest id of the connected component, for links (a, b).
 
-    Labels take the smallest label of the neighbours and then jump to the label
-    of that label, so long chains close in few rounds. Each round is a written table.
+    Alternates two contractions until every component is a star around its
+    smallest id: larger neighbours are re-linked to the lowest neighbour, then
+    smaller ones. The number of rounds grows with the logarithm of the graph,
+    also for long chains. Each round is a written table.
     """
-    both = cut(links.filter("a <> b").select(F.explode(F.array(
-        F.struct(F.col("a").alias("x"), F.col("b").alias("y")),
-        F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("e")).select("e.x", "e.y").distinct(), "links")
-    linked = both.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("label"))
-    labels = cut(linked.withColumnRenamed("x", "id"), "labels")
+    edges = cut(links.filter("a <> b").select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).distinct(), "links")
+    state = None
     while True:
-        near = both.join(labels.select(F.col("id").alias("y"), F.col("label").alias("l")), "y").groupBy("x").agg(
-            F.min("l").alias("l"))
-        lower = labels.join(near.withColumnRenamed("x", "id"), "id").select(
-            "id", F.col("label").alias("old"), F.least("label", "l").alias("label"))
-        heads = labels.select(F.col("id").alias("label"), F.col("label").alias("up"))
-        stepped = cut(lower.join(heads, "label", "left").select(
-            "id", "old", F.least("label", F.coalesce("up", "label")).alias("label")), "labels")
-        labels = stepped.select("id", "label")
-        if stepped.filter("label <> old").isEmpty():
+        both = edges.select(F.explode(F.array(
+            F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("x").alias("y")))).alias("e")).select("e.x", "e.y")
+        large = _lowest(both).filter("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")).distinct()
+        small = _lowest(large).select(F.explode(F.array(
+            F.struct("x", F.col("m").alias("y")), F.struct(F.col("y").alias("x"), F.col("m").alias("y")))).alias("e"))
+        edges = cut(small.select("e.x", "e.y").filter("x <> y").distinct(), "links")
+        mark = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)"))).first()
+        if mark == state:
             break
-    return nodes.select(F.col(node).alias("id")).join(labels, "id", "left").select(
-        "id", F.coalesce("label", "id").alias("root"))
+        state = mark
+    return nodes.select(F.col(node).alias("id")).join(edges.select(F.col("x").alias("id"), "y"), "id", "left").select(
+        "id", F.coalesce("y", "id").alias("root"))
 
 
 def khop(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
