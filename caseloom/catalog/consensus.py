@@ -1 +1,182 @@
-"""Registered queries."""
+"""Annotator answers and consensus."""
+
+from pyspark.sql import functions as F
+
+from caseloom import bindings as b
+from caseloom.catalog.registry import query
+from caseloom.catalog.scalars import RAW_TYPES, TOPICS, cases, category_sql
+from caseloom.catalog.views import SCORES, V1, V3, V4, V5, V7, using
+from caseloom.catalog.windows import context_parts
+from caseloom import fixed
+from caseloom.operators.topk import known_names
+from caseloom.operators.windows import prior_text
+from caseloom.plans import consensus as c
+
+ANSWER_SQL = r"""answers AS (SELECT o_orderkey AS id, E'preamble\n=== summary ===\nOrder ' || o_orderkey || ' of ' || o_custkey
+ || E'\n\n=== ENTITIES ===\n- Customer Five | Person | buyer | pays | x\n* Acme\n- xkcdrt | person\n'
+ || E'=== Connections ===\n[Acme ' || o_orderstatus || E'] --works for-- [Bolt] | evidence: "seen"\nA | paid | B\nonly | two\n'
+ || E'=== EVIDENCE SCORES ===\n- Jane Doe | ' || (o_custkey % 100) || E'/100 | facilitator | many records\n- Bob | high | why\n'
+ || CASE WHEN o_orderstatus = 'P' THEN '' ELSE E'=== REDACTIONS ===\nREDACTION #1 - context: "before ' || o_orderpriority
+ || E'"\n1. Jane Doe (80%) - fits\n2. Bob Ray (' || (o_custkey % 50) || E') : maybe\nnoise\nREDACTION 2\n1. Eve (5%) - no\n' END
+ || E'=== FLAGS ===\nNone identified.\n=== TIMELINE ===\n- 2001-01-01 | event ' || o_orderpriority || E'\nlonely\n' AS text,
+ o_custkey, o_orderstatus, o_orderpriority FROM orders)"""
+
+
+def answers(spark, sf):
+    k, s = F.col("o_custkey"), lambda x: F.lit(x)
+    text = F.concat(
+        s("preamble\n=== summary ===\nOrder "), F.col("o_orderkey").cast("string"), s(" of "), k.cast("string"),
+        s("\n\n=== ENTITIES ===\n- Customer Five | Person | buyer | pays | x\n* Acme\n- xkcdrt | person\n"),
+        s("=== Connections ===\n[Acme "), "o_orderstatus", s('] --works for-- [Bolt] | evidence: "seen"\nA | paid | B\nonly | two\n'),
+        s("=== EVIDENCE SCORES ===\n- Jane Doe | "), (k % 100).cast("string"),
+        s("/100 | facilitator | many records\n- Bob | high | why\n"),
+        F.when(F.col("o_orderstatus") == "P", "").otherwise(F.concat(
+            s('=== REDACTIONS ===\nREDACTION #1 - context: "before '), "o_orderpriority",
+            s('"\n1. Jane Doe (80%) - fits\n2. Bob Ray ('), (k % 50).cast("string"),
+            s(") : maybe\nnoise\nREDACTION 2\n1. Eve (5%) - no\n"))),
+        s("=== FLAGS ===\nNone identified.\n=== TIMELINE ===\n- 2001-01-01 | event "), "o_orderpriority", s("\nlonely\n"))
+    return b.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), text.alias("text"))
+
+
+@query("parse_sections", using(ANSWER_SQL) + """
+SELECT id, 'summary' AS section, 'Order ' || id || ' of ' || o_custkey AS fields FROM answers
+UNION ALL SELECT id, 'entities', unnest(['Customer Five;Person;buyer;pays', 'Acme']) FROM answers
+UNION ALL SELECT id, 'connections', unnest(['Acme ' || o_orderstatus || ';works for;Bolt;seen', 'A;paid;B']) FROM answers
+UNION ALL SELECT id, 'evidence_scores', unnest(['Jane Doe;' || (o_custkey % 100) || ';facilitator;many records', 'Bob;0;;why']) FROM answers
+UNION ALL SELECT id, 'redaction_inferences', unnest(['1;before ' || o_orderpriority || ';1;Jane Doe;80;fits',
+ '1;before ' || o_orderpriority || ';2;Bob Ray;' || (o_custkey % 50) || ';maybe', '2;;1;Eve;5;no']) FROM answers WHERE o_orderstatus <> 'P'
+UNION ALL SELECT id, 'timeline', '2001-01-01;event ' || o_orderpriority FROM answers""")
+def parse_sections(spark, sf):
+    return c.section_records(answers(spark, sf), "id", "text").select("id", "section", F.array_join("fields", ";").alias("fields"))
+
+
+@query("response_quality", using(ANSWER_SQL) + """SELECT id, round(0.10 + 0.15 * 2 / 3 + 0.15 * 2 / 3 + 0.15 * 2 / 3
+ + CASE WHEN o_orderstatus <> 'P' THEN 0.08 * 2 / 3 ELSE 0 END + 0.10 / 3, 4)::DOUBLE AS quality FROM answers""")
+def response_quality(spark, sf):
+    return c.response_quality(answers(spark, sf), "id", "text")
+
+
+NPER = "nper AS (SELECT document_id, count(DISTINCT annotator) AS annotators FROM v7 GROUP BY 1)"
+ITEMS = """citems AS (SELECT document_id, item, models, annotators, CASE WHEN annotators >= 3 AND models = 1 THEN 'UNIQUE_INSIGHT'
+ WHEN annotators >= 3 AND models = 2 THEN 'LIKELY' WHEN models >= annotators THEN 'CONFIRMED' ELSE 'LIKELY' END AS tag FROM
+ (SELECT document_id, item, count(DISTINCT annotator) AS models FROM v7 GROUP BY 1, 2) JOIN nper USING (document_id))"""
+CSCORES = """cs AS (SELECT document_id, item, score, spread, models, scores, annotators, CASE WHEN models < annotators AND models = 1 THEN 'UNIQUE_INSIGHT'
+ WHEN models < annotators THEN 'LIKELY' WHEN spread > 30 THEN 'NEEDS_REVIEW' ELSE 'CONFIRMED' END AS tag FROM
+ (SELECT document_id, item, CAST(round_even(avg(s), 0) AS INT) AS score, max(s) - min(s) AS spread, count(*) AS models,
+  array_to_string(list(annotator || ':' || s ORDER BY annotator), ',') AS scores FROM
+  (SELECT document_id, item, annotator, max(score) AS s FROM v7 GROUP BY 1, 2, 3) GROUP BY 1, 2) JOIN nper USING (document_id))"""
+LEVELS = """lv AS (SELECT *, CASE WHEN annotators = 1 THEN 'single_source' WHEN disagreements = 0 THEN 'full' WHEN disagreements <= 3 THEN 'majority'
+ ELSE 'split' END AS agreement FROM (SELECT document_id, max(annotators) AS annotators, count(*) FILTER (WHERE spread > 30) AS disagreements,
+ count(*) AS items, max(score) AS top_score, arg_max(item, (score, item)) AS top_item FROM cs GROUP BY 1))"""
+AGREED = using(V7, NPER, ITEMS, CSCORES, LEVELS)
+
+
+@query("consensus_items", AGREED + "SELECT document_id, item, models, tag FROM citems")
+def consensus_items(spark, sf):
+    return c.consensus_items(b.judgements(spark, sf)).select("document_id", "item", "models", "tag")
+
+
+@query("consensus_scores", AGREED + "SELECT document_id, item, score, spread, scores, tag FROM cs")
+def consensus_scores(spark, sf):
+    written = F.array_join(F.transform(F.map_entries("scores"), lambda e: F.concat_ws(
+        ":", e["key"].cast("string"), e["value"].cast("string"))), ",")
+    return c.consensus_scores(b.judgements(spark, sf)).select("document_id", "item", "score", "spread", written.alias("scores"), "tag")
+
+
+@query("consensus_votes", AGREED + """, v AS (SELECT document_id, slot, item, CAST(round_even(avg(score), 0) AS INT) AS avg_confidence,
+ count(DISTINCT annotator) AS models, avg(score) AS m FROM v7 GROUP BY 1, 2, 3)
+SELECT document_id, slot, item, avg_confidence, models, round(least(m / 100 * (1 + 0.15::DOUBLE * (models - 1)), 0.95) + 1e-9, 4)::DOUBLE AS agreement,
+ CASE WHEN models >= annotators THEN 'CONFIRMED' WHEN models >= 2 THEN 'LIKELY' ELSE 'UNIQUE_INSIGHT' END AS tag FROM v JOIN nper USING (document_id)
+QUALIFY row_number() OVER (PARTITION BY document_id, slot ORDER BY avg_confidence DESC, item) <= 5""")
+def consensus_votes(spark, sf):
+    return c.consensus_votes(b.judgements(spark, sf)).drop("rn")
+
+
+@query("agreement_level", AGREED + """SELECT document_id, annotators, disagreements, agreement, agreement IN ('split', 'single_source')
+ AS needs_review FROM lv""")
+def agreement_level(spark, sf):
+    return c.agreement_levels(b.judgements(spark, sf)).select("document_id", "annotators", "disagreements", "agreement", "needs_review")
+
+
+@query("annotator_coverage", using(V7) + """SELECT document_id, array_to_string(list_filter([0, 1, 2, 3], lambda x:
+ NOT list_contains(list(DISTINCT annotator), x)), ',') AS missing FROM v7 GROUP BY 1 HAVING count(DISTINCT annotator) < 4""")
+def annotator_coverage(spark, sf):
+    return c.coverage(b.judgements(spark, sf), [0, 1, 2, 3]).select("document_id", F.array_join("missing", ",").alias("missing"))
+
+
+@query("consensus", AGREED + """SELECT document_id, agreement, items, top_score, count(*) FILTER (WHERE tag = 'CONFIRMED') AS confirmed,
+ count(*) FILTER (WHERE tag = 'LIKELY') AS likely, count(*) FILTER (WHERE tag = 'UNIQUE_INSIGHT') AS unique_items, max(missing) AS missing
+FROM lv JOIN (SELECT document_id, tag FROM citems) USING (document_id) JOIN (SELECT document_id, array_to_string(list_filter([0, 1, 2, 3],
+ lambda x: NOT list_contains(list(DISTINCT annotator), x)), ',') AS missing FROM v7 GROUP BY 1) USING (document_id) GROUP BY 1, 2, 3, 4""")
+def consensus(spark, sf):
+    return c.consensus(b.judgements(spark, sf), [0, 1, 2, 3]).select(
+        "document_id", "agreement", "items", "top_score", "confirmed", "likely", "unique_items", F.array_join("missing", ",").alias("missing"))
+
+
+NAMED = f"""ni AS (SELECT l_orderkey AS document_id, 'Dr. ' || p_name AS name, {RAW_TYPES}[p_size % 10 + 1] AS raw_type FROM lineitem JOIN part ON p_partkey = l_partkey
+ WHERE l_returnflag <> 'N' UNION ALL SELECT l_orderkey, p_brand, 'company' FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_returnflag <> 'R'),
+nc AS (SELECT l_orderkey AS document_id, p_name AS source, p_brand AS target, 'works for' AS kind FROM lineitem JOIN part ON p_partkey = l_partkey)"""
+
+
+def named_items(spark, sf):
+    lines = b.table(spark, sf, "lineitem").join(b.table(spark, sf, "part"), F.col("p_partkey") == F.col("l_partkey"))
+    raw = F.element_at(F.array(*map(F.lit, RAW_TYPES)), (F.col("p_size") % 10 + 1).cast("int"))
+    items = lines.filter("l_returnflag <> 'N'").select(
+        F.col("l_orderkey").alias("document_id"), F.concat(F.lit("Dr. "), "p_name").alias("name"), raw.alias("raw_type"))
+    items = items.unionByName(lines.filter("l_returnflag <> 'R'").select(
+        F.col("l_orderkey").alias("document_id"), F.col("p_brand").alias("name"), F.lit("company").alias("raw_type")))
+    links = lines.select(F.col("l_orderkey").alias("document_id"), F.col("p_name").alias("source"), F.col("p_brand").alias("target"),
+                         F.lit("works for").alias("kind"))
+    return items, links
+
+
+@query("apply_consensus", using(NAMED) + """, k AS (SELECT DISTINCT document_id, upper(regexp_replace(name, '^Dr\\. ', '')) AS n FROM ni),
+l AS (SELECT DISTINCT document_id, upper(source) AS source, upper(target) AS target, kind FROM nc)
+SELECT source, target, kind, count(*) AS evidence, count(*)::DOUBLE AS weight FROM l JOIN k a ON a.document_id = l.document_id AND a.n = source
+ JOIN k z ON z.document_id = l.document_id AND z.n = target WHERE source <> target GROUP BY 1, 2, 3""")
+def apply_consensus(spark, sf):
+    return c.consensus_edges(*named_items(spark, sf))
+
+
+@query("apply_consensus_entities", using(NAMED) + f"""SELECT upper(regexp_replace(name, '^Dr\\. ', '')) AS canonical,
+ {cases(fixed.ENTITY_TYPES, 'person', 'lower(trim(raw_type))')} AS entity_type, count(DISTINCT document_id) AS document_count,
+ min(document_id) AS first_doc FROM ni GROUP BY 1, 2""")
+def apply_consensus_entities(spark, sf):
+    return c.consensus_entities(named_items(spark, sf)[0])
+
+
+@query("sync_findings", AGREED + f""", nt AS (SELECT l_orderkey AS document_id, arg_max({TOPICS}[l_linenumber % 6 + 1], (l_shipdate, l_linenumber, l_partkey)) AS flags,
+ count(*) AS connections FROM lineitem WHERE l_discount > 0.05 GROUP BY 1)
+SELECT lv.document_id, top_item || ' investigative lead (Doc #' || lv.document_id || ')' AS title, {category_sql("lower(coalesce(flags, ''))")} AS category,
+ CASE WHEN top_score >= 85 AND agreement IN ('full', 'majority') THEN 'confirmed' WHEN top_score >= 60 OR agreement IN ('full', 'majority') THEN 'likely'
+ ELSE 'unverified' END AS confidence FROM lv LEFT JOIN nt USING (document_id)
+WHERE (top_score >= 30 OR coalesce(connections, 0) > 0 OR coalesce(flags, '') <> '') AND lv.document_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')
+ AND NOT (lv.document_id IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '5-LOW') AND top_item = 'R') ORDER BY 1 DESC LIMIT 40""")
+def sync_findings(spark, sf):
+    orders = b.table(spark, sf, "orders").select(F.col("o_orderkey").alias("document_id"), "o_orderstatus", "o_orderpriority")
+    titles = orders.filter("o_orderpriority = '5-LOW'").select(F.concat(
+        F.lit("r INVESTIGATIVE lead (Doc #"), F.col("document_id").cast("string"), F.lit(")")).alias("title"))
+    topic = F.element_at(F.array(*map(F.lit, TOPICS)), (F.col("l_linenumber") % 6 + 1).cast("int"))
+    lines = b.table(spark, sf, "lineitem").filter("l_discount > 0.05").groupBy(F.col("l_orderkey").alias("document_id"))
+    notes = lines.agg(F.max(F.struct("l_shipdate", "l_linenumber", "l_partkey", topic.alias("flags"))).getField("flags").alias("flags"),
+                      F.count(F.lit(1)).alias("connections"))
+    return c.new_findings(c.agreement_levels(b.judgements(spark, sf)), notes, orders.filter("o_orderstatus = 'P'"), titles, 40)
+
+
+@query("assemble_prompts", using(V1, V3, V5, SCORES, V4) + r""", kn AS (SELECT array_to_string(list(name ORDER BY score DESC, entity_id), '; ') AS names FROM
+ (SELECT * FROM v4 ORDER BY score DESC, entity_id LIMIT 200)),
+p AS (SELECT conv_id, turn, text, role, string_agg(E'From: ' || role || E'\n' || text || E'\n', E'\n---\n' ORDER BY turn) OVER (PARTITION BY conv_id ORDER BY turn
+ ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior FROM conversations),
+q AS (SELECT * FROM p ORDER BY length(text) DESC, conv_id, turn LIMIT 100)
+SELECT conv_id, turn, md5('TYPE: message' || E'\nsender: ' || role || E'\n' || CASE WHEN prior IS NOT NULL THEN E'EARLIER MESSAGES\n' || prior || E'\n' ELSE '' END
+ || E'KNOWN ENTITIES\n' || names || E'\nDOCUMENT\n' || text) AS prompt_md5 FROM q, kn""")
+def assemble_prompts(spark, sf):
+    turns = b.table(spark, sf, "conversations")
+    queue = turns.orderBy(F.desc(F.length("text")), "conv_id", "turn").limit(100)  # the analysis queue of one run
+    parts = context_parts(spark, sf).select("conv_id", "turn", "part", "position")
+    queued = queue.join(parts.select("conv_id", "turn", "position"), ["conv_id", "turn"]).select(
+        "conv_id", "turn", "position", F.lit("message").alias("doc_type"), F.concat(F.lit("sender: "), "role").alias("meta"),
+        F.col("text").alias("body"))
+    prior = prior_text(parts.select("conv_id", "position", "part"), queued, "conv_id")
+    names = known_names(b.scored_parts(spark, sf)).select("names").scalar()
+    return c.prompts(queued, ["conv_id", "position"], prior, names).select("conv_id", "turn", F.md5("prompt").alias("prompt_md5"))

@@ -1 +1,143 @@
-"""Registered queries."""
+"""Exports and review jobs."""
+
+from pyspark.sql import functions as F
+
+from caseloom import bindings as b
+from caseloom.catalog.aggs import SCORED_EVENTS, scored_flights
+from caseloom.catalog.registry import query
+from caseloom.catalog.scalars import TOPICS, URL_SQL, category_sql
+from caseloom.catalog.views import SCORES, V1, V3, V4, V5, V8, using
+from caseloom.functions.text import categorize
+from caseloom.plans import review
+from caseloom.session import scratch_path
+from caseloom.sources import exports
+
+# parts of one brand count as protected
+PUB = """pub AS (SELECT v4.entity_id, v4.name, v4.entity_type, v4.score, p_brand = 'Brand#7' AS is_protected FROM v4 JOIN part ON p_partkey = v4.entity_id)"""
+GRAPH_SQL = using(V1, V3, V5, SCORES, V4, PUB)
+
+
+def guarded(spark, sf):
+    flag = b.table(spark, sf, "part").select(F.col("p_partkey").alias("entity_id"), (F.col("p_brand") == "Brand#7").alias("is_protected"))
+    return b.scored_parts(spark, sf).drop("is_protected").join(flag, "entity_id")
+
+
+@query("export_graph", GRAPH_SQL + "SELECT entity_id, name, score FROM pub WHERE NOT is_protected AND score >= 60")
+def export_graph(spark, sf):
+    nodes, _ = exports.graph(guarded(spark, sf), b.edges(spark, sf), 60)
+    path = scratch_path(spark, "nodes")
+    exports.write_json(nodes.select("entity_id", "name", "score"), path)
+    return spark.read.schema("entity_id bigint, name string, score double").json(path)
+
+
+@query("export_graph_links", GRAPH_SQL + """, k AS (SELECT entity_id FROM pub WHERE NOT is_protected AND score >= 60)
+SELECT source_id, target_id, evidence FROM v5 WHERE source_id IN (SELECT * FROM k) AND target_id IN (SELECT * FROM k)""")
+def export_graph_links(spark, sf):
+    _, links = exports.graph(guarded(spark, sf), b.edges(spark, sf), 60)
+    return links.select("source_id", "target_id", "evidence")
+
+
+@query("export_cards", GRAPH_SQL + """, e AS (SELECT entity_id, array_to_string(list(document_id || ':' || evidence_score ORDER BY rn), ',') AS evidence FROM
+ (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY evidence_score DESC, document_id, page) AS rn FROM v1) WHERE rn <= 10 GROUP BY 1),
+ok AS (SELECT entity_id FROM pub WHERE NOT is_protected),
+k AS (SELECT entity_id, array_to_string(list(other_id || ':' || kind ORDER BY rn), ',') AS connections FROM (SELECT *, row_number() OVER (PARTITION BY entity_id
+ ORDER BY weight DESC, other_id, kind) AS rn FROM v5b WHERE entity_id IN (SELECT * FROM ok) AND other_id IN (SELECT * FROM ok)) WHERE rn <= 20 GROUP BY 1),
+t AS (SELECT entity_id, array_to_string(list(strftime(event_ts, '%Y-%m-%d') || ':' || document_id ORDER BY rn), ',') AS timeline FROM (SELECT *,
+ row_number() OVER (PARTITION BY entity_id ORDER BY event_ts, document_id, page) AS rn FROM v1) WHERE rn <= 20 GROUP BY 1)
+SELECT pub.entity_id, evidence, connections, timeline FROM pub LEFT JOIN e USING (entity_id) LEFT JOIN k USING (entity_id) LEFT JOIN t USING (entity_id)
+WHERE NOT is_protected""")
+def export_cards(spark, sf):
+    card = exports.cards(guarded(spark, sf), b.mentions(spark, sf), b.edges(spark, sf))
+
+    def flat(column, *fields):
+        return F.array_join(F.transform(column, lambda r: F.concat_ws(":", *[r[f].cast("string") for f in fields])), ",").alias(column)
+
+    return card.select("entity_id", flat("evidence", "document_id", "evidence_score"), flat("connections", "other_id", "kind"),
+                       flat("timeline", "day", "document_id"))
+
+
+@query("export_timeline", GRAPH_SQL + """, r AS (SELECT entity_id, document_id, page, event_ts, doc_type || ' ' || repeat(name, 40) AS text FROM v1 JOIN pub USING (entity_id)
+ WHERE NOT is_protected)
+SELECT entity_id, document_id, page, strftime(event_ts, '%Y-%m-%d') AS day, md5(CASE WHEN length(text) <= 300 THEN text ELSE substring(text, 1, 297) || '...' END) AS text_md5,
+ strftime((SELECT min(event_ts) FROM r), '%Y-%m-%d') AS first_day, strftime((SELECT max(event_ts) FROM r), '%Y-%m-%d') AS last_day FROM r""")
+def export_timeline(spark, sf):
+    names = guarded(spark, sf)
+    events = b.mentions(spark, sf).join(names.select("entity_id", F.repeat("name", F.lit(40)).alias("long")), "entity_id")
+    events = events.withColumn("text", F.concat_ws(" ", "doc_type", "long")).drop("long")
+    return exports.timeline(events, names).select(
+        "entity_id", "document_id", "page", b.day("event_ts").alias("day"), F.md5("text").alias("text_md5"),
+        b.day("first_ts").alias("first_day"), b.day("last_ts").alias("last_day"))
+
+
+FINDINGS = f"""f AS (SELECT doc_id, {category_sql('t')} AS category, CASE WHEN quality = 1 AND toxic = 0 THEN 'confirmed' WHEN quality = 1 THEN 'likely' ELSE 'unverified' END
+ AS confidence, title FROM (SELECT doc_id, quality, toxic, substring(text, 1, 40) AS title, lower(substring(text, 1, 100) || ' ' || {TOPICS}[length(text) % 6 + 1]) AS t
+ FROM documents JOIN labels USING (doc_id)))"""
+
+
+@query("report_by_category", using(FINDINGS) + """, k AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY doc_id) AS line_no FROM f WHERE confidence IN ('confirmed', 'likely'))
+SELECT category, line_no, '- [' || confidence || '] ' || title AS line FROM k UNION ALL SELECT DISTINCT category, 0, '## ' || upper(category) FROM k""")
+def report_by_category(spark, sf):
+    docs = b.table(spark, sf, "documents").join(b.table(spark, sf, "labels"), "doc_id")
+    topic = F.element_at(F.array(*map(F.lit, TOPICS)), (F.length("text") % 6 + 1).cast("int"))
+    confidence = F.when((F.col("quality") == 1) & (F.col("toxic") == 0), "confirmed").when(F.col("quality") == 1, "likely").otherwise("unverified")
+    found = docs.select(F.col("doc_id").alias("finding_id"), confidence.alias("confidence"), F.substring("text", 1, 40).alias("title"),
+                        categorize(F.concat(F.substring("text", 1, 100), F.lit(" "), topic)).alias("category"))
+    return exports.category_report(found, ["confirmed", "likely"])
+
+
+@query("entity_report", GRAPH_SQL + "SELECT entity_id, name, format('{:.1f}', round(score, 1)) AS score FROM pub WHERE NOT is_protected AND score >= 50")
+def entity_report(spark, sf):
+    return exports.entity_report(guarded(spark, sf), 50)
+
+
+@query("removed_scan", using(V8) + f""", gone AS (SELECT page_id, url FROM mirror WHERE {URL_SQL.format('url')} NOT IN (SELECT {URL_SQL.format('url')} FROM current_l)),
+snap AS (SELECT user_id, count(*) AS n, arg_max(event_id, (ts, event_id)) AS last_id FROM events GROUP BY 1)
+SELECT url, greatest(CAST(page_id % 100 AS INT), 90) AS priority, coalesce(n, 0) AS snapshots, last_id, CASE WHEN n > 0 THEN 'mirror_found' ELSE 'not_found' END AS status
+FROM gone LEFT JOIN snap ON user_id = page_id WHERE contains(url, 'example')""")
+def removed_scan(spark, sf):
+    known = b.mirror_listing(spark, sf).select("url", F.col("page_id").alias("key"), (F.col("page_id") % 100).cast("int").alias("priority"))
+    snaps = b.table(spark, sf, "events").select(F.col("user_id").alias("key"), F.col("ts").alias("stamp"), F.col("event_id").alias("snap_id"))
+    return review.removed_scan(known, b.current_listing(spark, sf), snaps, "example")
+
+
+@query("review_queue", """SELECT o_orderkey AS document_id FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority <> '1-URGENT' AND o_totalprice < 50000
+AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')""")
+def review_queue(spark, sf):
+    docs = b.table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("document_id"), (F.col("o_orderstatus") == "F").alias("analyzed"),
+        (F.col("o_orderpriority") == "1-URGENT").alias("reviewed"), (F.col("o_totalprice") / 5000).alias("priority"))
+    queued = b.table(spark, sf, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("document_id"))
+    return review.review_queue(docs, queued).select("document_id")
+
+
+@query("quarantine", """SELECT doc_id, CASE WHEN q THEN 'already quarantined' WHEN toxic = 1 THEN 'flagged' WHEN quality = 0 THEN 'not reviewed' END AS reason,
+ quality = 1 AND NOT q AND toxic = 0 AND lang <> 'es' AS exportable FROM (SELECT *, source = 'src3' AS q FROM labels JOIN documents USING (doc_id))""")
+def quarantine(spark, sf):
+    rows = b.table(spark, sf, "labels").join(b.table(spark, sf, "documents"), "doc_id").select(
+        "doc_id", (F.col("toxic") == 1).alias("flagged"), (F.col("quality") == 1).alias("reviewed"), (F.col("source") == "src3").alias("quarantined"),
+        F.when(F.col("lang") == "es", "discard").otherwise("save").alias("decision"))
+    return review.quarantine(rows).select("doc_id", "reason", "exportable")
+
+
+@query("batch_pattern_score", using(SCORED_EVENTS) + """, fl AS (SELECT DISTINCT entity_id FROM v2p WHERE event_id IN (SELECT event_id FROM scored_events WHERE known_registry
+ AND event_id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F')))
+SELECT v2p.event_id, v2p.entity_id, score, v2p.entity_id IN (SELECT * FROM fl) AS has_event_evidence FROM v2p JOIN scored_events USING (event_id)
+WHERE event_id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F')""")
+def batch_pattern_score(spark, sf):
+    # events of finished orders count as scored already
+    unscored = b.table(spark, sf, "orders").filter("o_orderstatus <> 'F'").select(F.col("o_orderkey").alias("event_id"))
+    scored = scored_flights(spark, sf).join(unscored, "event_id", "left_semi").select("event_id", "known_registry", "score")
+    people = b.participants(spark, sf)
+    links = people.join(scored.select("event_id", "score"), "event_id")
+    return review.event_flags(links, scored, people).select("event_id", "entity_id", "score", "has_event_evidence")
+
+
+@query("document_view", """SELECT o_orderkey AS document_id, lag(o_orderkey) OVER (ORDER BY o_orderkey) AS prev_id, lead(o_orderkey) OVER (ORDER BY o_orderkey) AS next_id,
+ coalesce(pages, 0) AS pages, coalesce(entities, 0) AS entities, coalesce(gaps, 0) AS gaps FROM orders LEFT JOIN (SELECT l_orderkey, count(DISTINCT l_linenumber) AS pages,
+ count(DISTINCT l_partkey) AS entities, count(*) FILTER (WHERE l_returnflag = 'R') AS gaps FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey""")
+def document_view(spark, sf):
+    docs = b.table(spark, sf, "orders").select(F.col("o_orderkey").alias("document_id"))
+    lines = b.table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("document_id"), F.col("l_linenumber").alias("page"), F.col("l_partkey").alias("entity_id"),
+        (F.col("l_returnflag") == "R").alias("redacted"))
+    return review.document_view(docs, lines)

@@ -1 +1,50 @@
-"""Registered queries."""
+"""Streaming jobs over the tables as arrivals; each must equal its batch result."""
+
+from pyspark.sql import functions as F
+
+from caseloom import bindings as b
+from caseloom.catalog.joins import WATCH, watchlist
+from caseloom.catalog.registry import query
+from caseloom.catalog.scalars import URL_SQL
+from caseloom.catalog.views import V8, using
+from caseloom.session import scratch_path
+from caseloom.streaming import jobs
+
+
+def arrivals(spark, sf, name):
+    return jobs.read_stream(spark, f"{sf}/{name}.parquet")
+
+
+@query("stream_threads", """WITH n AS (SELECT user_id AS thread_id, event_id AS after_id, lead(event_id) OVER w AS before_id,
+ epoch_us(lead(ts) OVER w - ts) / 1000000.0 AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT thread_id, after_id, before_id, CAST(floor(s / 86400) AS BIGINT) AS gap_days, CASE WHEN floor(s / 86400) > 30 THEN 'high' ELSE 'medium' END AS severity
+FROM n WHERE s > 86400""")
+def stream_threads(spark, sf):
+    messages = arrivals(spark, sf, "events").select(
+        F.col("user_id").alias("thread_id"), F.col("event_id").alias("message_id"), F.col("ts").alias("sent_at"))
+    return jobs.stream_threads(messages, scratch_path(spark, "threads"), days=1)
+
+
+@query("stream_candidates", using(WATCH) + """SELECT doc_id AS context_id, entity_id, CASE WHEN contains(lower(text), lower(name)) THEN 0.6 ELSE 0.5 END::DOUBLE AS score
+FROM documents, w WHERE contains(lower(text), lower(name)) OR contains(lower(text), lower(canonical))""")
+def stream_candidates(spark, sf):
+    docs = arrivals(spark, sf, "documents").select(F.col("doc_id").alias("context_id"), F.col("text").alias("context"))
+    return jobs.stream_candidates(docs, watchlist(spark, sf), scratch_path(spark, "candidates"))
+
+
+@query("stream_removed", using(V8) + f"""SELECT page_id, url FROM mirror WHERE {URL_SQL.format('url')} NOT IN (SELECT {URL_SQL.format('url')} FROM current_l)""")
+def stream_removed(spark, sf):
+    return jobs.stream_removed(arrivals(spark, sf, "pages").select("page_id", "url"), b.current_listing(spark, sf), scratch_path(spark, "removed"))
+
+
+@query("stream_activity", "SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_activity(spark, sf):
+    daily = jobs.stream_activity(arrivals(spark, sf, "events").select("user_id", "ts"), "user_id", "ts", scratch_path(spark, "activity"))
+    return daily.select("user_id", b.day("day").alias("day"), "n")
+
+
+@query("stream_dedup", "SELECT DISTINCT user_id, event_type, strftime(ts, '%Y-%m-%d') AS day FROM events")
+def stream_dedup(spark, sf):
+    events = arrivals(spark, sf, "events").select("user_id", "event_type", "ts", F.date_format("ts", "yyyy-MM-dd").alias("day"))
+    once = jobs.stream_dedup(events, ["user_id", "event_type", "day"], "ts", scratch_path(spark, "dedup"))
+    return once.select("user_id", "event_type", "day")

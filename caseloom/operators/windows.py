@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from caseloom.operators.skew import bucketed_before, bucketed_neighbours, bucketed_rank
 
+DAY = 86_400_000_000  # microseconds
+
 
 def top_per_key(df: DataFrame, key: str, order: Sequence[Column], n: int) -> DataFrame:
     """N best rows per key; Spark drops rows beyond N before the shuffle too."""
@@ -30,9 +32,9 @@ def gaps(messages: DataFrame, days: int = 7, high: int = 30) -> DataFrame:
     """Consecutive dated messages of a thread more than ``days`` apart."""
     dated = messages.filter(F.col("sent_at").isNotNull()).withColumn("_m", month_bucket("sent_at"))
     rows = bucketed_neighbours(dated, ["thread_id"], "_m", ["sent_at", "message_id"], [], following="nxt")
-    seconds = F.unix_timestamp(F.col("nxt.sent_at").cast("timestamp")) - F.unix_timestamp(F.col("sent_at").cast("timestamp"))
-    wide = rows.withColumn("_s", seconds).filter(F.col("_s") > days * 86400)
-    gap = F.floor(F.col("_s") / 86400)
+    elapsed = F.unix_micros(F.col("nxt.sent_at").cast("timestamp")) - F.unix_micros(F.col("sent_at").cast("timestamp"))
+    wide = rows.withColumn("_e", elapsed).filter(F.col("_e") > days * DAY)
+    gap = F.floor(F.col("_e") / DAY)
     return wide.select(
         "thread_id", F.col("message_id").alias("after_id"), F.col("nxt.message_id").alias("before_id"),
         gap.cast("long").alias("gap_days"), F.when(gap > high, "high").otherwise("medium").alias("severity"))
