@@ -11,7 +11,7 @@ from caseloom.functions.text import email_fields
 from caseloom.operators import blocking, diff, joins
 from caseloom.operators.pairs import pair_counts
 from caseloom.operators.scoring import both_ends
-from caseloom.operators.skew import bucketed_last
+from caseloom.operators.skew import bucketed_last, spread
 
 
 @query("evidence_docs", using(V1) + """SELECT entity_id, document_id, page, evidence_score, o_totalprice, strftime(o_orderdate,
@@ -126,12 +126,12 @@ ROLE_NAMES = ["customer {}", "c{}@mail.example.com", "Desk", "Oak Street"]
 @query("role_tagging", using(LETTERS) + """SELECT doc_id, k, CASE k WHEN 0 THEN 'author' WHEN 1 THEN 'recipient' WHEN 2 THEN
  'recipient' ELSE 'mentioned' END AS role FROM letters, (SELECT unnest([0, 1, 2, 3]) AS k)""")
 def role_tagging(spark, sf):
-    mails = b.letters(spark, sf).select("doc_id", "cust", email_fields(F.col("text")).alias("f"))
+    mails = email_fields(spread(b.letters(spark, sf).select("doc_id", "cust", "text"), "doc_id"), "text")
     cust = F.col("cust").cast("string")
     found = F.array(F.concat(F.lit("customer "), cust), F.concat(F.lit("C"), (F.col("cust") + 1).cast("string"),
                     F.lit("@mail.example.com")), F.lit("Desk"), F.lit("Oak Street"))
-    named = mails.select("doc_id", "f", F.posexplode(found).alias("k", "name"))
-    role = joins.message_role(F.col("name"), F.col("f.from_name"), F.col("f.from_address"), F.concat("f.to", "f.cc"))
+    named = mails.select("doc_id", "from_name", "from_address", "to", "cc", F.posexplode(found).alias("k", "name"))
+    role = joins.message_role(F.col("name"), F.col("from_name"), F.col("from_address"), F.concat("to", "cc"))
     return named.select("doc_id", "k", role.alias("role"))
 
 

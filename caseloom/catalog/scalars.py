@@ -8,6 +8,7 @@ from caseloom.catalog.registry import query
 from caseloom.catalog.scans import URL_SQL
 from caseloom.catalog.views import LETTERS, NAMES, V6, using
 from caseloom.functions import dates, names, text, urls
+from caseloom.operators.skew import spread
 
 TITLE_SQL, SUFFIX_SQL = names.TITLE, names.SUFFIX
 CANON = (f"upper(trim(regexp_replace(regexp_replace(regexp_replace(trim(name), '{TITLE_SQL}', ''), '{SUFFIX_SQL}', ''), "
@@ -243,8 +244,8 @@ def registry_ids(spark, sf):
  'c' || cust || '@mail.example.com' AS from_address, 2::INT AS n_to, split_part(split_part(text, 'Subject: ', 2), E'\n', 1) AS subject,
  strftime(sent_at, '%Y-%m-%d %H:%M:%S') AS date, substring(text, instr(text, 'Please send')) AS body FROM letters""")
 def email_fields(spark, sf):
-    f = b.letters(spark, sf).select("doc_id", text.email_fields(F.col("text")).alias("f"))
-    return f.select("doc_id", "f.from_name", "f.from_address", F.size("f.to").alias("n_to"), "f.subject", "f.date", "f.body")
+    f = text.email_fields(spread(b.letters(spark, sf).select("doc_id", "text"), "doc_id"), "text")
+    return f.select("doc_id", "from_name", "from_address", F.size("to").alias("n_to"), "subject", "date", "body")
 
 
 @query("split_context", r"""WITH l AS (SELECT doc_id, string_split(text, E'\n') AS ls,

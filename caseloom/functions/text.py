@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseloom import fixed
@@ -136,11 +136,6 @@ def stem_hints(name: Column) -> dict[str, Column]:
     return points
 
 
-def _header(text: Column, names: str) -> Column:
-    found = F.trim(F.regexp_extract(text, rf"(?i)(?:^|\n)\s*(?:{names})\s*:\s*([^\n]+)", 1))
-    return F.nullif(found, F.lit(""))
-
-
 def _addresses(raw: Column) -> Column:
     """Parts of an address line, one per address."""
     parts = F.filter(F.transform(F.split(raw, "[;,]"), lambda p: F.trim(p)), lambda p: p != "")
@@ -155,29 +150,34 @@ def _addresses(raw: Column) -> Column:
     return F.coalesce(F.transform(first, lambda s: s["p"]), F.array().cast("array<string>"))
 
 
-def email_fields(text: Column) -> Column:
-    """Sender, recipients, subject, date and body of a message text, as one struct."""
-    window = F.array_join(F.slice(F.split(text, "\r?\n"), 1, 80), "\n")
-    found = find_all(window, fixed.EMAIL)
-    low = F.transform(found, lambda a: F.lower(a))
-    seen = F.filter(found, lambda a, i: F.array_position(low, F.lower(a)) == i + 1)
-    sender = _header(text, "From")
-    own = F.nullif(F.regexp_extract(sender, fixed.EMAIL, 0), F.lit(""))
-    address = F.coalesce(own, F.get(seen, F.lit(0)))
-    name = F.when(own.isNotNull(), F.regexp_replace(F.replace(sender, own, F.lit("")), "^[ <>\t\"']+|[ <>\t\"']+$", ""))
-    to = _addresses(_header(text, "To"))
-    to = F.when((F.size(to) == 0) & (F.size(seen) > 1), F.slice(seen, 2, 7)).otherwise(to)
-    hint = F.nullif(F.trim(F.regexp_extract(window, r"(?i)(?:^|\n)\s*((?:Re|FW|Fwd)\s*:\s*[^\n]+)", 1)), F.lit(""))
-    day = F.nullif(F.trim(F.regexp_extract(
-        window, r"(?i)(?:^|\n)\s*((?:Mon|Tue|Wed|Thu|Fri|Sat|Sun)[a-z]*,?\s+\w+\s+\d{1,2},?\s+\d{4}[^\n]*)", 1)), F.lit(""))
-
-    def end_of(names: str) -> Column:
-        line = F.regexp_extract(text, rf"(?i)(?:^|\n)\s*(?:{names})\s*:\s*[^\n]+", 0)
-        return F.when(line != "", F.instr(text, line) + F.length(line)).otherwise(F.lit(1))
-
-    start = F.greatest(*[end_of(n) for n in ("Date|Sent", "Subject", "CC", "To", "From")])
-    body = F.when(start > 1, F.regexp_replace(F.substr(text, start), r"^\s+|\s+$", "")).otherwise(text)
-    return F.struct(
-        F.coalesce(name, sender, address).alias("from_name"), address.alias("from_address"), to.alias("to"),
-        _addresses(_header(text, "CC")).alias("cc"), F.coalesce(_header(text, "Subject"), hint).alias("subject"),
-        F.coalesce(_header(text, "Date|Sent"), day).alias("date"), body.alias("body"))
+def _first(pattern: str, c: str) -> Column:
+    return F.nullif(F.trim(F.regexp_extract(c, pattern, 1)), F.lit(""))
+
+
+def email_fields(df: DataFrame, text: str) -> DataFrame:
+    """Adds from_name, from_address, to, cc, subject, date and body of a message text.
+
+    Steps are columns of their own, so that no header is searched twice.
+    """
+    names = {"_from": "From", "_to": "To", "_cc": "CC", "_subject": "Subject", "_date": "Date|Sent"}
+    head = df.withColumn("_win", F.substring_index(text, "\n", 80)).select(
+        "*", find_all(F.col("_win"), fixed.EMAIL).alias("_found"),
+        *[F.regexp_extract(text, rf"(?i)(?:^|\n)\s*(?:{h})\s*:\s*[^\n]+", 0).alias(c) for c, h in names.items()])
+    value = {c: _first(r"^\s*[A-Za-z]+\s*:\s*([^\n]+)", c).alias(c + "_v") for c in names}
+    ends = [F.when(F.col(c) != "", F.instr(F.col(text), F.col(c)) + F.length(c)).otherwise(F.lit(1)) for c in names]
+    lowered = F.transform("_found", lambda a: F.lower(a))
+    step = head.select("*", *value.values(), F.greatest(*ends).alias("_start"), lowered.alias("_keys"))
+    step = step.withColumn("_seen", F.filter("_found", lambda a, i: F.array_position("_keys", F.lower(a)) == i + 1))
+    step = step.withColumn("_own", F.nullif(F.regexp_extract("_from_v", fixed.EMAIL, 0), F.lit("")))
+    step = step.withColumn("from_address", F.coalesce("_own", F.get("_seen", F.lit(0)))).withColumn(
+        "_listed", _addresses(F.col("_to_v")))
+    bare = F.regexp_replace(F.replace(F.col("_from_v"), F.col("_own"), F.lit("")), "^[ <>\t\"']+|[ <>\t\"']+$", "")
+    hint = r"(?i)(?:^|\n)\s*((?:Re|FW|Fwd)\s*:\s*[^\n]+)"
+    day = r"(?i)(?:^|\n)\s*((?:Mon|Tue|Wed|Thu|Fri|Sat|Sun)[a-z]*,?\s+\w+\s+\d{1,2},?\s+\d{4}[^\n]*)"
+    start = F.col("_start")
+    return step.select(
+        *df.columns, F.coalesce(F.when(F.col("_own").isNotNull(), bare), "_from_v", "from_address").alias("from_name"), "from_address",
+        F.when((F.size("_listed") == 0) & (F.size("_seen") > 1), F.slice("_seen", 2, 7)).otherwise(F.col("_listed")).alias("to"),
+        _addresses(F.col("_cc_v")).alias("cc"), F.coalesce("_subject_v", _first(hint, "_win")).alias("subject"),
+        F.coalesce("_date_v", _first(day, "_win")).alias("date"),
+        F.when(start > 1, F.regexp_replace(F.substr(F.col(text), start), r"^\s+|\s+$", "")).otherwise(F.col(text)).alias("body"))

@@ -11,23 +11,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseloom.functions.text import token_text
+from caseloom.operators.skew import spread
+from caseloom.session import cut
 
-EDGE = 3   # letters taken on each side of the first blank of a needle
+EDGE = 3   # letters taken on each side of a blank
 GRAM = 3   # letters of a needle without a blank
 
 
-def _needle_key(c: Column) -> Column:
-    """(left, right, key): letters before and after the first blank, or a leading gram."""
-    at = F.instr(c, " ")
-    before, rest = F.substr(c, F.lit(1), at - 1), F.substr(c, at + 1)
-    after = F.split_part(rest, F.lit(" "), F.lit(1))
-    left, right = F.least(F.length(before), F.lit(EDGE)), F.least(F.length(after), F.lit(EDGE))
-    gram = F.substring(c, 1, GRAM)
-    return (
-        F.when(at > 0, F.struct(left.alias("l"), right.alias("r"),
-                                F.concat(F.right(before, left), F.lit(" "), F.left(after, right)).alias("k")))
-        .otherwise(F.struct(F.lit(-1).alias("l"), F.length(gram).alias("r"), gram.alias("k")))
-    )
+def _pairs(c: Column) -> Column:
+    """Neighbouring words as an array of (a, b)."""
+    words = F.split(c, " ")
+    size = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.arrays_zip(F.slice(words, F.lit(1), size).alias("a"), F.slice(words, F.lit(2), size).alias("b"))
+
+
+def _edge_key(a: Column, b: Column, n: Column | int) -> Column:
+    """The ``n`` letters on each side of the blank between two words."""
+    width = F.lit(n) if isinstance(n, int) else n
+    return F.concat(F.right(a, width), F.lit(" "), F.left(b, width))
 
 
 def _runs(items: Column, n: int, glue: str) -> Column:
@@ -37,30 +38,55 @@ def _runs(items: Column, n: int, glue: str) -> Column:
     return F.transform(F.arrays_zip(*shifted), lambda p: F.concat_ws(glue, *[p[f"c{k}"] for k in range(n)]))
 
 
-def _text_keys(c: Column, left: int, right: int) -> Column:
-    """All keys of one kind that a text offers."""
-    if left < 0:
-        return _runs(F.split(c, ""), right, "")
-    words = F.split(c, " ")
-    size = F.greatest(F.size(words) - 1, F.lit(0))
-    return F.transform(
-        F.arrays_zip(F.slice(words, F.lit(1), size).alias("a"), F.slice(words, F.lit(2), size).alias("b")),
-        lambda p: F.when((F.length(p["a"]) >= left) & (F.length(p["b"]) >= right),
-                         F.concat(F.right(p["a"], F.lit(left)), F.lit(" "), F.left(p["b"], F.lit(right)))))
+def needle_keys(needles: DataFrame, needle_id: str, needle: str) -> DataFrame:
+    """(needle_id, kind, key): every key that a text holding the needle must offer.
+
+    Between two words the key takes as many letters of both as they have, at
+    most three: the first word may be a suffix and the last a prefix of the
+    text's words. A needle of one word gives a leading gram (kind below zero).
+    """
+    rows = needles.filter(F.length(needle) > 0).select(needle_id, F.col(needle).alias("_n"), F.explode_outer(_pairs(F.col(needle))).alias("_w"))
+    a, b = F.col("_w.a"), F.col("_w.b")
+    n = F.least(F.length(a), F.length(b), F.lit(EDGE))
+    gram = F.substring("_n", 1, GRAM)
+    return rows.select(
+        needle_id, F.col("_n").alias("_needle"), F.when(F.col("_w").isNull(), -F.length(gram)).otherwise(n).alias("_kind"),
+        F.when(F.col("_w").isNull(), gram).otherwise(_edge_key(a, b, n)).alias("_key"))
+
+
+def offered_keys(texts: DataFrame, text_id: str, text: str, kinds: list[int]) -> DataFrame:
+    """(text_id, key) of the kinds in use, one row per place in the text."""
+    rows, edges = None, [k for k in kinds if k >= 0]
+    if edges:
+        pairs = texts.select(text_id, F.explode(_pairs(F.col(text))).alias("_w")).select(text_id, "_w.a", "_w.b")
+        short = F.least(F.length("a"), F.length("b"))
+        keys = F.array(*[F.when(short >= k, _edge_key(F.col("a"), F.col("b"), k)) for k in edges])
+        rows = pairs.select(text_id, F.explode(keys).alias("_key")).filter(F.col("_key").isNotNull())
+    for k in kinds:
+        if k < 0:
+            grams = texts.select(text_id, F.explode(_runs(F.split(F.col(text), ""), -k, "")).alias("_key"))
+            rows = grams if rows is None else rows.unionByName(grams)
+    return rows
 
 
 def containing(texts: DataFrame, text_id: str, text: str, needles: DataFrame, needle_id: str, needle: str) -> DataFrame:
-    """(text_id, needle_id) where the text contains the needle literally."""
-    keyed = needles.filter(F.length(needle) > 0).select(
-        needle_id, F.col(needle).alias("_needle"), _needle_key(F.col(needle)).alias("_n"))
-    kinds = sorted((r["l"], r["r"]) for r in keyed.select("_n.l", "_n.r").distinct().collect())  # at most 12 kinds
+    """(text_id, needle_id) where the text contains the needle literally.
+
+    Each needle is looked up by the key that the fewest texts offer; a needle
+    with a key that no text offers is in none of them.
+    """
+    keyed = needle_keys(needles, needle_id, needle)
+    kinds = sorted(r["_kind"] for r in keyed.select("_kind").distinct().collect())  # at most 7 kinds
+    texts = spread(texts, text_id)
     if not kinds:
         return texts.select(text_id).join(needles.select(needle_id).limit(0), F.lit(False))
-    keyed = keyed.select(needle_id, "_needle", F.col("_n.k").alias("_key"))
     wanted = keyed.select("_key").distinct()
-    offers = F.array_distinct(F.flatten(F.array(*[_text_keys(F.col(text), le, ri) for le, ri in kinds])))
-    hits = texts.select(text_id, F.explode(offers).alias("_key")).join(wanted, "_key", "left_semi")
-    pairs = hits.join(keyed, "_key").select(text_id, needle_id, "_needle")
+    held = cut(offered_keys(texts, text_id, text, kinds).join(wanted, "_key", "left_semi").distinct(), "keys")
+    often = held.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
+    ranked = keyed.join(often, "_key", "left").groupBy(needle_id, "_needle").agg(
+        F.min_by("_key", F.struct("_n", "_key")).alias("_key"), F.count_if(F.col("_n").isNull()).alias("_absent"))
+    rare = ranked.filter("_absent = 0").drop("_absent")
+    pairs = held.join(rare, "_key").select(text_id, needle_id, "_needle")
     return (
         pairs.join(texts.select(text_id, F.col(text).alias("_text")), text_id)
         .filter(F.contains("_text", F.col("_needle"))).select(text_id, needle_id)
@@ -74,14 +100,16 @@ def phrase_matches(texts: DataFrame, text_id: str, text: str, phrases: DataFrame
     Each phrase is looked up by its rarest word, so frequent words do not
     multiply candidates.
     """
+    texts = spread(texts, text_id)
     normal = phrases.select(phrase_id, token_text(F.col(phrase)).alias("_p")).filter("_p <> ''")
     words = normal.select(phrase_id, "_p", F.explode(F.array_distinct(F.split("_p", " "))).alias("_w"))
-    held = (
+    held = cut(
         texts.select(text_id, F.explode(F.array_distinct(F.split(token_text(F.col(text)), " "))).alias("_w"))
-        .join(words.select("_w").distinct(), "_w", "left_semi")
-    )
+        .join(words.select("_w").distinct(), "_w", "left_semi"), "words")
     often = held.groupBy("_w").agg(F.count(F.lit(1)).alias("_n"))
-    rare = words.join(often, "_w").groupBy(phrase_id, "_p").agg(F.min_by("_w", F.struct("_n", "_w")).alias("_w"))
+    ranked = words.join(often, "_w", "left").groupBy(phrase_id, "_p").agg(
+        F.min_by("_w", F.struct("_n", "_w")).alias("_w"), F.count_if(F.col("_n").isNull()).alias("_absent"))
+    rare = ranked.filter("_absent = 0").drop("_absent")
     pairs = held.join(rare, "_w").select(text_id, phrase_id, "_p")
     padded = texts.select(text_id, F.concat(F.lit(" "), token_text(F.col(text)), F.lit(" ")).alias("_t"))
     return (
@@ -95,7 +123,7 @@ def placeholder_candidates(contexts: DataFrame, entities: DataFrame, threshold:
 
     ``contexts`` is (context_id, context), ``entities`` (entity_id, name, canonical).
     """
-    low = contexts.select("context_id", F.lower("context").alias("context"))
+    low = spread(contexts, "context_id").select("context_id", F.lower("context").alias("context"))
     needles = entities.select("entity_id", F.explode(F.array(
         F.struct(F.lit(0.6).alias("s"), F.lower("name").alias("n")),
         F.struct(F.lit(0.5).alias("s"), F.lower("canonical").alias("n")))).alias("x")).select(
@@ -137,6 +165,7 @@ def anchor_join(gaps: DataFrame, texts: DataFrame) -> DataFrame:
     Texts offer runs of one to three words; an anchor without a whole word
     inside falls back to its first eight characters.
     """
+    texts = spread(texts, "doc_id")
     anchor = F.right("before", F.lit(30))
     inner = _interior(anchor)
     count = F.when(inner == "", 0).otherwise(F.size(F.split(inner, " ")))

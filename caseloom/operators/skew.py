@@ -130,3 +130,12 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, spread: str, most:
     r = right.join(hot, key, "left").withColumn("_part", F.pmod(F.xxhash64(spread), parts)).drop("_parts")
     le = left.join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("_parts")
     return le.join(r, [key, "_part"]).drop("_part")
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Share out rows for per-row work when the input has fewer files than there are cores.
+
+    A table of many files is already split and passes through without a shuffle.
+    """
+    cores, files = df.sparkSession.sparkContext.defaultParallelism, len(df.inputFiles())
+    return df.repartition(cores, key) if 0 < files < cores else df

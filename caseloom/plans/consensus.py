@@ -11,6 +11,7 @@ from caseloom import fixed
 from caseloom.functions.names import is_garbage, map_entity_type, normalize_name
 from caseloom.functions.text import categorize, confidence_class, find_all
 from caseloom.operators.sets import missing_values
+from caseloom.operators.skew import spread
 from caseloom.operators.windows import top_per_key
 
 ANY_HEADER = r"(?i)===\s*(?:" + "|".join(fixed.SECTIONS.values()) + r")\s*==="
@@ -27,17 +28,18 @@ def _strip(c: Column) -> Column:
 
 def sections(responses: DataFrame, key: str, text: str) -> DataFrame:
     """(key, section, body) of each answer; a repeated header keeps its last body."""
-    name = F.lit(None).cast("string")
-    for section, pattern in fixed.SECTIONS.items():
-        name = F.when(F.col("h").rlike(r"(?i)===\s*" + pattern + r"\s*==="), section).otherwise(name)
-    bodies = F.split(F.col(text), ANY_HEADER)
-    zipped = F.arrays_zip(find_all(F.col(text), ANY_HEADER).alias("h"), F.slice(bodies, F.lit(2), F.size(bodies)).alias("body"))
-    rows = responses.select(key, F.posexplode(zipped).alias("n", "z")).select(
-        key, "n", F.col("z.h").alias("h"), _strip(F.col("z.body")).alias("body")).withColumn("section", name)
-    last = rows.groupBy(key, "section").agg(F.max(F.struct("n", "body")).alias("m"))
-    body = F.col("m.body")
-    return last.select(key, "section", body.alias("body")).filter(
-        (F.col("body") != "") & ~F.startswith(F.lower("body"), F.lit("none identified")))
+    def named(header: Column) -> Column:
+        name = F.lit(None).cast("string")
+        for section, pattern in fixed.SECTIONS.items():
+            name = F.when(header.rlike(r"(?i)===\s*" + pattern + r"\s*==="), section).otherwise(name)
+        return name
+
+    split = spread(responses, key).select(
+        key, F.transform(find_all(F.col(text), ANY_HEADER), named).alias("_h"), F.split(F.col(text), ANY_HEADER).alias("_b"))
+    zipped = F.arrays_zip(F.col("_h").alias("section"), F.slice("_b", F.lit(2), F.size("_b")).alias("body"))
+    last = F.filter(zipped, lambda s, i: ~F.array_contains(F.slice("_h", i + 2, F.size("_h")), s["section"]))
+    rows = split.select(key, F.explode(last).alias("s")).select(key, "s.section", _strip(F.col("s.body")).alias("body"))
+    return rows.filter((F.col("body") != "") & ~F.startswith(F.lower("body"), F.lit("none identified")))
 
 
 def section_records(responses: DataFrame, key: str, text: str) -> DataFrame:

@@ -149,7 +149,9 @@ def deduplicated(entities: DataFrame) -> tuple[DataFrame, DataFrame]:
 def graph_view(entities: DataFrame, edges: DataFrame, center: int, fill: int = 45, most: int = 350,
                most_links: int = 2500) -> tuple[DataFrame, DataFrame]:
     """(nodes, links) around a centre: people at hop 1, people behind connectors, filled and capped by priority."""
-    nodes, ids = deduplicated(entities)
+    edges = cut(edges, "edges")
+    nodes, ids = deduplicated(cut(entities, "entities"))
+    ids = cut(ids, "ids")
     source = ids.select(F.col("entity_id").alias("source_id"), F.col("node_id").alias("s"))
     target = ids.select(F.col("entity_id").alias("target_id"), F.col("node_id").alias("t"))
     weight = F.greatest(F.lit(1.0), F.coalesce("weight", F.lit(1.0)))

@@ -12,6 +12,7 @@ from caseloom import fixed
 from caseloom.functions.names import is_noise
 from caseloom.functions.text import contains_any, find_all, stem_hints
 from caseloom.operators.blocking import containing, phrase_matches
+from caseloom.operators.skew import spread
 
 # kind, pattern, entity type, width of the context on each side
 RULES = [
@@ -50,7 +51,7 @@ def extract_patterns(texts: DataFrame, doc: str = "doc_id", text: str = "text",
 
     found = [matches(*rule) for rule in RULES]
     # context is cut after the explode, once per match
-    rows = texts.filter(F.length(F.trim(text)) >= least).select(
+    rows = spread(texts, doc).filter(F.length(F.trim(text)) >= least).select(
         doc, text, F.posexplode(F.concat(*found)).alias("pos", "m"))
     start = F.instr(F.col(text), F.col("m.raw"))
     first = F.greatest(start - F.col("m.width"), F.lit(1))
@@ -116,8 +117,9 @@ def type_scores(text: Column, stem: Column | None = None) -> dict[str, Column]:
     return points
 
 
-def classify(texts: DataFrame, text: str = "text", stem: Column | None = None) -> DataFrame:
+def classify(texts: DataFrame, doc: str = "doc_id", text: str = "text", stem: Column | None = None) -> DataFrame:
     """Adds doc_type, points and confidence; equal points go to the type named first."""
+    texts = spread(texts, doc)
     points = type_scores(F.col(text), stem)
     scored = texts.withColumn("_p", F.array(*[
         F.struct(points[k].alias("s"), F.lit(-i).alias("o"), F.lit(k).alias("k")) for i, k in enumerate(ORDER)]))
@@ -135,27 +137,31 @@ def priority(docs: DataFrame, watchlist: DataFrame, places: Sequence[str], terms
     Input columns: doc, text, removed, has_gaps, has_attachment. Names come from a
     table; places, terms and signal patterns are short parameters.
     """
-    p, low = fixed.PRIORITY, F.lower("text")
-    named = containing(docs.select(doc, low.alias("text")), doc, "text",
+    p = fixed.PRIORITY
+    docs = spread(docs, doc)
+    # one column per test, so that each text is lowered and searched once
+    low = docs.withColumn("_low", F.lower("text"))
+    worded = r"\b(?:" + "|".join(re.escape(t.lower()) for t in terms) + r")\b" if terms else "(?!)"
+    tested = low.select(
+        "*", F.col("_low").rlike("(?i)" + "|".join(f"(?:{m})" for m in fixed.MONEY_TALK)).alias("_money"),
+        F.col("_low").rlike(fixed.CASE_NUMBER).alias("_case"), F.col("_low").rlike(worded).alias("_terms"),
+        contains_any(F.col("_low"), places).alias("_place"),
+        *[F.col("_low").rlike(pattern).alias(f"_s_{name}") for name, pattern in signals.items()])
+    named = containing(low.select(doc, F.col("_low").alias("text")), doc, "text",
                        watchlist.select("entity_id", F.lower("name").alias("name")), "entity_id", "name").select(
         doc).distinct().withColumn("_named", F.lit(True))
-    money = F.lit(False)
-    for pattern in fixed.MONEY_TALK:
-        money = money | low.rlike("(?i)" + pattern)
-    worded = F.lit(False)
-    if terms:
-        worded = low.rlike(r"\b(?:" + "|".join(re.escape(t.lower()) for t in terms) + r")\b")
-    hits = {name: low.rlike(pattern) for name, pattern in signals.items()}
-    count = sum((h.cast("int") for h in hits.values()), F.lit(0))
+    count = sum((F.col(f"_s_{name}").cast("int") for name in signals), F.lit(0))
+
+    def when(flag, points):
+        return F.when(F.col(flag), p[points]).otherwise(0)
+
     score = (
-        F.when(F.col("removed"), p["removed"]).otherwise(0) + F.when(F.col("_named"), p["watchlist"]).otherwise(0)
-        + F.when(F.col("has_gaps"), p["gaps"]).otherwise(0) + F.when(F.col("has_attachment"), p["attachment"]).otherwise(0)
-        + F.when(money, p["money"]).otherwise(0) + F.when(contains_any(low, places), p["place"]).otherwise(0)
-        + F.when(low.rlike(fixed.CASE_NUMBER), p["case"]).otherwise(0) + F.when(worded, p["terms"]).otherwise(0)
-        + F.least(count * p["signal"], F.lit(p["signal_cap"])))
+        when("removed", "removed") + when("_named", "watchlist") + when("has_gaps", "gaps")
+        + when("has_attachment", "attachment") + when("_money", "money") + when("_place", "place") + when("_case", "case")
+        + when("_terms", "terms") + F.least(count * p["signal"], F.lit(p["signal_cap"])))
     for (a, z), bonus in zip(combos, (p["combo_first"], p["combo_second"])):
-        score = score + F.when(hits[a] & hits[z], bonus).otherwise(0)
-    return docs.join(named, doc, "left").withColumn("priority", F.least(score, F.lit(100))).drop("_named")
+        score = score + F.when(F.col(f"_s_{a}") & F.col(f"_s_{z}"), bonus).otherwise(0)
+    return tested.join(named, doc, "left").select(*docs.columns, F.least(score, F.lit(100)).alias("priority"))
 
 
 def mask_protected(texts: DataFrame, doc: str, text: str, names: DataFrame, patterns: Sequence[str] = (),
@@ -164,6 +170,7 @@ def mask_protected(texts: DataFrame, doc: str, text: str, names: DataFrame, patt
 
     ``names`` is (name). A pattern that is no valid expression is taken literally.
     """
+    texts = spread(texts, doc)
     distinct = names.select("name").filter(F.length("name") > 0).distinct()
     hits = containing(texts, doc, text, distinct.select(F.col("name").alias("nid"), "name"), "nid", "name")
     per_doc = hits.groupBy(doc).agg(F.array_sort(F.collect_set(F.struct((-F.length("nid")).alias("o"), F.col("nid").alias("n")))).alias("_names"))
