@@ -78,12 +78,16 @@ def concealment_ratio(spark, sf):
 
 
 @query("min_max_merge", using(V6D) + """SELECT thread_id, count(*) AS message_count, strftime(min(sent_at), '%Y-%m-%d') AS first_at,
- strftime(max(sent_at), '%Y-%m-%d') AS last_at, array_to_string(list_sort(list(DISTINCT sender)), ',') AS participants
-FROM v6d GROUP BY 1""")
+ strftime(max(sent_at), '%Y-%m-%d') AS last_at, count(DISTINCT sender) AS participant_count FROM v6d GROUP BY 1""")
 def min_max_merge(spark, sf):
     t = aggs.thread_summary(b.dated_messages(spark, sf))
     return t.select("thread_id", "message_count", b.day("first_at").alias("first_at"), b.day("last_at").alias("last_at"),
-                    F.array_join("participants", ",").alias("participants"))
+                    "participant_count")
+
+
+@query("thread_participants", using(V6D) + "SELECT DISTINCT thread_id, sender FROM v6d")
+def thread_participants(spark, sf):
+    return aggs.thread_participants(b.dated_messages(spark, sf))
 
 
 OBS = """obs AS (SELECT a.entity_id AS source_id, z.entity_id AS target_id, CASE a.doc_type WHEN '2-HIGH' THEN 'flew_with'

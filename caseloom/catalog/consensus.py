@@ -9,7 +9,7 @@ from caseloom.catalog.views import SCORES, V1, V3, V4, V5, V7, using
 from caseloom.catalog.windows import context_parts
 from caseloom import fixed
 from caseloom.operators.topk import known_names
-from caseloom.operators.windows import prior_text
+from caseloom.operators.windows import prior_parts
 from caseloom.plans import consensus as c
 
 ANSWER_SQL = r"""answers AS (SELECT o_orderkey AS id, E'preamble\n=== summary ===\nOrder ' || o_orderkey || ' of ' || o_custkey
@@ -165,18 +165,18 @@ def sync_findings(spark, sf):
 
 @query("assemble_prompts", using(V1, V3, V5, SCORES, V4) + r""", kn AS (SELECT array_to_string(list(name ORDER BY score DESC, entity_id), '; ') AS names FROM
  (SELECT * FROM v4 ORDER BY score DESC, entity_id LIMIT 200)),
-p AS (SELECT conv_id, turn, text, role, string_agg(E'From: ' || role || E'\n' || text || E'\n', E'\n---\n' ORDER BY turn) OVER (PARTITION BY conv_id ORDER BY turn
- ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior FROM conversations),
+p AS (SELECT conv_id, turn, text, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS position FROM conversations),
 q AS (SELECT * FROM p ORDER BY length(text) DESC, conv_id, turn LIMIT 100)
-SELECT conv_id, turn, md5('TYPE: message' || E'\nsender: ' || role || E'\n' || CASE WHEN prior IS NOT NULL THEN E'EARLIER MESSAGES\n' || prior || E'\n' ELSE '' END
- || E'KNOWN ENTITIES\n' || names || E'\nDOCUMENT\n' || text) AS prompt_md5 FROM q, kn""")
+SELECT conv_id, position, 0 AS block, 0::BIGINT AS place, md5(E'TYPE: message\nsender: ' || role) AS text_md5 FROM q
+UNION ALL SELECT q.conv_id, q.position, 1, p.position, md5(E'From: ' || p.role || E'\n' || p.text || E'\n') FROM q JOIN p ON p.conv_id = q.conv_id AND p.position < q.position
+UNION ALL SELECT conv_id, position, 2, 0, md5(names) FROM q, kn UNION ALL SELECT conv_id, position, 3, 0, md5(text) FROM q""")
 def assemble_prompts(spark, sf):
     turns = b.table(spark, sf, "conversations")
     queue = turns.orderBy(F.desc(F.length("text")), "conv_id", "turn").limit(100)  # the analysis queue of one run
     parts = context_parts(spark, sf).select("conv_id", "turn", "part", "position")
     queued = queue.join(parts.select("conv_id", "turn", "position"), ["conv_id", "turn"]).select(
-        "conv_id", "turn", "position", F.lit("message").alias("doc_type"), F.concat(F.lit("sender: "), "role").alias("meta"),
+        "conv_id", "position", F.lit("message").alias("doc_type"), F.concat(F.lit("sender: "), "role").alias("meta"),
         F.col("text").alias("body"))
-    prior = prior_text(parts.select("conv_id", "position", "part"), queued, "conv_id")
     names = known_names(b.scored_parts(spark, sf)).select("names").scalar()
-    return c.prompts(queued, ["conv_id", "position"], prior, names).select("conv_id", "turn", F.md5("prompt").alias("prompt_md5"))
+    rows = c.prompt_parts(queued, ["conv_id", "position"], prior_parts(parts, queued, "conv_id"), names)
+    return rows.select("conv_id", "position", "block", "place", F.md5("text").alias("text_md5"))

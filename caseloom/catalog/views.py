@@ -28,8 +28,8 @@ SCORES = """ranked AS (SELECT entity_id, evidence_score AS s,
 avgs AS (SELECT entity_id, count(*) AS n, sum(s * exp(-0.15 * i)) / sum(exp(-0.15 * i)) AS a FROM ranked GROUP BY 1),
 docs AS (SELECT entity_id, count(DISTINCT document_id) AS d FROM v1 GROUP BY 1),
 strength AS (SELECT entity_id, sum(weight) AS w FROM v5b GROUP BY 1),
-scores AS (SELECT docs.entity_id, coalesce(round(least(100, a + least(20, 5 * log2(n + 1))
-   + least(15, 0.5 * coalesce(w, 0))), 2), 0)::DOUBLE AS score, coalesce(n, 0) AS evidence_count,
+scores AS (SELECT docs.entity_id, CASE WHEN a IS NULL THEN 0 ELSE round(least(100, a + least(20, 5 * log2(n + 1))
+   + least(15, 0.5 * coalesce(w, 0))), 2) END::DOUBLE AS score, coalesce(n, 0) AS evidence_count,
    d AS document_count
   FROM docs LEFT JOIN avgs USING (entity_id) LEFT JOIN strength USING (entity_id))"""
 V4 = "v4 AS (SELECT v3.*, score, evidence_count, document_count FROM v3 JOIN scores USING (entity_id))"

@@ -50,12 +50,17 @@ def concealment(mentions: DataFrame, at_least: float = 0.8, gaps: int = 5) -> Da
 
 
 def thread_summary(messages: DataFrame) -> DataFrame:
-    """Count, first and last date and participants of each thread, combined per sender first."""
+    """Count, first and last date and number of participants of each thread, combined per sender first."""
     per_sender = messages.groupBy("thread_id", "sender").agg(
         F.count(F.lit(1)).alias("n"), F.min("sent_at").alias("a"), F.max("sent_at").alias("z"))
     return per_sender.groupBy("thread_id").agg(
         F.sum("n").alias("message_count"), F.min("a").alias("first_at"), F.max("z").alias("last_at"),
-        F.array_sort(F.collect_list("sender")).alias("participants"))
+        F.count("sender").alias("participant_count"))
+
+
+def thread_participants(messages: DataFrame) -> DataFrame:
+    """(thread_id, sender): the united participants, as rows, however many a thread has."""
+    return messages.filter(F.col("sender").isNotNull()).select("thread_id", "sender").distinct()
 
 
 def merge_edges(observations: DataFrame) -> DataFrame:

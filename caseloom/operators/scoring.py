@@ -69,7 +69,8 @@ def entity_scores(evidence: DataFrame, edges: DataFrame, locked: DataFrame | Non
         + F.least(F.lit(20.0), 5 * F.log2(F.col("evidence_count") + 1))
         + F.least(F.lit(15.0), 0.5 * F.coalesce("edge_weight", F.lit(0.0)))
     )
-    score = F.coalesce(F.round(F.least(F.lit(100.0), boosted), 2), F.lit(0.0))
+    # least() passes over nulls, so entities without positive evidence are told apart first
+    score = F.when(F.col("avg_score").isNotNull(), F.round(F.least(F.lit(100.0), boosted), 2)).otherwise(0.0)
     if locked is not None:
         joined = joined.join(locked.select("entity_id", "user_score"), "entity_id", "left")
         score = F.coalesce(F.col("user_score").cast("double"), score)

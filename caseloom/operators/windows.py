@@ -51,13 +51,11 @@ def running_context(messages: DataFrame, thread: str, turn: str, part: Column, b
     return bucketed_before(ranked, [thread], "_b", [F.asc(turn)], F.length("part").cast("long"), "prior_chars").drop("_b")
 
 
-def prior_text(parts: DataFrame, wanted: DataFrame, thread: str) -> DataFrame:
-    """Joined earlier parts for the messages of a batch (``wanted``: thread, position)."""
-    ask = wanted.select(thread, F.col("position").alias("_p"))
-    earlier = parts.join(ask, thread).filter(F.col("position") < F.col("_p"))
-    return earlier.groupBy(thread, "_p").agg(F.array_sort(F.collect_list(F.struct("position", "part"))).alias("_l")).select(
-        thread, F.col("_p").alias("position"),
-        F.array_join(F.transform("_l", lambda s: s["part"]), "\n---\n").alias("prior"))
+def prior_parts(parts: DataFrame, wanted: DataFrame, thread: str) -> DataFrame:
+    """Earlier parts for the messages of a batch (``wanted``: thread, position), one row per part."""
+    ask = wanted.select(thread, F.col("position").alias("wanted"))
+    earlier = parts.join(ask, thread).filter(F.col("position") < F.col("wanted"))
+    return earlier.select(thread, F.col("wanted").alias("position"), F.col("position").alias("place"), "part")
 
 
 def spikes(events: DataFrame, keys: Sequence[str], at: str, z: float, min_events: int) -> DataFrame:

@@ -215,12 +215,16 @@ def new_findings(levels: DataFrame, notes: DataFrame, known_docs: DataFrame, kno
         confidence_class(F.col("top_score"), F.col("agreement")).alias("confidence"))
 
 
-def prompts(documents: DataFrame, key: Sequence[str], prior: DataFrame, known_names: Column) -> DataFrame:
-    """One text per document: metadata, earlier messages, known entities, body.
+def prompt_parts(documents: DataFrame, key: Sequence[str], prior: DataFrame, known_names: Column) -> DataFrame:
+    """The text put before an annotator, as ordered parts: (key, block, place, text).
 
-    ``documents`` has doc_type, meta and body; ``prior`` the key and prior.
+    Blocks are 0 metadata, 1 earlier messages, 2 known entities, 3 body. Joined
+    in order they are the text; as rows, a thread of any length fits.
+    ``documents`` has doc_type, meta and body; ``prior`` the key, place and part.
     """
-    block = F.when(F.col("prior").isNotNull(), F.concat(F.lit("EARLIER MESSAGES\n"), "prior", F.lit("\n"))).otherwise("")
-    text = F.concat(F.lit("TYPE: "), F.coalesce("doc_type", F.lit("unknown")), F.lit("\n"), F.col("meta"), F.lit("\n"), block,
-                    F.lit("KNOWN ENTITIES\n"), known_names, F.lit("\nDOCUMENT\n"), "body")
-    return documents.join(prior, list(key), "left").withColumn("prompt", text)
+    head = F.concat(F.lit("TYPE: "), F.coalesce("doc_type", F.lit("unknown")), F.lit("\n"), "meta")
+    fixed_parts = documents.select(*key, F.explode(F.array(
+        F.struct(F.lit(0).alias("block"), head.alias("text")), F.struct(F.lit(2).alias("block"), known_names.alias("text")),
+        F.struct(F.lit(3).alias("block"), F.col("body").alias("text")))).alias("p"))
+    return fixed_parts.select(*key, "p.block", F.lit(0).cast("long").alias("place"), "p.text").unionByName(
+        prior.select(*key, F.lit(1).alias("block"), "place", F.col("part").alias("text")))

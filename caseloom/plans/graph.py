@@ -21,8 +21,9 @@ def document_edges(mentions: DataFrame, email: str = "1-URGENT", flight: str = "
     Every pair of a document co-occurs; in flight and money documents the same
     pair gives a second, typed observation, so pairs are formed only once.
     """
-    kinds = mentions.select("document_id", "doc_type").distinct()
-    pairs = shared_pairs(mentions, "document_id", "entity_id").join(kinds, "document_id")
+    # the type travels inside the group, so pairs need no second join
+    grouped = mentions.select(F.struct("document_id", "doc_type").alias("grp"), "entity_id")
+    pairs = shared_pairs(grouped, "grp", "entity_id").select("grp.document_id", "grp.doc_type", "a", "b")
     typed = F.array_compact(F.array(
         F.lit("co_occurs_with"),
         F.when(F.col("doc_type") == flight, "flew_with").when(F.col("doc_type") == money, "financially_linked")))
