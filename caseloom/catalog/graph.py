@@ -106,6 +106,21 @@ def score_evidence(spark, sf):
         "entity_id", "document_id", "page", "base", "modifier", "score")
 
 
+WEIGHTS = """weights AS (SELECT CASE o_orderpriority WHEN '1-URGENT' THEN 'email' WHEN '2-HIGH' THEN 'flight_log' WHEN '3-MEDIUM' THEN 'financial'
+ ELSE 'other' END AS kind, CAST(floor(avg(o_totalprice) / 10000) AS INT) AS weight FROM orders WHERE o_orderpriority <> '5-LOW' GROUP BY 1)"""
+
+
+@query("weights_as_data", using(V1, LINKS, WEIGHTS) + """SELECT entity_id, document_id, page, coalesce(w.weight, (SELECT weight FROM weights WHERE kind = 'other'))
+ AS weight FROM links LEFT JOIN weights w ON kind = evidence_type""")
+def weights_as_data(spark, sf):
+    kind = F.lit("other")
+    for priority, name in b.KIND_OF_PRIORITY.items():
+        kind = F.when(F.col("o_orderpriority") == priority, name).otherwise(kind)
+    weights = b.table(spark, sf, "orders").filter("o_orderpriority <> '5-LOW'").groupBy(kind.alias("kind")).agg(
+        F.floor(F.avg("o_totalprice") / 10000).cast("int").alias("weight"))
+    return evidence.weighted(evidence_links(spark, sf), weights).select("entity_id", "document_id", "page", "weight")
+
+
 SAME = "same AS (SELECT p_partkey AS id, min(p_partkey) OVER (PARTITION BY p_name, p_brand) AS root FROM part)"
 
 

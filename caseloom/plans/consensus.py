@@ -52,9 +52,9 @@ def section_records(responses: DataFrame, key: str, text: str) -> DataFrame:
     parts = sections(responses, key, text)
     summary = parts.filter("section = 'summary'").select(
         key, "section", F.lit(0).alias("pos"), F.array("body").alias("fields"))
+    stripped = F.transform(F.split("body", "\n"), lambda x: _strip(F.regexp_replace(_strip(x), r"^-*\**", "")))
     lines = parts.filter(~F.col("section").isin("summary", "redaction_inferences")).select(
-        key, "section", F.posexplode(F.split("body", "\n")).alias("pos", "line")).withColumn(
-        "line", _strip(F.regexp_replace(_strip(F.col("line")), r"^-*\**", ""))).filter("line <> ''")
+        key, "section", F.posexplode(F.filter(stripped, lambda x: x != "")).alias("pos", "line"))
     cells = F.transform(F.split("line", r"\|"), lambda c: _strip(c))
     size = F.size("c")
     arrow = F.col("line").rlike(ARROW)
@@ -79,7 +79,8 @@ def section_records(responses: DataFrame, key: str, text: str) -> DataFrame:
         .when(section == "evidence_scores", graded)
         .when((section == "entities") & is_garbage(F.get("c", F.lit(0))), F.lit(None))
         .otherwise(piped))
-    records = lines.withColumn("c", cells).select(key, "section", "pos", fields.alias("fields")).filter("fields IS NOT NULL")
+    # an explode of none or one, where a filter would compute the fields twice
+    records = lines.withColumn("c", cells).select(key, "section", "pos", F.explode(F.array_compact(F.array(fields))).alias("fields"))
     return summary.unionByName(records).unionByName(gap_candidates(parts, key))
 
 

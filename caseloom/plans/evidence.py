@@ -65,3 +65,10 @@ def merged_card(members: DataFrame, entities: DataFrame, mentions: DataFrame, ed
         keyed = part.withColumn("_one", F.lit(1))
         row = keyed if row is None else row.join(keyed, "_one")
     return row.drop("_one")
+
+
+def weighted(links: DataFrame, weights: DataFrame, column: str = "evidence_type") -> DataFrame:
+    """Scores from a weights table (kind, weight); a kind that the table lacks takes its 'other' row."""
+    default = weights.filter("kind = 'other'").agg(F.max("weight")).scalar()
+    table = weights.withColumnRenamed("kind", column)
+    return links.join(table, column, "left").withColumn("weight", F.coalesce("weight", default))
