@@ -84,7 +84,8 @@ def edges(spark: SparkSession, sf: str, at_least: int = 2) -> DataFrame:
     lines = table(spark, sf, "lineitem").select(
         F.col("l_orderkey").alias("document_id"), F.col("l_partkey").alias("entity_id"))
     known = table(spark, sf, "orders").select(F.col("o_orderkey").alias("document_id"))
-    pairs = pair_counts(lines.join(known, "document_id", "left_semi"), "document_id", "entity_id", at_least)
+    seen = lines.join(known, "document_id", "left_semi")
+    pairs = pair_counts(seen, "document_id", "entity_id", at_least)
     return pairs.select(
         F.col("a").alias("source_id"), F.col("b").alias("target_id"), F.lit("co_occurs_with").alias("kind"),
         F.col("groups").alias("evidence"), edge_weight(F.lit("co_occurs_with"), F.col("groups")).alias("weight"),

@@ -60,11 +60,11 @@ def merged_card(members: DataFrame, entities: DataFrame, mentions: DataFrame, ed
     co = joins.shared_third(mentions, groups, third).orderBy(F.desc("shared_docs"), "entity_id").limit(8)
     present = listed(co, [(-F.col("shared_docs")).alias("n"), F.col("entity_id")], F.col("entity_id"), "also_present")
     direct = joins.between_groups(edges, groups)
-    row = None
-    for part in (own, near, docs, shared, present, direct):  # one-row tables
-        keyed = part.withColumn("_one", F.lit(1))
-        row = keyed if row is None else row.join(keyed, "_one")
-    return row.drop("_one")
+    row = own
+    for part in (near, docs, shared, present, direct):  # one row each, attached as scalar subqueries
+        record = part.select(F.struct(*part.columns).alias("r")).scalar()
+        row = row.withColumn("_r", record).select("*", *[F.col(f"_r.{c}").alias(c) for c in part.columns]).drop("_r")
+    return row
 
 
 def weighted(links: DataFrame, weights: DataFrame, column: str = "evidence_type") -> DataFrame:
