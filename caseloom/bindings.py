@@ -10,6 +10,7 @@ from caseloom.operators.scoring import edge_weight, entity_scores
 
 ORG = 1_000_000_000_000      # id offset of suppliers
 PERSON = 2_000_000_000_000   # id offset of customers
+TYPES = {"email": "1-URGENT", "flight": "2-HIGH", "money": "3-MEDIUM", "author": "A", "recipient": "R"}
 KIND_OF_PRIORITY = {"1-URGENT": "email", "2-HIGH": "flight_log", "3-MEDIUM": "financial"}
 
 

@@ -107,14 +107,14 @@ MERGED = """merged AS (SELECT source_id, target_id, kind, count(DISTINCT documen
 
 @query("edge_aggregate", using(V1, OBS, MERGED) + "SELECT * FROM merged")
 def edge_aggregate(spark, sf):
-    return aggs.merge_edges(document_edges(b.mentions(spark, sf))).select(
+    return aggs.merge_edges(document_edges(b.mentions(spark, sf), **b.TYPES)).select(
         "source_id", "target_id", "kind", "evidence", "confidence", "note")
 
 
 @query("edge_weight", using(V1, OBS, MERGED) + """SELECT source_id, target_id, kind, round(CASE kind WHEN 'flew_with' THEN 3.0
  WHEN 'emailed' THEN 1.5 WHEN 'financially_linked' THEN 2.5 ELSE 1.0 END::DOUBLE * (1 + log2(evidence)), 6) AS weight FROM merged""")
 def edge_weight_(spark, sf):
-    merged = aggs.merge_edges(document_edges(b.mentions(spark, sf)))
+    merged = aggs.merge_edges(document_edges(b.mentions(spark, sf), **b.TYPES))
     return merged.select("source_id", "target_id", "kind",
                          F.round(edge_weight(F.col("kind"), F.col("evidence")), 6).alias("weight"))
 
@@ -265,9 +265,8 @@ def card_confidence(spark, sf):
 
 @query("exposure_count", """SELECT l_suppkey AS entity_id, count(DISTINCT (l_orderkey, l_linenumber)) AS gaps FROM lineitem GROUP BY 1""")
 def exposure_count(spark, sf):
-    # one row per gap with its candidate list, then back to candidates
-    gaps = b.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.explode(F.array("l_suppkey")).alias("entity_id"))
-    return gaps.distinct().groupBy("entity_id").agg(F.count(F.lit(1)).alias("gaps"))
+    listed = b.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("entity_id"))
+    return listed.distinct().groupBy("entity_id").agg(F.count(F.lit(1)).alias("gaps"))
 
 
 @query("findings_by_category", f"""SELECT category, count(*) AS n, min(doc_id) AS first_at FROM (SELECT doc_id, {category_sql('t')} AS category

@@ -18,7 +18,7 @@ from caseloom.session import cut
 @query("map_connections", using(V1, OBS) + """SELECT source_id, target_id, kind, document_id, CASE kind WHEN 'emailed' THEN 0.9
  WHEN 'flew_with' THEN 0.95 WHEN 'financially_linked' THEN 0.8 ELSE 0.6 END::DOUBLE AS confidence FROM obs""")
 def map_connections(spark, sf):
-    return graph.document_edges(b.mentions(spark, sf)).select("source_id", "target_id", "kind", "document_id", "confidence")
+    return graph.document_edges(b.mentions(spark, sf), **b.TYPES).select("source_id", "target_id", "kind", "document_id", "confidence")
 
 
 @query("khop", using(V5, CARD) + """, h1 AS (SELECT DISTINCT other_id AS e FROM v5b WHERE entity_id IN (SELECT * FROM card)
@@ -243,7 +243,7 @@ def rebuild(spark, sf):
     pairs = followed(spark, sf).select(F.col("user_id").alias("entity_id"), "gap_days", F.col("event_id").alias("document_id"))
     return {
         "scored_links": evidence.score_evidence(links, TERMS),
-        "edges": aggs.merge_edges(graph.document_edges(mentions)),
+        "edges": aggs.merge_edges(graph.document_edges(mentions, **b.TYPES)),
         "frequent_pairs": topk.frequent_pairs(edges),
         "clusters": windows.time_clusters(windows.cluster_members(seen)),
         "spikes": windows.spikes(seen, ["entity_id", "evidence_type"], "event_ts", 2.0, 3),

@@ -222,7 +222,8 @@ def anchor_join(spark, sf):
     gaps = long.select(F.col("item_id").alias("gap_id"), F.lit(-1).cast("long").alias("doc_id"),
                        F.substring("text", 1, 80).alias("before"), F.right("text", F.lit(80)).alias("after"),
                        (F.length("text") - 160).alias("expected"))
-    return blocking.anchor_join(gaps, b.table(spark, sf, "documents").select("doc_id", "text"))
+    guarded = b.entities(spark, sf).filter("is_protected")
+    return blocking.anchor_join(gaps, b.table(spark, sf, "documents").select("doc_id", "text"), guarded)
 
 
 @query("alias_resolve", using(NAMES) + f""", m AS (SELECT min(p_partkey) AS entity_id, p_name AS name,

@@ -158,12 +158,13 @@ def between_anchors(text: Column, before: Column, after: Column, size: int) -> C
     return F.when((start > 0) & (stop > 0) & (inside != ""), inside)
 
 
-def anchor_join(gaps: DataFrame, texts: DataFrame) -> DataFrame:
+def anchor_join(gaps: DataFrame, texts: DataFrame, protected: DataFrame | None = None) -> DataFrame:
     """Best passage between both context anchors of each gap, from another document.
 
     ``gaps`` is (gap_id, doc_id, before, after, expected), ``texts`` (doc_id, text).
     Texts offer runs of one to three words; an anchor without a whole word
-    inside falls back to its first eight characters.
+    inside falls back to its first eight characters. A passage that holds a
+    name of ``protected`` (name) is never returned.
     """
     texts = spread(texts, "doc_id")
     anchor = F.right("before", F.lit(30))
@@ -185,6 +186,11 @@ def anchor_join(gaps: DataFrame, texts: DataFrame) -> DataFrame:
     ratio = F.length("recovered") / F.col("expected")
     score = F.when((F.col("expected") > 0) & (ratio >= 0.7) & (ratio <= 1.3), 0.85).otherwise(0.80)
     found = full.withColumn("recovered", text).filter(F.col("recovered").isNotNull()).withColumn("score", score)
+    if protected is not None:
+        found = found.withColumn("_place", F.struct("gap_id", "found_in"))
+        named = phrase_matches(found.select("_place", "recovered"), "_place", "recovered",
+                               protected.select("name").distinct().withColumn("_who", F.col("name")), "_who", "name")
+        found = found.join(named.select("_place").distinct(), "_place", "left_anti")
     best = F.max(F.struct("score", (-F.col("found_in")).alias("o"), "recovered", "found_in"))
     return found.groupBy("gap_id").agg(best.alias("m")).select(
         "gap_id", F.col("m.found_in").alias("found_in"), F.col("m.recovered").alias("recovered"),

@@ -83,14 +83,7 @@ def derived_state(status: Column, flagged: Column) -> Column:
     return F.when(flagged, "flagged").when(status == "F", "done").when(status == "P", "running").otherwise("pending")
 
 
-SORTS = {
-    "newest": [F.desc, "o_orderdate"], "oldest": [F.asc, "o_orderdate"], "value": [F.desc, "o_totalprice"],
-    "name": [F.asc, "o_orderkey"], "state": [F.asc, "state"],
-}
-
-
-def document_page(docs: DataFrame, key: str, state: str | None, sort: str, page: int, size: int) -> DataFrame:
-    """Documents of one state, in one of five orders, one page of them."""
+def document_page(docs: DataFrame, key: str, state: str | None, order: Sequence[Column], page: int, size: int) -> DataFrame:
+    """Documents of one state in the given order, one page of them (see ``skew.page_of`` for deep pages)."""
     kept = docs if state is None else docs.filter(F.col("state") == state)
-    direction, column = SORTS[sort]
-    return kept.orderBy(direction(column), key).offset((max(page, 1) - 1) * size).limit(size)
+    return kept.orderBy(*order, key).offset((max(page, 1) - 1) * size).limit(size)

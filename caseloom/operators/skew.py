@@ -63,10 +63,10 @@ def bucketed_last(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequen
     keys, order = list(keys), list(order)
     df = df.withColumn("_v", value)
     seen = df.groupBy(*keys, bucket).agg(
-        F.max(F.when(F.col("_v").isNotNull(), F.struct(*order, "_v"))).alias("_m")
+        F.max(F.when(F.col("_v").isNotNull(), F.struct(*order, "_v"))).alias("_newest")
     )
     chain = _per_key(keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    carry = seen.select(*keys, bucket, F.last(F.col("_m._v"), ignorenulls=True).over(chain).alias("_carry"))
+    carry = seen.select(*keys, bucket, F.last(F.col("_newest._v"), ignorenulls=True).over(chain).alias("_carry"))
     inside = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if strict else 0)
     return (
         df.join(carry, [*keys, bucket])

@@ -14,8 +14,8 @@ from caseloom.operators.skew import salted_join
 from caseloom.session import cut
 
 
-def document_edges(mentions: DataFrame, email: str = "1-URGENT", flight: str = "2-HIGH", money: str = "3-MEDIUM",
-                   author: str = "A", recipient: str = "R") -> DataFrame:
+def document_edges(mentions: DataFrame, email: str = "email", flight: str = "flight_log", money: str = "financial",
+                   author: str = "author", recipient: str = "recipient") -> DataFrame:
     """Per-document edge observations: pairs by document type, sender to recipient in messages.
 
     Every pair of a document co-occurs; in flight and money documents the same

@@ -9,6 +9,7 @@ from caseloom.operators.blocking import containing
 from caseloom.operators.skew import bucketed_last, bucketed_neighbours
 from caseloom.operators.windows import month_bucket
 from caseloom.plans.graph import components
+from caseloom.session import cut
 
 
 def _stars(rows: DataFrame, *keys: str) -> DataFrame:
@@ -49,19 +50,46 @@ def _nearest_open(rows: DataFrame, key: str, days: int) -> DataFrame:
     return links.filter("a <> b")
 
 
-def subject_families(messages: DataFrame) -> DataFrame:
-    """(subject, family): every subject belongs to its own family and to each longer or shorter subject's.
-
-    Only distinct subjects are compared, by exact keys. A family is named by
-    the contained and the containing subject.
-    """
+def contained_subjects(messages: DataFrame) -> DataFrame:
+    """(part, subject): distinct subjects of which the first is contained in the second."""
     subjects = messages.filter("subject <> ''").select("subject").distinct()
-    pairs = containing(subjects, "subject", "subject", subjects.withColumnRenamed("subject", "part"), "part", "part").filter(
+    return containing(subjects, "subject", "subject", subjects.withColumnRenamed("subject", "part"), "part", "part").filter(
         "part <> subject")
-    family = F.concat_ws("\u0001", "part", "subject")
-    own = subjects.select("subject", F.col("subject").alias("family"))
-    return own.unionByName(pairs.select(F.col("part").alias("subject"), family.alias("family"))).unionByName(
-        pairs.select("subject", family.alias("family")))
+
+
+def _across(contained: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """Link one message per (subject, key) to that of the contained subject with the same key.
+
+    Messages of a subject that share the key are stars already, so their lowest
+    one stands for all. The longer subject's rows look up the shorter one's, so
+    a short subject that many others contain is not copied for each of them.
+    """
+    low = rows.filter(F.col(key).isNotNull() & (F.col(key).cast("string") != "")).groupBy("subject", key).agg(F.min("id").alias("id"))
+    asked = contained.join(low, "subject").select("part", key, F.col("id").alias("a"))
+    return asked.join(low.select(F.col("subject").alias("part"), key, F.col("id").alias("b")), ["part", key]).select("a", "b")
+
+
+def _runs_of(rows: DataFrame, days: int) -> DataFrame:
+    """(subject, first_at, last_at, id): stretches of a subject without a pause longer than ``days``."""
+    dated = rows.filter(F.col("sent_at").isNotNull()).select("id", "subject", "sent_at").withColumn("_m", month_bucket("sent_at"))
+    near = bucketed_neighbours(dated, ["subject"], "_m", ["sent_at", "id"], [], prev="p")
+    begins = F.col("p").isNull() | (F.col("sent_at") > F.col("p.sent_at") + F.make_dt_interval(F.lit(days)))
+    runs = bucketed_last(near.withColumn("_s", begins), ["subject"], "_m", ["sent_at", "id"], F.when(F.col("_s"), F.col("id")), "run")
+    return runs.groupBy("subject", "run").agg(
+        F.min("sent_at").alias("first_at"), F.max("sent_at").alias("last_at"), F.min("id").alias("id"))
+
+
+def _across_dates(contained: DataFrame, rows: DataFrame, days: int) -> DataFrame:
+    """Link runs of a subject and of a contained one that come within ``days`` of each other.
+
+    Inside a run no pause is longer than ``days``, so two runs hold close
+    messages exactly when the runs themselves are that close.
+    """
+    runs, span = _runs_of(rows, days), F.make_dt_interval(F.lit(days))
+    asked = contained.join(runs, "subject").select("part", F.col("id").alias("a"), F.col("first_at").alias("f"), F.col("last_at").alias("l"))
+    held = runs.select(F.col("subject").alias("part"), F.col("id").alias("b"), "first_at", "last_at")
+    return asked.join(held, "part").filter(
+        (F.col("f") <= F.col("last_at") + span) & (F.col("first_at") <= F.col("l") + span)).select("a", "b")
 
 
 def thread_links(messages: DataFrame, days: int = 365) -> DataFrame:
@@ -73,13 +101,15 @@ def thread_links(messages: DataFrame, days: int = 365) -> DataFrame:
     the other and they also share a participant, the body, or a date within
     ``days``. Where a subject is missing, two of the other three are needed.
     """
-    families = subject_families(messages)
-    by_family = messages.join(families, "subject")
     person = F.explode("people").alias("person")
+    titled = messages.filter("subject <> ''")
+    by_person = titled.select("id", "subject", person)
+    contained = cut(contained_subjects(messages), "subjects")
     links = _stars(messages, "thread_key")
-    links = links.unionByName(_stars(by_family, "family", "body_hash"))
-    links = links.unionByName(_stars(by_family.select("id", "family", person), "family", "person"))
-    links = links.unionByName(_chains(by_family.select("id", "family", "sent_at"), "family", days))
+    links = links.unionByName(_stars(titled, "subject", "body_hash")).unionByName(_stars(by_person, "subject", "person"))
+    links = links.unionByName(_chains(titled.select("id", "subject", "sent_at"), "subject", days))
+    links = links.unionByName(_across(contained, by_person, "person")).unionByName(_across(contained, titled, "body_hash"))
+    links = links.unionByName(_across_dates(contained, titled, days))
     missing = messages.filter("subject = ''").limit(1).count() > 0
     if missing:
         people = messages.select("id", "subject", "body_hash", "sent_at", person)

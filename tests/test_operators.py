@@ -160,6 +160,10 @@ def test_anchor_join(spark):
                                spark.createDataFrame(texts, "doc_id int, text string"))
     assert {r["gap_id"]: (r["found_in"], r["recovered"], r["score"]) for r in got.collect()} == {
         1: (2, "every one", 0.85), 2: (4, "hidden", 0.8)}
+    guarded = blocking.anchor_join(spark.createDataFrame(gaps, "gap_id int, doc_id int, before string, after string, expected int"),
+                                   spark.createDataFrame(texts, "doc_id int, text string"),
+                                   spark.createDataFrame([("Every One",)], "name string"))
+    assert {r["gap_id"] for r in guarded.collect()} == {2}
 
 
 def test_manifest_diff_and_removed(spark):
