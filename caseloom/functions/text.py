@@ -86,7 +86,7 @@ def split_context(text: Column, ratio: Column, width: int = 500) -> tuple[Column
 
 
 def truncate(c: Column, size: int = 300) -> Column:
-    return F.when(F.length(c) <= size, c).otherwise(F.concat(F.substring(c, 1, size - 3), F.lit("..."))) if size else c
+    return F.when(F.length(c) <= size, c).otherwise(F.concat(F.substring(c, 1, size - 3), F.lit("...")))
 
 
 def score_label(c: Column) -> Column:

@@ -13,7 +13,7 @@ from caseloom.operators import aggs, joins
 from caseloom.operators.scoring import both_ends, literal_map
 
 
-def score_evidence(links: DataFrame, terms: Sequence[str]) -> DataFrame:
+def score_evidence(links: DataFrame, terms: Sequence[str] = fixed.EVIDENCE_TERMS) -> DataFrame:
     """0-100 per link from its type and its context; locked rows keep the user's score.
 
     Input: entity_id, document_id, page, evidence_type, context, name, removed, user_score.

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -22,8 +21,6 @@ def local_session(app: str = "caseloom", cores: str = "*", shuffle: int = 8, mem
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
-    if "spark.checkpoint.dir" not in os.environ.get("PYSPARK_SUBMIT_ARGS", ""):
-        builder = builder.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp"))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
