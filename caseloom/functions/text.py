@@ -15,8 +15,9 @@ _BASE = "".join(unicodedata.normalize("NFD", ch)[0] for ch in _ACCENTED)
 
 
 def fold(c: Column) -> Column:
-    """Lower case without accents."""
-    return F.translate(F.lower(c), "".join(_ACCENTED), _BASE)
+    """Lower case without accents; plain ASCII texts skip the letter by letter pass."""
+    low = F.lower(c)
+    return F.when(low.rlike(r"[^\x00-\x7F]"), F.translate(low, "".join(_ACCENTED), _BASE)).otherwise(low)
 
 
 def token_text(c: Column) -> Column:

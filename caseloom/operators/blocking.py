@@ -111,7 +111,8 @@ def phrase_matches(texts: DataFrame, text_id: str, text: str, phrases: DataFrame
         F.min_by("_w", F.struct("_n", "_w")).alias("_w"), F.count_if(F.col("_n").isNull()).alias("_absent"))
     rare = ranked.filter("_absent = 0").drop("_absent")
     pairs = held.join(rare, "_w").select(text_id, phrase_id, "_p")
-    padded = texts.select(text_id, F.concat(F.lit(" "), token_text(F.col(text)), F.lit(" ")).alias("_t"))
+    asked = texts.join(pairs.select(text_id).distinct(), text_id, "left_semi")  # only these are normalised again
+    padded = asked.select(text_id, F.concat(F.lit(" "), token_text(F.col(text)), F.lit(" ")).alias("_t"))
     return (
         pairs.join(padded, text_id)
         .filter(F.contains("_t", F.concat(F.lit(" "), F.col("_p"), F.lit(" ")))).select(text_id, phrase_id)
