@@ -50,7 +50,8 @@ def merged_card(members: DataFrame, entities: DataFrame, mentions: DataFrame, ed
 
     def listed(df: DataFrame, order: list, item, name: str) -> DataFrame:
         rows = F.array_sort(F.collect_list(F.struct(*order, item.alias("v"))))
-        return df.agg(F.array_join(F.transform(rows, lambda r: r["v"].cast("string")), ",").alias(name))
+        joined = F.array_join(F.transform(rows, lambda r: r["v"].cast("string")), ",")
+        return df.agg(F.when(F.count(F.lit(1)) > 0, joined).alias(name))  # null where there is nothing to list
 
     near = listed(aggs.connections_of(edges, members), [(-F.col("weight_total")).alias("w"), (-F.col("evidence_total")).alias("e"),
                   (-F.col("edge_count")).alias("n"), F.col("other_id")], F.col("other_id"), "connections")
