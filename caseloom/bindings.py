@@ -128,8 +128,8 @@ def mirror_listing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def current_listing(spark: SparkSession, sf: str) -> DataFrame:
-    """The listing without one host, some addresses written with a fragment or a slash."""
-    rest = table(spark, sf, "pages").filter(~F.col("url").contains("spam-farm"))
+    """The listing without its German section, some addresses written with a fragment or a slash."""
+    rest = table(spark, sf, "pages").filter(~F.col("url").contains("/de/"))
     return rest.select(
         "page_id",
         F.when(F.col("url").contains("?"), F.concat("url", F.lit("#again")))

@@ -26,9 +26,9 @@ def ranking(spark, sf):
         "entity_id", "name", "entity_type", "score", "evidence_count")
 
 
-@query("pagination", """SELECT o_orderkey, position, (SELECT CAST(ceil(count(*) / 50.0) AS BIGINT) FROM orders) AS total_pages FROM
- (SELECT o_orderkey, row_number() OVER (ORDER BY CAST(o_orderdate AS DATE) DESC, o_orderkey) AS position FROM orders)
-WHERE position > 4900 AND position <= 4950""")
+@query("pagination", """WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY CAST(o_orderdate AS DATE) DESC, o_orderkey) AS position,
+ CAST(greatest(ceil(count(*) OVER () / 50.0), 1) AS BIGINT) AS total_pages FROM orders)
+SELECT o_orderkey, position, total_pages FROM r WHERE position > (least(99, total_pages) - 1) * 50 AND position <= least(99, total_pages) * 50""")
 def pagination(spark, sf):
     orders = b.table(spark, sf, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day"))
     return skew.page_of(orders, "day", [F.asc("o_orderkey")], 99, 50, descending=True).select(

@@ -43,7 +43,7 @@ V7 = """v7 AS (SELECT l_orderkey AS document_id, l_returnflag AS item, l_suppkey
 V8 = """mirror AS (SELECT page_id, url FROM pages),
 current_l AS (SELECT page_id, CASE WHEN contains(url, '?') THEN url || '#again'
   WHEN NOT regexp_matches(url, '[?#/]$|[?#]') THEN url || '/' ELSE url END AS url
- FROM pages WHERE NOT contains(url, 'spam-farm'))"""
+ FROM pages WHERE NOT contains(url, '/de/'))"""
 NAMES = """raw_names AS (SELECT p_partkey AS id, p_name AS plain, ['', 'Dr. ', 'mrs ', ' Judge  ', 'Prof. ', 'Lord '][p_size % 6 + 1]
  || replace(p_name, ' ', '  ') || ['', ', Jr.', ' PhD', '  ', ', Esq', ' III'][CAST(floor(p_retailprice) AS INT) % 6 + 1]
  AS name, p_size, p_brand, p_type FROM part)"""

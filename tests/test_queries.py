@@ -6,8 +6,6 @@ import __spark_entry__ as entry
 from tests.oracle import compare, duck
 
 SF = "/root/testdata/sf0.001"
-# results that are empty on the smallest tables only
-MAY_BE_EMPTY = {"anchor_join", "capped_pairs", "financial_patterns", "or_join", "status_filter", "pagination", "event_search"}
 
 
 @pytest.fixture(scope="module")
@@ -22,7 +20,7 @@ def test_every_query_has_sql():
 @pytest.mark.parametrize("key", sorted(entry.queries()))
 def test_query_equals_sql(spark, con, key):
     notes = compare(entry.queries()[key](spark, SF), con, entry.oracle_sql()[key])
-    assert [n for n in notes if n != "EMPTY" or key not in MAY_BE_EMPTY] == []
+    assert notes == []
 
 
 def test_entry(spark):
