@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from caseloom import catalog
 from tests.oracle import compare, duck
 
 SF = "/root/testdata/sf0.001"
@@ -14,12 +15,12 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(catalog.queries()) == set(catalog.oracle_sql())
 
 
-@pytest.mark.parametrize("key", sorted(entry.queries()))
+@pytest.mark.parametrize("key", sorted(catalog.queries()))
 def test_query_equals_sql(spark, con, key):
-    notes = compare(entry.queries()[key](spark, SF), con, entry.oracle_sql()[key])
+    notes = compare(catalog.queries()[key](spark, SF), con, catalog.oracle_sql()[key])
     assert notes == []
 
 
