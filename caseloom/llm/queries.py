@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from caseloom.llm import chat, packing, sharding
+from caseloom.llm import chat, packing, quality, sharding
 from caseloom.llm.common import fold, table
 
 QUERIES: dict[str, Callable] = {}
@@ -24,6 +24,14 @@ def query(key: str, sql: str | None = None):
     return keep
 
 
+@query("op1_quality_classifier")
+def op1(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").filter(fold("doc_id", 3) != 1)
+    return quality.score(docs, quality.train(docs, labels)).select(
+        "doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @query("op5_sharding")
 def op5(spark, sf_dir):
     rows = sharding.stratified_shards(table(spark, sf_dir, "documents"), 40)
