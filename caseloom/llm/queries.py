@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from caseloom.llm import chat, packing, quality, sharding
+from caseloom.llm import chat, language, packing, quality, sharding
 from caseloom.llm.common import fold, table
 
 QUERIES: dict[str, Callable] = {}
@@ -39,6 +39,14 @@ def op5(spark, sf_dir):
                        F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query("op7_language_id")
+def op7(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = language.train(docs.filter(fold("doc_id", 3) != 1).select("doc_id", "text", "lang"))
+    return language.predict(docs.select("doc_id", "text"), model).select(
+        "doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 @query("op9_chat_format")
 def op9(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
