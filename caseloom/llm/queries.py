@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from caseloom.llm import chat, language, neardup, packing, quality, sharding
+from caseloom.llm import chat, language, neardup, packing, quality, sharding, suffixdedup
 from caseloom.llm.common import fold, table
 
 QUERIES: dict[str, Callable] = {}
@@ -32,6 +32,11 @@ def op1(spark, sf_dir):
         "doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+@query("op2_suffix_dedup")
+def op2(spark, sf_dir):
+    return suffixdedup.digests(table(spark, sf_dir, "documents"))
+
+
 @query("op4_simhash_near_dedup")
 def op4(spark, sf_dir):
     return neardup.near_duplicates(table(spark, sf_dir, "documents")).select(
