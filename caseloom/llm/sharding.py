@@ -39,8 +39,8 @@ def stratified_shards(
     order = ["h", "doc_id", "text_crc32", "size"]
     sources = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n_source")).withColumn(
         "shift", _hash32(F.lit(str(seed)), F.lit("source"), "source") / F.lit(float(1 << 32)))
-    bucketed = rows.join(sources, "source").withColumn(
-        "bucket", F.shiftright(F.col("h") * F.ceil(F.col("n_source") / rows_per_bucket), 32))
+    bucketed = cut(rows.join(sources, "source").withColumn(
+        "bucket", F.shiftright(F.col("h") * F.ceil(F.col("n_source") / rows_per_bucket), 32)), "shard-buckets")
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = bucketed.groupBy("source", "bucket").agg(F.count(F.lit(1)).alias("n")).select(
         "source", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
