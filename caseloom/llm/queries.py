@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from caseloom.llm import chat, language, neardup, packing, quality, sharding, suffixdedup
+from caseloom.llm import chat, decontaminate, language, neardup, packing, quality, sharding, suffixdedup, topk
 from caseloom.llm.common import fold, table
 
 QUERIES: dict[str, Callable] = {}
@@ -50,6 +50,11 @@ def op5(spark, sf_dir):
                        F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query("op6_decontamination")
+def op6(spark, sf_dir):
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("key")
+
+
 @query("op7_language_id")
 def op7(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
@@ -58,6 +63,19 @@ def op7(spark, sf_dir):
         "doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+@query("op8_exact_topk", """
+WITH v AS (SELECT vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+             AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id,
+             CAST(list_sum(list_transform(range(1, len(q.e) + 1), i -> q.e[i] * c.e[i])) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""")
+def op8(spark, sf_dir):
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10)
+
+
 @query("op9_chat_format")
 def op9(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
