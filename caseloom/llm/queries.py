@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from caseloom.llm import chat, decontaminate, language, neardup, packing, quality, sharding, suffixdedup, topk
+from caseloom.llm import chat, decontaminate, language, lattice, neardup, packing, quality, sharding, suffixdedup, topk
 from caseloom.llm.common import fold, table
 
 QUERIES: dict[str, Callable] = {}
@@ -37,6 +37,12 @@ def op2(spark, sf_dir):
     return suffixdedup.digests(table(spark, sf_dir, "documents"))
 
 
+@query("op3_lattice_lm")
+def op3(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lattice.score(docs, fold("doc_id", 10) == 0, public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @query("op4_simhash_near_dedup")
 def op4(spark, sf_dir):
     return neardup.near_duplicates(table(spark, sf_dir, "documents")).select(
