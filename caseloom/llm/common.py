@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from caseloom.session import cut, scratch_path, shared_dir
+from caseloom.session import cut
 
-__all__ = ["bounded_sample", "cut", "drop_tables", "fold", "row_key", "shared_dir", "scratch_path", "table"]
+__all__ = ["bounded_sample", "cut", "fold", "row_key", "table", "with_fields"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,10 +41,6 @@ def bounded_sample(rows: DataFrame, stratum: str, order: Column, bound: int) ->
     return passed.withColumn("_r", rank).filter(F.col("_r") <= bound).drop("_h", "_n", "_r")
 
 
-def drop_tables(spark: SparkSession, *frames: DataFrame) -> None:
-    """Delete written intermediate tables that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    for frame in frames:
-        for parent in {f.rsplit("/", 1)[0] for f in frame.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(parent)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def with_fields(schema: T.StructType, **kinds: str) -> T.StructType:
+    """``schema`` and further fields, given as name=type."""
+    return T.StructType([*schema.fields, *T._parse_datatype_string(", ".join(f"{n} {k}" for n, k in kinds.items())).fields])

@@ -30,6 +30,8 @@ from caseloom.llm.common import cut, row_key
 
 #: Hashes sent to tasks at once (8 bytes each).
 BLOCK = 1_000_000
+#: Key of a row, by a name that the input will not have.
+KEY = "_leak_key"
 UNITS = """mm cm m km in ft yd mi inch inches foot feet yard yards mile miles meter meters metre metres kilometer kilometers g kg mg lb lbs oz
 gram grams kilogram kilograms pound pounds ounce ounces ton tons l ml liter liters litre litres gallon gallons s sec second seconds min minute
 minutes h hr hour hours day days week weeks month months year years mph kmh km/h percent dollar dollars cent cents euro euros eur usd
@@ -196,5 +198,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 5, share: fl
 
 def clean(docs: DataFrame, benchmark: DataFrame, size: int = 5, share: float = 0.5, run: int = 13) -> DataFrame:
     """``docs`` with its columns, without contaminated rows."""
-    bad = cut(contaminated(docs, benchmark, size, share, run).select("key").distinct(), "contaminated")
-    return docs.withColumn("key_", row_key("doc_id", "text")).join(bad, F.col("key_") == F.col("key"), "left_anti").drop("key_")
+    bad = cut(contaminated(docs, benchmark, size, share, run).select(F.col("key").alias(KEY)).distinct(), "contaminated")
+    return docs.withColumn(KEY, row_key("doc_id", "text")).join(bad, KEY, "left_anti").drop(KEY).select(*docs.columns)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseloom.llm.arrays import SLICE, Prefix, column_bytes, look_up, row_sums, runs, slices
-from caseloom.llm.common import bounded_sample, cut
+from caseloom.llm.common import bounded_sample, cut, with_fields
 
 #: Entries kept for words and for each n.
 KEPT = 200_000
@@ -146,5 +146,4 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score)],
                                              names=[*batch.schema.names, "lang_pred", "score"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(predicted, fields + ", lang_pred string, score double")
+    return docs.mapInArrow(predicted, with_fields(docs.schema, lang_pred="string", score="double"))

@@ -30,6 +30,8 @@ from caseloom.llm.common import cut
 from caseloom.plans.graph import components
 
 TILE = 1024
+#: Number of a row, by a name that the input will not have.
+ROW = "_near_row"
 #: Postings in one task's bucket, about.
 BUCKET = 20_000
 
@@ -157,8 +159,8 @@ def hexadecimal(fp: str = "fp") -> F.Column:
 
 def keep_one(docs: DataFrame, words: int = 4, distance: int = 4) -> DataFrame:
     """``docs`` with its columns, one row of each component: that of the smallest id, nulls last, then the first written."""
-    marked = cut(docs.withColumn("_row", F.monotonically_increasing_id()), "near-input")  # written once, so numbers stay
-    printed = marked.select("_row", "doc_id", "text").mapInArrow(_fingerprints(words), "_row long, doc_id long, fp long")
+    marked = cut(docs.withColumn(ROW, F.monotonically_increasing_id()), "near-input")  # written once, so numbers stay
+    printed = marked.select(ROW, "doc_id", "text").mapInArrow(_fingerprints(words), f"{ROW} long, doc_id long, fp long")
     rows = group(cut(printed, "fingerprints"), distance)
-    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row")).alias("first"))
-    return marked.join(first.select("first._row"), "_row", "left_semi").drop("_row")
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", ROW)).alias("first"))
+    return marked.join(first.select(f"first.{ROW}"), ROW, "left_semi").drop(ROW)

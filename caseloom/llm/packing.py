@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caseloom.llm.arrays import LOWER, SLICE, WHITE, Prefix, column_bytes, look_up, runs, slices
-from caseloom.llm.common import cut
+from caseloom.llm.common import cut, with_fields
 
 #: Words whose ids a worker keeps, about 40 bytes each; beyond that it begins anew.
 KEPT_WORDS = 1_500_000
@@ -171,7 +171,6 @@ def pack(
     count = pieces.count()
     blocks = max(1, -(-count // rows_per_block))
     room = (float(tokens), float(documents or tokens), float(cost or tokens * tokens))
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema)
 
     def block(key, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", "doc_id", "piece", "ids_crc32"], kind="stable")
@@ -179,4 +178,4 @@ def pack(
         return rows.drop(columns="_block").assign(sequence_id=key[0] * (1 << 32) + bins, offset=offsets)
 
     dealt = pieces.withColumn("_block", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "length"), F.lit(blocks)))
-    return dealt.groupBy("_block").applyInPandas(block, fields + ", sequence_id long, offset long")
+    return dealt.groupBy("_block").applyInPandas(block, with_fields(pieces.schema, sequence_id="long", offset="long"))

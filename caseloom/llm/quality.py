@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caseloom.llm.arrays import LOWER, SLICE, WHITE, Prefix, column_bytes, row_sums, runs, slices
-from caseloom.llm.common import bounded_sample, cut
+from caseloom.llm.common import bounded_sample, cut, with_fields
 
 BUCKETS = 1 << 17
 GRAMS = (3, 4, 5)
@@ -140,5 +140,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             values = np.concatenate(parts) if parts else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values)], names=[*batch.schema.names, "score"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(scored, fields + ", score double")
+    return docs.mapInArrow(scored, with_fields(docs.schema, score="double"))

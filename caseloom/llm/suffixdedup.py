@@ -37,11 +37,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseloom.llm.arrays import SLICE, Prefix, column_bytes
-from caseloom.llm.common import cut, row_key
+from caseloom.llm.common import cut, row_key, with_fields
 
 #: Bytes of blocks sorted by one task at once, and most blocks of one anchor string in a list.
 SORTED_BYTES = 8 << 20
 MOST_BLOCKS = 4096
+#: Columns beside those of the input, by names that it will not have.
+KEY, PACKED, RUNS, NULL = "_repeat_key", "_repeat_packed", "_repeat_runs", "_repeat_null"
 ANCHORS = "key long, place int, low int, high int, ga long, gb long, ua long, ub long"
 
 
@@ -227,13 +229,12 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         packed = [press.compress((t or "").encode()) for t in batch.column("text").to_pylist()]
         kept = [n for n in batch.schema.names if n != "text"]
-        yield pa.RecordBatch.from_arrays([*map(batch.column, kept), pa.array(packed, pa.binary())], names=[*kept, "packed"])
+        yield pa.RecordBatch.from_arrays([*map(batch.column, kept), pa.array(packed, pa.binary())], names=[*kept, PACKED])
 
 
 def packed(docs: DataFrame) -> DataFrame:
     kept = docs.drop("text")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return docs.select(*kept.columns, "text").mapInArrow(_pack, fields + ", packed binary")
+    return docs.select(*kept.columns, "text").mapInArrow(_pack, with_fields(kept.schema, **{PACKED: "binary"}))
 
 
 def _blocks(length: int):
@@ -317,11 +318,11 @@ def _spans(runs: list[dict], length: int) -> list[tuple[int, int]]:
 
 def _join(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """Columns of docs but the text, with packed and runs."""
-    keyed = docs.withColumn("key", row_key("doc_id", "text"))
+    keyed = docs.withColumn(KEY, row_key("doc_id", "text"))
     texts = packed(keyed)
-    runs = repeated_windows(keyed, texts.select("key", "packed"), length, gram)
-    spans = runs.groupBy("key").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
-    return texts.join(spans, "key", "left").drop("key")
+    runs = repeated_windows(keyed.select(F.col(KEY).alias("key"), "text"), texts.select(F.col(KEY).alias("key"), F.col(PACKED).alias("packed")), length, gram)
+    spans = runs.groupBy(F.col("key").alias(KEY)).agg(F.collect_set(F.struct("first", "last")).alias(RUNS))
+    return texts.join(spans, KEY, "left").drop(KEY)
 
 
 def digests(docs: DataFrame, length: int = 400, gram: int = 200) -> DataFrame:
@@ -333,7 +334,7 @@ def digests(docs: DataFrame, length: int = 400, gram: int = 200) -> DataFrame:
         press = zstandard.ZstdDecompressor()
         for batch in batches:
             rows = []
-            for text, runs in zip(batch.column("packed").to_pylist(), batch.column("runs").to_pylist()):
+            for text, runs in zip(batch.column(PACKED).to_pylist(), batch.column(RUNS).to_pylist()):
                 raw, spans = press.decompress(text), _spans(runs or [], length)
                 kept, at = hashlib.sha256(), 0
                 for a, b in [*spans, (len(raw), len(raw))]:
@@ -355,7 +356,7 @@ def without_repeats(docs: DataFrame, length: int = 400, gram: int = 200) -> Data
     A null text stays null; ``n_chars``, where there is one, follows the text.
     """
     names = docs.columns
-    marked = docs.withColumn("_null", F.col("text").isNull())
+    marked = docs.withColumn(NULL, F.col("text").isNull())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -363,7 +364,7 @@ def without_repeats(docs: DataFrame, length: int = 400, gram: int = 200) -> Data
         press = zstandard.ZstdDecompressor()
         for batch in batches:
             texts = []
-            for text, runs, null in zip(*(batch.column(c).to_pylist() for c in ("packed", "runs", "_null"))):
+            for text, runs, null in zip(*(batch.column(c).to_pylist() for c in (PACKED, RUNS, NULL))):
                 raw, kept, at = press.decompress(text), [], 0
                 for a, b in [*_spans(runs or [], length), (len(raw), len(raw))]:
                     while a < len(raw) and raw[a] & 0xC0 == 0x80:  # a whole character stays
@@ -373,10 +374,9 @@ def without_repeats(docs: DataFrame, length: int = 400, gram: int = 200) -> Data
                     while at < len(raw) and at > 0 and raw[at] & 0xC0 == 0x80:
                         at -= 1
                 texts.append(None if null else b"".join(kept).decode())
-            columns = {n: batch.column(n) for n in batch.schema.names if n not in ("packed", "runs", "_null")} | {"text": pa.array(texts, pa.string())}
+            columns = {n: batch.column(n) for n in batch.schema.names if n not in (PACKED, RUNS, NULL)} | {"text": pa.array(texts, pa.string())}
             if "n_chars" in columns:
                 columns["n_chars"] = pa.array([None if t is None else len(t) for t in texts], columns["n_chars"].type)
             yield pa.RecordBatch.from_arrays([columns[n] for n in names], names=names)
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return _join(marked, length, gram).mapInArrow(work, fields)
+    return _join(marked, length, gram).mapInArrow(work, docs.schema)
