@@ -103,7 +103,7 @@ def scored_parts(spark: SparkSession, sf: str) -> DataFrame:
 def messages(spark: SparkSession, sf: str) -> DataFrame:
     """Conversation turns as messages; the subject comes from the first turn."""
     turns = table(spark, sf, "conversations")
-    first = turns.filter("turn = 0").groupBy("conv_id").agg(F.min(F.substring("text", 1, 20)).alias("subject"))
+    first = turns.filter("turn = 0").groupBy("conv_id").agg(F.min(F.element_at(F.split("text", r"\. "), 1)).alias("subject"))
     return turns.join(first, "conv_id", "left").select(
         F.col("conv_id"), F.col("turn"), F.col("role").alias("sender"), F.col("text").alias("body"), "subject")
 

@@ -270,12 +270,12 @@ def exposure_count(spark, sf):
 
 
 @query("findings_by_category", f"""SELECT category, count(*) AS n, min(doc_id) AS first_at FROM (SELECT doc_id, {category_sql('t')} AS category
- FROM (SELECT d.doc_id, lower(substring(text, 1, 100) || ' ' || {TOPICS}[quality * 3 + toxic + 1]) AS t FROM documents d JOIN labels USING (doc_id)))
+ FROM (SELECT d.doc_id, lower(text || ' ' || {TOPICS}[quality * 3 + toxic + 1]) AS t FROM documents d JOIN labels USING (doc_id)))
 GROUP BY 1""")
 def findings_by_category(spark, sf):
     docs = b.table(spark, sf, "documents").join(b.table(spark, sf, "labels"), "doc_id")
     topic = F.element_at(F.array(*map(F.lit, TOPICS)), (F.col("quality") * 3 + F.col("toxic") + 1).cast("int"))
-    found = docs.select("doc_id", categorize(F.concat(F.substring("text", 1, 100), F.lit(" "), topic)).alias("category"))
+    found = docs.select("doc_id", categorize(F.concat("text", F.lit(" "), topic)).alias("category"))
     return aggs.first_seen_counts(found, "category", "doc_id")
 
 

@@ -151,7 +151,7 @@ SELECT lv.document_id, top_item || ' investigative lead (Doc #' || lv.document_i
  CASE WHEN top_score >= 85 AND agreement IN ('full', 'majority') THEN 'confirmed' WHEN top_score >= 60 OR agreement IN ('full', 'majority') THEN 'likely'
  ELSE 'unverified' END AS confidence FROM lv LEFT JOIN nt USING (document_id)
 WHERE (top_score >= 30 OR coalesce(connections, 0) > 0 OR coalesce(flags, '') <> '') AND lv.document_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')
- AND NOT (lv.document_id IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '5-LOW') AND top_item = 'R') ORDER BY 1 DESC LIMIT 40""")
+ AND NOT (lv.document_id IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '5-LOW') AND top_item = 'R')""")
 def sync_findings(spark, sf):
     orders = b.table(spark, sf, "orders").select(F.col("o_orderkey").alias("document_id"), "o_orderstatus", "o_orderpriority")
     titles = orders.filter("o_orderpriority = '5-LOW'").select(F.concat(
@@ -160,23 +160,22 @@ def sync_findings(spark, sf):
     lines = b.table(spark, sf, "lineitem").filter("l_discount > 0.05").groupBy(F.col("l_orderkey").alias("document_id"))
     notes = lines.agg(F.max(F.struct("l_shipdate", "l_linenumber", "l_partkey", topic.alias("flags"))).getField("flags").alias("flags"),
                       F.count(F.lit(1)).alias("connections"))
-    return c.new_findings(c.agreement_levels(b.judgements(spark, sf)), notes, orders.filter("o_orderstatus = 'P'"), titles, 40)
+    return c.new_findings(c.agreement_levels(b.judgements(spark, sf)), notes, orders.filter("o_orderstatus = 'P'"), titles)
 
 
 @query("assemble_prompts", using(V1, V3, V5, SCORES, V4) + r""", kn AS (SELECT array_to_string(list(name ORDER BY score DESC, entity_id), '; ') AS names FROM
  (SELECT * FROM v4 ORDER BY score DESC, entity_id LIMIT 200)),
 p AS (SELECT conv_id, turn, text, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS position FROM conversations),
-q AS (SELECT * FROM p ORDER BY length(text) DESC, conv_id, turn LIMIT 100)
+q AS (SELECT * FROM p)
 SELECT conv_id, position, 0 AS block, 0::BIGINT AS place, md5(E'TYPE: message\nsender: ' || role) AS text_md5 FROM q
 UNION ALL SELECT q.conv_id, q.position, 1, p.position, md5(E'From: ' || p.role || E'\n' || p.text || E'\n') FROM q JOIN p ON p.conv_id = q.conv_id AND p.position < q.position
 UNION ALL SELECT conv_id, position, 2, 0, md5(names) FROM q, kn UNION ALL SELECT conv_id, position, 3, 0, md5(text) FROM q""")
 def assemble_prompts(spark, sf):
     turns = b.table(spark, sf, "conversations")
-    queue = turns.orderBy(F.desc(F.length("text")), "conv_id", "turn").limit(100)  # the analysis queue of one run
     parts = context_parts(spark, sf).select("conv_id", "turn", "part", "position")
-    queued = queue.join(parts.select("conv_id", "turn", "position"), ["conv_id", "turn"]).select(
+    queued = turns.join(parts.select("conv_id", "turn", "position"), ["conv_id", "turn"]).select(
         "conv_id", "position", F.lit("message").alias("doc_type"), F.concat(F.lit("sender: "), "role").alias("meta"),
         F.col("text").alias("body"))
-    names = known_names(b.scored_parts(spark, sf)).select("names").scalar()
+    names = known_names(b.scored_parts(spark, sf), 200).select("names").scalar()
     rows = c.prompt_parts(queued, ["conv_id", "position"], prior_parts(parts, queued, "conv_id"), names)
     return rows.select("conv_id", "position", "block", "place", F.md5("text").alias("text_md5"))

@@ -58,7 +58,7 @@ def export_cards(spark, sf):
 
 @query("export_timeline", GRAPH_SQL + """, r AS (SELECT entity_id, document_id, page, event_ts, doc_type || ' ' || repeat(name, 40) AS text FROM v1 JOIN pub USING (entity_id)
  WHERE NOT is_protected)
-SELECT entity_id, document_id, page, strftime(event_ts, '%Y-%m-%d') AS day, md5(CASE WHEN length(text) <= 300 THEN text ELSE substring(text, 1, 297) || '...' END) AS text_md5,
+SELECT entity_id, document_id, page, strftime(event_ts, '%Y-%m-%d') AS day, md5(text) AS text_md5,
  strftime((SELECT min(event_ts) FROM r), '%Y-%m-%d') AS first_day, strftime((SELECT max(event_ts) FROM r), '%Y-%m-%d') AS last_day FROM r""")
 def export_timeline(spark, sf):
     names = guarded(spark, sf)
@@ -70,7 +70,7 @@ def export_timeline(spark, sf):
 
 
 FINDINGS = f"""f AS (SELECT doc_id, {category_sql('t')} AS category, CASE WHEN quality = 1 AND toxic = 0 THEN 'confirmed' WHEN quality = 1 THEN 'likely' ELSE 'unverified' END
- AS confidence, title FROM (SELECT doc_id, quality, toxic, substring(text, 1, 40) AS title, lower(substring(text, 1, 100) || ' ' || {TOPICS}[length(text) % 6 + 1]) AS t
+ AS confidence, title FROM (SELECT doc_id, quality, toxic, source || ' document ' || doc_id AS title, lower(text || ' ' || {TOPICS}[length(text) % 6 + 1]) AS t
  FROM documents JOIN labels USING (doc_id)))"""
 
 
@@ -80,8 +80,8 @@ def report_by_category(spark, sf):
     docs = b.table(spark, sf, "documents").join(b.table(spark, sf, "labels"), "doc_id")
     topic = F.element_at(F.array(*map(F.lit, TOPICS)), (F.length("text") % 6 + 1).cast("int"))
     confidence = F.when((F.col("quality") == 1) & (F.col("toxic") == 0), "confirmed").when(F.col("quality") == 1, "likely").otherwise("unverified")
-    found = docs.select(F.col("doc_id").alias("finding_id"), confidence.alias("confidence"), F.substring("text", 1, 40).alias("title"),
-                        categorize(F.concat(F.substring("text", 1, 100), F.lit(" "), topic)).alias("category"))
+    found = docs.select(F.col("doc_id").alias("finding_id"), confidence.alias("confidence"), F.concat("source", F.lit(" document "), F.col("doc_id").cast("string")).alias("title"),
+                        categorize(F.concat("text", F.lit(" "), topic)).alias("category"))
     return exports.category_report(found, ["confirmed", "likely"])
 
 

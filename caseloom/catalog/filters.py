@@ -28,11 +28,10 @@ def like_literal(spark, sf):
 NORM = r"trim(regexp_replace(strip_accents(lower(text)), '[^\p{L}\p{N}]+', ' ', 'g'))"
 
 
-@query("phrase_search", f"""SELECT doc_id, lang FROM documents WHERE contains(' ' || {NORM} || ' ', ' and the ')
-ORDER BY doc_id LIMIT 50""")
+@query("phrase_search", f"""SELECT doc_id, lang FROM documents WHERE contains(' ' || {NORM} || ' ', ' and the ')""")
 def phrase_search(spark, sf):
     hits = filters.phrase_hits(b.table(spark, sf, "documents"), "text", "And, the!")
-    return hits.select("doc_id", "lang").orderBy("doc_id").limit(50)
+    return hits.select("doc_id", "lang")
 
 
 @query("snippet", f"""WITH n AS (SELECT doc_id, text, ' ' || {NORM} || ' ' AS norm FROM documents),
@@ -40,7 +39,7 @@ h AS (SELECT *, instr(norm, ' de la ') AS hit, string_split(trim(norm), ' ') AS
  len(string_split(substring(norm, 1, instr(norm, ' de la ')), ' ')) - 1 AS pos FROM n)
 SELECT doc_id, CASE WHEN hit > 0 THEN array_to_string(list_concat(list_concat(
   tok[greatest(pos - 32, 1) : pos - 1], ['[de la]']), tok[pos + 2 : greatest(pos - 32, 1) + 63]), ' ')
- ELSE substring(text, 1, 200) END AS snippet FROM h""")
+ ELSE text END AS snippet FROM h""")
 def snippet(spark, sf):
     docs = b.table(spark, sf, "documents")
     return docs.select("doc_id", filters.snippet(F.col("text"), "de la").alias("snippet"))
@@ -105,13 +104,13 @@ def safe_cast(spark, sf):
  SELECT v2.*, o_totalprice AS score FROM v2 JOIN orders ON o_orderkey = event_id)
 WHERE (origin = '1-URGENT' OR dest = '1-URGENT') AND event_ts >= TIMESTAMP '1996-01-01' AND event_ts < TIMESTAMP '2000-01-01'
  AND score >= 1000 AND event_id IN (SELECT event_id FROM v2p WHERE entity_id = 7)
-ORDER BY score DESC, event_ts DESC, event_id LIMIT 500""")
+ORDER BY score DESC, event_ts DESC, event_id""")
 def event_search(spark, sf):
     scores = b.table(spark, sf, "orders").select(F.col("o_orderkey").alias("event_id"),
                                                  F.col("o_totalprice").alias("score"))
     found = joins.event_search(
         b.flights(spark, sf).join(scores, "event_id"), b.participants(spark, sf), place="1-URGENT",
-        start="1996-01-01", end="2000-01-01", participant=7, min_score=1000, limit=500)
+        start="1996-01-01", end="2000-01-01", participant=7, min_score=1000)
     return found.select("event_id", "registry", b.day("event_ts").alias("event_date"), "score")
 
 

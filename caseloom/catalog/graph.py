@@ -168,7 +168,7 @@ VIEW_SQL = using(V1, V3, V5, SCORES, V4, VIEW)
 def view(spark, sf):
     brand = b.table(spark, sf, "part").select(F.col("p_partkey").alias("entity_id"), "p_brand")
     ents = b.scored_parts(spark, sf).join(brand, "entity_id").withColumn("name", F.concat_ws(" ", "name", "p_brand"))
-    return graph.graph_view(ents, b.edges(spark, sf), center=5)
+    return graph.graph_view(ents, b.edges(spark, sf), center=5, fill=45, most=350, most_links=2500)
 
 
 @query("graph_view", VIEW_SQL + """SELECT node_id AS entity_id, name, entity_type, degree, round(priority, 4)::DOUBLE AS priority, is_center
@@ -219,7 +219,7 @@ cr AS (SELECT count(*) AS c FROM (SELECT entity_id, count(*) AS t, count(*) FILT
  (SELECT DISTINCT entity_id, document_id FROM v1s) JOIN (SELECT document_id, count(*) FILTER (WHERE redacted) AS marks FROM v1s GROUP BY 1)
  USING (document_id) GROUP BY 1) WHERE r::DOUBLE / t >= 0.8 AND s >= 5)
 SELECT 'scored_links' AS step, count(*) AS n FROM item_scores UNION ALL SELECT 'edges', (SELECT count(*) FROM (SELECT DISTINCT source_id, target_id, kind FROM obs))
-UNION ALL SELECT 'frequent_pairs', (SELECT least(count(*), 500) FROM v5 WHERE evidence >= 3) UNION ALL SELECT 'clusters', c FROM tc
+UNION ALL SELECT 'frequent_pairs', (SELECT count(*) FROM v5 WHERE evidence >= 3) UNION ALL SELECT 'clusters', c FROM tc
 UNION ALL SELECT 'spikes', c FROM sp UNION ALL SELECT 'concealment', c FROM cr
 UNION ALL SELECT 'sequences', (SELECT count(*) FROM fol) + (SELECT count(*) FROM hubs) UNION ALL SELECT 'transitive', (SELECT count(*) FROM trans)"""
 

@@ -52,7 +52,7 @@ def names_match(spark, sf):
 
 
 # candidate strings: document starts, shouted names, debris made from brands and sizes
-CANDIDATES = """cand AS (SELECT doc_id AS id, substring(text, 1, 24) AS s FROM documents
+CANDIDATES = """cand AS (SELECT doc_id AS id, string_split(text, '. ')[1] AS s FROM documents
  UNION ALL SELECT p_partkey + 1000000000, CASE p_size % 8 WHEN 0 THEN p_name WHEN 1 THEN 'A' || p_size || '00' WHEN 2 THEN
  repeat(p_name[1], 6) || p_name WHEN 3 THEN repeat(p_name[1:2], 4) WHEN 4 THEN p_name || ' xkcdrt pqrst vwxzt' WHEN 5 THEN
  '$' || p_size || '00' WHEN 6 THEN replace(p_name, ' ', '_') ELSE replace(p_name, ' ', '') || p_type END FROM part)"""
@@ -66,7 +66,7 @@ def _candidates(spark, sf):
               .when(k == 3, F.repeat(F.substring(n, 1, 2), F.lit(4))).when(k == 4, F.concat(n, F.lit(" xkcdrt pqrst vwxzt")))
               .when(k == 5, F.concat(F.lit("$"), size, F.lit("00"))).when(k == 6, F.replace(n, F.lit(" "), F.lit("_")))
               .otherwise(F.concat(F.replace(n, F.lit(" "), F.lit("")), F.col("p_type"))))
-    return b.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 24).alias("s")).union(
+    return b.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.element_at(F.split("text", r"\. "), 1).alias("s")).union(
         b.table(spark, sf, "part").select((F.col("p_partkey") + 1000000000).alias("id"), shaped.alias("s")))
 
 
@@ -145,7 +145,7 @@ def url_filename(spark, sf):
 
 
 @query("safe_filename", r"""WITH n AS (SELECT page_id, regexp_replace(replace(regexp_replace(
- CASE page_id % 4 WHEN 0 THEN url || '..pdf' WHEN 1 THEN 'con.txt' WHEN 2 THEN '..' ELSE substring(html, 20, 300) || '.html' END,
+ CASE page_id % 4 WHEN 0 THEN url || '..pdf' WHEN 1 THEN 'con.txt' WHEN 2 THEN '..' ELSE html || '.html' END,
  '[<>:"/\\|?*]', '_', 'g'), '..', '_'), '^[. ]+|[. ]+$', '', 'g') AS c FROM pages),
 m AS (SELECT page_id, CASE WHEN upper(regexp_replace(c, '\.[^.]*$', '')) IN ('CON') THEN '_' || c ELSE c END AS c FROM n)
 SELECT page_id, CASE WHEN c = '' THEN '_unnamed' WHEN length(c) > 200 THEN
@@ -153,7 +153,7 @@ SELECT page_id, CASE WHEN c = '' THEN '_unnamed' WHEN length(c) > 200 THEN
 def safe_filename(spark, sf):
     k = F.col("page_id") % 4
     raw = (F.when(k == 0, F.concat("url", F.lit("..pdf"))).when(k == 1, "con.txt").when(k == 2, "..")
-           .otherwise(F.concat(F.substring("html", 20, 300), F.lit(".html"))))
+           .otherwise(F.concat("html", F.lit(".html"))))
     return b.table(spark, sf, "pages").select("page_id", urls.safe_filename(raw).alias("filename"))
 
 
@@ -279,11 +279,10 @@ TOPICS = ["sealed file", "Wire payment", "false statement", "the Senator", "obst
 
 
 @query("categorize_text", f"""SELECT doc_id, {category_sql('t')} AS category FROM (SELECT doc_id,
- lower(substring(text, 1, 100) || ' ' || {TOPICS}[doc_id % 6 + 1]) AS t FROM documents)""")
+ lower(text || ' ' || {TOPICS}[doc_id % 6 + 1]) AS t FROM documents)""")
 def categorize_text(spark, sf):
     topic = F.element_at(F.array(*map(F.lit, TOPICS)), (F.col("doc_id") % 6 + 1).cast("int"))
-    t = F.concat(F.substring("text", 1, 100), F.lit(" "), topic)
-    return b.table(spark, sf, "documents").select("doc_id", text.categorize(t).alias("category"))
+    return b.table(spark, sf, "documents").select("doc_id", text.categorize(F.concat("text", F.lit(" "), topic)).alias("category"))
 
 
 @query("confidence_class", """SELECT o_orderkey, CASE WHEN s >= 85 AND a IN ('full', 'majority') THEN 'confirmed'

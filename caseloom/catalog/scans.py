@@ -53,7 +53,7 @@ def file_type_(spark, sf):
  unnest(regexp_extract_all(html, '(?is)<a\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>', 1)) AS href,
  unnest(regexp_extract_all(html, '(?is)<a\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>', 2)) AS label FROM pages)
 SELECT page_id, CASE WHEN starts_with(href, '/') THEN host || href ELSE href END AS link,
- substring(trim(regexp_replace(label, '<[^>]*>', '', 'g')), 1, 200) AS link_text FROM a""")
+ trim(regexp_replace(label, '<[^>]*>', '', 'g')) AS link_text FROM a""")
 def html_links(spark, sf):
     links = landed.html_links(b.table(spark, sf, "pages"), "page_id", extensions=None)
     return links.select("page_id", "link", "link_text")

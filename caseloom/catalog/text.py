@@ -26,9 +26,10 @@ def sq(pattern):
 
 def match_sql(i, kind, pattern, etype, width, name, canonical):
     return f"""SELECT doc_id, {i} AS rule, '{kind}' AS kind, '{etype}' AS entity_type, {name} AS name, {canonical} AS canonical,
- substring(text, greatest(instr(text, raw) - {width}, 1), instr(text, raw) + length(raw) + {width} - greatest(instr(text, raw) - {width}, 1)) AS context,
- pos FROM (SELECT doc_id, text, unnest(ms) AS raw, generate_subscripts(ms, 1) AS pos FROM
- (SELECT doc_id, text, regexp_extract_all(text, '{sq(pattern)}') AS ms FROM corpus WHERE length(trim(text)) >= 20))"""
+ substring(text, greatest(begins - {width}, 1), begins + length(raw) + {width} - greatest(begins - {width}, 1)) AS context,
+ pos FROM (SELECT doc_id, text, ms[pos] AS raw, pos, CAST(1 + list_sum([length(x) FOR x IN ps[1:pos]]) + coalesce(list_sum([length(x) FOR x IN ms[1:pos - 1]]), 0) AS BIGINT) AS begins
+ FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS pos FROM
+ (SELECT doc_id, text, regexp_extract_all(text, '{sq(pattern)}') AS ms, regexp_split_to_array(text, '{sq(pattern)}') AS ps FROM corpus)))"""
 
 
 FORMS = {
@@ -52,7 +53,7 @@ NORM_TEXT = r"' ' || trim(regexp_replace(strip_accents(lower(text)), '[^\p{L}\p{
 NORM_NAME = r"' ' || trim(regexp_replace(strip_accents(lower(name)), '[^\p{L}\p{N}]+', ' ', 'g')) || ' '"
 
 
-@query("extract_entities", using(LETTERS, CORPUS, MATCHES, WATCH) + f""", n AS (SELECT doc_id, {NORM_TEXT} AS t FROM corpus WHERE length(trim(text)) >= 20),
+@query("extract_entities", using(LETTERS, CORPUS, MATCHES, WATCH) + f""", n AS (SELECT doc_id, {NORM_TEXT} AS t FROM corpus),
 tag AS (SELECT doc_id, 'person' AS entity_type, name, canonical FROM n, w WHERE contains(t, {NORM_NAME})),
 every AS (SELECT doc_id, -1 AS rule, 0 AS pos, entity_type, name, canonical FROM tag UNION ALL
  SELECT doc_id, rule, pos, entity_type, name, canonical FROM hits),
@@ -61,7 +62,7 @@ f AS (SELECT * FROM firsts WHERE rn = 1)
 SELECT canonical, entity_type, count(*) AS document_count, min(doc_id) AS first_doc, arg_min(name, (doc_id, name)) AS name FROM f GROUP BY 1, 2""")
 def extract_entities(spark, sf):
     names = watchlist(spark, sf).withColumn("entity_type", F.lit("person"))
-    return mentions.entity_table(mentions.extract_entities(corpus(spark, sf), names))
+    return mentions.entity_table(mentions.extract_entities(corpus(spark, sf), names, context=False))
 
 
 def pts(test, n):
@@ -146,7 +147,7 @@ def mask_protected(spark, sf):
     return mentions.mask_protected(docs, "doc_id", "text", watchlist(spark, sf), [r"\w+@\w+\.example\.com", "(["])
 
 
-@query("paragraphs", r"""WITH p AS (SELECT doc_id, list_filter(regexp_split_to_array(replace(text, '. ', E'.\n\n'), '\n\s*\n'), lambda x: trim(x) <> '')[1:12] AS ps
+@query("paragraphs", r"""WITH p AS (SELECT doc_id, list_filter(regexp_split_to_array(replace(text, '. ', E'.\n\n'), '\n\s*\n'), lambda x: trim(x) <> '') AS ps
  FROM documents) SELECT doc_id, unnest(generate_series(0, len(ps) - 1))::INT AS pos, unnest(ps) AS paragraph FROM p WHERE len(ps) > 0""")
 def paragraphs(spark, sf):
     docs = b.table(spark, sf, "documents").select("doc_id", F.replace("text", F.lit(". "), F.lit(".\n\n")).alias("text"))

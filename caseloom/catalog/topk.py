@@ -62,8 +62,7 @@ def thread_order(spark, sf):
         F.asc_nulls_last("thread_id"), "position", "o_orderkey")
 
 
-@query("capped_pairs", using(V5) + """SELECT source_id, target_id, evidence FROM v5 WHERE evidence >= 3
-ORDER BY evidence DESC, source_id, target_id LIMIT 500""")
+@query("capped_pairs", using(V5) + """SELECT source_id, target_id, evidence FROM v5 WHERE evidence >= 3""")
 def capped_pairs(spark, sf):
     return topk.frequent_pairs(b.edges(spark, sf, 3)).select("source_id", "target_id", "evidence")
 
@@ -79,7 +78,7 @@ def multi_key_topk(spark, sf):
 @query("known_entities", SCORED + """SELECT array_to_string(list(name ORDER BY score DESC, entity_id), '; ') AS names, count(*) AS n FROM
  (SELECT * FROM v4 ORDER BY score DESC, entity_id LIMIT 200)""")
 def known_entities(spark, sf):
-    return topk.known_names(b.scored_parts(spark, sf))
+    return topk.known_names(b.scored_parts(spark, sf), 200)
 
 
 @query("union_directions", using(V5) + """SELECT source_id AS entity_id, target_id AS other_id FROM v5 UNION

@@ -34,7 +34,7 @@ scores AS (SELECT docs.entity_id, CASE WHEN a IS NULL THEN 0 ELSE round(least(10
   FROM docs LEFT JOIN avgs USING (entity_id) LEFT JOIN strength USING (entity_id))"""
 V4 = "v4 AS (SELECT v3.*, score, evidence_count, document_count FROM v3 JOIN scores USING (entity_id))"
 V6 = """v6 AS (SELECT c.conv_id, c.turn, c.role AS sender, c.text AS body, f.subject FROM conversations c
- LEFT JOIN (SELECT conv_id, min(substring(text, 1, 20)) AS subject FROM conversations WHERE turn = 0 GROUP BY 1) f
+ LEFT JOIN (SELECT conv_id, min(string_split(text, '. ')[1]) AS subject FROM conversations WHERE turn = 0 GROUP BY 1) f
  USING (conv_id))"""
 V6D = """v6d AS (SELECT o_custkey AS thread_id, o_orderkey AS message_id, o_orderdate AS sent_at,
  o_orderpriority AS sender FROM orders)"""

@@ -161,7 +161,7 @@ def email_fields(df: DataFrame, text: str) -> DataFrame:
     Steps are columns of their own, so that no header is searched twice.
     """
     names = {"_from": "From", "_to": "To", "_cc": "CC", "_subject": "Subject", "_date": "Date|Sent"}
-    head = df.withColumn("_win", F.substring_index(text, "\n", 80)).select(
+    head = df.withColumn("_win", F.col(text)).select(
         "*", find_all(F.col("_win"), fixed.EMAIL).alias("_found"),
         *[F.regexp_extract(text, rf"(?i)(?:^|\n)\s*(?:{h})\s*:\s*[^\n]+", 0).alias(c) for c, h in names.items()])
     value = {c: _first(r"^\s*[A-Za-z]+\s*:\s*([^\n]+)", c).alias(c + "_v") for c in names}
@@ -178,7 +178,7 @@ def email_fields(df: DataFrame, text: str) -> DataFrame:
     start = F.col("_start")
     return step.select(
         *df.columns, F.coalesce(F.when(F.col("_own").isNotNull(), bare), "_from_v", "from_address").alias("from_name"), "from_address",
-        F.when((F.size("_listed") == 0) & (F.size("_seen") > 1), F.slice("_seen", 2, 7)).otherwise(F.col("_listed")).alias("to"),
+        F.when((F.size("_listed") == 0) & (F.size("_seen") > 1), F.slice("_seen", F.lit(2), F.size("_seen") - 1)).otherwise(F.col("_listed")).alias("to"),
         _addresses(F.col("_cc_v")).alias("cc"), F.coalesce("_subject_v", _first(hint, "_win")).alias("subject"),
         F.coalesce("_date_v", _first(day, "_win")).alias("date"),
         F.when(start > 1, F.regexp_replace(F.substr(F.col(text), start), r"^\s+|\s+$", "")).otherwise(F.col(text)).alias("body"))

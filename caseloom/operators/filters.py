@@ -46,7 +46,7 @@ def snippet(c: Column, words: str, size: int = 64) -> Column:
     left = F.slice(tokens, first, pos - first)
     right = F.slice(tokens, pos + count, F.greatest(first + size - pos - count, F.lit(0)))
     marked = F.concat(left, F.array(F.lit(f"[{words}]")), right)
-    return F.when(at > 0, F.array_join(marked, " ")).otherwise(F.substring(c, 1, 200))
+    return F.when(at > 0, F.array_join(marked, " ")).otherwise(c)
 
 
 def outside_domain(df: DataFrame, column: str, allowed: Sequence[str]) -> DataFrame:
@@ -71,12 +71,11 @@ def safe_number(c: Column, default: float = 0.0) -> Column:
     return F.when(n.isNotNull() & finite, n).otherwise(F.lit(default))
 
 
-def in_request_order(df: DataFrame, key: str, ids: Sequence[int], cap: int = 200) -> DataFrame:
+def in_request_order(df: DataFrame, key: str, ids: Sequence[int]) -> DataFrame:
     """Rows of the requested ids in the order of the request; unknown ids drop out."""
-    seen = list(dict.fromkeys(int(i) for i in ids))[:cap]
-    wanted = df.sparkSession.range(1).select(F.posexplode(F.array(*[F.lit(i).cast("long") for i in seen]))
-                                             .alias("pos", key))
-    return df.filter(F.col(key).isin(seen)).join(wanted, key).orderBy("pos")
+    seen = list(dict.fromkeys(int(i) for i in ids))
+    wanted = df.sparkSession.createDataFrame(list(enumerate(seen)), f"pos int, {key} long")
+    return df.join(wanted, key).orderBy("pos")
 
 
 def derived_state(status: Column, flagged: Column) -> Column:

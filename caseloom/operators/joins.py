@@ -17,7 +17,7 @@ def anti(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> Da
 
 def event_search(events: DataFrame, people: DataFrame, registry: int | None = None, place: str | None = None,
                  start: str | None = None, end: str | None = None, participant: int | None = None,
-                 min_score: float | None = None, limit: int = 500) -> DataFrame:
+                 min_score: float | None = None, limit: int | None = None) -> DataFrame:
     """Events by registry id, place at either end, half-open time range, participant and score."""
     if registry is not None:
         events = events.filter(F.col("registry") == registry)
@@ -31,7 +31,8 @@ def event_search(events: DataFrame, people: DataFrame, registry: int | None = No
         events = events.filter(F.col("score") >= min_score)
     if participant is not None:
         events = events.join(people.filter(F.col("entity_id") == participant).select("event_id"), "event_id", "left_semi")
-    return events.orderBy(F.desc("score"), F.desc("event_ts"), "event_id").limit(limit)
+    ordered = events.orderBy(F.desc("score"), F.desc("event_ts"), "event_id")
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def evidence_with_documents(mentions: DataFrame, documents: DataFrame) -> DataFrame:

@@ -24,8 +24,10 @@ def next_in_queue(docs: DataFrame, eligible: Column, done: DataFrame, key: str,
     return docs.filter(eligible).join(done.select(key), key, "left_anti").orderBy(F.desc(priority), key).limit(n)
 
 
-def frequent_pairs(edges: DataFrame, at_least: int = 3, n: int = 500) -> DataFrame:
-    return edges.filter(F.col("evidence") >= at_least).orderBy(F.desc("evidence"), "source_id", "target_id").limit(n)
+def frequent_pairs(edges: DataFrame, at_least: int = 3, n: int | None = None) -> DataFrame:
+    """Edges seen often, most often first; the first ``n``, or all."""
+    pairs = edges.filter(F.col("evidence") >= at_least).orderBy(F.desc("evidence"), "source_id", "target_id")
+    return pairs if n is None else pairs.limit(n)
 
 
 def capped_nodes(nodes: DataFrame, n: int) -> DataFrame:
@@ -33,7 +35,7 @@ def capped_nodes(nodes: DataFrame, n: int) -> DataFrame:
     return nodes.orderBy(F.when(F.col("degree") > 0, 0).otherwise(1), F.desc("score"), F.desc("degree"), "entity_id").limit(n)
 
 
-def known_names(entities: DataFrame, n: int = 200) -> DataFrame:
+def known_names(entities: DataFrame, n: int) -> DataFrame:
     """One row: the names of the ``n`` best entities, best first."""
     top = entities.orderBy(F.desc("score"), "entity_id").limit(n)
     listed = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "entity_id", "name")))

@@ -199,19 +199,20 @@ def consensus_edges(items: DataFrame, connections: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("evidence"), F.count(F.lit(1)).cast("double").alias("weight"))
 
 
-def new_findings(levels: DataFrame, notes: DataFrame, known_docs: DataFrame, known_titles: DataFrame, most: int) -> DataFrame:
-    """Findings from consensus rows that say something and are not known yet, newest documents first.
+def new_findings(levels: DataFrame, notes: DataFrame, known_docs: DataFrame, known_titles: DataFrame, most: int | None = None) -> DataFrame:
+    """Findings from consensus rows that say something and are not known yet, newest documents first; the first ``most``, or all.
 
     ``notes`` is (document_id, flags, connections): latest flags text and number of connections.
     """
     rows = levels.join(notes, "document_id", "left")
     flags, links = F.coalesce("flags", F.lit("")), F.coalesce("connections", F.lit(0))
     worth = (F.col("top_score") >= 30) | (links > 0) | (flags != "")
-    title = F.substring(F.concat(F.col("top_item"), F.lit(" investigative lead (Doc #"), F.col("document_id").cast("string"), F.lit(")")), 1, 140)
+    title = F.concat(F.col("top_item"), F.lit(" investigative lead (Doc #"), F.col("document_id").cast("string"), F.lit(")"))
     fresh = rows.filter(worth).withColumn("title", title).join(known_docs.select("document_id"), "document_id", "left_anti")
     fresh = fresh.withColumn("_t", F.lower("title")).join(
         known_titles.select(F.lower("title").alias("_t")), "_t", "left_anti").drop("_t")
-    return fresh.orderBy(F.desc("document_id")).limit(most).select(
+    chosen = fresh.orderBy(F.desc("document_id"))
+    return (chosen if most is None else chosen.limit(most)).select(
         "document_id", "title", categorize(F.col("flags")).alias("category"),
         confidence_class(F.col("top_score"), F.col("agreement")).alias("confidence"))
 

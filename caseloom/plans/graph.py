@@ -147,8 +147,8 @@ def deduplicated(entities: DataFrame) -> tuple[DataFrame, DataFrame]:
         "entity_id", "node_id")
 
 
-def graph_view(entities: DataFrame, edges: DataFrame, center: int, fill: int = 45, most: int = 350,
-               most_links: int = 2500) -> tuple[DataFrame, DataFrame]:
+def graph_view(entities: DataFrame, edges: DataFrame, center: int, fill: int, most: int,
+               most_links: int) -> tuple[DataFrame, DataFrame]:
     """(nodes, links) around a centre: people at hop 1, people behind connectors, filled and capped by priority."""
     edges = cut(edges, "edges")
     nodes, ids = deduplicated(cut(entities, "entities"))

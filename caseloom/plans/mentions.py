@@ -40,23 +40,39 @@ def _named(kind: str, raw: Column) -> tuple[Column, Column]:
     return raw, raw
 
 
-def extract_patterns(texts: DataFrame, doc: str = "doc_id", text: str = "text", least: int = 20) -> DataFrame:
-    """All pattern matches with context: (doc, pos, kind, entity_type, name, canonical, context)."""
+def _located(text: Column, pattern: str) -> Column:
+    """Matches as (raw, start): a match begins behind the pieces and matches before it."""
+    found = find_all(text, pattern)
+    steps = F.zip_with(found, F.split(text, pattern, -1), lambda raw, before: F.struct(raw.alias("raw"), F.length(before).alias("gap")))
+    nothing = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<raw:string,start:int>>").alias("out"))
+    walked = F.aggregate(F.slice(steps, F.lit(1), F.size(found)), nothing, lambda a, s: F.struct(
+        (a["at"] + s["gap"] + F.length(s["raw"])).alias("at"),
+        F.array_append(a["out"], F.struct(s["raw"].alias("raw"), (a["at"] + s["gap"]).alias("start"))).alias("out")))
+    return walked["out"]
+
+
+def extract_patterns(texts: DataFrame, doc: str = "doc_id", text: str = "text", context: bool = True) -> DataFrame:
+    """All pattern matches: (doc, pos, kind, entity_type, name, canonical, context).
+
+    Contexts are cut at the offsets of the matches, inside the array, so that no text is copied per match; without
+    ``context`` they are null.
+    """
     def matches(kind, pattern, entity_type, width):
-        def record(raw):
+        def record(raw, around):
             name, canonical = _named(kind, raw)
-            return F.struct(F.lit(kind).alias("kind"), F.lit(entity_type).alias("entity_type"), raw.alias("raw"),
-                            name.alias("name"), canonical.alias("canonical"), F.lit(width).alias("width"))
-        return F.transform(find_all(F.col(text), pattern), record)
+            return F.struct(F.lit(kind).alias("kind"), F.lit(entity_type).alias("entity_type"), name.alias("name"),
+                            canonical.alias("canonical"), around.alias("context"))
+
+        def cut_out(m):
+            first = F.greatest(m["start"] - width, F.lit(1))
+            return record(m["raw"], F.substr(F.col(text), first, m["start"] + F.length(m["raw"]) + width - first))
+
+        if context:
+            return F.transform(_located(F.col(text), pattern), cut_out)
+        return F.transform(find_all(F.col(text), pattern), lambda raw: record(raw, F.lit(None).cast("string")))
 
-    found = [matches(*rule) for rule in RULES]
-    # context is cut after the explode, once per match
-    rows = spread(texts, doc).filter(F.length(F.trim(text)) >= least).select(
-        doc, text, F.posexplode(F.concat(*found)).alias("pos", "m"))
-    start = F.instr(F.col(text), F.col("m.raw"))
-    first = F.greatest(start - F.col("m.width"), F.lit(1))
-    context = F.substr(F.col(text), first, start + F.length("m.raw") + F.col("m.width") - first)
-    return rows.select(doc, "pos", "m.kind", "m.entity_type", "m.name", "m.canonical", context.alias("context"))
+    found = F.concat(*(matches(*rule) for rule in RULES))
+    return texts.select(doc, F.posexplode(found).alias("pos", "m")).select(doc, "pos", "m.*")
 
 
 def tagged_names(texts: DataFrame, watchlist: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -65,11 +81,11 @@ def tagged_names(texts: DataFrame, watchlist: DataFrame, doc: str = "doc_id", te
     return hits.join(watchlist, "entity_id").select(doc, "entity_type", "name", "canonical")
 
 
-def extract_entities(texts: DataFrame, watchlist: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+def extract_entities(texts: DataFrame, watchlist: DataFrame, doc: str = "doc_id", text: str = "text", context: bool = True) -> DataFrame:
     """First mention per document and canonical value, debris removed; watchlist names come first."""
-    tagged = tagged_names(texts.filter(F.length(F.trim(text)) >= 20), watchlist, doc, text).select(
+    tagged = tagged_names(texts, watchlist, doc, text).select(
         doc, F.lit(-1).alias("pos"), "entity_type", "name", "canonical", F.lit(None).cast("string").alias("context"))
-    matched = extract_patterns(texts, doc, text).filter(
+    matched = extract_patterns(texts, doc, text, context).filter(
         (F.col("entity_type") != "location") | ~is_noise(F.col("name"), F.col("entity_type")))
     both = tagged.unionByName(matched.drop("kind"))
     first = both.groupBy(doc, "canonical").agg(F.min(F.struct("pos", "entity_type", "name", "context")).alias("m"))
@@ -186,7 +202,7 @@ def mask_protected(texts: DataFrame, doc: str, text: str, names: DataFrame, patt
     return texts.join(per_doc, doc, "left").withColumn(text, masked).drop("_names")
 
 
-def paragraphs(texts: DataFrame, doc: str, text: str, per_page: int = 12, per_doc: int = 220) -> DataFrame:
-    """Paragraphs of each page; the viewer shows at most 12 a page and 220 a document."""
-    parts = F.slice(F.filter(F.split(text, r"\n\s*\n"), lambda p: F.trim(p) != ""), 1, min(per_page, per_doc))
+def paragraphs(texts: DataFrame, doc: str, text: str) -> DataFrame:
+    """All paragraphs of each text by position; a viewer takes a window of positions."""
+    parts = F.filter(F.split(text, r"\n\s*\n"), lambda p: F.trim(p) != "")
     return texts.select(doc, F.posexplode(parts).alias("pos", "paragraph"))

@@ -29,10 +29,12 @@ def local_session(app: str = "caseloom", cores: str = "*", shuffle: int = 8, mem
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors reach: ``spark.checkpoint.dir``.
 
-    Only where the session names none (a bare local session) is one made.
+    A local session that names none gets one of its own; a cluster must name one that all its machines reach.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(path)

@@ -51,13 +51,14 @@ def cards(entities: DataFrame, mentions: DataFrame, edges: DataFrame, evidence:
     )
 
 
-def timeline(events: DataFrame, entities: DataFrame, size: int = 300) -> DataFrame:
-    """Dated events of unprotected entities, text cut, with the range of all dates."""
+def timeline(events: DataFrame, entities: DataFrame, size: int | None = None) -> DataFrame:
+    """Dated events of unprotected entities with the range of all dates; ``size`` shortens the texts for a viewer."""
     open_ids = entities.filter(~F.col("is_protected")).select("entity_id", "name")
     rows = events.filter(F.col("event_ts").isNotNull()).join(open_ids, "entity_id")
     span = rows.agg(F.min("event_ts").alias("a"), F.max("event_ts").alias("z"))
     first, last = span.select("a").scalar(), span.select("z").scalar()
-    return rows.withColumn("text", truncate(F.col("text"), size)).withColumn("first_ts", first).withColumn(
+    text = F.col("text") if size is None else truncate(F.col("text"), size)
+    return rows.withColumn("text", text).withColumn("first_ts", first).withColumn(
         "last_ts", last).orderBy("event_ts", "entity_id", "document_id")
 
 

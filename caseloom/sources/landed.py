@@ -23,7 +23,7 @@ def html_links(pages: DataFrame, key: str, extensions: Sequence[str] | None = fi
     links = (
         pages.select(key, host.alias("host"), F.posexplode(find_all(F.col("html"), ANCHOR)).alias("pos", "a"))
         .select(key, "pos", F.when(F.startswith(href, F.lit("/")), F.concat("host", href)).otherwise(href).alias("link"),
-                F.substring(text, 1, 200).alias("link_text"))
+                text.alias("link_text"))
     )
     if extensions:
         low, wanted = F.lower("link"), F.lit(False)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_FILE_BYTES = 512 * 1024 * 1024  # larger files are registered by another tool; one file is one value
+WHOLE_FILE_BYTES = 1 << 30  # one file is one value, which cannot hold more than 2 GB
 
 
 def scan(spark: SparkSession, path: str, columns: Sequence[str], where: Column | None = None) -> DataFrame:
@@ -17,16 +17,20 @@ def scan(spark: SparkSession, path: str, columns: Sequence[str], where: Column |
 
 
 def read_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """(path, content, size) of landed files up to the size limit."""
+    """(path, content, size) of all landed files; content is null where a file is too large for one value."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true")
-    return files.load(folder).filter(F.col("length") <= MAX_FILE_BYTES).select(
-        "path", "content", F.col("length").alias("size_bytes"))
+    found = files.load(folder).withColumnRenamed("length", "size_bytes")
+    small = found.filter(F.col("size_bytes") <= WHOLE_FILE_BYTES).select("path", "content", "size_bytes")
+    large = found.filter(F.col("size_bytes") > WHOLE_FILE_BYTES)
+    return small.unionByName(large.select("path", F.lit(None).cast("binary").alias("content"), "size_bytes"))
 
 
 def manifest(files: DataFrame) -> DataFrame:
-    """path, SHA-256 and size of each landed file."""
-    return files.select("path", F.sha2(F.col("content").cast("binary"), 256).alias("sha256"),
-                        F.octet_length("content").cast("long").alias("size_bytes"))
+    """path, SHA-256 and size of each landed file; a file without content keeps its row, with no hash."""
+    size = F.octet_length("content").cast("long")
+    if "size_bytes" in files.columns:
+        size = F.coalesce(size, "size_bytes")
+    return files.select("path", F.sha2(F.col("content").cast("binary"), 256).alias("sha256"), size.alias("size_bytes"))
 
 
 def register_unseen(entries: DataFrame, known: DataFrame) -> DataFrame:

@@ -1,7 +1,9 @@
 """Incremental jobs. Each arriving batch is handled as a whole and written under its own batch id.
 
 Writing a batch overwrites only its own folder, so a batch that is retried
-after a failure leaves no second copy. Rows later than the watermark of one
+after a failure leaves no second copy. Progress is kept below the job's root, so a
+job that is started again on its root goes on behind the last batch, also when the files it
+read are gone by then. Rows later than the watermark of one
 day are dropped where a job keeps windows or keys.
 """
 
@@ -15,7 +17,6 @@ from pyspark.sql import functions as F
 from caseloom.operators.blocking import placeholder_candidates
 from caseloom.operators.diff import removed
 from caseloom.operators.windows import gaps
-from caseloom.session import scratch_path
 
 BUCKETS = 64
 
@@ -34,11 +35,11 @@ def read_stream(spark: SparkSession, path: str, files_per_batch: int | None = No
     return df
 
 
-def run(df: DataFrame, handle: Callable[[DataFrame, int], None], mode: str = "append") -> None:
-    """Process everything that is available, batch by batch, and stop."""
+def run(df: DataFrame, handle: Callable[[DataFrame, int], None], root: str, mode: str = "append") -> None:
+    """Process everything new that is available, batch by batch, and stop."""
     query = (
         df.writeStream.outputMode(mode).foreachBatch(handle)
-        .option("checkpointLocation", scratch_path(df.sparkSession, "progress")).trigger(availableNow=True).start()
+        .option("checkpointLocation", f"{root}/_progress").trigger(availableNow=True).start()
     )
     query.awaitTermination()
 
@@ -69,7 +70,7 @@ def stream_threads(messages: DataFrame, root: str, days: int = 7) -> DataFrame:
         found = gaps(now.dropDuplicates(["thread_id", "message_id"]), days)
         touched.join(found, "thread_id", "left").write.mode("overwrite").parquet(batch_folder(checks, number))
 
-    run(messages.select("thread_id", "message_id", "sent_at"), handle)
+    run(messages.select("thread_id", "message_id", "sent_at"), handle, root)
     checked = spark.read.parquet(checks)
     newest = checked.groupBy("thread_id").agg(F.max("batch").alias("batch"))
     return checked.join(newest, ["thread_id", "batch"]).filter(F.col("after_id").isNotNull()).drop("batch")
@@ -83,25 +84,25 @@ def stream_candidates(documents: DataFrame, entities: DataFrame, root: str, thre
         placeholder_candidates(batch, entities, threshold).write.mode("overwrite").parquet(batch_folder(root, number))
         batch.unpersist()
 
-    run(documents, handle)
+    run(documents, handle, root)
     return documents.sparkSession.read.parquet(root).drop("batch")
 
 
 def stream_removed(known: DataFrame, current: DataFrame, root: str) -> DataFrame:
-    """Addresses missing from the current listing; one that is on record already is not recorded again."""
+    """Addresses missing from the current listing, each as it was first recorded.
+
+    A batch writes what it finds and reads no earlier batch; repeats are resolved by the reader.
+    """
     spark = known.sparkSession
     schema = "page_id bigint, url string"
 
     def handle(batch: DataFrame, number: int) -> None:
-        session = batch.sparkSession
         gone = removed(batch.select("page_id", "url").dropDuplicates(["url"]), current)
-        if number > 0:
-            seen = session.read.schema(schema + ", batch int").parquet(root).filter(F.col("batch") < number)
-            gone = gone.join(seen.select("url"), "url", "left_anti")
         gone.select("page_id", "url").write.mode("overwrite").parquet(batch_folder(root, number))
 
-    run(known, handle)
-    return spark.read.schema(schema + ", batch int").parquet(root).drop("batch")
+    run(known, handle, root)
+    recorded = spark.read.schema(schema + ", batch int").parquet(root)
+    return recorded.groupBy("url").agg(F.min(F.struct("batch", "page_id")).alias("m")).select("m.page_id", "url")
 
 
 def stream_activity(events: DataFrame, key: str, at: str, root: str) -> DataFrame:
@@ -111,7 +112,7 @@ def stream_activity(events: DataFrame, key: str, at: str, root: str) -> DataFram
     def handle(batch: DataFrame, number: int) -> None:
         batch.select(key, F.col("window.start").alias("day"), "n").write.mode("overwrite").parquet(batch_folder(root, number))
 
-    run(daily, handle, mode="update")
+    run(daily, handle, root, mode="update")
     counts = events.sparkSession.read.parquet(root)
     latest = counts.groupBy(key, "day").agg(F.max(F.struct("batch", "n")).alias("m"))
     return latest.select(key, "day", F.col("m.n").alias("n"))
@@ -128,5 +129,5 @@ def stream_dedup(events: DataFrame, keys: list[str], at: str, root: str) -> Data
     def handle(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(batch_folder(root, number))
 
-    run(once, handle)
+    run(once, handle, root)
     return events.sparkSession.read.parquet(root).drop("batch")
