@@ -138,9 +138,9 @@ def priority_score(spark, sf):
     return mentions.priority(docs, watchlist(spark, sf), PLACES, WORDS, SIGNALS, COMBOS).select("doc_id", "priority")
 
 
-@query("mask_protected", using(WATCH) + r""", m AS (SELECT doc_id, list(name ORDER BY length(name) DESC, name) AS names FROM documents, (SELECT DISTINCT name FROM w)
- WHERE contains(text, name) GROUP BY 1)
-SELECT doc_id, replace(regexp_replace(coalesce(list_reduce(list_concat([text], names), lambda a, n: replace(a, n, '[PROTECTED]')), text),
+@query("mask_protected", using(WATCH) + r""", m AS (SELECT doc_id, array_to_string(list(regexp_escape(name) ORDER BY length(name) DESC, name), '|') AS either FROM documents,
+ (SELECT name FROM w UNION SELECT canonical FROM w) WHERE contains(text, name) GROUP BY 1)
+SELECT doc_id, replace(regexp_replace(CASE WHEN either IS NULL THEN text ELSE regexp_replace(text, either, '[PROTECTED]', 'g') END,
  '(?i)\w+@\w+\.example\.com', '[REDACTED]', 'g'), '([', '[REDACTED]') AS text FROM documents LEFT JOIN m USING (doc_id)""")
 def mask_protected(spark, sf):
     docs = b.table(spark, sf, "documents").select("doc_id", "text")

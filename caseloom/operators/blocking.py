@@ -2,7 +2,8 @@
 
 A plain ``contains`` join compares all texts with all needles. Here every
 needle gets one key that any text holding it must have too; texts offer the
-keys of the kinds in use, and only equal keys are compared.
+keys of the kinds in use, and only equal keys are compared. Needles few enough
+to be sent to the tasks are looked for where the texts are read instead.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseloom.functions.text import token_text
+from caseloom.operators import needles as few
 from caseloom.operators.skew import spread
 from caseloom.session import cut
 
@@ -75,6 +77,9 @@ def containing(texts: DataFrame, text_id: str, text: str, needles: DataFrame, ne
     Each needle is looked up by the key that the fewest texts offer; a needle
     with a key that no text offers is in none of them.
     """
+    known = few.bounded(needles, needle_id, needle)
+    if known is not None:
+        return few.occurring(texts, text_id, text, known, needle_id).distinct()
     keyed = needle_keys(needles, needle_id, needle)
     kinds = sorted(r["_kind"] for r in keyed.select("_kind").distinct().collect())  # at most 7 kinds
     texts = spread(texts, text_id)
@@ -100,8 +105,12 @@ def phrase_matches(texts: DataFrame, text_id: str, text: str, phrases: DataFrame
     Each phrase is looked up by its rarest word, so frequent words do not
     multiply candidates.
     """
-    texts = spread(texts, text_id)
     normal = phrases.select(phrase_id, token_text(F.col(phrase)).alias("_p")).filter("_p <> ''")
+    known = few.bounded(normal.withColumn("_q", F.concat(F.lit(" "), "_p", F.lit(" "))), phrase_id, "_q")
+    if known is not None:
+        padded = texts.select(text_id, F.concat(F.lit(" "), token_text(F.col(text)), F.lit(" ")).alias("_t"))
+        return few.occurring(padded, text_id, "_t", known, phrase_id).distinct()
+    texts = spread(texts, text_id)
     words = normal.select(phrase_id, "_p", F.explode(F.array_distinct(F.split("_p", " "))).alias("_w"))
     held = cut(
         texts.select(text_id, F.explode(F.array_distinct(F.split(token_text(F.col(text)), " "))).alias("_w"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseloom import fixed
@@ -181,23 +181,42 @@ def priority(docs: DataFrame, watchlist: DataFrame, places: Sequence[str], terms
     return tested.join(named, doc, "left").select(*docs.columns, F.least(score, F.lit(100)).alias("priority"))
 
 
+def _literal(token: str) -> str:
+    """A replacement that is taken as it is."""
+    return token.replace("\\", r"\\").replace("$", r"\$")
+
+
+def _valid(spark: SparkSession, pattern: str) -> bool:
+    """Whether Spark takes the pattern."""
+    try:
+        spark.range(1).select(F.lit("").rlike(pattern)).collect()
+        return True
+    except Exception as error:  # what Spark raises depends on where the pattern is compiled
+        if "pattern" in str(error).lower() or "regex" in str(error).lower():
+            return False
+        raise
+
+
 def mask_protected(texts: DataFrame, doc: str, text: str, names: DataFrame, patterns: Sequence[str] = (),
                    token: str = "[PROTECTED]", custom_token: str = "[REDACTED]") -> DataFrame:
-    """Texts with every protected name replaced, longest first, then the user's patterns.
+    """Texts with every protected form replaced in one pass, the longest form first, then the user's patterns.
 
-    ``names`` is (name). A pattern that is no valid expression is taken literally.
+    ``names`` has name and, if known, canonical (another form) and aliases (an array of forms). A pattern that Spark
+    does not take is taken literally.
     """
-    texts = spread(texts, doc)
-    distinct = names.select("name").filter(F.length("name") > 0).distinct()
+    forms = [F.array(*(c for c in ("name", "canonical") if c in names.columns))]
+    if "aliases" in names.columns:
+        forms.append(F.coalesce("aliases", F.array().cast("array<string>")))
+    distinct = names.select(F.explode(F.concat(*forms)).alias("name")).filter(F.length("name") > 0).distinct()
     hits = containing(texts, doc, text, distinct.select(F.col("name").alias("nid"), "name"), "nid", "name")
     per_doc = hits.groupBy(doc).agg(F.array_sort(F.collect_set(F.struct((-F.length("nid")).alias("o"), F.col("nid").alias("n")))).alias("_names"))
     found = F.coalesce("_names", F.array().cast("array<struct<o:int,n:string>>"))
-    masked = F.aggregate(found, F.col(text), lambda acc, s: F.replace(acc, s["n"], F.lit(token)))
+    either = F.array_join(F.transform(found, lambda s: F.concat(F.lit(r"\Q"), F.replace(s["n"], F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))), "|")
+    masked = F.when(F.size(found) > 0, F.regexp_replace(F.col(text), either, F.lit(_literal(token)))).otherwise(F.col(text))
     for pattern in patterns:
-        try:
-            re.compile(pattern)
-            masked = F.regexp_replace(masked, "(?i)" + pattern, custom_token)
-        except re.error:
+        if _valid(texts.sparkSession, pattern):
+            masked = F.regexp_replace(masked, "(?i)" + pattern, _literal(custom_token))
+        else:
             masked = F.replace(masked, F.lit(pattern), F.lit(custom_token))
     return texts.join(per_doc, doc, "left").withColumn(text, masked).drop("_names")
 

@@ -86,3 +86,24 @@ def test_stream_goes_on_after_a_stop(spark, tmp_path):
     want = jobs.gaps(df, 3)
     columns = ["thread_id", "after_id", "before_id"]
     assert sorted(map(tuple, got.select(*columns).collect())) == sorted(map(tuple, want.select(*columns).collect()))
+
+
+def test_mask_takes_all_forms_in_one_pass(spark):
+    texts = spark.createDataFrame([(1, "Ann Lee and ANN LEE met Annie, called Lee-Lee $5 (?P<x>a) in Ann Lee Park, [PROTECTED]ish")], "doc_id int, text string")
+    names = spark.createDataFrame([("Ann Lee", "ANN LEE", ["Annie", "Ann Lee Park"]), ("PROTECTED", None, None)],
+                                  "name string, canonical string, aliases array<string>")
+    row = mentions.mask_protected(texts, "doc_id", "text", names, ["(?P<x>a)", "lee-lee"], custom_token="$1").first()
+    assert row.text == "[PROTECTED] and [PROTECTED] met [PROTECTED], called $1 $5 $1 in [PROTECTED], [[PROTECTED]]ish"
+
+
+def test_needles_either_way(spark, monkeypatch):
+    from caseloom.operators import blocking, needles
+
+    texts = spark.createDataFrame([(1, "the old oak street"), (2, "an Old oak"), (3, None), (4, "k s")], "t int, text string")
+    wanted = spark.createDataFrame([(10, "oak"), (11, "old oak"), (12, "k s"), (13, None), (14, ""), (15, "old oak")], "n int, needle string")
+    few = blocking.containing(texts, "t", "text", wanted, "n", "needle").collect()
+    phrases = blocking.phrase_matches(texts, "t", "text", wanted, "n", "needle").collect()
+    monkeypatch.setattr(needles, "MOST", 0)
+    assert sorted(few) == sorted(blocking.containing(texts, "t", "text", wanted, "n", "needle").collect())
+    assert sorted(phrases) == sorted(blocking.phrase_matches(texts, "t", "text", wanted, "n", "needle").collect())
+    assert len(few) == 6 and len(phrases) == 7
