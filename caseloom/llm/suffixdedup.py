@@ -283,9 +283,9 @@ STRING, BLOCK = ["ga", "gb"], ["ga", "gb", "ua", "ub"]
 def repeated_windows(docs: DataFrame, texts: DataFrame, length: int = 400, gram: int = 200) -> DataFrame:
     """(key, first, last): runs of window starts that repeat, from (key, text); ``texts`` has (key, packed)."""
     found = cut(docs.select("key", "text").mapInArrow(_anchor_rows(length, gram), ANCHORS), "anchors")
-    strings = found.groupBy(*STRING).agg(
+    strings = cut(found.groupBy(*STRING).agg(  # written, so that both sides of the join are dealt anew and a hot string can be split
         F.count(F.lit(1)).alias("n"),
-        ((F.min("ua") != F.max("ua")) | (F.min("ub") != F.max("ub"))).alias("several")).filter("n > 1")
+        ((F.min("ua") != F.max("ua")) | (F.min("ub") != F.max("ub"))).alias("several")).filter("n > 1"), "repeated-strings")
     met = cut(found.join(strings.select(*STRING, "several"), STRING), "met-anchors")
     whole = met.filter("not several").select("key", F.col("low").alias("first"), F.col("high").alias("last"))
     mixed = met.filter("several")
