@@ -67,7 +67,7 @@ def entities(spark: SparkSession, sf: str) -> DataFrame:
     part = table(spark, sf, "part").select(
         F.col("p_partkey").alias("entity_id"), F.col("p_name").alias("name"),
         F.when(F.col("p_size") % 4 == 0, "organization").when(F.col("p_size") % 4 == 1, "location")
-        .otherwise("person").alias("entity_type"), F.lit(False).alias("is_protected"),
+        .otherwise("person").alias("entity_type"), (F.col("p_size") == 13).alias("is_protected"),
     )
     supplier = table(spark, sf, "supplier").select(
         (F.col("s_suppkey") + ORG).alias("entity_id"), F.col("s_name").alias("name"),

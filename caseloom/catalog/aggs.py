@@ -180,10 +180,13 @@ def timeline_correlation(spark, sf):
 BUCKET = "CASE WHEN score >= 90 THEN '90+' WHEN score >= 70 THEN '70-89' WHEN score >= 50 THEN '50-69' WHEN score >= 30 THEN '30-49' ELSE '0-29' END"
 
 
-@query("facets", using(V1, V3, V5, SCORES, V4) + f"""SELECT 'type' AS facet, entity_type AS value, count(*) AS n FROM v4 GROUP BY 2
-UNION ALL SELECT 'score', {BUCKET}, count(*) FROM v4 GROUP BY 2 UNION ALL SELECT 'relation', kind, count(*) FROM v5 GROUP BY 2""")
+@query("facets", using(V1, V3, V5, SCORES, V4) + f""", ok AS (SELECT * FROM v4 WHERE NOT is_protected)
+SELECT 'type' AS facet, entity_type AS value, count(*) AS n FROM ok GROUP BY 2
+UNION ALL SELECT 'score', {BUCKET}, count(*) FROM ok GROUP BY 2 UNION ALL SELECT 'relation', kind, count(*) FROM v5
+ WHERE source_id IN (SELECT entity_id FROM ok) AND target_id IN (SELECT entity_id FROM ok) GROUP BY 2
+UNION ALL SELECT 'flagged', 'yes', count(DISTINCT entity_id) FROM v1 WHERE redacted AND entity_id IN (SELECT entity_id FROM ok)""")
 def facets(spark, sf):
-    return aggs.facets(b.scored_parts(spark, sf), b.edges(spark, sf))
+    return aggs.facets(b.scored_parts(spark, sf), b.edges(spark, sf), b.mentions(spark, sf).filter("redacted"))
 
 
 @query("score_buckets", using(V1, V3, V5, SCORES, V4) + f"SELECT {BUCKET} AS bucket, count(*) AS n FROM v4 GROUP BY 1")

@@ -164,7 +164,7 @@ def sync_findings(spark, sf):
 
 
 @query("assemble_prompts", using(V1, V3, V5, SCORES, V4) + r""", kn AS (SELECT array_to_string(list(name ORDER BY score DESC, entity_id), '; ') AS names FROM
- (SELECT * FROM v4 ORDER BY score DESC, entity_id LIMIT 200)),
+ (SELECT * FROM v4 WHERE NOT is_protected ORDER BY score DESC, entity_id LIMIT 200)),
 p AS (SELECT conv_id, turn, text, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS position FROM conversations),
 q AS (SELECT * FROM p)
 SELECT conv_id, position, 0 AS block, 0::BIGINT AS place, md5(E'TYPE: message\nsender: ' || role) AS text_md5 FROM q

@@ -30,8 +30,10 @@ def khop(spark, sf):
     return graph.khop(b.edges(spark, sf), card_members(spark, sf), 2)
 
 
-TRANSITIVE = """adj AS (SELECT DISTINCT entity_id AS a, other_id AS b FROM v5b),
-seed AS (SELECT DISTINCT entity_id AS a FROM v5b WHERE weight >= 2.0),
+TRANSITIVE = """v5o AS (SELECT * FROM v5b WHERE entity_id NOT IN (SELECT entity_id FROM v3 WHERE is_protected)
+ AND other_id NOT IN (SELECT entity_id FROM v3 WHERE is_protected)),
+adj AS (SELECT DISTINCT entity_id AS a, other_id AS b FROM v5o),
+seed AS (SELECT DISTINCT entity_id AS a FROM v5o WHERE weight >= 2.0),
 l1 AS (SELECT adj.* FROM adj JOIN seed USING (a)),
 l2 AS (SELECT DISTINCT l1.a, adj.b FROM l1 JOIN adj ON l1.b = adj.a WHERE l1.a <> adj.b EXCEPT SELECT * FROM l1),
 l3 AS (SELECT DISTINCT l2.a, adj.b FROM l2 JOIN adj ON l2.b = adj.a WHERE l2.a <> adj.b EXCEPT SELECT * FROM l1 EXCEPT SELECT * FROM l2),
@@ -39,9 +41,9 @@ trans AS (SELECT DISTINCT least(a, b) AS source_id, greatest(a, b) AS target_id,
  UNION SELECT least(a, b), greatest(a, b), 3 FROM l3)"""
 
 
-@query("transitive_links", using(V5, TRANSITIVE) + "SELECT *, round(1.0::DOUBLE / degrees, 2) AS confidence FROM trans")
+@query("transitive_links", using(V3, V5, TRANSITIVE) + "SELECT *, round(1.0::DOUBLE / degrees, 2) AS confidence FROM trans")
 def transitive_links(spark, sf):
-    return graph.transitive_links(b.edges(spark, sf), 2.0, 3)
+    return graph.transitive_links(b.edges(spark, sf), 2.0, 3, b.entities(spark, sf))
 
 
 def flight_members(spark, sf):
@@ -141,7 +143,7 @@ def merge_entities(spark, sf):
         F.col("a").alias("source_id"), F.col("b").alias("target_id"), F.col("groups").alias("evidence"))
 
 
-VIEW = """ent AS (SELECT entity_id, lower(name || ' ' || p_brand) AS name, entity_type, score, document_count FROM v4 JOIN part ON p_partkey = entity_id),
+VIEW = """ent AS (SELECT entity_id, lower(name || ' ' || p_brand) AS name, entity_type, score, document_count FROM v4 JOIN part ON p_partkey = entity_id WHERE NOT is_protected),
 nodes AS (SELECT name, entity_type, arg_max(entity_id, (score, -entity_id)) AS node_id, max(score) AS score, max(document_count) AS document_count
  FROM ent GROUP BY 1, 2),
 ids AS (SELECT ent.entity_id, node_id FROM ent JOIN nodes USING (name, entity_type)),
@@ -249,5 +251,5 @@ def rebuild(spark, sf):
         "spikes": windows.spikes(seen, ["entity_id", "evidence_type"], "event_ts", 2.0, 3),
         "concealment": aggs.concealment(seen),
         "sequences": evidence.sequences_and_hubs(pairs, edges, b.entities(spark, sf)),
-        "transitive": graph.transitive_links(edges),
+        "transitive": graph.transitive_links(edges, entities=b.entities(spark, sf)),
     }

@@ -76,7 +76,7 @@ def multi_key_topk(spark, sf):
 
 
 @query("known_entities", SCORED + """SELECT array_to_string(list(name ORDER BY score DESC, entity_id), '; ') AS names, count(*) AS n FROM
- (SELECT * FROM v4 ORDER BY score DESC, entity_id LIMIT 200)""")
+ (SELECT * FROM v4 WHERE NOT is_protected ORDER BY score DESC, entity_id LIMIT 200)""")
 def known_entities(spark, sf):
     return topk.known_names(b.scored_parts(spark, sf), 200)
 

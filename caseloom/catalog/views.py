@@ -13,7 +13,7 @@ V2 = """v2 AS (SELECT o_orderkey AS event_id, o_custkey AS registry, o_orderdate
  o_orderpriority AS origin, o_orderstatus AS dest FROM orders),
 v2p AS (SELECT DISTINCT l_orderkey AS event_id, l_suppkey AS entity_id FROM lineitem)"""
 V3 = """v3 AS (SELECT p_partkey AS entity_id, p_name AS name, CASE WHEN p_size % 4 = 0 THEN 'organization'
-  WHEN p_size % 4 = 1 THEN 'location' ELSE 'person' END AS entity_type, false AS is_protected FROM part
+  WHEN p_size % 4 = 1 THEN 'location' ELSE 'person' END AS entity_type, p_size = 13 AS is_protected FROM part
  UNION ALL SELECT s_suppkey + 1000000000000, s_name, 'organization', s_nationkey = 0 FROM supplier
  UNION ALL SELECT c_custkey + 2000000000000, c_name, 'person', c_nationkey = 0 FROM customer)"""
 V5 = """v5d AS (SELECT DISTINCT l_orderkey AS d, l_partkey AS e FROM lineitem JOIN orders ON l_orderkey = o_orderkey),

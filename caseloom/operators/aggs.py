@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from caseloom.operators.joins import inner_edges
 from caseloom.operators.scoring import both_ends, edge_weight
 
 
@@ -144,16 +145,20 @@ def score_bucket(c: Column) -> Column:
             .otherwise("0-29"))
 
 
-def facets(entities: DataFrame, edges: DataFrame) -> DataFrame:
-    """Counts per type, per score bucket (one pass by grouping sets), per relation."""
-    e = entities.withColumn("bucket", score_bucket(F.col("score")))
+def facets(entities: DataFrame, edges: DataFrame, flagged: DataFrame) -> DataFrame:
+    """Counts of unprotected entities per type and per score bucket (one pass by grouping sets), of their edges per
+    relation, and of the distinct ones among ``flagged`` (entity_id)."""
+    shown = entities.filter(~F.col("is_protected"))
+    e = shown.withColumn("bucket", score_bucket(F.col("score")))
     by_node = e.groupingSets([["entity_type"], ["bucket"]], "entity_type", "bucket").agg(
         F.grouping("entity_type").alias("g"), F.count(F.lit(1)).alias("n"))
     nodes = by_node.select(F.when(F.col("g") == 0, "type").otherwise("score").alias("facet"),
                            F.coalesce("entity_type", "bucket").alias("value"), "n")
-    rels = edges.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).select(
+    rels = inner_edges(edges, shown).groupBy("kind").agg(F.count(F.lit(1)).alias("n")).select(
         F.lit("relation").alias("facet"), F.col("kind").alias("value"), "n")
-    return nodes.unionByName(rels)
+    marked = shown.join(flagged.select("entity_id"), "entity_id", "left_semi").agg(F.count(F.lit(1)).alias("n")).select(
+        F.lit("flagged").alias("facet"), F.lit("yes").alias("value"), "n")
+    return nodes.unionByName(rels).unionByName(marked)
 
 
 def event_summary(scored: DataFrame, people: DataFrame) -> DataFrame:

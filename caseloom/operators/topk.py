@@ -36,8 +36,8 @@ def capped_nodes(nodes: DataFrame, n: int) -> DataFrame:
 
 
 def known_names(entities: DataFrame, n: int) -> DataFrame:
-    """One row: the names of the ``n`` best entities, best first."""
-    top = entities.orderBy(F.desc("score"), "entity_id").limit(n)
+    """One row: the names of the ``n`` best unprotected entities, best first."""
+    top = entities.filter(~F.col("is_protected")).orderBy(F.desc("score"), "entity_id").limit(n)
     listed = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "entity_id", "name")))
     return top.agg(F.array_join(F.transform(listed, lambda r: r["name"]), "; ").alias("names"),
                    F.count(F.lit(1)).alias("n"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from caseloom.fixed import EDGE_CONFIDENCE
 from caseloom.functions.names import looks_noisy, norm_rel_type, squeeze
 from caseloom.operators.aggs import node_priority
+from caseloom.operators.joins import inner_edges
 from caseloom.operators.pairs import shared_pairs
 from caseloom.operators.scoring import both_ends
 from caseloom.operators.skew import salted_join
@@ -88,8 +89,13 @@ def khop(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     return visited
 
 
-def transitive_links(edges: DataFrame, strong: float = 2.0, hops: int = 3) -> DataFrame:
-    """Pairs at distance 2..hops of an end of a strong edge, with their distance and confidence."""
+def transitive_links(edges: DataFrame, strong: float = 2.0, hops: int = 3, entities: DataFrame | None = None) -> DataFrame:
+    """Pairs at distance 2..hops of an end of a strong edge, with their distance and confidence.
+
+    Protected ones of ``entities`` are neither ends nor on the way.
+    """
+    if entities is not None:
+        edges = cut(inner_edges(edges, entities.filter(~F.col("is_protected"))), "open-edges")
     adjacent = cut(both_ends(edges).select("entity_id", "other_id").distinct(), "adjacent")
     seeds = both_ends(edges.filter(F.col("weight") >= strong)).select(F.col("entity_id").alias("seed")).distinct()
     level = adjacent.join(seeds, adjacent.entity_id == F.col("seed"), "left_semi").select(
@@ -149,9 +155,9 @@ def deduplicated(entities: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def graph_view(entities: DataFrame, edges: DataFrame, center: int, fill: int, most: int,
                most_links: int) -> tuple[DataFrame, DataFrame]:
-    """(nodes, links) around a centre: people at hop 1, people behind connectors, filled and capped by priority."""
+    """(nodes, links) around a centre, protected entities left out: people at hop 1, people behind connectors, filled and capped by priority."""
     edges = cut(edges, "edges")
-    nodes, ids = deduplicated(cut(entities, "entities"))
+    nodes, ids = deduplicated(cut(entities.filter(~F.col("is_protected")), "entities"))
     ids = cut(ids, "ids")
     source = ids.select(F.col("entity_id").alias("source_id"), F.col("node_id").alias("s"))
     target = ids.select(F.col("entity_id").alias("target_id"), F.col("node_id").alias("t"))

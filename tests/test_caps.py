@@ -107,3 +107,12 @@ def test_needles_either_way(spark, monkeypatch):
     assert sorted(few) == sorted(blocking.containing(texts, "t", "text", wanted, "n", "needle").collect())
     assert sorted(phrases) == sorted(blocking.phrase_matches(texts, "t", "text", wanted, "n", "needle").collect())
     assert len(few) == 6 and len(phrases) == 7
+
+
+def test_transitive_links_pass_no_protected_entity(spark):
+    from caseloom.plans import graph
+
+    edges = spark.createDataFrame([(1, 2, 3.0), (2, 3, 1.0), (3, 4, 1.0)], "source_id long, target_id long, weight double")
+    ents = spark.createDataFrame([(1, False), (2, False), (3, True), (4, False)], "entity_id long, is_protected boolean")
+    assert len(graph.transitive_links(edges).collect()) > 0
+    assert graph.transitive_links(edges, entities=ents).collect() == []
