@@ -52,10 +52,10 @@ def conditional_sums(spark, sf):
         {"total_docs": F.lit(True), "not_analyzed": s != "F", "eligible": s == "O", "running": s == "P", "analyzed": s == "F"})
 
 
-@query("stage_counts", """SELECT count(*) FILTER (WHERE o_orderstatus <> 'P') AS downloaded,
+@query("pipeline_counts", """SELECT count(*) FILTER (WHERE o_orderstatus <> 'P') AS downloaded,
  count(*) FILTER (WHERE o_orderstatus = 'F') AS text_done, count(*) FILTER (WHERE o_orderstatus = 'F' AND o_totalprice > 200000)
  AS analyzed, count(*) FILTER (WHERE o_orderstatus = 'F' AND o_totalprice > 400000) AS reviewed FROM orders""")
-def stage_counts(spark, sf):
+def pipeline_counts(spark, sf):
     done, price = F.col("o_orderstatus") == "F", F.col("o_totalprice")
     return aggs.count_row([(b.table(spark, sf, "orders"), {
         "downloaded": F.col("o_orderstatus") != "P", "text_done": done, "analyzed": done & (price > 200000),
@@ -194,11 +194,13 @@ def score_buckets(spark, sf):
     return b.scored_parts(spark, sf).groupBy(aggs.score_bucket(F.col("score")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("longest_text", """SELECT source, arg_max(doc_id, (length(text), -doc_id)) AS doc_id, max(length(text)) AS size FROM documents GROUP BY 1""")
+@query("longest_text", """SELECT source, arg_max(doc_id, (length(text), -doc_id)) AS doc_id, max(length(text)) AS size,
+ arg_max(text, (length(text), -doc_id)) AS text FROM documents GROUP BY 1""")
 def longest_text(spark, sf):
-    docs = b.table(spark, sf, "documents").select("source", "doc_id", F.length("text").cast("long").alias("size"))
-    top = docs.groupBy("source").agg(F.max(F.struct("size", (-F.col("doc_id")).alias("o"))).alias("m"))
-    return top.select("source", (-F.col("m.o")).alias("doc_id"), F.col("m.size").alias("size"))
+    docs = b.table(spark, sf, "documents").select("source", "doc_id", "text", F.length("text").cast("long").alias("size"))
+    best = F.struct("size", -F.col("doc_id"))
+    return docs.groupBy("source").agg(
+        F.max_by("doc_id", best).alias("doc_id"), F.max("size").alias("size"), F.max_by("text", best).alias("text"))
 
 
 # registry ids as six-character tails; well-funded customers are the known ones

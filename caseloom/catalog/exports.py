@@ -37,6 +37,20 @@ def export_graph_links(spark, sf):
     return links.select("source_id", "target_id", "evidence")
 
 
+@query("export_graph_counts", GRAPH_SQL + """, k AS (SELECT * FROM pub WHERE NOT is_protected AND score >= 60),
+l AS (SELECT kind, source_id % 3 = 0 AS inferred FROM v5 WHERE source_id IN (SELECT entity_id FROM k) AND target_id IN (SELECT entity_id FROM k))
+SELECT 'node' AS part, entity_type AS value, count(*) AS n FROM k GROUP BY 2 UNION ALL
+SELECT 'link', kind, count(*) FROM l WHERE NOT inferred GROUP BY 2""")
+def export_graph_counts(spark, sf):
+    """Counts of the export without inferred links; its links are written as well."""
+    edges = b.edges(spark, sf).withColumn("inferred", F.col("source_id") % 3 == 0)
+    nodes, links = exports.graph(guarded(spark, sf), edges, 60, inferred=False)
+    path = scratch_path(spark, "links")
+    exports.write_json(links.select("source_id", "target_id", "kind", "evidence"), path)
+    written = spark.read.schema("source_id bigint, target_id bigint, kind string, evidence bigint").json(path)
+    return exports.graph_counts(nodes, written)
+
+
 @query("export_cards", GRAPH_SQL + """, e AS (SELECT entity_id, array_to_string(list(document_id || ':' || evidence_score ORDER BY rn), ',') AS evidence FROM
  (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY evidence_score DESC, document_id, page) AS rn FROM v1) WHERE rn <= 10 GROUP BY 1),
 ok AS (SELECT entity_id FROM pub WHERE NOT is_protected),

@@ -134,6 +134,19 @@ def merge_map(spark, sf):
     return chained.filter("p IS NOT NULL").select(F.col("p_partkey").alias("dropped"), F.col("p.p_partkey").alias("kept"))
 
 
+@query("merge_aliases", using(SAME.replace("FROM part", ", p_name || ' ' || p_type AS alias FROM part"), "grown AS (SELECT root FROM same GROUP BY 1 HAVING count(*) > 1)")
+       + "SELECT DISTINCT root AS entity_id, alias FROM same WHERE root IN (SELECT root FROM grown)")
+def merge_aliases(spark, sf):
+    names = b.table(spark, sf, "part").select(F.col("p_partkey").alias("entity_id"), F.concat_ws(" ", "p_name", "p_type").alias("name"))
+    return graph.merged_aliases(names, merge_map(spark, sf))
+
+
+@query("merge_counts", using(SAME, V1) + """SELECT root AS entity_id, count(DISTINCT document_id) AS document_count,
+ count(DISTINCT (document_id, evidence_type)) AS evidence_count FROM v1 JOIN same ON id = entity_id GROUP BY 1""")
+def merge_counts(spark, sf):
+    return graph.merged_counts(b.mentions(spark, sf), merge_map(spark, sf))
+
+
 @query("merge_entities", using(SAME) + """, m AS (SELECT DISTINCT l_orderkey AS d, root AS e FROM lineitem JOIN same ON id = l_partkey
  JOIN orders ON o_orderkey = l_orderkey)
 SELECT x.e AS source_id, y.e AS target_id, count(*) AS evidence FROM m x JOIN m y ON x.d = y.d AND x.e < y.e GROUP BY 1, 2 HAVING count(*) >= 2""")

@@ -120,9 +120,6 @@ def substring_theta(spark, sf):
     return blocking.placeholder_candidates(contexts, watchlist(spark, sf), 0.3)
 
 
-ROLE_NAMES = ["customer {}", "c{}@mail.example.com", "Desk", "Oak Street"]
-
-
 @query("role_tagging", using(LETTERS) + """SELECT doc_id, k, CASE k WHEN 0 THEN 'author' WHEN 1 THEN 'recipient' WHEN 2 THEN
  'recipient' ELSE 'mentioned' END AS role FROM letters, (SELECT unnest([0, 1, 2, 3]) AS k)""")
 def role_tagging(spark, sf):

@@ -134,12 +134,18 @@ def merge_mentions(mentions: DataFrame, mapping: DataFrame) -> DataFrame:
 
 
 def merged_aliases(entities: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Survivors with the distinct names of everything merged into them."""
+    """(entity_id, alias): the distinct names of everything merged into a survivor, a row each."""
     links = mapping.select(F.col("dropped").alias("a"), F.col("kept").alias("b"))
     ids = links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     roots = components(ids, links).withColumnRenamed("id", "entity_id")
-    named = entities.join(roots, "entity_id").select(F.col("root").alias("entity_id"), "name").distinct()
-    return named.groupBy("entity_id").agg(F.array_sort(F.collect_list("name")).alias("aliases"))
+    return entities.join(roots, "entity_id").select(F.col("root").alias("entity_id"), F.col("name").alias("alias")).distinct()
+
+
+def merged_counts(mentions: DataFrame, mapping: DataFrame) -> DataFrame:
+    """(entity_id, document_count, evidence_count) counted anew after a merge, equal links once."""
+    links = merge_mentions(mentions.select("entity_id", "document_id", "evidence_type"), mapping).distinct()
+    by_document = links.groupBy("entity_id", "document_id").agg(F.count(F.lit(1)).alias("n"))
+    return by_document.groupBy("entity_id").agg(F.count(F.lit(1)).alias("document_count"), F.sum("n").alias("evidence_count"))
 
 
 def deduplicated(entities: DataFrame) -> tuple[DataFrame, DataFrame]:

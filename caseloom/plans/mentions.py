@@ -147,7 +147,7 @@ def classify(texts: DataFrame, doc: str = "doc_id", text: str = "text", stem: Co
 
 
 def priority(docs: DataFrame, watchlist: DataFrame, places: Sequence[str], terms: Sequence[str],
-             signals: Mapping[str, str] = fixed.SIGNALS, combos: Sequence[tuple[str, str]] = fixed.SIGNAL_COMBOS,
+             signals: Mapping[str, str], combos: Sequence[tuple[str, str]],
              doc: str = "doc_id") -> DataFrame:
     """0-100 per document: additive flags, at most four signals' worth, two combinations.
 

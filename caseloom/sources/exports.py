@@ -28,6 +28,13 @@ def graph(entities: DataFrame, edges: DataFrame, least: float = 0.0, inferred: b
     return nodes, inner_edges(links, nodes)
 
 
+def graph_counts(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(part, value, n): nodes per type and links per kind."""
+    per_type = nodes.groupBy(F.col("entity_type").alias("value")).agg(F.count(F.lit(1)).alias("n")).withColumn("part", F.lit("node"))
+    per_kind = links.groupBy(F.col("kind").alias("value")).agg(F.count(F.lit(1)).alias("n")).withColumn("part", F.lit("link"))
+    return per_type.unionByName(per_kind)
+
+
 def cards(entities: DataFrame, mentions: DataFrame, edges: DataFrame, evidence: int = 10, connections: int = 20,
           timeline: int = 20) -> DataFrame:
     """One nested record per unprotected entity; each list is a top-n taken before it is collected."""

@@ -49,11 +49,6 @@ def exact_copies(df: DataFrame, key: str, content: Column) -> DataFrame:
         F.min(key).alias(key), F.count(F.lit(1)).alias("copies"))
 
 
-def keep_first(df: DataFrame, key: str, content: Column) -> DataFrame:
-    """Whole rows of the first arrivals."""
-    return df.join(exact_copies(df, key, content).select(key), key, "left_semi")
-
-
 def upsert_first_wins(existing: DataFrame, incoming: DataFrame, keys: Sequence[str], fill: Sequence[str],
                       order: str, union: str | None = None) -> DataFrame:
     """Known keys keep their values; null attributes are filled by the first later value; lists are united."""
@@ -77,12 +72,5 @@ def upsert_last_wins(rows: DataFrame, key: str, version: Sequence[str], columns:
     return newest.select(key, *[F.col(f"_r.{c}").alias(c) for c in columns])
 
 
-def overwrite_version(df: DataFrame, root: str, version: int) -> str:
-    """Write a table version into a new folder; readers switch to the returned path."""
-    path = f"{root.rstrip('/')}/v{version:06d}"
-    df.write.mode("overwrite").parquet(path)
-    return path
-
-
 def append_log(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
