@@ -125,6 +125,7 @@ def thread_links(messages: DataFrame, days: int = 365) -> DataFrame:
 
 def stitch(messages: DataFrame, days: int = 365) -> DataFrame:
     """(id, root): the thread of each message, named by its lowest message. Order of arrival does not matter."""
+    messages = cut(messages, "messages")  # read by every kind of link
     return components(messages, thread_links(messages, days))
 
 
