@@ -32,7 +32,18 @@ def op1(spark, sf_dir):
         "doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-@query("op2_suffix_dedup")
+@query("op2_suffix_dedup", """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(coalesce(strlen(text), 0) AS BIGINT) AS n FROM documents),
+w AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 800)) AS k FROM d, unnest(range(n - 399)) AS r(i)),
+twice AS (SELECT k FROM w GROUP BY k HAVING count(*) > 1),
+g AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 400 THEN 0 ELSE 1 END AS opens FROM w JOIN twice USING (k)),
+u AS (SELECT doc_id, i, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g),
+s AS (SELECT doc_id, min(i) AS a, max(i) + 400 AS b FROM u GROUP BY doc_id, run),
+e AS (SELECT doc_id, a, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS kept_from, b FROM s),
+k AS (SELECT doc_id, string_agg(substr(h, 2 * kept_from + 1, 2 * (a - kept_from)), '' ORDER BY a) AS kept, max(b) AS last_b, count(*) AS n_spans, sum(b - a) AS n_removed
+ FROM e JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+ sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last_b, 0) + 1))) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)""")
 def op2(spark, sf_dir):
     return suffixdedup.digests(table(spark, sf_dir, "documents"))
 
@@ -49,7 +60,18 @@ def op4(spark, sf_dir):
         "doc_id", neardup.hexadecimal().alias("fingerprint"), "component_id")
 
 
-@query("op5_sharding")
+@query("op5_sharding", """
+WITH t AS (SELECT [list_reduce([CAST(i AS UBIGINT), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, CAST(3988292384 AS UBIGINT)) ELSE c >> 1 END)
+ FOR i IN range(256)] AS tab),
+b AS (SELECT doc_id, coalesce(source, '') AS source, CAST(coalesce(strlen(text), 0) + 16 AS BIGINT) AS size,
+ CAST(xor(list_reduce(list_concat([CAST(4294967295 AS UBIGINT)], [CAST('0x' || x AS UBIGINT) FOR x IN regexp_extract_all(hex(encode(coalesce(text, ''))), '..')]),
+  lambda c, y: xor(c >> 8, tab[CAST(xor(c, y) % 256 AS BIGINT) + 1])), CAST(4294967295 AS UBIGINT)) AS BIGINT) AS text_crc32,
+ CAST('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h FROM documents, t),
+r AS (SELECT *, (row_number() OVER (PARTITION BY source ORDER BY h, doc_id, text_crc32, size)
+  - CAST('0x' || substr(md5('17:source:' || source), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE) / count(*) OVER (PARTITION BY source) AS part FROM b),
+p AS (SELECT *, row_number() OVER (ORDER BY part, source, h, doc_id, text_crc32, size) - 1 AS place, count(*) OVER () AS n FROM r)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(place * 40 // n AS INTEGER) AS shard,
+ CAST(place - ((place * 40 // n) * n + 39) // 40 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM p""")
 def op5(spark, sf_dir):
     rows = sharding.stratified_shards(table(spark, sf_dir, "documents"), 40)
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
@@ -82,13 +104,20 @@ def op8(spark, sf_dir):
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10)
 
 
-@query("op9_chat_format")
+@query("op9_chat_format", f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+ UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, length(role) + length(text) + len(regexp_extract_all(role || ' ' || text, '{chat.CONTROL}|{chat.ESCAPE}')) + {sum(map(len, chat.MARKS))} AS shown FROM t),
+c AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
+ coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss, CAST(sum(shown) AS BIGINT) AS formatted_chars
+ FROM e GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM c""")
 def op9(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     text = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
     path = public_tokenizers.path("byte_bpe_50k.json")
-    return chat.read_back(chat.format_conversations(turns.unionByName(extra), path), path)
+    return chat.read_back(chat.format_conversations(turns.unionByName(extra), path), path).drop("n_tokens", "loss_tokens")
 
 
 @query("op10_best_fit_packing")
