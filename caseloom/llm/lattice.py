@@ -31,7 +31,7 @@ from caseloom.llm.arrays import LOWER, SLICE, WHITE, Prefix, column_bytes, look_
 from caseloom.llm.common import cut
 
 #: Bytes of text in a block, and words worked on at once.
-BLOCK = 24 << 20
+BLOCK = 32 << 20
 WORDS = 20_000
 #: Weight of the vocabulary's own scores against the counted pieces.
 PRIOR = 1000.0
@@ -43,6 +43,14 @@ class Pieces:
 
     def __init__(self, hashes: np.ndarray, numbers: np.ndarray, scores: np.ndarray, longest: int):
         self.hashes, self.numbers, self.scores, self.longest = hashes, numbers, scores, longest
+        self.maybe = np.zeros(1 << 22, bool)
+        self.maybe[(hashes >> np.uint64(42)).astype(np.int64)] = True
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which of the hashes are pieces, their places)."""
+        hit = np.flatnonzero(self.maybe[(hashes >> np.uint64(42)).astype(np.int64)])
+        place, found = look_up(self.hashes, hashes[hit])
+        return hit[found], place[found]
 
     @classmethod
     def of(cls, path: str) -> Pieces:
@@ -73,10 +81,9 @@ def _lattice(words: list[bytes], pieces: Pieces) -> Iterator[tuple[np.ndarray, i
             prefix, base, spans = Prefix(data), np.arange(len(own)) * total, []
             for end in range(1, total + 1):
                 for start in range(max(0, end - pieces.longest), end):
-                    place, found = look_up(pieces.hashes, prefix.span(base + start, base + end))
-                    hit = np.flatnonzero(found)
+                    hit, place = pieces.find(prefix.span(base + start, base + end))
                     if len(hit):
-                        spans.append((start, end, hit, place[hit]))
+                        spans.append((start, end, hit, place))
             yield own, total, spans
 
 
@@ -106,9 +113,9 @@ def expected_counts(words: list[bytes], counts: np.ndarray, pieces: Pieces) -> n
         back[total] = 0
         for start, end, hit, place in reversed(spans):
             back[start, hit] = np.logaddexp(back[start, hit], back[end, hit] + pieces.scores[place])
-        for start, end, hit, place in spans:
-            weight = np.exp(reach[start, hit] + pieces.scores[place] + back[end, hit] - reach[total, hit]) * counts[own[hit]]
-            expected += np.bincount(place, weight, minlength=len(expected))
+        weights = [np.exp(reach[start, hit] + pieces.scores[place] + back[end, hit] - reach[total, hit]) * counts[own[hit]]
+                   for start, end, hit, place in spans]
+        expected += np.bincount(np.concatenate([s[3] for s in spans]), np.concatenate(weights), minlength=len(expected))
     return expected
 
 
@@ -144,34 +151,49 @@ def _parsed(batch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
         yield low, starts, ends, first, Prefix(low).span(starts, ends), i, j
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, hash, word, n): distinct words of each block in this task, n counted in training rows."""
-    held: dict[int, list] = {}
+class _Words:
+    """Distinct words of one block and their number in training rows."""
+
+    def __init__(self):
+        self.keys, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.words: list[bytes] = []
+        self.count = np.zeros(0)
 
-    def out(block: int) -> pa.RecordBatch:
-        found = held.pop(block)
-        hashes = np.concatenate([f[0] for f in found])
-        words = [w for f in found for w in f[1]]
+    def add(self, hashes: np.ndarray, weight: np.ndarray, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> None:
         value, sample, place = np.unique(hashes, return_index=True, return_inverse=True)
-        total = np.bincount(place, np.concatenate([f[2] for f in found]), minlength=len(value)).astype(np.int64)
+        number = np.bincount(place, weight, minlength=len(value))
+        spot, known = look_up(self.keys, value)
+        self.count[self.at[spot[known]]] += number[known]
+        new = np.flatnonzero(~known)
+        keys = np.concatenate((self.keys, value[new]))
+        at = np.concatenate((self.at, len(self.words) + np.arange(len(new))))
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.at = keys[order], at[order]
+        self.words += [raw[a:b] for a, b in zip(starts[sample[new]].tolist(), ends[sample[new]].tolist())]
+        self.count = np.concatenate((self.count, number[new]))
+
+    def rows(self, block: int) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(value), block)), pa.array(value.view(np.int64)), pa.array([words[i] for i in sample.tolist()], pa.binary()), pa.array(total)],
-            names=["block", "hash", "word", "n"])
+            [pa.array(np.full(len(self.keys), block)), pa.array(self.keys.view(np.int64)), pa.array(self.words, pa.binary()).take(pa.array(self.at)),
+             pa.array(self.count[self.at].astype(np.int64))], names=["block", "hash", "word", "n"])
 
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, hash, word, n): distinct words of each block in this task, n counted in training rows."""
+    current, found = None, _Words()
     for batch in batches:
         blocks, learn = np.array(batch.column("block").to_pylist(), np.int64), ~np.array(batch.column("held_out").to_pylist(), bool)
-        for block in np.unique(blocks):
-            for other in [b for b in held if b != block]:
-                yield out(other)
+        for block in dict.fromkeys(blocks.tolist()):
+            if block != current:
+                if current is not None:
+                    yield found.rows(current)
+                current, found = block, _Words()
             own = np.flatnonzero(blocks == block)
             for low, starts, ends, first, hashes, i, j in _parsed([batch.column("packed")[int(r)].as_py() for r in own]):
                 row = np.repeat(np.arange(j - i), np.diff(first))
-                value, sample, place = np.unique(hashes, return_index=True, return_inverse=True)
-                number = np.bincount(place, learn[own[i:j]][row].astype(float), minlength=len(value))
-                raw = low.tobytes()
-                held.setdefault(int(block), []).append((value, [raw[a:b] for a, b in zip(starts[sample].tolist(), ends[sample].tolist())], number))
-    for block in list(held):
-        yield out(block)
+                found.add(hashes, learn[own[i:j]][row].astype(float), low.tobytes(), starts, ends)
+    if current is not None:
+        yield found.rows(current)
 
 
 def score(docs: DataFrame, held_out: Column, model_path: str) -> DataFrame:
