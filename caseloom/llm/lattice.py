@@ -5,7 +5,7 @@ at least one segmentation. A word is the word mark and its bytes. Its probabilit
 of the unigram probabilities of the pieces, by a forward recursion in log space; a text is its words and one end.
 
 The vocabulary's own scores (merge ranks, taken as 1 / rank) weight the segmentations of the training words; their expected piece counts
-(forward and backward, one round) over all training documents, and the vocabulary's scores as a prior worth ``PRIOR`` pieces, give the
+(forward and backward, ``rounds`` times) over all training documents, and the vocabulary's scores as a prior worth ``PRIOR`` pieces, give the
 scores that the texts are measured with. The word counts of the training documents also give a smoothed unigram baseline.
 
 Corpus counts are gathered by Spark per distinct word; each distinct word is scored once. Texts are cut in blocks of about
@@ -196,18 +196,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield found.rows(current)
 
 
-def score(docs: DataFrame, held_out: Column, model_path: str) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row of (doc_id, text)."""
-    spark = docs.sparkSession
-    texts = cut(docs.select("doc_id", held_out.alias("held_out"), "text").mapInArrow(
-        _blocks, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, block long, packed binary"), "lm-texts")
-    ends = texts.agg(F.coalesce(F.sum((~F.col("held_out")).cast("long")), F.lit(0)).alias("n")).first().n
-    local = cut(texts.mapInArrow(_count, "block long, hash long, word binary, n long"), "lm-block-words")
-    words = cut(local.groupBy("hash", "word").agg(F.sum("n").alias("n")), "lm-words")
-    totals = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum((F.col("n") > 0).cast("long")), F.lit(0)).alias("v")).first()
-    tokens, kinds = totals.n + ends, totals.v + (ends > 0)
-    given = Pieces.of(model_path)
-    sent = spark.sparkContext.broadcast((given.hashes, given.numbers, given.scores, given.longest))  # one entry a vocabulary piece
+def _learn(counted: DataFrame, given: Pieces, scores: np.ndarray, ends: int) -> tuple[np.ndarray, float]:
+    """(weight of each piece, sum with the end's) after one round of expected counts of (word, n) under ``scores``."""
+    sent = counted.sparkSession.sparkContext.broadcast((given.hashes, given.numbers, scores, given.longest))  # one entry a piece
 
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, found = Pieces(*sent.value), None
@@ -220,11 +211,27 @@ def score(docs: DataFrame, held_out: Column, model_path: str) -> DataFrame:
             used = np.flatnonzero(found)
             yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(found[used])], names=["piece", "n"])
 
-    counted = words.filter("n > 0").select("word", "n").mapInArrow(expect, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).toPandas()
+    sums = counted.mapInArrow(expect, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).toPandas()
     number = PRIOR * np.exp(given.scores)
-    number[counted.piece.to_numpy(np.int64)] += counted.n.to_numpy()
-    whole = number.sum() + ends + 1
-    learnt = spark.sparkContext.broadcast((given.hashes, given.numbers, np.log(number / whole), given.longest))
+    number[sums.piece.to_numpy(np.int64)] += sums.n.to_numpy()
+    return number, number.sum() + ends + 1
+
+
+def score(docs: DataFrame, held_out: Column, model_path: str, rounds: int = 2) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row of (doc_id, text)."""
+    spark = docs.sparkSession
+    texts = cut(docs.select("doc_id", held_out.alias("held_out"), "text").mapInArrow(
+        _blocks, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, block long, packed binary"), "lm-texts")
+    ends = texts.agg(F.coalesce(F.sum((~F.col("held_out")).cast("long")), F.lit(0)).alias("n")).first().n
+    local = cut(texts.mapInArrow(_count, "block long, hash long, word binary, n long"), "lm-block-words")
+    words = cut(local.groupBy("hash", "word").agg(F.sum("n").alias("n")), "lm-words")
+    totals = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum((F.col("n") > 0).cast("long")), F.lit(0)).alias("v")).first()
+    tokens, kinds = totals.n + ends, totals.v + (ends > 0)
+    given = Pieces.of(model_path)
+    counted, number = words.filter("n > 0").select("word", "n"), None
+    for _ in range(rounds):
+        number, whole = _learn(counted, given, given.scores if number is None else np.log(number / whole), ends)
+    learnt = spark.sparkContext.broadcast((given.hashes, given.numbers, np.log(number / whole), given.longest))  # one entry a piece
     end_score, smooth = np.log10((ends + 1) / whole), tokens + 0.1 * (kinds + 1)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
