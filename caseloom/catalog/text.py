@@ -83,19 +83,19 @@ def hint(kind, parts):
 
 
 CLASSIFY = using(LETTERS, CORPUS) + f""", t AS (SELECT doc_id, text, lower(text) AS low, lower({STEMS}[doc_id % 6 + 1]) AS stem FROM corpus),
-u AS (SELECT *, {n_matches(mentions.HEADER)} AS h, len(list_distinct(list_transform(regexp_extract_all(text, '{fixed.EMAIL}'), lambda x: lower(x)))) AS ad,
- {n_matches(mentions.QUESTION)} AS qa FROM t),
+u AS (SELECT *, {n_matches(fixed.HEADER)} AS h, len(list_distinct(list_transform(regexp_extract_all(text, '{fixed.EMAIL}'), lambda x: lower(x)))) AS ad,
+ {n_matches(fixed.QUESTION)} AS qa FROM t),
 s AS (SELECT doc_id, [
  {pts('h >= 1', 20)} + {pts('h >= 2', 25)} + {pts('h >= 4', 20)} + {pts('ad >= 2', 18)} + {pts('ad >= 4', 10)}
- + {pts(f"regexp_matches(text, '{sq(mentions.FORWARD)}')", 12)} + {pts(f"regexp_matches(text, '{sq(mentions.REPLY)}')", 12)}
- + {pts(f"regexp_matches(text, '{sq(mentions.FROM_NAME)}')", 8)} + {pts(f"regexp_matches(text, '{sq(mentions.TO_NAME)}')", 8)}
+ + {pts(f"regexp_matches(text, '{sq(fixed.FORWARD)}')", 12)} + {pts(f"regexp_matches(text, '{sq(fixed.REPLY)}')", 12)}
+ + {pts(f"regexp_matches(text, '{sq(fixed.FROM_NAME)}')", 8)} + {pts(f"regexp_matches(text, '{sq(fixed.TO_NAME)}')", 8)}
  + {pts("contains(stem, 'mail') OR stem LIKE '%.eml' OR stem LIKE '%.msg'", 10)} + {keyword_points('email')},
  CASE WHEN qa >= 5 THEN 50 WHEN qa >= 2 THEN 25 ELSE 0 END + {hint('deposition', ['depo'])} + {keyword_points('deposition')},
  {pts(f"regexp_matches(text, '{fixed.REGISTRY_ID}')", 15)} + {hint('flight_log', ['flight', 'log', 'manifest'])} + {keyword_points('flight_log')},
  {hint('financial', ['invoice', 'bank', 'financial'])} + {keyword_points('financial')},
  {hint('court_filing', ['motion', 'order', 'filing'])} + {keyword_points('court_filing')},
  {keyword_points('letter')}, {keyword_points('memo')}] AS p FROM u)
-SELECT doc_id, CASE WHEN list_max(p) = 0 THEN 'unknown' ELSE {mentions.ORDER}[list_position(p, list_max(p))] END AS doc_type, list_max(p) AS points,
+SELECT doc_id, CASE WHEN list_max(p) = 0 THEN 'unknown' ELSE {fixed.TYPE_ORDER}[list_position(p, list_max(p))] END AS doc_type, list_max(p) AS points,
  round(least(list_max(p) / 80.0, 1), 3)::DOUBLE AS confidence FROM s"""
 
 

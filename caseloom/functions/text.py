@@ -173,12 +173,10 @@ def email_fields(df: DataFrame, text: str) -> DataFrame:
     step = step.withColumn("from_address", F.coalesce("_own", F.get("_seen", F.lit(0)))).withColumn(
         "_listed", _addresses(F.col("_to_v")))
     bare = F.regexp_replace(F.replace(F.col("_from_v"), F.col("_own"), F.lit("")), "^[ <>\t\"']+|[ <>\t\"']+$", "")
-    hint = r"(?i)(?:^|\n)\s*((?:Re|FW|Fwd)\s*:\s*[^\n]+)"
-    day = r"(?i)(?:^|\n)\s*((?:Mon|Tue|Wed|Thu|Fri|Sat|Sun)[a-z]*,?\s+\w+\s+\d{1,2},?\s+\d{4}[^\n]*)"
     start = F.col("_start")
     return step.select(
         *df.columns, F.coalesce(F.when(F.col("_own").isNotNull(), bare), "_from_v", "from_address").alias("from_name"), "from_address",
         F.when((F.size("_listed") == 0) & (F.size("_seen") > 1), F.slice("_seen", F.lit(2), F.size("_seen") - 1)).otherwise(F.col("_listed")).alias("to"),
-        _addresses(F.col("_cc_v")).alias("cc"), F.coalesce("_subject_v", _first(hint, "_win")).alias("subject"),
-        F.coalesce("_date_v", _first(day, "_win")).alias("date"),
+        _addresses(F.col("_cc_v")).alias("cc"), F.coalesce("_subject_v", _first(fixed.SUBJECT_HINT, "_win")).alias("subject"),
+        F.coalesce("_date_v", _first(fixed.DAY_HINT, "_win")).alias("date"),
         F.when(start > 1, F.regexp_replace(F.substr(F.col(text), start), r"^\s+|\s+$", "")).otherwise(F.col(text)).alias("body"))

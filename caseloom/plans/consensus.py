@@ -15,9 +15,6 @@ from caseloom.operators.skew import spread
 from caseloom.operators.windows import top_per_key
 
 ANY_HEADER = r"(?i)===\s*(?:" + "|".join(fixed.SECTIONS.values()) + r")\s*==="
-GAP_HEADER = r"(?im)^\s*REDACTION\s*#?\s*\d+[^\n]*"
-ARROW = r"^\[(.+?)\]\s*[-—]+\s*(\w[\w\s]*\w?)\s*[-—]+\s*\[(.+?)\]"
-CANDIDATE = r"^(\d+)\.\s*(.+?)\s*\((\d+)%?\)\s*[-:]\s*(.*)"
 FEWEST = {"entities": 1, "timeline": 2, "locations": 2, "financial": 2, "evidence_scores": 2, "career_roles": 1}
 WIDTH = {"entities": 4, "timeline": 4, "locations": 4, "financial": 6, "evidence_scores": 4, "career_roles": 7}
 
@@ -57,9 +54,9 @@ def section_records(responses: DataFrame, key: str, text: str) -> DataFrame:
         key, "section", F.posexplode(F.filter(stripped, lambda x: x != "")).alias("pos", "line"))
     cells = F.transform(F.split("line", r"\|"), lambda c: _strip(c))
     size = F.size("c")
-    arrow = F.col("line").rlike(ARROW)
+    arrow = F.col("line").rlike(fixed.ARROW)
     quote = F.regexp_extract("line", r'(?i)evidence:\s*"(.*?)"', 1)
-    drawn = F.array(*[_strip(F.regexp_extract("line", ARROW, i)) for i in (1, 2, 3)], F.nullif(quote, F.lit("")))
+    drawn = F.array(*[_strip(F.regexp_extract("line", fixed.ARROW, i)) for i in (1, 2, 3)], F.nullif(quote, F.lit("")))
     number = F.regexp_extract(F.get("c", F.lit(1)), r"\d+", 0)
     score = F.when(number != "", number).otherwise("0")
     empty = F.lit("")
@@ -86,13 +83,13 @@ def section_records(responses: DataFrame, key: str, text: str) -> DataFrame:
 
 def gap_candidates(parts: DataFrame, key: str) -> DataFrame:
     """Numbered candidates below each gap header; a header without candidates leaves no record."""
-    body = F.split("body", GAP_HEADER)
-    blocks = F.arrays_zip(find_all(F.col("body"), GAP_HEADER).alias("h"), F.slice(body, F.lit(2), F.size(body)).alias("b"))
+    body = F.split("body", fixed.GAP_HEADER)
+    blocks = F.arrays_zip(find_all(F.col("body"), fixed.GAP_HEADER).alias("h"), F.slice(body, F.lit(2), F.size(body)).alias("b"))
     rows = parts.filter("section = 'redaction_inferences'").select(key, "section", F.explode(blocks).alias("z")).select(
         key, "section", F.regexp_extract("z.h", r"(?i)REDACTION\s*#?\s*(\d+)", 1).alias("i"),
         F.regexp_extract("z.h", r'(?i)context:\s*"(.*?)"', 1).alias("ctx"), F.posexplode(F.split("z.b", "\n")).alias("pos", "line"))
-    rows = rows.withColumn("line", _strip(F.col("line"))).filter(F.col("line").rlike(CANDIDATE))
-    named = [_strip(F.regexp_extract("line", CANDIDATE, i)) for i in (1, 2, 3, 4)]
+    rows = rows.withColumn("line", _strip(F.col("line"))).filter(F.col("line").rlike(fixed.CANDIDATE))
+    named = [_strip(F.regexp_extract("line", fixed.CANDIDATE, i)) for i in (1, 2, 3, 4)]
     return rows.select(key, "section", "pos", F.array("i", "ctx", *named).alias("fields"))
 
 

@@ -99,28 +99,19 @@ def entity_table(found: DataFrame, doc: str = "doc_id") -> DataFrame:
         "canonical", "entity_type", "document_count", F.col(f"m.{doc}").alias("first_doc"), F.col("m.name").alias("name"))
 
 
-HEADER = r"(?im)(?:^|\n)\s*(?:From|To|Subject|Date|Sent|CC|BCC|Reply-To|Message-ID)\s*(?::|-)\s*[^\n]+"
-FORWARD = r"(?im)(?:^|\n)\s*(?:On [^\n]+ wrote:|[-]{2,}\s*Original Message\s*[-]{2,}|Forwarded message)"
-REPLY = r"(?im)(?:^|\n)\s*Subject\s*(?::|-)\s*(?:re|fw|fwd)\s*:"
-FROM_NAME = r"(?im)(?:^|\n)\s*From\s+[^\n]+<[^>]+>"
-TO_NAME = r"(?im)(?:^|\n)\s*To\s+[^\n]+<[^>]+>"
-QUESTION = r"(?m)(?:^|\n)\s*[QA]\.\s+"
-ORDER = ["email", "deposition", "flight_log", "financial", "court_filing", "letter", "memo"]
-
-
 def type_scores(text: Column, stem: Column | None = None) -> dict[str, Column]:
     """Points per document type from structure, keywords, registry ids and the file name."""
     def when(test, points):
         return F.when(test, points).otherwise(0)
 
     low = F.lower(text)
-    headers = F.size(find_all(text, HEADER))
+    headers = F.size(find_all(text, fixed.HEADER))
     addresses = F.size(F.array_distinct(F.transform(find_all(text, fixed.EMAIL), lambda a: F.lower(a))))
-    asked = F.size(find_all(text, QUESTION))
+    asked = F.size(find_all(text, fixed.QUESTION))
     points = {
         "email": when(headers >= 1, 20) + when(headers >= 2, 25) + when(headers >= 4, 20) + when(addresses >= 2, 18)
-        + when(addresses >= 4, 10) + when(text.rlike(FORWARD), 12) + when(text.rlike(REPLY), 12)
-        + when(text.rlike(FROM_NAME), 8) + when(text.rlike(TO_NAME), 8),
+        + when(addresses >= 4, 10) + when(text.rlike(fixed.FORWARD), 12) + when(text.rlike(fixed.REPLY), 12)
+        + when(text.rlike(fixed.FROM_NAME), 8) + when(text.rlike(fixed.TO_NAME), 8),
         "deposition": F.when(asked >= 5, 50).when(asked >= 2, 25).otherwise(0),
         "flight_log": when(text.rlike(fixed.REGISTRY_ID), 15),
     }
@@ -138,7 +129,7 @@ def classify(texts: DataFrame, doc: str = "doc_id", text: str = "text", stem: Co
     texts = spread(texts, doc)
     points = type_scores(F.col(text), stem)
     scored = texts.withColumn("_p", F.array(*[
-        F.struct(points[k].alias("s"), F.lit(-i).alias("o"), F.lit(k).alias("k")) for i, k in enumerate(ORDER)]))
+        F.struct(points[k].alias("s"), F.lit(-i).alias("o"), F.lit(k).alias("k")) for i, k in enumerate(fixed.TYPE_ORDER)]))
     best = scored.withColumn("_b", F.array_max("_p")).drop("_p")
     some = F.col("_b.s") > 0
     return best.select(
