@@ -31,14 +31,18 @@ def phrase_words(phrase: str) -> str:
     return " ".join("".join(ch if ch.isalnum() else " " for ch in plain).split())
 
 
-def tokens(c: Column) -> Column:
-    return F.filter(F.split(token_text(c), " "), lambda w: w != "")
+def phrase_pattern(words: str) -> str:
+    """Matches lower-case text where ``words`` (from ``phrase_words``) follow each other, with any accents."""
+    def letter(ch: str) -> str:
+        accented = "".join(a for a, base in zip(_ACCENTED, _BASE) if base == ch)
+        return f"[{ch}{accented}]" if accented else ch
+
+    between = r"[^\p{L}\p{N}]+".join("".join(map(letter, word)) for word in words.split())
+    return rf"(?<![\p{{L}}\p{{N}}]){between}(?![\p{{L}}\p{{N}}])"
 
 
-def has_phrase(c: Column, phrase: Column) -> Column:
-    """The words of ``phrase`` occur next to each other, in order."""
-    pad = F.lit(" ")
-    return F.contains(F.concat(pad, token_text(c), pad), F.concat(pad, phrase, pad))
+def tokens(c: Column) -> Column:
+    return F.filter(F.split(token_text(c), " "), lambda w: w != "")
 
 
 def clean_body(c: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caseloom.functions.text import has_phrase, phrase_words, token_text
+from caseloom.functions.text import phrase_pattern, phrase_words, token_text
 
 
 def where_all(df: DataFrame, equal: Mapping | None = None, at_least: Mapping | None = None,
@@ -31,7 +31,7 @@ def phrase_hits(df: DataFrame, text: str, phrase: str) -> DataFrame:
     """Rows with the words of the phrase in sequence; a phrase without words is matched literally."""
     words = phrase_words(phrase)
     if words:
-        return df.filter(has_phrase(F.col(text), F.lit(words)))
+        return df.filter(F.lower(text).rlike(phrase_pattern(words)))
     return df.filter(contains_literal(F.col(text), phrase))
 
 
