@@ -34,6 +34,8 @@ TILE = 1024
 ROW = "_near_row"
 #: Postings in one task's bucket, about.
 BUCKET = 20_000
+#: Postings that one task makes, about.
+SPREAD = 1_000_000
 
 
 def fingerprint(text: str | None, words: int = 4) -> int:
@@ -121,7 +123,8 @@ def links(distinct: DataFrame, distance: int = 4) -> DataFrame:
     least = 8 - distance
     masks = [sum(0xFF << (8 * p) for p in chosen) for chosen in combinations(range(8), least)]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    posted = distinct.select("fp", F.explode(F.array(*(
+    parts = max(1, -(-distinct.count() * len(masks) // SPREAD))
+    posted = distinct.repartition(parts, "fp").select("fp", F.explode(F.array(*(
         F.struct(F.lit(i).cast("int").alias("choice"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("entry"))
         for i, m in enumerate(signed)))).alias("e")).select("e.choice", "e.entry", "fp")
     lengths = posted.groupBy("choice", "entry").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
