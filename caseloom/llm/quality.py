@@ -113,7 +113,7 @@ def descend(rows: pd.DataFrame, dims: int = 8, epochs: int = 8, rate: float = 1.
     return Model(table @ (output[:, 1] - output[:, 0]), float(bias[1] - bias[0]))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows_per_label: int = 2_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows_per_label: int = 1_000) -> Model:
     """Learn ``label`` (0 or 1) of at most ``rows_per_label`` labelled documents of each label.
 
     Ids are sampled first, so that only the sampled texts leave the scan; the sample is what is broadcast.
