@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from caseloom.operators.skew import bucketed_before, bucketed_neighbours, bucketed_rank
 
 DAY = 86_400_000_000  # microseconds
+BLOCK = 1 << 16  # ids of one bucket where ids give the order
 
 
 def top_per_key(df: DataFrame, key: str, order: Sequence[Column], n: int) -> DataFrame:
@@ -23,8 +24,9 @@ def month_bucket(c: str) -> Column:
 
 
 def thread_positions(messages: DataFrame) -> DataFrame:
-    """1-based place by date inside the thread, undated messages last."""
-    return bucketed_rank(messages.withColumn("_m", month_bucket("sent_at")), ["thread_id"], "_m",
+    """1-based place by date inside the thread, undated messages last, in blocks of their ids."""
+    block = F.when(F.col("sent_at").isNull(), F.floor(F.col("message_id") / BLOCK)).otherwise(0)
+    return bucketed_rank(messages.withColumn("_m", F.struct(month_bucket("sent_at").alias("m"), block.alias("b"))), ["thread_id"], "_m",
                          [F.asc_nulls_last("sent_at"), F.asc("message_id")], out="position").drop("_m")
 
 
@@ -92,8 +94,10 @@ def time_clusters(members: DataFrame, at_least: int = 3) -> DataFrame:
     return found.filter(F.col("entity_count") >= at_least).withColumnRenamed("start", "date_start")
 
 
-def neighbour_ids(df: DataFrame, key: str, width: int = 1 << 20) -> DataFrame:
-    """Previous and next id of every row, over the whole table, by id ranges."""
+def neighbour_ids(df: DataFrame, key: str, rows: int = 1 << 17) -> DataFrame:
+    """Previous and next id of every row, over the whole table, by id ranges of about ``rows`` rows, however sparse ids are."""
+    size = df.agg(F.count(key).alias("n"), F.min(key).alias("a"), F.max(key).alias("z")).first()
+    width = max(1, (size.z - size.a + 1) * rows // size.n) if size.n else 1
     ids = df.select(key, F.floor(F.col(key) / width).alias("_b"))
     rows = bucketed_neighbours(ids, [], "_b", [key], [], prev="_p", following="_n")
     return rows.select(key, F.col(f"_p.{key}").alias("prev_id"), F.col(f"_n.{key}").alias("next_id"))
@@ -112,10 +116,10 @@ def first_mentions(df: DataFrame, document: str, canonical: str, position: str)
 
 
 def decay_ranks(evidence: DataFrame) -> DataFrame:
-    """0-based rank of positive evidence of an entity, best first; equal scores form the buckets."""
-    kept = evidence.filter(F.col("evidence_score") > 0)
-    ranked = bucketed_rank(kept, ["entity_id"], "evidence_score", [F.asc("document_id"), F.asc("page")], out="rn",
-                           descending=True)
+    """0-based rank of positive evidence of an entity, best first; buckets are blocks of document ids of one score."""
+    kept = evidence.filter(F.col("evidence_score") > 0).withColumn(
+        "_b", F.struct((-F.col("evidence_score")).alias("s"), F.floor(F.col("document_id") / BLOCK).alias("d")))
+    ranked = bucketed_rank(kept, ["entity_id"], "_b", [F.asc("document_id"), F.asc("page")], out="rn").drop("_b")
     return ranked.withColumn("decay_rank", F.col("rn") - 1).drop("rn")
 
 
