@@ -7,6 +7,7 @@ from caseloom.catalog.joins import WATCH, watchlist
 from caseloom.catalog.registry import query
 from caseloom.catalog.scalars import URL_SQL
 from caseloom.catalog.views import V8, using
+from caseloom.operators import windows
 from caseloom.session import scratch_path
 from caseloom.streaming import jobs
 
@@ -43,6 +44,16 @@ def stream_activity(spark, sf):
     return daily.select("user_id", b.day("day").alias("day"), "n")
 
 
+@query("stream_spikes", """WITH d AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY 1, 2),
+s AS (SELECT *, avg(n) OVER w AS mean, stddev_samp(n) OVER w AS sd, sum(n) OVER w AS t, count(*) OVER w AS k FROM d WINDOW w AS (PARTITION BY user_id))
+SELECT user_id, day, n, round((n - mean) / sd, 4)::DOUBLE AS z FROM s WHERE t >= 3 AND k >= 2 AND sd > 0 AND (n - mean) / sd >= 2.0""")
+def stream_spikes(spark, sf):
+    """Days that stand out, from the counts that the stream keeps."""
+    daily = jobs.stream_activity(arrivals(spark, sf, "events").select("user_id", "ts"), "user_id", "ts", scratch_path(spark, "spikes"))
+    found = windows.count_spikes(daily.withColumn("day", b.day("day")), ["user_id"], "day", 2.0, 3)
+    return found.select("user_id", "day", "n", F.round("z", 4).alias("z"))
+
+
 @query("stream_dedup", "SELECT DISTINCT user_id, event_type, strftime(ts, '%Y-%m-%d') AS day FROM events")
 def stream_dedup(spark, sf):
     events = arrivals(spark, sf, "events").select("user_id", "event_type", "ts", F.date_format("ts", "yyyy-MM-dd").alias("day"))

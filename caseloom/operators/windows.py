@@ -65,9 +65,15 @@ def spikes(events: DataFrame, keys: Sequence[str], at: str, z: float, min_events
     keys = list(keys)
     monthly = events.filter(F.col(at).isNotNull()).groupBy(*keys, F.date_format(at, "yyyy-MM").alias("month")).agg(
         F.count(F.lit(1)).alias("n"))
+    return count_spikes(monthly, keys, "month", z, min_events)
+
+
+def count_spikes(counts: DataFrame, keys: Sequence[str], period: str, z: float, min_events: int) -> DataFrame:
+    """Periods whose count ``n`` lies at least ``z`` sample deviations above the mean of the key's periods."""
+    keys = list(keys)
     per_key = Window.partitionBy(*keys)
-    scored = monthly.select(
-        *keys, "month", "n", F.avg("n").over(per_key).alias("mean"), F.stddev_samp("n").over(per_key).alias("sd"),
+    scored = counts.select(
+        *keys, period, "n", F.avg("n").over(per_key).alias("mean"), F.stddev_samp("n").over(per_key).alias("sd"),
         F.sum("n").over(per_key).alias("_t"), F.count(F.lit(1)).over(per_key).alias("_k"))
     kept = scored.filter((F.col("_t") >= min_events) & (F.col("_k") >= 2) & (F.col("sd") > 0))
     return kept.withColumn("z", (F.col("n") - F.col("mean")) / F.col("sd")).filter(F.col("z") >= z).drop("_t", "_k")
