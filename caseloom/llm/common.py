@@ -11,6 +11,10 @@ from caseloom.session import cut
 __all__ = ["bounded_sample", "cut", "fold", "row_key", "table", "with_fields"]
 
 
+#: Values of a stratum whose counts are sent to the tasks.
+MOST_STRATA = 10_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -34,7 +38,9 @@ def bounded_sample(rows: DataFrame, stratum: str, order: Column, bound: int) ->
     from pyspark.sql import Window
 
     marked = rows.withColumn("_h", F.pmod(order, F.lit(1 << 40)))
-    counts = rows.groupBy(stratum).agg(F.count(F.lit(1)).alias("_n"))
+    counts = cut(rows.groupBy(stratum).agg(F.count(F.lit(1)).alias("_n")), "strata")
+    if counts.count() <= MOST_STRATA:
+        counts = F.broadcast(counts)  # so that rows are thinned out where they are read
     share = F.lit(float(1 << 40)) * (1.3 * bound + 50) / F.col("_n")
     passed = marked.join(counts, stratum).filter(F.col("_h") < share)
     rank = F.row_number().over(Window.partitionBy(stratum).orderBy("_h"))
