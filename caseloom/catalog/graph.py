@@ -249,6 +249,15 @@ def rebuild_graph(spark, sf):
     return union
 
 
+@query("rebuild_graph_edges", using(V1, V3, V5, OBS, TRANSITIVE) + """SELECT source_id, target_id, kind, count(DISTINCT document_id) AS evidence,
+ max(CASE kind WHEN 'emailed' THEN 0.9 WHEN 'flew_with' THEN 0.95 WHEN 'financially_linked' THEN 0.8 ELSE 0.6 END::DOUBLE) AS confidence,
+ false AS inferred FROM obs GROUP BY 1, 2, 3
+UNION ALL SELECT source_id, target_id, 'transitively_linked', 0, round(1.0::DOUBLE / degrees, 2), true FROM trans""")
+def rebuild_graph_edges(spark, sf):
+    seen = aggs.merge_edges(graph.document_edges(b.mentions(spark, sf), **b.TYPES))
+    return graph.written_back(seen, graph.transitive_links(b.edges(spark, sf), entities=b.entities(spark, sf)))
+
+
 def rebuild(spark, sf):
     """Scores, edges and all detectors over shared written tables."""
     links = evidence_links(spark, sf)

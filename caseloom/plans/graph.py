@@ -112,6 +112,14 @@ def transitive_links(edges: DataFrame, strong: float = 2.0, hops: int = 3, entit
     return found.distinct().withColumn("confidence", F.round(F.lit(1.0) / F.col("degrees"), 2))
 
 
+def written_back(edges: DataFrame, transitive: DataFrame) -> DataFrame:
+    """Merged edges with the links that the detectors infer, as edges of their own kind."""
+    inferred = transitive.select(
+        "source_id", "target_id", F.lit("transitively_linked").alias("kind"), F.lit(0).cast("long").alias("evidence"), "confidence",
+        F.lit(True).alias("inferred"))
+    return edges.select("source_id", "target_id", "kind", "evidence", "confidence", "inferred").unionByName(inferred)
+
+
 def cluster_edges(members: DataFrame, at_least: int = 3) -> DataFrame:
     """Inferred edges among the entities of each time cluster: clusters shared, lowest document."""
     big = members.groupBy("start").agg(F.countDistinct("entity_id").alias("n"), F.min("document_id").alias("doc")).filter(
