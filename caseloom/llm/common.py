@@ -8,13 +8,24 @@ from pyspark.sql import types as T
 
 from caseloom.session import cut
 
-__all__ = ["bounded_sample", "cut", "fold", "row_key", "table", "with_fields"]
+__all__ = ["bounded_sample", "cut", "fold", "row_key", "short_batches", "table", "with_fields"]
 
 
 #: Values of a stratum whose counts are sent to the tasks.
 MOST_STRATA = 10_000
 
 
+#: Rows of an Arrow batch; texts are long, and a batch is held in a task's memory on both sides.
+BATCH_ROWS = 1_000
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Job setting of the queries and the pipeline: Arrow batches of at most ``BATCH_ROWS`` rows in this session."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

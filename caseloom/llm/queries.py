@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from caseloom.llm import chat, decontaminate, language, lattice, neardup, packing, quality, sharding, suffixdedup, topk
-from caseloom.llm.common import fold, table
+from caseloom.llm.common import fold, short_batches, table
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
@@ -16,7 +16,11 @@ ORACLES: dict[str, str] = {}
 
 def query(key: str, sql: str | None = None):
     def keep(fn):
-        QUERIES[key] = fn
+        def run(spark, sf_dir):
+            short_batches(spark)
+            return fn(spark, sf_dir)
+
+        QUERIES[key] = run
         if sql:
             ORACLES[key] = sql
         return fn

@@ -40,7 +40,7 @@ from caseloom.llm.arrays import SLICE, Prefix, column_bytes
 from caseloom.llm.common import cut, row_key, with_fields
 
 #: Bytes of blocks sorted by one task at once, and most blocks of one anchor string in a list.
-SORTED_BYTES = 8 << 20
+SORTED_BYTES = 2 << 20
 MOST_BLOCKS = 4096
 #: Columns beside those of the input, by names that it will not have.
 KEY, PACKED, RUNS, NULL = "_repeat_key", "_repeat_packed", "_repeat_runs", "_repeat_null"
