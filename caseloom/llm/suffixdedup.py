@@ -287,12 +287,11 @@ def repeated_windows(docs: DataFrame, texts: DataFrame, length: int = 400, gram:
         F.count(F.lit(1)).alias("n"),
         ((F.min("ua") != F.max("ua")) | (F.min("ub") != F.max("ub"))).alias("several")).filter("n > 1"), "repeated-strings")
     met = cut(found.join(strings.select(*STRING, "several"), STRING), "met-anchors")
-    whole = met.filter("not several").select("key", F.col("low").alias("first"), F.col("high").alias("last"))
-    mixed = met.filter("several")
-    blocks = cut(mixed.groupBy(*BLOCK).agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "place", "low", "high")).alias("at")), "blocks")
-    parts = blocks.groupBy(*STRING).agg(F.greatest(F.lit(1), F.least(F.lit(length), F.ceil(F.count(F.lit(1)) / MOST_BLOCKS))).cast("int").alias("parts"))
-    wanted = blocks.join(parts, STRING).groupBy("at.key").agg(F.collect_list(F.struct(*BLOCK, "at.place", "at.low", "at.high", "parts")).alias("wanted"))
+    blocks = cut(met.groupBy(*BLOCK).agg(
+        F.count(F.lit(1)).alias("n"), F.max("several").alias("several"), F.min(F.struct("key", "place", "low", "high")).alias("at")), "blocks")
+    mixed = blocks.filter("several")
+    parts = mixed.groupBy(*STRING).agg(F.greatest(F.lit(1), F.least(F.lit(length), F.ceil(F.count(F.lit(1)) / MOST_BLOCKS))).cast("int").alias("parts"))
+    wanted = mixed.join(parts, STRING).groupBy("at.key").agg(F.collect_list(F.struct(*BLOCK, "at.place", "at.low", "at.high", "parts")).alias("wanted"))
     cut_out = cut(texts.join(wanted, "key").select("key", "packed", "wanted").mapInArrow(_blocks(length), BLOCKS), "block-bytes")
     size = cut_out.agg(F.coalesce(F.sum(F.length("block")), F.lit(0)).alias("n")).first().n
     buckets = max(1, -(-size // SORTED_BYTES))
@@ -300,9 +299,8 @@ def repeated_windows(docs: DataFrame, texts: DataFrame, length: int = 400, gram:
         _sort_blocks(length), "ga long, gb long, ua long, ub long, first int, last int")
     again = cut(runs, "block-runs").join(blocks.filter("n = 1").select(*BLOCK), BLOCK, "left_semi")  # copies of a block repeat whole
     copies = blocks.filter("n > 1").select(*BLOCK, (F.col("at.place") - F.col("at.low")).alias("first"), (F.col("at.place") - F.col("at.high")).alias("last"))
-    back = mixed.join(again.unionByName(copies), BLOCK).select(
+    return met.join(again.unionByName(copies), BLOCK).select(
         "key", (F.col("place") - F.col("first")).alias("first"), (F.col("place") - F.col("last")).alias("last"))
-    return whole.unionByName(back)
 
 
 def _spans(runs: list[dict], length: int) -> list[tuple[int, int]]:
