@@ -151,6 +151,18 @@ def _parsed(batch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
         yield low, starts, ends, first, Prefix(low).span(starts, ends), i, j
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of about ``WORDS`` rows, however short those are that arrive; words of one length are worked on together."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= WORDS:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 class _Words:
     """Distinct words of one block and their number in training rows."""
 
@@ -202,7 +214,7 @@ def _learn(counted: DataFrame, given: Pieces, scores: np.ndarray, ends: int) ->
 
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, found = Pieces(*sent.value), None
-        for batch in batches:
+        for batch in _gathered(batches):
             for k in range(0, batch.num_rows, WORDS):
                 part = batch.slice(k, WORDS)
                 own = expected_counts(part.column("word").to_pylist(), np.array(part.column("n"), float), pieces)
@@ -236,7 +248,7 @@ def score(docs: DataFrame, held_out: Column, model_path: str, rounds: int = 2) -
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(*learnt.value)
-        for batch in batches:
+        for batch in _gathered(batches):
             for k in range(0, batch.num_rows, WORDS):
                 part = batch.slice(k, WORDS)
                 yield pa.RecordBatch.from_arrays([part.column("hash"), part.column("n"), pa.array(word_scores(part.column("word").to_pylist(), pieces) / np.log(10))],
