@@ -155,6 +155,48 @@ def test_keep_one(odd, none):
     assert neardup.keep_one(none).count() == 0 and neardup.near_duplicates(none).count() == 0
 
 
+def slow_similar(texts, similarity=0.8):
+    """Component of each text by exact Jaccard of five-word shingles; pairs meet on the rarest shingles, one of which any such pair shares."""
+    sets = []
+    for t in texts:
+        words = (t or "").encode().lower().split()
+        sets.append({b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    counts = collections.Counter(s for own in sets for s in own)
+    lists, root, links = collections.defaultdict(list), list(range(len(sets))), []
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, own in enumerate(sets):
+        rarest = sorted(own, key=lambda s: (counts[s], s))[: len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1] if own else [b""]
+        for j in {j for s in rarest for j in lists[s]}:
+            if own == sets[j] or own and sets[j] and len(own & sets[j]) / len(own | sets[j]) >= similarity:
+                links.append((j, i))
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+        for s in rarest:
+            lists[s].append(i)
+    return [find(i) for i in range(len(sets))], links
+
+
+def test_keep_one_by_jaccard(spark):
+    """Edited copies, which differ in more bits than a link of fingerprints allows, go; every kept row is one of each true component."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    base = [" ".join(f"w{k}x{i}" for i in range(200)) for k in range(3)]
+    edited = [(900_000 + k, base[k]) for k in range(3)] + [
+        (910_000 + 100 * k + e, " ".join("new" if i in (e, e + 50, e + 100) else w for i, w in enumerate(base[k].split()))) for k in range(3) for e in range(20)]
+    far = [bin(neardup.fingerprint(t) ^ neardup.fingerprint(base[(i - 910_000) // 100])).count("1") for i, t in edited[3:]]
+    assert max(far) > 4
+    df = rows.unionByName(spark.createDataFrame(edited, "doc_id long, text string"))
+    given = sorted(df.collect())
+    names, _ = slow_similar([r.text for r in given])
+    want = [given[i].doc_id for i in sorted(set(names))]
+    assert sorted(r.doc_id for r in neardup.keep_one(df).collect()) == want
+    assert not {i for i, _ in edited[3:]} & set(want)
+
+
 def test_quality_held_out(spark, docs):
     big = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
