@@ -36,7 +36,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caseloom.llm.arrays import SLICE, Prefix, column_bytes
+from caseloom.llm.arrays import SLICE, WHITE, Prefix, column_bytes
+from caseloom.llm.arrays import runs as runs_of
 from caseloom.llm.common import cut, row_key, with_fields
 
 #: Bytes of blocks sorted by one task at once, and most blocks of one anchor string in a list.
@@ -348,9 +349,19 @@ def digests(docs: DataFrame, length: int = 400, gram: int = 200) -> DataFrame:
         work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def without_repeats(docs: DataFrame, length: int = 400, gram: int = 200) -> DataFrame:
+def long_spans(raw: bytes, spans: list[tuple[int, int]], words: int, size: int) -> list[tuple[int, int]]:
+    """The spans of at least ``words`` whole words, or of ``size`` bytes."""
+    if not spans:
+        return spans
+    starts, ends, _ = runs_of(~WHITE[np.frombuffer(raw, np.uint8)], np.array([0, len(raw)]))
+    return [(a, b) for a, b in spans if b - a >= size or np.searchsorted(ends, b, "right") - np.searchsorted(starts, a) >= words]
+
+
+def without_repeats(docs: DataFrame, length: int = 400, gram: int = 200, words: int = 0, size: int = 0) -> DataFrame:
     """``docs`` with its columns, repeated passages cut out of ``text``; a character goes if all its bytes do.
 
+    With ``words``, a stretch of repeating windows goes only if it holds that many whole words or ``size`` bytes. Any repeated passage of
+    ``words`` words lies in one stretch if ``length`` is at most ``2 * words - 1``, the bytes of as many one-letter words.
     A null text stays null; ``n_chars``, where there is one, follows the text.
     """
     names = docs.columns
@@ -364,7 +375,8 @@ def without_repeats(docs: DataFrame, length: int = 400, gram: int = 200) -> Data
             texts = []
             for text, runs, null in zip(*(batch.column(c).to_pylist() for c in (PACKED, RUNS, NULL))):
                 raw, kept, at = press.decompress(text), [], 0
-                for a, b in [*_spans(runs or [], length), (len(raw), len(raw))]:
+                spans = _spans(runs or [], length)
+                for a, b in [*(long_spans(raw, spans, words, size) if words else spans), (len(raw), len(raw))]:
                     while a < len(raw) and raw[a] & 0xC0 == 0x80:  # a whole character stays
                         a += 1
                     kept.append(raw[at:a])

@@ -12,6 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from caseloom.llm import decontaminate, language, lattice, neardup, quality, suffixdedup
 from caseloom.llm.common import fold
 from tests.llm.conftest import SF
@@ -89,6 +90,19 @@ def test_suffix_dedup_whole_characters(spark):
     assert sorted(r.text for r in out) == ["x", "y"]
 
 
+def test_pipeline_cuts_short_words(spark):
+    """Repeated passages of 51 words go however short their words are; those of 50 stay; long ones of few words go."""
+    word = lambda i: "abcdefghijklmnopqrstuvwxyz"[i * i % 26 - i // 26]
+    small = " ".join(word(i) for i in range(51))
+    mid = " ".join(f"{word(i)}{i}" for i in range(60, 111))
+    fifty = " ".join(f"x{i}{word(i)}" for i in range(200, 250))
+    wide = "".join(f"q{i}" for i in range(150))
+    assert len(small) == 101 and len(mid) < 400 and len(wide) >= 400
+    rows = [(2 * k + s, f"Begin{k} {s}. {p} .{s} end{k}") for k, p in enumerate((small, mid, fifty, wide)) for s in (0, 1)]
+    out = dict(corpus_pipeline.drop_repeats(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect())
+    assert [p in out[2 * k + s] for k, p in enumerate((small, mid, fifty, wide)) for s in (0, 1)] == [False] * 4 + [True] * 2 + [False] * 2
+
+
 def slow_fingerprint(text, words=4):
     found = (text or "").encode().lower().split()
     if not found:
