@@ -3,17 +3,18 @@
 Texts become tokens: runs of letters, and numbers. Numbers, names (capitalised words inside a sentence) and units (unit words
 behind a number) are replaced by typed placeholders, all else is lower case. Windows of ``size`` tokens are hashed, and the windows
 of documents are hash-joined with those of benchmark items, so a question asked again with other numbers or names
-still meets its template. A window needs half of its tokens literal to count.
+still meets its template. A template needs half of its tokens literal to count. Windows are hashed by what stands in them, too (in lower case):
+windows of equal values match whatever their placeholders are, so numbers and names copied verbatim, and copies in capitals, are found.
 
 Slot consistency: windows of one document and item on one diagonal (same distance of places) are one alignment. There each value in a
 slot of the item must stand for one value in the document; an alignment that maps one value to two is no rewriting of the item and
-is dropped. A document is contaminated by an item if the windows left cover ``share`` of the item's, or if ``run`` tokens in a row match.
+is dropped. A document is contaminated by an item if the windows left cover ``share`` of the item's, or if ``run`` tokens in a row match. Coverage is
+the greater one of two: over all windows of the item, and over those with enough literal tokens, as only these can match with other values.
 
 Documents first pass a filter of all window hashes of the benchmark, sent in blocks of at most ``BLOCK`` hashes; a larger
 benchmark takes more passes over the documents. Only windows that meet one are shuffled.
 
-Nulls: null texts and null items have no tokens. Null ids are rows like any other. An item shorter than a window is one window. Items with
-no window of enough literal tokens match nothing. Repeated rows are found alike. Empty tables give no rows; other columns are ignored.
+Nulls: null texts and null items have no tokens. Null ids are rows like any other. An item shorter than a window is one window. Repeated rows are found alike. Empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,7 +43,9 @@ LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 DIGIT[range(48, 58)] = True
 STOP = np.isin(np.arange(256), [ord(c) for c in ".!?:;\n\""])
 FOUND = "key long, doc_id long, place int, hash long, slots array<long>"
-ITEM = "item_id long, place int, tokens int, hash long, slots array<long>"
+ITEM = "item_id long, place int, tokens int, literal boolean, hash long, slots array<long>"
+#: Told apart from hashes of templates.
+VALUES = np.uint64(0x2545F4914F6CDD1D)
 
 
 def _fold(data: np.ndarray) -> np.ndarray:
@@ -91,18 +94,26 @@ class Tokens:
         self.code[name], self.code[number], self.code[unit] = NAME, NUMBER, UNIT
         self.slot = name | number | unit
 
-    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """(token where it begins, hash) of the windows of ``size`` tokens inside a row, half of them literal."""
+    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(token where it begins, hash, whether it is of a template, whether half of the tokens are literal) of the windows inside a row.
+
+        Every window has the hash of its values; one with slots and enough literal tokens has that of its template besides.
+        """
         n = len(self.code) - size + 1
         if n < 1:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        total, factor = np.full(n, np.uint64(size)), np.uint64(0x9FB21C651E98DF25)
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, bool)
+        total, equal, factor = np.full(n, np.uint64(size)), np.full(n, VALUES), np.uint64(0x9FB21C651E98DF25)
         for k in range(size):
             total = total * factor + self.code[k : k + n]
+            equal = equal * factor + self.value[k : k + n]
         filled = np.concatenate(([0], np.cumsum(self.slot)))
+        filled = filled[size:] - filled[:-size]
         row_end = self.first[np.searchsorted(self.first, np.arange(n), "right")]
-        good = np.flatnonzero(((filled[size:] - filled[:-size]) * 2 <= size) & (np.arange(n) + size <= row_end))
-        return good, mix(total[good])
+        inside = np.arange(n) + size <= row_end
+        literal = filled * 2 <= size
+        whole, slotted = np.flatnonzero(inside), np.flatnonzero(inside & literal & (filled > 0))
+        at = np.concatenate((whole, slotted))
+        return at, mix(np.concatenate((equal[whole], total[slotted]))), np.arange(len(at)) >= len(whole), literal[at]
 
     def values(self, at: int, size: int) -> list[int]:
         """What stands in the slots of a window."""
@@ -119,8 +130,9 @@ def _items(size: int):
                 tokens = Tokens(data[offsets[r] : offsets[r + 1]], np.array([0, offsets[r + 1] - offsets[r]]))
                 own = min(size, len(tokens.code))
                 if own:
-                    at, hashes = tokens.windows(own)
-                    rows += [(item, p, own, h, tokens.values(p, own)) for p, h in zip(at.tolist(), hashes.view(np.int64).tolist())]
+                    at, hashes, template, literal = tokens.windows(own)
+                    rows += [(item, p, own, good, h, tokens.values(p, own) if t else [])
+                             for p, h, t, good in zip(at.tolist(), hashes.view(np.int64).tolist(), template.tolist(), literal.tolist())]
             if rows:
                 yield _rows(rows, ITEM)
 
@@ -129,7 +141,7 @@ def _items(size: int):
 
 def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
     names = [c.split()[0] for c in schema.split(", ")]
-    kinds = {"long": pa.int64(), "int": pa.int32(), "array<long>": pa.list_(pa.int64())}
+    kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64())}
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[f.split()[1]]) for c, f in zip(zip(*rows), schema.split(", "))], names=names)
 
 
@@ -145,14 +157,14 @@ def _meet(sent, sizes: list[int]):
                 tokens = Tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 rows = []
                 for size in sizes:
-                    at, hashes = tokens.windows(size)
+                    at, hashes, template, _ = tokens.windows(size)
                     maybe = np.flatnonzero(table[(hashes >> np.uint64(42)).astype(np.int64)])
                     maybe = maybe[look_up(wanted, hashes[maybe])[1]]
-                    at, hashes = at[maybe], hashes[maybe]
+                    at, hashes, template = at[maybe], hashes[maybe], template[maybe]
                     row = np.searchsorted(tokens.first, at, "right") - 1
                     # rows without tokens share their first token with the next one; the last of them owns it
-                    rows += [(keys[i + r], ids[i + r], p - int(tokens.first[r]), h, tokens.values(p, size))
-                             for r, p, h in zip(row.tolist(), at.tolist(), hashes.view(np.int64).tolist())]
+                    rows += [(keys[i + r], ids[i + r], p - int(tokens.first[r]), h, tokens.values(p, size) if t else [])
+                             for r, p, h, t in zip(row.tolist(), at.tolist(), hashes.view(np.int64).tolist(), template.tolist())]
                 if rows:
                     yield _rows(rows, FOUND)
 
@@ -180,7 +192,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 5, share: fl
     slots = joined.select(*alignment, F.explode(F.arrays_zip("asked", "slots")).alias("s")).groupBy(*alignment, "s.asked").agg(
         (F.min("s.slots") != F.max("s.slots")).alias("broken"), F.max((F.col("s.slots") != F.col("s.asked")).cast("int")).alias("changed"))
     checked = slots.groupBy(*alignment).agg(F.max("broken").alias("broken"), F.sum("changed").alias("changed_slots"))
-    good = joined.groupBy(*alignment).agg(F.collect_set(F.struct("at", "tokens")).alias("seen"))  # at most the windows of the item
+    good = joined.groupBy(*alignment).agg(F.collect_set(F.struct("at", "tokens", "literal")).alias("seen"))  # at most the windows of the item
     same = [F.col(f"g.{c}").eqNullSafe(F.col(f"c.{c}")) for c in alignment]
     good = good.alias("g").join(checked.alias("c"), same, "left").filter(~F.coalesce("broken", F.lit(False))).select(
         *(f"g.{c}" for c in alignment), F.sort_array("seen").alias("seen"), F.coalesce("changed_slots", F.lit(0)).alias("changed_slots"))
@@ -188,11 +200,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 5, share: fl
         x.at.alias("at"), F.when(x.at == a.at + 1, a.now + 1).otherwise(x.tokens).alias("now"),
         F.greatest(a.best, F.when(x.at == a.at + 1, a.now + 1).otherwise(x.tokens)).alias("best")), lambda a: a.best)
     pairs = good.withColumn("run", longest).groupBy("key", "doc_id", "item_id").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_set("seen.at")))).cast("long").alias("matched"), F.max("run").alias("longest_run"),
+        F.size(F.array_distinct(F.flatten(F.collect_set("seen.at")))).cast("long").alias("all_matched"),
+        F.size(F.array_distinct(F.flatten(F.collect_set(F.filter("seen", lambda w: w.literal).at)))).cast("long").alias("literal_matched"),
+        F.max("run").alias("longest_run"),
         F.min_by("changed_slots", F.struct(-F.size("seen"), "diagonal")).cast("long").alias("changed_slots"))
-    counts = items.groupBy("item_id").agg(F.count(F.lit(1)).alias("windows"))
+    counts = items.groupBy("item_id").agg(
+        F.countDistinct("place").alias("all_windows"), F.countDistinct(F.when(F.col("literal"), F.col("place"))).alias("literal_windows"))
+    whole = F.col("all_matched") / F.col("all_windows")
+    part = F.coalesce(F.try_divide("literal_matched", "literal_windows"), F.lit(0.0))
+    better = lambda kind: F.when(part >= whole, F.col(f"literal_{kind}")).otherwise(F.col(f"all_{kind}")).alias(kind)
     return pairs.join(counts, pairs.item_id.eqNullSafe(counts.item_id)).select(
-        "key", "doc_id", pairs.item_id, "matched", "windows", (F.col("matched") / F.col("windows")).alias("coverage"), "longest_run",
+        "key", "doc_id", pairs.item_id, better("matched"), better("windows"), F.greatest(part, whole).alias("coverage"), "longest_run",
         "changed_slots").filter((F.col("coverage") >= share) | (F.col("longest_run") >= run))
 
 

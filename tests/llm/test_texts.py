@@ -348,6 +348,21 @@ def test_decontaminate_finds_new_parameters(spark, odd, none):
     assert decontaminate.contaminated(none, bench).count() == 0 and decontaminate.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_decontaminate_equal_values(spark):
+    """Items of mostly numbers, quotes with such a spot inside, and copies in capitals are found by their values; other values are not."""
+    sums = "What is 12 + 30 * 4 - 17 / 5 + 600"
+    quote = "we then read that 12 30 47 58 61 were the numbers drawn on that night"
+    item = " ".join(f"{w} thing" for w in "one other early small green quiet broad final local outer".split())
+    bench = spark.createDataFrame([(1, sums), (2, f"{quote} and {' '.join(f'rest{chr(97 + i)}' for i in range(40))}".replace("rest", "rest ")), (3, item), (4, "12 km 7 kg")],
+                                  "item_id long, text string")
+    docs = spark.createDataFrame([
+        (1, f"A question: {sums}"), (2, "A question: What is 13 + 31 * 5 - 18 / 6 + 601"), (3, f"Once {quote} but no more of it"), (4, f"So: {item.upper()}"),
+        (5, f"so it says {item.title()} here"), (6, "A load of 12 km 7 kg"), (7, "A load of 13 km 7 kg")], "doc_id long, text string")
+    found = {(r.doc_id, r.item_id): r for r in decontaminate.contaminated(docs, bench).collect()}
+    assert set(found) == {(1, 1), (3, 2), (4, 3), (5, 3), (6, 4)}
+    assert found[1, 1].coverage == found[4, 3].coverage == 1 and found[3, 2].longest_run >= 13
+
+
 def test_decontaminate_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK", 5)
     docs = spark.createDataFrame([(1, f"x y {ITEM} z")], "doc_id long, text string")
