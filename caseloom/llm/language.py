@@ -1,7 +1,7 @@
-"""Language identification by words first, then shorter and shorter character n-grams.
+"""Language identification by words first, then shorter and shorter byte n-grams.
 
 A known word counts by its log frequency in each language. A word not seen in training falls back to its longest
-known character n-grams: if any of its 5-grams is known, the mean of the log frequencies of those, else 4-grams,
+known byte n-grams (of UTF-8, so a letter outside ASCII is two to four): if any of its 5-grams is known, the mean of the log frequencies of those, else 4-grams,
 and so on. The language of the highest sum wins; the score is its share of a softmax over the sums.
 
 The tables are learned from at most ``rows_per_lang`` documents of each language (those of the lowest hash), counted

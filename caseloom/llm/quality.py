@@ -1,6 +1,6 @@
 """Quality classifier: supervised subword embeddings.
 
-Words, word pairs and character n-grams of a text are hashed to rows of a learned table; their mean is the
+Words, word pairs and byte n-grams (of UTF-8) of a text are hashed to rows of a learned table; their mean is the
 document vector, and a softmax over it gives the label. The table and the output layer are trained together
 by stochastic gradient descent in numpy on the driver, on a sample bounded by ``rows_per_label`` labelled rows of
 each label; features of the sample are made by tasks. A word that repeats the one before it is one feature of its
