@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from caseloom.llm import chat, decontaminate, language, lattice, neardup, packing, quality, sharding, suffixdedup, topk
+from caseloom.llm import chat, covers, decontaminate, language, lattice, neardup, packing, quality, sharding, suffixdedup, topk
 from caseloom.llm.common import fold, short_batches, table
 
 QUERIES: dict[str, Callable] = {}
@@ -129,3 +129,17 @@ def op10(spark, sf_dir):
     pieces = packing.encode_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
     return packing.pack(pieces.drop("ids")).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query("op11_substring_dedup", """
+WITH d AS (SELECT doc_id, [x FOR x IN regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+') IF x <> ''] AS w FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(w[i + 1:i + 13], ' ')) AS k FROM d, unnest(range(len(w) - 12)) AS r(i)),
+earliest AS (SELECT k, min(doc_id) AS m FROM win GROUP BY k),
+hit AS (SELECT doc_id, i FROM win JOIN earliest USING (k) WHERE m < doc_id),
+gone AS (SELECT DISTINCT doc_id, i + j + 1 AS at FROM hit, range(13) AS t(j)),
+words AS (SELECT doc_id, at, w[at] AS word FROM d, unnest(range(1, len(w) + 1)) AS r(at)),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY at) AS text FROM words ANTI JOIN gone USING (doc_id, at) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)""")
+def op11(spark, sf_dir):
+    return covers.digests(table(spark, sf_dir, "documents"), 13)

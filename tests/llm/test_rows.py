@@ -21,7 +21,7 @@ BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.pa
 
 def test_registered():
     names = list(queries.QUERIES)
-    assert sorted({int(n[2:].split("_")[0]) for n in names}) == list(range(1, 11)) and set(names) <= set(entry.queries())
+    assert sorted({int(n[2:].split("_")[0]) for n in names}) == list(range(1, 14)) and set(names) <= set(entry.queries())
 
 
 @pytest.mark.parametrize("key", sorted(queries.ORACLES))
