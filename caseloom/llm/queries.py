@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from caseloom.llm import chat, covers, decontaminate, language, lattice, neardup, packing, quality, sharding, suffixdedup, topk
+from caseloom.llm import chat, covers, decontaminate, language, lattice, neardup, packing, quality, sharding, spelling, suffixdedup, topk
 from caseloom.llm.common import fold, short_batches, table
 
 QUERIES: dict[str, Callable] = {}
@@ -136,10 +136,29 @@ WITH d AS (SELECT doc_id, [x FOR x IN regexp_split_to_array(coalesce(text, ''),
 win AS (SELECT doc_id, i, md5(array_to_string(w[i + 1:i + 13], ' ')) AS k FROM d, unnest(range(len(w) - 12)) AS r(i)),
 earliest AS (SELECT k, min(doc_id) AS m FROM win GROUP BY k),
 hit AS (SELECT doc_id, i FROM win JOIN earliest USING (k) WHERE m < doc_id),
-gone AS (SELECT DISTINCT doc_id, i + j + 1 AS at FROM hit, range(13) AS t(j)),
-words AS (SELECT doc_id, at, w[at] AS word FROM d, unnest(range(1, len(w) + 1)) AS r(at)),
-kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY at) AS text FROM words ANTI JOIN gone USING (doc_id, at) GROUP BY doc_id)
+gone AS (SELECT DISTINCT doc_id, i + j + 1 AS place FROM hit, range(13) AS t(j)),
+words AS (SELECT doc_id, place, w[place] AS word FROM d, unnest(range(1, len(w) + 1)) AS r(place)),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY place) AS text FROM words ANTI JOIN gone USING (doc_id, place) GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id)""")
 def op11(spark, sf_dir):
     return covers.digests(table(spark, sf_dir, "documents"), 13)
+
+
+@query("op13_spelling_variants", """
+WITH RECURSIVE t AS (SELECT [list_reduce([CAST(i AS UBIGINT), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, CAST(3988292384 AS UBIGINT)) ELSE c >> 1 END)
+ FOR i IN range(256)] AS tab),
+r AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\\x{C0}-\\x{FF}]{7,}')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+h AS (SELECT run, CAST(xor(list_reduce(list_concat([CAST(4294967295 AS UBIGINT)], [CAST('0x' || x AS UBIGINT) FOR x IN regexp_extract_all(hex(encode(doc_id || ':' || run)), '..')]),
+  lambda c, y: xor(c >> 8, tab[CAST(xor(c, y) % 256 AS BIGINT) + 1])), CAST(4294967295 AS UBIGINT)) AS BIGINT) AS h FROM r, t),
+w AS (SELECT CASE WHEN h % 31 = 0 THEN left(run, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word FROM h),
+v AS (SELECT word, count(*) AS n FROM w WHERE length(word) >= 7 GROUP BY word HAVING count(*) >= 2),
+d AS (SELECT word, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM v, unnest(range(1, length(word) + 1)) AS u(i)),
+p AS (SELECT a.word, b.word AS near FROM d a JOIN d b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+ UNION SELECT d.word, v.word FROM d JOIN v ON rest = v.word UNION SELECT v.word, d.word FROM d JOIN v ON rest = v.word),
+k AS (SELECT p.word, count(*) AS n_near, min(struct_pack(m := -v.n, near := near)) AS best FROM p JOIN v ON v.word = near GROUP BY p.word),
+f AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.m >= 10 * n THEN best.near END AS form, CASE WHEN -best.m >= 10 * n THEN -best.m END AS form_n FROM v LEFT JOIN k USING (word)),
+up AS (SELECT word, word AS root, form AS next FROM f UNION ALL SELECT up.word, f.word, f.form FROM up JOIN f ON f.word = up.next)
+SELECT word, form, root, CAST(n AS BIGINT) AS n, CAST(n_near AS BIGINT) AS n_near, CAST(form_n AS BIGINT) AS form_n FROM f JOIN up USING (word) WHERE up.next IS NULL""")
+def op13(spark, sf_dir):
+    return spelling.variants(spelling.vocabulary(table(spark, sf_dir, "documents"), 7, 2, typos=31))
