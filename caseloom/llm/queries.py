@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from caseloom.llm import chat, covers, decontaminate, language, lattice, neardup, packing, quality, sharding, spelling, suffixdedup, topk
+from caseloom.llm import chat, covers, crosstoken, decontaminate, language, lattice, neardup, packing, quality, sharding, spelling, suffixdedup, topk
 from caseloom.llm.common import fold, short_batches, table
 
 QUERIES: dict[str, Callable] = {}
@@ -162,3 +162,8 @@ up AS (SELECT word, word AS root, form AS next FROM f UNION ALL SELECT up.word,
 SELECT word, form, root, CAST(n AS BIGINT) AS n, CAST(n_near AS BIGINT) AS n_near, CAST(form_n AS BIGINT) AS form_n FROM f JOIN up USING (word) WHERE up.next IS NULL""")
 def op13(spark, sf_dir):
     return spelling.variants(spelling.vocabulary(table(spark, sf_dir, "documents"), 7, 2, typos=31))
+
+
+@query("op12_token_alignment")
+def op12(spark, sf_dir):
+    return crosstoken.alignments(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
