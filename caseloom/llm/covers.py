@@ -11,8 +11,9 @@ grams of 7 words at three of seven places.
 Candidates. The anchors are dealt by hash; those that several documents hold are kept. This is a choice only: a clash of hashes
 makes a candidate more, never one less.
 
-Extension. Around each kept anchor the windows that hold it are spelt out and named by 128 bits of their words. A window
-goes if the smallest document of its name is smaller than its own.
+Extension. Around each kept anchor the windows that hold it are spelt out and named by 96 bits of their words. A window
+goes if the smallest document of its name is smaller than its own. Of exact copies (128 bits of the text) only the first takes part in this step:
+the windows of the others are those of the first, so all of them go.
 
 Hot anchors and windows. Inside an Arrow batch, what several documents of the batch share is settled on the spot; one row for the smallest
 and one for the largest document stand for the batch in the shuffle. A passage that a third of all documents hold is a row
@@ -40,8 +41,8 @@ from caseloom.llm.common import cut, with_fields
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16)}
 STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 #: Columns beside those of the input, by names that it will not have.
-DOC, HASH, BYTES, SPANS, NULL = "_cover_doc", "_cover_hash", "_cover_bytes", "_cover_spans", "_cover_null"
-LAST_ID = (1 << 63) - 1
+DOC, HASH, TWIN, BYTES, SPANS, NULL = "_cover_doc", "_cover_hash", "_cover_twin", "_cover_bytes", "_cover_spans", "_cover_null"
+LAST_ID, LAST_PLACE = (1 << 63) - 1, (1 << 31) - 1
 
 
 def period_for(length: int) -> int:
@@ -82,7 +83,7 @@ def _fresh(docs: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return seen
 
 
-ANCHORS = f"{DOC} long, {HASH} long, place int, name long, sure boolean"
+ANCHORS = f"{DOC} long, place int, name long, sure boolean"
 
 
 def _anchor_rows(length: int):
@@ -109,7 +110,6 @@ def _anchor_rows(length: int):
                 size = own.sum(), sure.sum(), len(stand)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.concatenate([docs[row[own]], docs[row[sure]], *ends])),
-                    pa.array(np.concatenate([hashes[row[own]], hashes[row[sure]], np.zeros(2 * size[2], np.int64)])),
                     pa.array(np.concatenate([place[own], place[sure], np.full(2 * size[2], -1)]).astype(np.int32)),
                     pa.array(np.concatenate([name[own], spread, name[stand], name[stand]])),
                     pa.array(np.repeat([False, True, False], [size[0], size[1], 2 * size[2]]))], names=[c.split()[0] for c in ANCHORS.split(", ")])
@@ -135,7 +135,7 @@ def candidate_windows(places: np.ndarray, n: int, length: int) -> np.ndarray:
     return starts[(starts >= 0) & (starts + length <= n)]
 
 
-WINDOWS = f"{DOC} long, {HASH} long, first int, last int, wa long, wb long, sure boolean"
+WINDOWS = f"{DOC} long, {HASH} long, first int, last int, wa long, wb int, sure boolean"
 
 
 def _window_rows(length: int):
@@ -178,7 +178,7 @@ def _settled(rows: np.ndarray, names: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([
         pa.array(np.concatenate([docs[own], d[begins]])), pa.array(np.concatenate([hashes[own], h[begins]])),
         pa.array(np.concatenate([starts[own], s[begins]]).astype(np.int32)), pa.array(np.concatenate([starts[own], last]).astype(np.int32)),
-        pa.array(np.concatenate([names[own, 0], spread])), pa.array(np.concatenate([names[own, 1], np.zeros(len(begins), np.int64)])),
+        pa.array(np.concatenate([names[own, 0], spread])), pa.array(np.concatenate([names[own, 1], np.zeros(len(begins), np.int64)]).astype(np.int32)),
         pa.array(np.repeat([False, True], [own.sum(), len(begins)]))], names=[c.split()[0] for c in WINDOWS.split(", ")])
 
 
@@ -188,33 +188,39 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def repeated_anchors(docs: DataFrame, length: int) -> DataFrame:
-    """(doc, hash, place): anchors that several documents hold, of keyed rows."""
+    """(doc, place): anchors that several documents hold, of keyed rows."""
     found = docs.select(DOC, HASH, "text").mapInArrow(_anchor_rows(length), ANCHORS)
     same = Window.partitionBy("name")
     met = found.withColumns({"low": F.min(DOC).over(same), "high": F.max(DOC).over(same)})
-    return met.filter("(sure OR low < high) AND place >= 0").select(DOC, HASH, "place")
+    return met.filter("(sure OR low < high) AND place >= 0").select(DOC, "place")
 
 
 def marked_texts(docs: DataFrame, length: int) -> DataFrame:
     """Columns of ``docs`` but the text, with the compressed text and the runs of window starts that go."""
     rows = keyed(docs)
-    places = cut(repeated_anchors(rows, length), "shared-anchors").groupBy(DOC, HASH).agg(F.collect_set("place").alias("places"))
+    keys = rows.select(DOC, HASH, F.xxhash64(F.lit(TWIN), F.coalesce("text", F.lit(""))).alias(TWIN)).distinct()
+    firsts = keys.groupBy(HASH, TWIN).agg(F.min(DOC).alias("first_doc"))
+    known = cut(keys.join(firsts, [HASH, TWIN]).select(DOC, HASH, (F.col(DOC) > F.col("first_doc")).alias("copy")), "text-keys")
+    places = cut(repeated_anchors(rows, length), "shared-anchors").groupBy(DOC).agg(F.collect_set("place").alias("places"))
+    wanted = known.filter("NOT copy").join(places, DOC).select(DOC, HASH, "places")
     kept = rows.drop("text")
     texts = rows.select(*kept.columns, "text").mapInArrow(_pack, with_fields(kept.schema, **{BYTES: "binary"}))
-    windows = texts.join(places, [DOC, HASH]).select(DOC, HASH, BYTES, "places").mapInArrow(_window_rows(length), WINDOWS)
+    windows = texts.join(wanted, [DOC, HASH]).mapInArrow(_window_rows(length), WINDOWS)  # all columns, so that both joins read one shuffle of the texts
     same = Window.partitionBy("wa", "wb")
     gone = windows.withColumn("low", F.min(F.when(~F.col("sure"), F.col(DOC))).over(same)).filter(f"sure OR low < {DOC}")
-    spans = cut(gone.select(DOC, HASH, "first", "last"), "earlier-windows").groupBy(DOC, HASH).agg(F.collect_set(F.struct("first", "last")).alias(SPANS))
+    runs_gone = gone.select(DOC, HASH, "first", "last").unionByName(
+        known.filter("copy").select(DOC, HASH, F.lit(0).alias("first"), F.lit(LAST_PLACE).alias("last")))
+    spans = runs_gone.groupBy(DOC, HASH).agg(F.collect_set(F.struct("first", "last")).alias(SPANS))
     return texts.join(spans, [DOC, HASH], "left").drop(DOC, HASH)
 
 
 def kept_words(words: list[bytes], spans: list[dict] | None, length: int) -> list[bytes]:
     """The words that no window of the runs covers."""
-    if not spans:
+    if not spans or len(words) < length:
         return words
     gone = np.zeros(len(words) + 1, np.int64)
     np.add.at(gone, [s["first"] for s in spans], 1)
-    np.add.at(gone, [s["last"] + length for s in spans], -1)
+    np.add.at(gone, [min(s["last"] + length, len(words)) for s in spans], -1)
     return [w for w, g in zip(words, np.cumsum(gone[:-1]).tolist()) if not g]
 
 
