@@ -9,7 +9,7 @@ from caseloom.catalog.scalars import URL_SQL
 from caseloom.catalog.views import V8, using
 from caseloom.operators import windows
 from caseloom.session import scratch_path
-from caseloom.streaming import jobs
+from caseloom.streaming import jobs, stitching
 
 
 def arrivals(spark, sf, name):
@@ -59,3 +59,15 @@ def stream_dedup(spark, sf):
     events = arrivals(spark, sf, "events").select("user_id", "event_type", "ts", F.date_format("ts", "yyyy-MM-dd").alias("day"))
     once = jobs.stream_dedup(events, ["user_id", "event_type", "day"], "ts", scratch_path(spark, "dedup"))
     return once.select("user_id", "event_type", "day")
+
+
+@query("stream_stitch", """WITH m AS (SELECT user_id || ':' || event_type AS thread_key, event_id AS message_id, ts FROM events),
+n AS (SELECT *, row_number() OVER w AS position, lag(message_id) OVER w AS after_id, epoch_us(ts - lag(ts) OVER w) / 1000000.0 AS s
+ FROM m WINDOW w AS (PARTITION BY thread_key ORDER BY ts, message_id))
+SELECT thread_key, message_id, position, after_id, CASE WHEN s > 86400 THEN CAST(floor(s / 86400) AS BIGINT) END AS gap_days,
+ CASE WHEN s > 86400 THEN CASE WHEN floor(s / 86400) > 30 THEN 'high' ELSE 'medium' END END AS severity FROM n""")
+def stream_stitch(spark, sf):
+    """Events of one user and type as a thread, placed and checked as they arrive."""
+    messages = arrivals(spark, sf, "events").select(
+        F.concat_ws(":", "user_id", "event_type").alias("thread_key"), F.col("event_id").alias("message_id"), F.col("ts").alias("sent_at"))
+    return stitching.stream_stitch(messages, scratch_path(spark, "stitch"), days=1).drop("sent_at")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from caseloom.operators.blocking import containing
 from caseloom.operators.skew import bucketed_last, bucketed_neighbours
-from caseloom.operators.windows import month_bucket
+from caseloom.operators.windows import gaps, month_bucket, thread_positions
 from caseloom.plans.graph import components
 from caseloom.session import cut
 
@@ -131,3 +131,69 @@ def stitch(messages: DataFrame, days: int = 365) -> DataFrame:
 
 def body_hash(c: Column) -> Column:
     return F.when(c == "", "").otherwise(F.md5(c))
+
+
+def _sharing(messages: DataFrame, asked: DataFrame) -> DataFrame:
+    """Ids of messages that share a participant or the body with one of ``asked``."""
+    people = asked.select(F.explode("people").alias("person")).distinct()
+    by_person = messages.select("id", F.explode("people").alias("person")).join(people, "person", "left_semi").select("id")
+    bodies = asked.filter("body_hash <> ''").select("body_hash").distinct()
+    return by_person.union(messages.join(bodies, "body_hash", "left_semi").select("id"))
+
+
+def may_link(known: DataFrame, arrivals: DataFrame) -> DataFrame:
+    """The rows of ``known`` that a new message could be linked to, and those of the same subjects between them.
+
+    These are the messages of the same thread key, of an equal, contained or containing subject, and, where a subject
+    is missing on either side, those that share a participant or the body. Whole subjects and all open messages of a participant come along, so
+    that neighbours in time are the same as in the whole table.
+    """
+    fresh = cut(arrivals.filter("subject <> ''").select("subject").distinct(), "new-subjects")
+    subjects = cut(known.filter("subject <> ''").select("subject").distinct(), "known-subjects")
+    longer = containing(subjects, "subject", "subject", fresh.withColumnRenamed("subject", "part"), "part", "part").select("subject")
+    shorter = containing(fresh, "subject", "subject", subjects.withColumnRenamed("subject", "part"), "part", "part").select("part")
+    related = fresh.union(longer).union(shorter).distinct()
+    keys = arrivals.filter("thread_key <> ''").select("thread_key").distinct()
+    ids = known.join(related, "subject", "left_semi").select("id").union(known.join(keys, "thread_key", "left_semi").select("id"))
+    ids = ids.union(_sharing(known.filter("subject = ''"), arrivals)).union(_sharing(known, arrivals.filter("subject = ''")))
+    return known.join(ids.distinct(), "id", "left_semi")
+
+
+def stitch_more(messages: DataFrame, roots: DataFrame, arrivals: DataFrame, days: int = 365) -> DataFrame:
+    """(id, root) after ``arrivals`` join the stitched ``messages`` with their ``roots``; as if all had come at once.
+
+    Links are looked for among the arrivals and what they may link to. Their ends are replaced by the stored roots, so a thread is one node, and only the
+    threads that a new link touches are contracted. Arrivals of known ids are left out.
+    """
+    arrivals = cut(arrivals.select(*messages.columns).join(messages.select("id"), "id", "left_anti").dropDuplicates(["id"]), "arrivals")
+    near = cut(may_link(messages, arrivals), "may-link")
+    links = cut(thread_links(near.unionByName(arrivals), days), "new-links")
+    whole = roots.select("id", "root").unionByName(arrivals.select("id", F.col("id").alias("root")))
+    for end in ("a", "b"):
+        links = links.join(whole.select(F.col("id").alias(end), F.col("root").alias(f"{end}_root")), end)
+    links = cut(links.filter("a_root <> b_root").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct(), "root-links")
+    touched = links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    moved = components(touched, links).withColumnRenamed("root", "lowest").withColumnRenamed("id", "root")
+    return whole.join(moved, "root", "left").select("id", F.coalesce("lowest", "root").alias("root"))
+
+
+def thread_table(messages: DataFrame, roots: DataFrame, gap_days: int = 7) -> DataFrame:
+    """Every message with its thread's root, its place there, the thread's size, dates and participants, and the gap behind it.
+
+    Undated messages come last. ``gap_days``, ``severity`` and ``before_id`` tell of a pause of more than ``gap_days`` until the next dated message.
+    """
+    placed = cut(messages.join(roots, "id").select(F.col("root").alias("thread_id"), F.col("id").alias("message_id"), "sent_at", "people"), "stitched")
+    dated = placed.groupBy("thread_id").agg(
+        F.count(F.lit(1)).alias("message_count"), F.min("sent_at").alias("first_at"), F.max("sent_at").alias("last_at"))
+    people = placed.select("thread_id", F.explode("people").alias("person")).distinct().groupBy("thread_id").agg(F.count(F.lit(1)).alias("people_count"))
+    summary = dated.join(people, "thread_id", "left")
+    rows = thread_positions(placed.select("thread_id", "message_id", "sent_at"))
+    after = gaps(placed, gap_days).select(F.col("after_id").alias("message_id"), "before_id", "gap_days", "severity")
+    return rows.join(after, "message_id", "left").join(summary, "thread_id").select(
+        F.col("message_id").alias("id"), F.col("thread_id").alias("root"), "position", "message_count", "first_at", "last_at",
+        F.coalesce("people_count", F.lit(0)).alias("people_count"), "before_id", "gap_days", "severity")
+
+
+def stitched_threads(messages: DataFrame, days: int = 365, gap_days: int = 7) -> DataFrame:
+    """The whole job: threads, places, summaries and gaps."""
+    return thread_table(messages, cut(stitch(messages, days), "roots"), gap_days)
