@@ -1,5 +1,6 @@
 """Annotator answers and consensus."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from caseloom import bindings as b
@@ -11,6 +12,8 @@ from caseloom import fixed
 from caseloom.operators.topk import known_names
 from caseloom.operators.windows import prior_parts
 from caseloom.plans import consensus as c
+from caseloom.session import scratch_path
+from caseloom.sources.contributions import Contributions
 
 ANSWER_SQL = r"""answers AS (SELECT o_orderkey AS id, E'preamble\n=== summary ===\nOrder ' || o_orderkey || ' of ' || o_custkey
  || E'\n\n=== ENTITIES ===\n- Customer Five | Person | buyer | pays | x\n* Acme\n- xkcdrt | person\n'
@@ -145,6 +148,81 @@ def apply_consensus_entities(spark, sf):
     return c.consensus_entities(named_items(spark, sf)[0])
 
 
+# roles name the part by its first word or whole, scores and candidates come from the line items; documents of the
+# state P are analysed a second time, then without the items of the flag A
+APPLIED = NAMED + """,
+od AS (SELECT o_orderkey AS document_id, o_orderstatus = 'P' AS again FROM orders),
+it AS (SELECT ni.* FROM ni JOIN od USING (document_id) WHERE NOT again OR raw_type = 'company'),
+nm AS (SELECT DISTINCT document_id, trim(name) AS name, upper(regexp_replace(name, '^Dr\\\\. ', '')) AS canonical, ENTITY AS entity_type FROM it),
+ro AS (SELECT l_orderkey AS document_id, l_linenumber AS place, CASE WHEN l_linenumber % 2 = 0 THEN p_name ELSE split_part(p_name, ' ', 1) END AS whose,
+ p_type AS role FROM lineitem JOIN part ON p_partkey = l_partkey),
+rf AS (SELECT document_id, name, arg_min(role, (place, role)) AS role FROM nm JOIN ro USING (document_id) WHERE lower(whose) = lower(name)
+ OR (length(whose) >= 6 AND contains(lower(name), lower(whose))) OR (length(name) >= 6 AND contains(lower(whose), lower(name)))
+ OR (length(whose) BETWEEN 4 AND 5 AND contains(' ' || lower(name) || ' ', ' ' || lower(whose) || ' '))
+ OR (length(name) BETWEEN 4 AND 5 AND contains(' ' || lower(whose) || ' ', ' ' || lower(name) || ' ')) GROUP BY 1, 2),
+sc AS (SELECT l_orderkey AS document_id, upper(p_name) AS canonical, max(CAST(l_quantity AS INT)) AS score FROM lineitem JOIN part ON p_partkey = l_partkey
+ WHERE l_linenumber % 3 <> 0 GROUP BY 1, 2),
+lk AS (SELECT document_id, canonical, entity_type, min(role) AS role, max(score) AS score FROM nm LEFT JOIN rf USING (document_id, name)
+ LEFT JOIN sc USING (document_id, canonical) GROUP BY 1, 2, 3),
+ce AS (SELECT DISTINCT document_id, upper(source) AS source, upper(target) AS target, kind FROM nc WHERE source <> target),
+eg AS (SELECT * FROM ce WHERE (document_id, source) IN (SELECT document_id, canonical FROM nm) AND (document_id, target) IN (SELECT document_id, canonical FROM nm)),
+gp AS (SELECT document_id, page, gap_id, status, row_number() OVER (PARTITION BY document_id ORDER BY page, gap_id) AS index FROM
+ (SELECT DISTINCT l_orderkey AS document_id, l_linenumber AS page, l_partkey AS gap_id, CASE WHEN l_partkey % 3 = 0 THEN 'confirmed' ELSE 'unresolved' END AS status
+  FROM lineitem WHERE l_returnflag = 'R')),
+cd AS (SELECT document_id, gap_id, rank, candidate, status FROM gp JOIN (SELECT l_orderkey AS document_id, CAST(l_linenumber AS BIGINT) AS index,
+ row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_suppkey, l_partkey) AS rank, l_suppkey AS candidate FROM lineitem WHERE l_returnflag = 'A') USING (document_id, index))"""
+APPLIED = APPLIED.replace("\\\\", "\\").replace("ENTITY", cases(fixed.ENTITY_TYPES, "person", "lower(trim(raw_type))"))
+
+
+def applied(spark, sf):
+    """The store after all documents, and then some of them once more with other items."""
+    items, links = named_items(spark, sf)
+    lines = b.table(spark, sf, "lineitem").join(b.table(spark, sf, "part"), F.col("p_partkey") == F.col("l_partkey"))
+    doc = F.col("l_orderkey").alias("document_id")
+    half = F.when(F.col("l_linenumber") % 2 == 0, F.col("p_name")).otherwise(F.split_part("p_name", F.lit(" "), F.lit(1)))
+    roles = lines.select(doc, F.col("l_linenumber").alias("place"), half.alias("name"), F.col("p_type").alias("role"))
+    scores = lines.filter("l_linenumber % 3 <> 0").select(
+        doc, F.col("p_name").alias("name"), F.col("l_quantity").cast("int").alias("score"), F.lit("seen").alias("reason"))
+    gaps = lines.filter("l_returnflag = 'R'").select(
+        doc, F.col("l_linenumber").alias("page"), F.col("l_partkey").alias("gap_id"),
+        F.when(F.col("l_partkey") % 3 == 0, "confirmed").otherwise("unresolved").alias("status")).distinct()
+    order = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_suppkey", "l_partkey")
+    inferred = lines.filter("l_returnflag = 'A'").select(
+        doc, F.col("l_linenumber").alias("index"), F.row_number().over(order).alias("rank"), F.col("l_suppkey").alias("candidate"), F.lit(70).alias("confidence"))
+    parts = [items, roles, scores, links.withColumn("confidence", F.lit(0.8)), inferred, gaps]
+    store = Contributions(spark, scratch_path(spark, "applied"), "document_id")
+    orders = b.table(spark, sf, "orders").select(F.col("o_orderkey").alias("document_id"), "o_orderstatus")
+    c.apply_documents(store, orders, c.contributions(*parts))
+    again = orders.filter("o_orderstatus = 'P'")
+    parts = [p.join(again, "document_id", "left_semi") for p in [items.filter("raw_type = 'company'"), *parts[1:]]]
+    c.apply_documents(store, again, c.contributions(*parts))
+    return store
+
+
+@query("applied_links", using(APPLIED) + "SELECT document_id, canonical, entity_type, role, score FROM lk")
+def applied_links(spark, sf):
+    return applied(spark, sf).read("links").select("document_id", "canonical", "entity_type", "role", "score")
+
+
+@query("applied_entities", using(APPLIED) + """SELECT canonical, entity_type, count(DISTINCT document_id) AS document_count, min(document_id) AS first_doc,
+ (SELECT role FROM lk z WHERE z.canonical = lk.canonical AND z.entity_type = lk.entity_type ORDER BY document_id LIMIT 1) AS role,
+ coalesce(max(score), 0) AS score, count(score) AS evidence_count FROM lk GROUP BY 1, 2""")
+def applied_entities(spark, sf):
+    return c.applied_entities(applied(spark, sf).read("links"))
+
+
+@query("applied_edges", using(APPLIED) + """SELECT source, target, kind, count(*) AS evidence, count(*)::DOUBLE AS weight, 0.8::DOUBLE AS confidence
+FROM eg GROUP BY 1, 2, 3""")
+def applied_edges(spark, sf):
+    return c.applied_edges(applied(spark, sf).read("edges"))
+
+
+@query("applied_candidates", using(APPLIED) + """SELECT document_id, gap_id, CAST(rank AS INTEGER) AS rank, candidate,
+ CASE WHEN status = 'unresolved' THEN 'inferred' ELSE status END AS status FROM cd""")
+def applied_candidates(spark, sf):
+    return applied(spark, sf).read("candidates").select("document_id", "gap_id", "rank", "candidate", "status")
+
+
 @query("sync_findings", AGREED + f""", nt AS (SELECT l_orderkey AS document_id, arg_max({TOPICS}[l_linenumber % 6 + 1], (l_shipdate, l_linenumber, l_partkey)) AS flags,
  count(*) AS connections FROM lineitem WHERE l_discount > 0.05 GROUP BY 1)
 SELECT lv.document_id, top_item || ' investigative lead (Doc #' || lv.document_id || ')' AS title, {category_sql("lower(coalesce(flags, ''))")} AS category,

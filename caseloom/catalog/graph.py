@@ -4,15 +4,18 @@ from pyspark.sql import functions as F
 
 from caseloom import bindings as b
 from caseloom.catalog.aggs import CARD, OBS, card_members
-from caseloom.catalog.joins import ASOF, followed
+from caseloom.catalog.joins import ASOF, WATCH, followed, watchlist
 from caseloom.catalog.registry import query
 from caseloom.catalog.views import SCORES, V1, V1S, V3, V4, V5, using
 from caseloom.catalog.windows import CLUSTERS
 from caseloom.operators import aggs, topk, windows
+from caseloom.operators.blocking import placeholder_candidates
 from caseloom.operators.pairs import pair_counts
+from caseloom.operators.scoring import entity_scores
 from caseloom.operators.skew import bucketed_neighbours
 from caseloom.plans import evidence, graph
-from caseloom.session import cut
+from caseloom.session import cut, scratch_path
+from caseloom.sources.contributions import Contributions
 
 
 @query("map_connections", using(V1, OBS) + """SELECT source_id, target_id, kind, document_id, CASE kind WHEN 'emailed' THEN 0.9
@@ -51,13 +54,22 @@ def flight_members(spark, sf):
     return windows.cluster_members(seen)
 
 
-@query("cluster_edges", using(V1S.replace("WHERE rn = 1", "WHERE rn = 1 AND doc_type = '2-HIGH' AND evidence_type = 'R'"), CLUSTERS)
-       + """, big AS (SELECT start, min(document_id) AS doc FROM members GROUP BY 1 HAVING count(DISTINCT entity_id) >= 3),
-m AS (SELECT DISTINCT start, entity_id, doc FROM members JOIN big USING (start))
-SELECT x.entity_id AS a, y.entity_id AS b, count(*) AS clusters, min(x.doc) AS evidence_doc FROM m x JOIN m y
- ON x.start = y.start AND x.entity_id < y.entity_id GROUP BY 1, 2""")
+def protected_suppliers(spark, sf):
+    return b.table(spark, sf, "supplier").filter("s_nationkey = 0").select(F.col("s_suppkey").alias("entity_id"))
+
+
+FLIGHTS = V1S.replace("WHERE rn = 1", "WHERE rn = 1 AND doc_type = '2-HIGH' AND evidence_type = 'R'")
+TEMPORAL = """free AS (SELECT * FROM members WHERE entity_id NOT IN (SELECT s_suppkey FROM supplier WHERE s_nationkey = 0)),
+big AS (SELECT start, min(document_id) AS doc FROM free GROUP BY 1 HAVING count(DISTINCT entity_id) >= 3),
+tm AS (SELECT DISTINCT start, entity_id, doc FROM free JOIN big USING (start)),
+temporal AS (SELECT x.entity_id AS a, y.entity_id AS b, count(*) AS clusters, min(x.doc) AS evidence_doc FROM tm x JOIN tm y
+ ON x.start = y.start AND x.entity_id < y.entity_id GROUP BY 1, 2)"""
+
+
+@query("cluster_edges", using(FLIGHTS, CLUSTERS)
+       + f", {TEMPORAL} SELECT a, b, clusters, evidence_doc FROM temporal")
 def cluster_edges(spark, sf):
-    return graph.cluster_edges(flight_members(spark, sf))
+    return graph.cluster_edges(flight_members(spark, sf), protected=protected_suppliers(spark, sf))
 
 
 FOLLOWED = """fol AS (SELECT user_id, event_id, CAST(floor(epoch_us(ts - seen) / 86400000000) AS BIGINT) AS gap_days FROM ev
@@ -226,6 +238,8 @@ def merged_card(spark, sf):
                        "edge_count")
 
 
+CANDS = """cp AS (SELECT doc_id AS context_id, entity_id, lower(text) AS c, lower(name) AS n, lower(canonical) AS k FROM documents, w),
+cands AS (SELECT * FROM (SELECT context_id, entity_id, CASE WHEN contains(c, n) THEN 0.6 WHEN contains(c, k) THEN 0.5 ELSE 0 END::DOUBLE AS score FROM cp) WHERE score >= 0.5)"""
 REBUILD = """, sp AS (SELECT count(*) AS c FROM (SELECT entity_id, evidence_type, (n - avg(n) OVER w) / nullif(stddev_samp(n) OVER w, 0) AS z,
   sum(n) OVER w AS t, count(*) OVER w AS k FROM (SELECT entity_id, evidence_type, strftime(event_ts, '%Y-%m') AS m, count(*) AS n FROM v1s GROUP BY 1, 2, 3)
   WINDOW w AS (PARTITION BY entity_id, evidence_type)) WHERE z >= 2.0 AND t >= 3 AND k >= 2),
@@ -236,26 +250,41 @@ cr AS (SELECT count(*) AS c FROM (SELECT entity_id, count(*) AS t, count(*) FILT
 SELECT 'scored_links' AS step, count(*) AS n FROM item_scores UNION ALL SELECT 'edges', (SELECT count(*) FROM (SELECT DISTINCT source_id, target_id, kind FROM obs))
 UNION ALL SELECT 'frequent_pairs', (SELECT count(*) FROM v5 WHERE evidence >= 3) UNION ALL SELECT 'clusters', c FROM tc
 UNION ALL SELECT 'spikes', c FROM sp UNION ALL SELECT 'concealment', c FROM cr
-UNION ALL SELECT 'sequences', (SELECT count(*) FROM fol) + (SELECT count(*) FROM hubs) UNION ALL SELECT 'transitive', (SELECT count(*) FROM trans)"""
+UNION ALL SELECT 'sequences', (SELECT count(*) FROM fol) + (SELECT count(*) FROM hubs) UNION ALL SELECT 'transitive', (SELECT count(*) FROM trans)
+UNION ALL SELECT 'entity_scores', (SELECT count(*) FROM scores) UNION ALL SELECT 'candidates', (SELECT count(*) FROM cands)"""
 
 
-@query("rebuild_graph", using(V1, V1S, V3, V5, LINKS, OBS, CLUSTERS, ASOF, FOLLOWED, HUBS, TRANSITIVE) + REBUILD)
+@query("rebuild_graph", using(V1, V1S, V3, V5, SCORES, LINKS, OBS, CLUSTERS, ASOF, FOLLOWED, HUBS, TRANSITIVE, WATCH, CANDS) + REBUILD)
 def rebuild_graph(spark, sf):
     tables = rebuild(spark, sf)
+    tables.pop("observations")
     counts = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(step).alias("step"), "n") for step, df in tables.items()]
-    union = counts[0]
+    union = counts[0]  # a row a step
     for part in counts[1:]:
         union = union.unionByName(part)
     return union
 
 
-@query("rebuild_graph_edges", using(V1, V3, V5, OBS, TRANSITIVE) + """SELECT source_id, target_id, kind, count(DISTINCT document_id) AS evidence,
- max(CASE kind WHEN 'emailed' THEN 0.9 WHEN 'flew_with' THEN 0.95 WHEN 'financially_linked' THEN 0.8 ELSE 0.6 END::DOUBLE) AS confidence,
- false AS inferred FROM obs GROUP BY 1, 2, 3
-UNION ALL SELECT source_id, target_id, 'transitively_linked', 0, round(1.0::DOUBLE / degrees, 2), true FROM trans""")
+@query("rebuild_graph_edges", using(V1, V3, V5, OBS, TRANSITIVE, FLIGHTS, CLUSTERS, TEMPORAL, WATCH, CANDS) + """SELECT source_id, target_id, kind,
+ count(DISTINCT document_id) AS evidence, max(CASE kind WHEN 'emailed' THEN 0.9 WHEN 'flew_with' THEN 0.95 WHEN 'financially_linked' THEN 0.8 ELSE 0.6 END::DOUBLE)
+ AS confidence, false AS inferred FROM obs GROUP BY 1, 2, 3
+UNION ALL SELECT source_id, target_id, 'transitively_linked', 0, round(1.0::DOUBLE / degrees, 2), true FROM trans
+UNION ALL SELECT a + 1000000000000, b + 1000000000000, 'temporal_cluster', 1, 0.5, true FROM temporal
+UNION ALL SELECT context_id + 3000000000000, entity_id + 4000000000000, 'may_be', 0, score, true FROM cands""")
 def rebuild_graph_edges(spark, sf):
-    seen = aggs.merge_edges(graph.document_edges(b.mentions(spark, sf), **b.TYPES))
-    return graph.written_back(seen, graph.transitive_links(b.edges(spark, sf), entities=b.entities(spark, sf)))
+    """Edges of the documents and of every detector, each below its own name; the detectors run again and replace only their own."""
+    store = Contributions(spark, scratch_path(spark, "graph"), "detector", "string")
+    tables = rebuild(spark, sf)
+    shifted = graph.cluster_edges(flight_members(spark, sf), protected=protected_suppliers(spark, sf)).withColumns(
+        {c: F.col(c) + b.ORG for c in ("a", "b")})
+    candidates = tables["candidates"].withColumns({"context_id": F.col("context_id") + PLACE, "entity_id": F.col("entity_id") + WATCHED})
+    found = graph.detected_edges(shifted, tables["transitive"], candidates)
+    graph.write_detected(store, {"documents": tables["observations"], **found})
+    graph.write_detected(store, {"candidates": found["candidates"]})
+    return aggs.merge_edges(store.read("edges")).select("source_id", "target_id", "kind", "evidence", "confidence", "inferred")
+
+
+PLACE, WATCHED = 3_000_000_000_000, 4_000_000_000_000  # id offsets of placeholders and of watched names
 
 
 def rebuild(spark, sf):
@@ -265,9 +294,14 @@ def rebuild(spark, sf):
     mentions = cut(b.mentions(spark, sf), "mentions")
     edges = cut(b.edges(spark, sf), "edges")
     pairs = followed(spark, sf).select(F.col("user_id").alias("entity_id"), "gap_days", F.col("event_id").alias("document_id"))
+    observed = graph.document_edges(mentions, **b.TYPES)
+    contexts = b.table(spark, sf, "documents").select(F.col("doc_id").alias("context_id"), F.col("text").alias("context"))
     return {
         "scored_links": evidence.score_evidence(links, TERMS),
-        "edges": aggs.merge_edges(graph.document_edges(mentions, **b.TYPES)),
+        "observations": observed,
+        "edges": aggs.merge_edges(observed),
+        "entity_scores": entity_scores(mentions, edges),
+        "candidates": placeholder_candidates(contexts, watchlist(spark, sf), 0.5),
         "frequent_pairs": topk.frequent_pairs(edges),
         "clusters": windows.time_clusters(windows.cluster_members(seen)),
         "spikes": windows.spikes(seen, ["entity_id", "evidence_type"], "event_ts", 2.0, 3),

@@ -8,11 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseloom import fixed
-from caseloom.functions.names import is_garbage, map_entity_type, normalize_name
+from caseloom.functions.names import is_garbage, map_entity_type, names_match, normalize_name
 from caseloom.functions.text import categorize, confidence_class, find_all
 from caseloom.operators.sets import missing_values
 from caseloom.operators.skew import spread
-from caseloom.operators.windows import top_per_key
+from caseloom.operators.windows import align_answers, top_per_key
+from caseloom.sources.contributions import Contributions
 
 ANY_HEADER = r"(?i)===\s*(?:" + "|".join(fixed.SECTIONS.values()) + r")\s*==="
 FEWEST = {"entities": 1, "timeline": 2, "locations": 2, "financial": 2, "evidence_scores": 2, "career_roles": 1}
@@ -196,6 +197,60 @@ def consensus_edges(items: DataFrame, connections: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("evidence"), F.count(F.lit(1)).cast("double").alias("weight"))
 
 
+def contributions(items: DataFrame, roles: DataFrame, scores: DataFrame, connections: DataFrame, inferred: DataFrame,
+                  gaps: DataFrame) -> dict[str, DataFrame]:
+    """What each document's consensus adds to the graph: its links, edges and gap candidates, every row with its document_id.
+
+    ``items`` is (document_id, name, raw_type), ``roles`` (document_id, place, name, role), ``scores`` (document_id, name, score, reason),
+    ``connections`` (document_id, source, target, kind, confidence), ``inferred`` (document_id, index, rank, candidate, confidence) with 1-based
+    indices, ``gaps`` (document_id, page, gap_id, status). A name takes the role of the first entry that matches it. The best
+    score of a name counts. Connections hold between names of the same document. Candidates meet the gap of their place in page order; numbers
+    without a gap drop out.
+    """
+    named = items.select("document_id", F.trim("name").alias("name"), normalize_name(F.col("name")).alias("canonical"),
+                         map_entity_type(F.col("raw_type")).alias("entity_type")).filter("canonical <> ''").distinct()
+    # roles are looked up by the distinct names of a document
+    asked = named.select("document_id", "name").distinct().join(roles.withColumnRenamed("name", "whose"), "document_id")
+    found = asked.filter(names_match(F.col("whose"), F.col("name"))).groupBy("document_id", "name").agg(
+        F.min(F.struct("place", "role")).getField("role").alias("role"))
+    best = scores.groupBy("document_id", normalize_name(F.col("name")).alias("canonical")).agg(
+        F.max(F.struct("score", "reason")).alias("best"))
+    links = named.join(found, ["document_id", "name"], "left").groupBy("document_id", "canonical", "entity_type").agg(
+        F.min("role").alias("role")).join(best, ["document_id", "canonical"], "left").select(
+        "document_id", "canonical", "entity_type", "role", F.col("best.score").alias("score"), F.col("best.reason").alias("reason"))
+
+    ends = named.select("document_id", "canonical").distinct()
+    between = connections.select("document_id", normalize_name(F.col("source")).alias("source"), normalize_name(F.col("target")).alias("target"),
+                                 "kind", "confidence").filter("source <> target")
+    for side in ("source", "target"):
+        between = between.join(ends.withColumnRenamed("canonical", side), ["document_id", side], "left_semi")
+    edges = between.groupBy("document_id", "source", "target", "kind").agg(F.max("confidence").alias("confidence"))
+
+    placed = align_answers(gaps, inferred.select("document_id", F.col("index").cast("long").alias("index"), "rank", "candidate", "confidence"), "page", "gap_id")
+    candidates = placed.select("document_id", "gap_id", "rank", "candidate", "confidence",
+                               F.when(F.col("status") == "unresolved", "inferred").otherwise(F.col("status")).alias("status"))
+    return {"links": links, "edges": edges, "candidates": candidates}
+
+
+def apply_documents(store: Contributions, documents: DataFrame, tables: dict[str, DataFrame]) -> None:
+    """The consensus of ``documents`` replaces what they added before, in every table; no document is counted twice."""
+    store.replace(documents, tables)
+
+
+def applied_entities(links: DataFrame) -> DataFrame:
+    """Entities over all documents: documents counted once, first document and its role, best score, scored documents."""
+    return links.groupBy("canonical", "entity_type").agg(
+        F.countDistinct("document_id").alias("document_count"), F.min("document_id").alias("first_doc"),
+        F.min_by("role", "document_id").alias("role"), F.coalesce(F.max("score"), F.lit(0)).alias("score"),
+        F.count("score").alias("evidence_count"))
+
+
+def applied_edges(edges: DataFrame) -> DataFrame:
+    """Edges over all documents, each counted once; the confidence is that of the first document."""
+    return edges.groupBy("source", "target", "kind").agg(
+        F.count(F.lit(1)).alias("evidence"), F.count(F.lit(1)).cast("double").alias("weight"), F.min_by("confidence", "document_id").alias("confidence"))
+
+
 def new_findings(levels: DataFrame, notes: DataFrame, known_docs: DataFrame, known_titles: DataFrame, most: int | None = None) -> DataFrame:
     """Findings from consensus rows that say something and are not known yet, newest documents first; the first ``most``, or all.
 

@@ -13,6 +13,7 @@ from caseloom.operators.pairs import shared_pairs
 from caseloom.operators.scoring import both_ends
 from caseloom.operators.skew import salted_join
 from caseloom.session import cut
+from caseloom.sources.contributions import Contributions
 
 
 def document_edges(mentions: DataFrame, email: str = "email", flight: str = "flight_log", money: str = "financial",
@@ -112,16 +113,13 @@ def transitive_links(edges: DataFrame, strong: float = 2.0, hops: int = 3, entit
     return found.distinct().withColumn("confidence", F.round(F.lit(1.0) / F.col("degrees"), 2))
 
 
-def written_back(edges: DataFrame, transitive: DataFrame) -> DataFrame:
-    """Merged edges with the links that the detectors infer, as edges of their own kind."""
-    inferred = transitive.select(
-        "source_id", "target_id", F.lit("transitively_linked").alias("kind"), F.lit(0).cast("long").alias("evidence"), "confidence",
-        F.lit(True).alias("inferred"))
-    return edges.select("source_id", "target_id", "kind", "evidence", "confidence", "inferred").unionByName(inferred)
+def cluster_edges(members: DataFrame, at_least: int = 3, protected: DataFrame | None = None) -> DataFrame:
+    """Inferred edges among the entities of each time cluster: clusters shared, lowest document.
 
-
-def cluster_edges(members: DataFrame, at_least: int = 3) -> DataFrame:
-    """Inferred edges among the entities of each time cluster: clusters shared, lowest document."""
+    Entities of ``protected`` (entity_id) are left out before clusters are counted.
+    """
+    if protected is not None:
+        members = members.join(protected.select("entity_id").distinct(), "entity_id", "left_anti")
     big = members.groupBy("start").agg(F.countDistinct("entity_id").alias("n"), F.min("document_id").alias("doc")).filter(
         F.col("n") >= at_least).select("start", "doc")
     pairs = shared_pairs(members.join(big, "start", "left_semi"), "start", "entity_id")
@@ -129,6 +127,38 @@ def cluster_edges(members: DataFrame, at_least: int = 3) -> DataFrame:
         F.count(F.lit(1)).alias("clusters"), F.min("doc").alias("evidence_doc"))
 
 
+DETECTED = ["source_id", "target_id", "kind", "document_id", "confidence", "inferred", "seen_at", "note"]
+
+
+def detected_edges(clusters: DataFrame, transitive: DataFrame, candidates: DataFrame) -> dict[str, DataFrame]:
+    """The edges that each detector infers, with its own evidence, in the columns of edge observations.
+
+    ``clusters`` is (a, b, clusters, evidence_doc), ``transitive`` (source_id, target_id, degrees, confidence), ``candidates``
+    (context_id, entity_id, score): who may stand behind a placeholder.
+    """
+    none, yes = F.lit(None), F.lit(True).alias("inferred")
+    return {
+        "temporal": clusters.select(
+            F.col("a").alias("source_id"), F.col("b").alias("target_id"), F.lit("temporal_cluster").alias("kind"),
+            F.col("evidence_doc").alias("document_id"), F.lit(0.5).alias("confidence"), yes, none.cast("timestamp").alias("seen_at"),
+            F.concat(F.col("clusters").cast("string"), F.lit(" clusters")).alias("note")),
+        "transitive": transitive.select(
+            "source_id", "target_id", F.lit("transitively_linked").alias("kind"), none.cast("long").alias("document_id"), "confidence", yes,
+            none.cast("timestamp").alias("seen_at"), F.concat(F.col("degrees").cast("string"), F.lit(" degrees of separation")).alias("note")),
+        "candidates": candidates.select(
+            F.col("context_id").alias("source_id"), F.col("entity_id").alias("target_id"), F.lit("may_be").alias("kind"),
+            none.cast("long").alias("document_id"), F.col("score").alias("confidence"), yes, none.cast("timestamp").alias("seen_at"),
+            F.lit("name in context").alias("note")),
+    }
+
+
+def write_detected(store: Contributions, edges: dict[str, DataFrame]) -> None:
+    """Every detector replaces the edges of its last run, and only those."""
+    for detector, rows in edges.items():
+        mine = store.spark.createDataFrame([(detector,)], "detector string")
+        store.replace(mine, {"edges": rows.select(F.lit(detector).alias("detector"), *DETECTED)})
+
+
 def merge_mentions(mentions: DataFrame, mapping: DataFrame) -> DataFrame:
     """Mentions with every id replaced by the survivor of its merge chain.
 
