@@ -8,8 +8,9 @@ from caseloom.catalog.registry import query
 from caseloom.catalog.scalars import TOPICS, URL_SQL, category_sql
 from caseloom.catalog.views import SCORES, V1, V3, V4, V5, V8, using
 from caseloom.functions.text import categorize
+from caseloom.operators.blocking import containing
 from caseloom.plans import review
-from caseloom.session import scratch_path
+from caseloom.session import cut, scratch_path
 from caseloom.sources import exports
 
 # parts of one brand count as protected
@@ -155,3 +156,60 @@ def document_view(spark, sf):
         F.col("l_orderkey").alias("document_id"), F.col("l_linenumber").alias("page"), F.col("l_partkey").alias("entity_id"),
         (F.col("l_returnflag") == "R").alias("redacted"))
     return review.document_view(docs, lines)
+
+
+# lines of a document are its pages, sentences its paragraphs; the first one or two words of the passages are names
+DOC_VIEW = r"""nm AS (SELECT item_id AS entity_id, split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2) AS name,
+ ['person', 'organization', 'location'][item_id % 3 + 1] AS entity_type, item_id % 100 AS score FROM benchmark
+ UNION ALL SELECT item_id + 1000, split_part(text, ' ', 1), 'location', item_id % 7 FROM benchmark),
+lk AS (SELECT doc_id, nm.* FROM documents, nm WHERE contains(text, name)),
+pg AS (SELECT doc_id, page, replace(ps[page], '. ', E'.\n\n') AS text FROM (SELECT doc_id, ps, unnest(range(1, len(ps) + 1)) AS page FROM
+ (SELECT doc_id, string_split(text, E'\n') AS ps FROM documents))),
+bits AS (SELECT doc_id, page, i, regexp_replace(qs[i], '^\s+|\s+$', '', 'g') AS text FROM (SELECT *, unnest(range(1, len(qs) + 1)) AS i FROM
+ (SELECT doc_id, page, string_split(text, E'\n\n') AS qs FROM pg))),
+para AS (SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id, page ORDER BY i) AS para, text FROM bits WHERE text <> ''),
+who AS (SELECT DISTINCT ON (doc_id, name) * FROM lk ORDER BY doc_id, name, score DESC, entity_id),
+pat AS (SELECT doc_id, array_to_string(list(regexp_escape(name) ORDER BY length(name) DESC, name), '|') AS either FROM who GROUP BY 1),
+hit AS (SELECT doc_id, page, para, k, ms[k] AS name, list_sum([length(x) FOR x IN bs[1:k]]) + coalesce(list_sum([length(x) FOR x IN ms[1:k - 1]]), 0) AS spot FROM
+ (SELECT *, unnest(range(1, len(ms) + 1)) AS k FROM (SELECT doc_id, page, para, regexp_extract_all(text, either) AS ms, regexp_split_to_array(text, either) AS bs
+  FROM para JOIN pat USING (doc_id)))),
+spans AS (SELECT doc_id, page, para, string_agg(CAST(spot AS BIGINT) || '+' || length(name) || '=' || entity_id, ',' ORDER BY spot) AS spans,
+ string_agg(DISTINCT entity_type, ',' ORDER BY entity_type) AS types FROM hit JOIN who USING (doc_id, name) GROUP BY 1, 2, 3),
+shown AS (SELECT doc_id, string_agg(page || '.' || para || ':' || coalesce(spans, '') || ':' || coalesce(types, '') || ':' || md5(text)
+  || CASE WHEN regexp_matches(text, '(?i)\[redacted\]|\[redaction\]|█') THEN '!' ELSE '' END, ' ' ORDER BY page, para) AS paragraphs FROM para LEFT JOIN spans USING (doc_id, page, para) GROUP BY 1),
+ls AS (SELECT doc_id, string_agg(entity_id || '/' || name, ',' ORDER BY score DESC, entity_id) AS links FROM lk GROUP BY 1),
+ty AS (SELECT doc_id, string_agg(entity_type || '=' || n, ',' ORDER BY entity_type) AS types FROM (SELECT doc_id, entity_type, count(*) AS n FROM lk GROUP BY 1, 2) GROUP BY 1),
+gs AS (SELECT doc_id, string_agg(CAST(page AS VARCHAR), ',' ORDER BY page) AS gaps FROM pg WHERE contains(text, 'http') GROUP BY 1),
+cs AS (SELECT doc_id, count(*) AS n_pages, CAST(sum(length(text)) AS BIGINT) AS chars FROM pg GROUP BY 1)"""
+
+
+@query("document_nested", using(DOC_VIEW) + """SELECT doc_id AS document_id, lag(doc_id) OVER (ORDER BY doc_id) AS prev_id, lead(doc_id) OVER (ORDER BY doc_id) AS next_id,
+ n_pages, chars, links, types, gaps, paragraphs FROM documents LEFT JOIN cs USING (doc_id) LEFT JOIN ls USING (doc_id) LEFT JOIN ty USING (doc_id)
+ LEFT JOIN gs USING (doc_id) LEFT JOIN shown USING (doc_id)""")
+def document_nested(spark, sf):
+    """Whole documents with their annotated paragraphs, the nested lists written out."""
+    docs = b.table(spark, sf, "documents").select(F.col("doc_id").alias("document_id"), "text")
+    first, two = F.split_part("text", F.lit(" "), F.lit(1)), F.concat_ws(" ", F.split_part("text", F.lit(" "), F.lit(1)), F.split_part("text", F.lit(" "), F.lit(2)))
+    kind = F.element_at(F.array(*map(F.lit, ["person", "organization", "location"])), (F.col("item_id") % 3 + 1).cast("int"))
+    items = b.table(spark, sf, "benchmark")
+    names = items.select(F.col("item_id").alias("entity_id"), two.alias("name"), kind.alias("entity_type"), (F.col("item_id") % 100).alias("score")).unionByName(
+        items.select(F.col("item_id") + 1000, first, F.lit("location"), F.col("item_id") % 7).toDF("entity_id", "name", "entity_type", "score"))
+    held = containing(docs, "document_id", "text", names, "entity_id", "name")
+    links = cut(held.join(names, "entity_id"), "links")
+    pages = docs.select("document_id", F.posexplode(F.split("text", "\n", -1)).alias("page", "text")).select(
+        "document_id", (F.col("page") + 1).alias("page"), F.replace("text", F.lit(". "), F.lit(".\n\n")).alias("text"))
+    gaps = pages.filter(F.contains("text", F.lit("http"))).select("document_id", "page", (F.col("page") * 10).alias("gap_id"), F.lit("unresolved").alias("status"))
+    whole = review.whole_documents(docs, cut(pages, "pages"), links, gaps)
+
+    def written(column, sep, line):
+        return F.array_join(F.transform(column, line), sep).alias(column)
+
+    text = lambda c: c.cast("string")
+    spans = lambda p: F.array_join(F.transform(p["spans"], lambda s: F.concat(text(s["at"]), F.lit("+"), text(s["size"]), F.lit("="), text(s["entity_id"]))), ",")
+    return whole.select(
+        "document_id", "prev_id", "next_id", F.size("pages").cast("long").alias("n_pages"), "chars",
+        written("links", ",", lambda x: F.concat(text(x["entity_id"]), F.lit("/"), x["name"])),
+        written("types", ",", lambda x: F.concat(x["entity_type"], F.lit("="), text(x["n"]))), written("gaps", ",", lambda x: text(x["page"])),
+        written("paragraphs", " ", lambda p: F.concat(
+            text(p["page"]), F.lit("."), text(p["para"]), F.lit(":"), spans(p), F.lit(":"), F.array_join(p["types"], ","), F.lit(":"), F.md5(p["text"]),
+            F.when(p["redacted"], "!").otherwise(""))))
