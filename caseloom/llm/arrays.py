@@ -47,12 +47,12 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 class Prefix:
-    """Prefix sums of one byte array; ``span`` hashes many spans at once."""
+    """Prefix sums of one array of bytes or of 64-bit codes; ``span`` hashes many spans at once."""
 
     def __init__(self, data: np.ndarray):
         self.power, inverse = _upto(len(data))
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(TABLE[data] * inverse[: len(data)], out=self.sums[1:])
+        np.cumsum((TABLE[data] if data.dtype == np.uint8 else data) * inverse[: len(data)], out=self.sums[1:])
 
     def span(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * self.power[start])

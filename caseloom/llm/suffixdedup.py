@@ -1,10 +1,12 @@
 """Removal of repeated passages by a sparse, distributed suffix sort with hash-compared suffixes.
 
-A byte goes if a string of ``length`` bytes covers it that also starts anywhere else in the corpus.
+A byte goes if a string of ``length`` bytes covers it that also starts anywhere else in the corpus. The same search runs over words: a text is
+then the sequence of its words, each a 64-bit code of its bytes, and a window ``length`` words. Below, a unit is a byte or a word.
 
 Anchors. Of the ``gram``-byte strings inside a window of ``length`` bytes, the one of lowest hash (the leftmost of
 equals) is the window's anchor. Equal windows have equal anchors at equal places, so a window is only ever compared with
-windows of the same anchor string and the same place in it. The windows of one anchor are consecutive; the bytes they
+windows of the same anchor string and the same place in it. At first an anchor is no more than a 64-bit name and its place; those that several
+places share inside a batch are settled on the spot and stand for the batch by one row. Only anchors whose name occurs elsewhere are spelt out. The windows of one anchor are consecutive; the bytes they
 span are its block. About one position in ``(length - gram) / 2`` is an anchor.
 
 Counting. Blocks are named by 128-bit content hashes of anchor string and span. An anchor string that occurs once repeats
@@ -28,28 +30,54 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from caseloom.llm.arrays import SLICE, WHITE, Prefix, column_bytes
+from caseloom.llm.arrays import SLICE, WHITE, Prefix, column_bytes, mix, slices
 from caseloom.llm.arrays import runs as runs_of
 from caseloom.llm.common import cut, row_key, with_fields
 
 #: Bytes of blocks sorted by one task at once, and most blocks of one anchor string in a list.
 SORTED_BYTES = 2 << 20
 MOST_BLOCKS = 4096
+#: Kinds of units, and the numbers that hold one.
+BYTES, WORDS = 0, 1
+UNIT = {BYTES: np.dtype(np.uint8), WORDS: np.dtype(np.uint64)}
 #: Columns beside those of the input, by names that it will not have.
 KEY, PACKED, RUNS, NULL = "_repeat_key", "_repeat_packed", "_repeat_runs", "_repeat_null"
-ANCHORS = "key long, place int, low int, high int, ga long, gb long, ua long, ub long"
+NAMES = "key long, spot int, name long, sure boolean"
+ANCHORS = "key long, kind int, place int, low int, high int, ga long, gb long, ua long, ub long"
+
+
+class Search(NamedTuple):
+    """Windows of ``length`` units of a kind, with anchors of ``gram`` units."""
+
+    kind: int
+    length: int
+    gram: int
+
+
+def searches(length: int, gram: int, words: int) -> list[Search]:
+    return [Search(BYTES, length, gram), *([Search(WORDS, words, max(1, words // 3))] if words else [])]
+
+
+def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return runs_of(~WHITE[data], np.array([0, len(data)]))[:2]
+
+
+def units(data: np.ndarray, kind: int) -> np.ndarray:
+    """The bytes of a text, or a code for each of its words."""
+    return data if kind == BYTES else Prefix(data).span(*word_bounds(data))
 
 
 def anchors(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, first window, last window) of each block of one byte array."""
+    """(anchor, first window, last window) of each block of one array of units."""
     windows, width = len(data) - length + 1, length - gram + 1
     if windows < 1:
         return (np.zeros(0, np.int64),) * 3
@@ -76,24 +104,76 @@ def _name(data: bytes) -> tuple[int, int]:
     return digest & ((1 << 64) - 1), digest >> 64
 
 
-def _anchor_rows(length: int, gram: int):
+def _anchor_names(wanted: list[Search]):
+    """Names of all anchors; ``spot`` is twice the place, and one more for words."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = column_bytes(batch.column("text"))
+            keys = batch.column("key").to_numpy()
+            for i, j in slices(offsets):
+                found = []
+                for r in range(i, j):
+                    own = data[offsets[r] : offsets[r + 1]]
+                    for kind, length, gram in wanted:
+                        codes = units(own, kind)
+                        place = anchors(codes, length, gram)[0]
+                        if len(place):
+                            found.append((np.full(len(place), keys[r]), place * 2 + kind, Prefix(codes).span(place, place + gram) + np.uint64(kind)))
+                if found:
+                    yield _settled_names(*map(np.concatenate, zip(*found)))
+
+    return work
+
+
+def _settled_names(keys: np.ndarray, spots: np.ndarray, names: np.ndarray) -> pa.RecordBatch:
+    """Anchors that share their name inside the batch are sure to repeat; one of them also stands for the batch."""
+    names = names.view(np.int64)
+    order = np.argsort(names, kind="stable")
+    new = np.concatenate(([True], names[order][1:] != names[order][:-1]))
+    head = np.flatnonzero(new)
+    often = np.diff(np.append(head, len(names)))
+    sure = np.zeros(len(names), bool)
+    sure[order] = np.repeat(often > 1, often)
+    stand = order[head[often > 1]]
+    spread = mix(keys[sure].view(np.uint64) + spots[sure].astype(np.uint64)).view(np.int64)
+    return pa.RecordBatch.from_arrays([
+        pa.array(np.concatenate([keys[~sure], keys[sure], keys[stand]])),
+        pa.array(np.concatenate([spots[~sure], spots[sure], np.full(len(stand), -1)]).astype(np.int32)),
+        pa.array(np.concatenate([names[~sure], spread, names[stand]])),
+        pa.array(np.repeat([False, True, False], [(~sure).sum(), sure.sum(), len(stand)]))], names=[c.split()[0] for c in NAMES.split(", ")])
+
+
+def _name(data: bytes) -> tuple[int, int]:
+    digest = xxhash.xxh3_128_intdigest(data)
+    return digest & ((1 << 64) - 1), digest >> 64
+
+
+def _anchor_rows(wanted: list[Search]):
+    """The anchors of each text at the given spots, with their windows and content names."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        press = zstandard.ZstdDecompressor()
+        for batch in batches:
             rows, names = [], []
-            keys = batch.column("key").to_pylist()
-            for r, key in enumerate(keys):
-                own = data[offsets[r] : offsets[r + 1]]
-                place, low, high = anchors(own, length, gram)
-                if len(place):
-                    raw = own.tobytes()
-                    names += [(*_name(raw[p : p + gram]), *_name(b"%d %d " % (p - a, b - p) + raw[a : b + length]))
+            columns = [batch.column(c).to_pylist() for c in ("key", "packed", "spots")]
+            for r, (key, small, spots) in enumerate(zip(*columns)):
+                data = np.frombuffer(press.decompress(small), np.uint8)
+                for kind, length, gram in wanted:
+                    codes = units(data, kind)
+                    place, low, high = anchors(codes, length, gram)
+                    kept = np.isin(place * 2 + kind, spots)
+                    place, low, high = place[kept], low[kept], high[kept]
+                    raw, size, mark = codes.tobytes(), UNIT[kind].itemsize, b"%d " % kind
+                    names += [(*_name(mark + raw[size * p : size * (p + gram)]), *_name(b"%d %d %d " % (kind, p - a, b - p) + raw[size * a : size * (b + length)]))
                               for p, a, b in zip(place.tolist(), low.tolist(), high.tolist())]
-                    rows.append(np.column_stack((np.full(len(place), key), place, low, high)))
-                if len(names) > 50_000 or r == len(keys) - 1 and rows:
+                    rows.append(np.column_stack((np.full(len(place), key), np.full(len(place), kind), place, low, high)))
+                if names and (len(names) > 50_000 or r == len(columns[0]) - 1):
                     numbers, hashes = np.concatenate(rows), np.array(names, np.uint64).view(np.int64)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(numbers[:, 0]), *(pa.array(numbers[:, k].astype(np.int32)) for k in (1, 2, 3)),
+                        [pa.array(numbers[:, 0]), *(pa.array(numbers[:, k].astype(np.int32)) for k in range(1, 5)),
                          *(pa.array(np.ascontiguousarray(hashes[:, k])) for k in range(4))],
                         names=[c.split()[0] for c in ANCHORS.split(", ")])
                     rows, names = [], []
@@ -102,7 +182,7 @@ def _anchor_rows(length: int, gram: int):
 
 
 class Suffixes:
-    """Windows of ``length`` bytes in one byte array, compared through prefix hashes."""
+    """Windows of ``length`` units in one array, compared through prefix hashes."""
 
     def __init__(self, data: np.ndarray, length: int):
         self.data, self.length, self.prefix = data, length, Prefix(data)
@@ -162,6 +242,8 @@ class Suffixes:
 
     def verified(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether the windows at a and b are equal byte by byte; runs along a diagonal are read once."""
+        if not len(a):
+            return np.zeros(0, bool)
         order = np.lexsort((a, b - a))
         x, step = a[order], (b - a)[order]
         new = np.concatenate(([True], (x[1:] != x[:-1] + 1) | (step[1:] != step[:-1])))
@@ -196,18 +278,22 @@ def repeating(data: np.ndarray, suffix: np.ndarray, group: np.ndarray, length: i
     return np.unique(np.concatenate(found))
 
 
-def _sort_blocks(length: int):
+def _sort_blocks(wanted: list[Search]):
+    lengths = {s.kind: s.length for s in wanted}
+
     def work(rows: pd.DataFrame) -> pd.DataFrame:
         """Runs of repeating windows of each block, as places before the anchor."""
         rows = rows.sort_values(["ga", "gb"], kind="stable").reset_index(drop=True)
-        sizes = np.array([len(b) for b in rows.block], np.int64)
-        data = np.frombuffer(b"".join(rows.block), np.uint8)
+        kind = int(rows.kind.iloc[0])  # of one kind in a group
+        length, unit = lengths[kind], UNIT[kind]
+        sizes = np.array([len(b) // unit.itemsize for b in rows.block], np.int64)
+        data = np.frombuffer(b"".join(rows.block), unit)
         base = np.cumsum(sizes) - sizes
         number = sizes - length + 1
         block = np.repeat(np.arange(len(rows)), number)
         within = np.arange(len(block)) - np.repeat(np.cumsum(number) - number, number)
         string = np.concatenate(([0], np.cumsum((rows.ga.to_numpy()[1:] != rows.ga.to_numpy()[:-1]) | (rows.gb.to_numpy()[1:] != rows.gb.to_numpy()[:-1]))))
-        place = rows.before.to_numpy(np.int64)[block] - within  # bytes from the window's start to the anchor
+        place = rows.before.to_numpy(np.int64)[block] - within  # units from the window's start to the anchor
         twice = repeating(data, base[block] + within, string[block] * (1 << 20) + place, length)
         own = np.searchsorted(base, twice, "right") - 1
         at = twice - base[own]
@@ -238,9 +324,11 @@ def packed(docs: DataFrame) -> DataFrame:
     return docs.select(*kept.columns, "text").mapInArrow(_pack, with_fields(kept.schema, **{PACKED: "binary"}))
 
 
-def _blocks(length: int):
+def _blocks(searched: list[Search]):
+    lengths = {s.kind: s.length for s in searched}
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The bytes of the wanted blocks of each row, cut by window place where a string has many blocks."""
+        """The units of the wanted blocks of each row, cut by window place where a string has many blocks."""
         import zstandard
 
         press, last = zstandard.ZstdDecompressor(), None
@@ -250,16 +338,18 @@ def _blocks(length: int):
                 if key == last:  # a repeated row; the join brings them side by side
                     continue
                 last = key
-                raw = press.decompress(text)
+                data = np.frombuffer(press.decompress(text), np.uint8)
+                codes = {kind: units(data, kind) for kind in {w["kind"] for w in wanted}}
                 for w in wanted:
+                    own, length = codes[w["kind"]], lengths[w["kind"]]
                     step = max(1, -(-(length + 1) // w["parts"]))
                     windows = w["high"] - w["low"] + 1
                     before = w["place"] - w["low"]
                     for part in range(w["parts"]):  # places before the anchor part*step ... part*step+step-1
                         far, near = min(before, part * step + step - 1), max(before - windows + 1, part * step)
                         if far >= near:
-                            block = raw[w["place"] - far : w["place"] - near + length]
-                            out.append((w["ga"], w["gb"], w["ua"], w["ub"], part, far, block))
+                            block = own[w["place"] - far : w["place"] - near + length].tobytes()
+                            out.append((w["ga"], w["gb"], w["ua"], w["ub"], w["kind"], part, far, block))
                             size += len(block)
                     if size > 1 << 20:
                         yield _block_rows(out)
@@ -270,44 +360,53 @@ def _blocks(length: int):
     return work
 
 
-BLOCKS = "ga long, gb long, ua long, ub long, part int, before int, block binary"
+BLOCKS = "ga long, gb long, ua long, ub long, kind int, part int, before int, block binary"
 
 
 def _block_rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.binary()]
+    kinds = [pa.int64()] * 4 + [pa.int32()] * 3 + [pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[c.split()[0] for c in BLOCKS.split(", ")])
 
 
 STRING, BLOCK = ["ga", "gb"], ["ga", "gb", "ua", "ub"]
 
 
-def repeated_windows(docs: DataFrame, texts: DataFrame, length: int = 400, gram: int = 200) -> DataFrame:
-    """(key, first, last): runs of window starts that repeat, from (key, text); ``texts`` has (key, packed)."""
-    found = cut(docs.select("key", "text").mapInArrow(_anchor_rows(length, gram), ANCHORS), "anchors")
+def repeated_spots(docs: DataFrame, wanted: list[Search]) -> DataFrame:
+    """(key, spots): anchors of (key, text) whose name occurs elsewhere. A clash of names brings a spot more, never one less."""
+    found = docs.select("key", "text").mapInArrow(_anchor_names(wanted), NAMES)
+    met = found.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("name"))).filter("(sure OR n > 1) AND spot >= 0")
+    return cut(met.select("key", "spot"), "met-names").groupBy("key").agg(F.collect_set("spot").alias("spots"))
+
+
+def repeated_windows(docs: DataFrame, texts: DataFrame, wanted: list[Search]) -> DataFrame:
+    """(key, kind, first, last): runs of window starts that repeat, from (key, text); ``texts`` has (key, packed)."""
+    spots = repeated_spots(docs, wanted)
+    found = cut(texts.join(spots, "key").select("key", "packed", "spots").mapInArrow(_anchor_rows(wanted), ANCHORS), "anchors")
     strings = cut(found.groupBy(*STRING).agg(  # written, so that both sides of the join are dealt anew and a hot string can be split
         F.count(F.lit(1)).alias("n"),
         ((F.min("ua") != F.max("ua")) | (F.min("ub") != F.max("ub"))).alias("several")).filter("n > 1"), "repeated-strings")
     met = cut(found.join(strings.select(*STRING, "several"), STRING), "met-anchors")
     blocks = cut(met.groupBy(*BLOCK).agg(
-        F.count(F.lit(1)).alias("n"), F.max("several").alias("several"), F.min(F.struct("key", "place", "low", "high")).alias("at")), "blocks")
-    mixed = blocks.filter("several")
-    parts = mixed.groupBy(*STRING).agg(F.greatest(F.lit(1), F.least(F.lit(length), F.ceil(F.count(F.lit(1)) / MOST_BLOCKS))).cast("int").alias("parts"))
-    wanted = mixed.join(parts, STRING).groupBy("at.key").agg(F.collect_list(F.struct(*BLOCK, "at.place", "at.low", "at.high", "parts")).alias("wanted"))
-    cut_out = cut(texts.join(wanted, "key").select("key", "packed", "wanted").mapInArrow(_blocks(length), BLOCKS), "block-bytes")
+        F.count(F.lit(1)).alias("n"), F.max("several").alias("several"), F.min(F.struct("key", "kind", "place", "low", "high")).alias("at")), "blocks")
+    mixed, most = blocks.filter("several"), max(s.length for s in wanted)
+    parts = mixed.groupBy(*STRING).agg(F.greatest(F.lit(1), F.least(F.lit(most), F.ceil(F.count(F.lit(1)) / MOST_BLOCKS))).cast("int").alias("parts"))
+    asked = mixed.join(parts, STRING).groupBy("at.key").agg(F.collect_list(F.struct(*BLOCK, "at.kind", "at.place", "at.low", "at.high", "parts")).alias("wanted"))
+    cut_out = cut(texts.join(asked, "key").select("key", "packed", "wanted").mapInArrow(_blocks(wanted), BLOCKS), "block-bytes")
     size = cut_out.agg(F.coalesce(F.sum(F.length("block")), F.lit(0)).alias("n")).first().n
     buckets = max(1, -(-size // SORTED_BYTES))
-    runs = cut_out.withColumn("bucket", F.pmod(F.xxhash64(*STRING, "part"), F.lit(buckets))).groupBy("bucket").applyInPandas(
-        _sort_blocks(length), "ga long, gb long, ua long, ub long, first int, last int")
+    runs = cut_out.withColumn("bucket", F.pmod(F.xxhash64(*STRING, "part"), F.lit(buckets))).groupBy("kind", "bucket").applyInPandas(
+        _sort_blocks(wanted), "ga long, gb long, ua long, ub long, first int, last int")
     again = cut(runs, "block-runs").join(blocks.filter("n = 1").select(*BLOCK), BLOCK, "left_semi")  # copies of a block repeat whole
     copies = blocks.filter("n > 1").select(*BLOCK, (F.col("at.place") - F.col("at.low")).alias("first"), (F.col("at.place") - F.col("at.high")).alias("last"))
     return met.join(again.unionByName(copies), BLOCK).select(
-        "key", (F.col("place") - F.col("first")).alias("first"), (F.col("place") - F.col("last")).alias("last"))
+        "key", "kind", (F.col("place") - F.col("first")).alias("first"), (F.col("place") - F.col("last")).alias("last"))
 
 
-def _spans(runs: list[dict], length: int) -> list[tuple[int, int]]:
-    """Maximal removed byte ranges of runs of window starts."""
+def _spans(runs: list[dict] | None, search: Search) -> list[tuple[int, int]]:
+    """Maximal ranges of units covered by the runs of window starts of one search."""
     merged: list[list[int]] = []
-    for first, last in sorted((r["first"], r["last"]) for r in runs):
+    length = search.length
+    for first, last in sorted((r["first"], r["last"]) for r in runs or [] if r["kind"] == search.kind):
         if merged and first <= merged[-1][1]:
             merged[-1][1] = max(merged[-1][1], last + length)
         else:
@@ -315,17 +414,22 @@ def _spans(runs: list[dict], length: int) -> list[tuple[int, int]]:
     return [tuple(m) for m in merged]
 
 
-def _join(docs: DataFrame, length: int, gram: int) -> DataFrame:
+def _join(docs: DataFrame, wanted: list[Search]) -> DataFrame:
     """Columns of docs but the text, with packed and runs."""
     keyed = docs.withColumn(KEY, row_key("doc_id", "text"))
     texts = packed(keyed)
-    runs = repeated_windows(keyed.select(F.col(KEY).alias("key"), "text"), texts.select(F.col(KEY).alias("key"), F.col(PACKED).alias("packed")), length, gram)
-    spans = runs.groupBy(F.col("key").alias(KEY)).agg(F.collect_set(F.struct("first", "last")).alias(RUNS))
+    runs = repeated_windows(keyed.select(F.col(KEY).alias("key"), "text"), texts.select(F.col(KEY).alias("key"), F.col(PACKED).alias("packed")), wanted)
+    spans = runs.groupBy(F.col("key").alias(KEY)).agg(F.collect_set(F.struct("kind", "first", "last")).alias(RUNS))
     return texts.join(spans, KEY, "left").drop(KEY)
 
 
-def digests(docs: DataFrame, length: int = 400, gram: int = 200) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each row of (doc_id, text)."""
+def digests(docs: DataFrame, length: int = 400, gram: int = 200, words: int = 0) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each row of (doc_id, text).
+
+    With ``words``, also n_repeated: the words covered by strings of that many words that also start anywhere else, whatever is between them.
+    """
+    wanted = searches(length, gram, words)
+    kinds = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string()} | ({"n_repeated": pa.int64()} if words else {})
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -334,38 +438,45 @@ def digests(docs: DataFrame, length: int = 400, gram: int = 200) -> DataFrame:
         for batch in batches:
             rows = []
             for text, runs in zip(batch.column(PACKED).to_pylist(), batch.column(RUNS).to_pylist()):
-                raw, spans = press.decompress(text), _spans(runs or [], length)
+                raw, spans = press.decompress(text), _spans(runs, wanted[0])
                 kept, at = hashlib.sha256(), 0
                 for a, b in [*spans, (len(raw), len(raw))]:
                     kept.update(raw[at:a])
                     at = b
-                rows.append((len(raw), sum(b - a for a, b in spans), len(spans), kept.hexdigest()))
-            kinds = [pa.int64()] * 3 + [pa.string()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 4, kinds))],
-                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-    return _join(docs.select("doc_id", "text"), length, gram).mapInArrow(
-        work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-
-
-def long_spans(raw: bytes, spans: list[tuple[int, int]], words: int, size: int) -> list[tuple[int, int]]:
-    """The spans of at least ``words`` whole words, or of ``size`` bytes."""
-    if not spans:
-        return spans
-    starts, ends, _ = runs_of(~WHITE[np.frombuffer(raw, np.uint8)], np.array([0, len(raw)]))
-    return [(a, b) for a, b in spans if b - a >= size or np.searchsorted(ends, b, "right") - np.searchsorted(starts, a) >= words]
+                rows.append((len(raw), sum(b - a for a, b in spans), len(spans), kept.hexdigest(), *(sum(b - a for a, b in _spans(runs, s)) for s in wanted[1:])))
+            columns = zip(*rows) if rows else [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds.values()))], names=["doc_id", *kinds])
+
+    made = ", ".join(f"{c} {'string' if k == pa.string() else 'long'}" for c, k in kinds.items())
+    return _join(docs.select("doc_id", "text"), wanted).mapInArrow(work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {made}")
+
+
+def byte_spans(raw: bytes, runs: list[dict] | None, wanted: list[Search]) -> list[tuple[int, int]]:
+    """What all searches together remove, as maximal ranges of bytes; words go from the first letter to the last."""
+    if not runs:
+        return []
+    spans = _spans(runs, wanted[0])
+    for search in wanted[1:]:
+        if own := _spans(runs, search):
+            starts, ends = word_bounds(np.frombuffer(raw, np.uint8))
+            spans = spans + [(int(starts[a]), int(ends[b - 1])) for a, b in own]
+    merged: list[list[int]] = []
+    for a, b in sorted(spans):
+        if merged and a <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], b)
+        else:
+            merged.append([a, b])
+    return [tuple(m) for m in merged]
 
 
-def without_repeats(docs: DataFrame, length: int = 400, gram: int = 200, words: int = 0, size: int = 0) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = 400, gram: int = 200, words: int = 0) -> DataFrame:
     """``docs`` with its columns, repeated passages cut out of ``text``; a character goes if all its bytes do.
 
-    With ``words``, a stretch of repeating windows goes only if it holds that many whole words or ``size`` bytes. Any repeated passage of
-    ``words`` words lies in one stretch if ``length`` is at most ``2 * words - 1``, the bytes of as many one-letter words.
+    With ``words``, strings of that many words that occur anywhere else go too, however few bytes they have.
     A null text stays null; ``n_chars``, where there is one, follows the text.
     """
     names = docs.columns
-    marked = docs.withColumn(NULL, F.col("text").isNull())
+    marked, wanted = docs.withColumn(NULL, F.col("text").isNull()), searches(length, gram, words)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -375,8 +486,7 @@ def without_repeats(docs: DataFrame, length: int = 400, gram: int = 200, words:
             texts = []
             for text, runs, null in zip(*(batch.column(c).to_pylist() for c in (PACKED, RUNS, NULL))):
                 raw, kept, at = press.decompress(text), [], 0
-                spans = _spans(runs or [], length)
-                for a, b in [*(long_spans(raw, spans, words, size) if words else spans), (len(raw), len(raw))]:
+                for a, b in [*byte_spans(raw, runs, wanted), (len(raw), len(raw))]:
                     while a < len(raw) and raw[a] & 0xC0 == 0x80:  # a whole character stays
                         a += 1
                     kept.append(raw[at:a])
@@ -389,4 +499,4 @@ def without_repeats(docs: DataFrame, length: int = 400, gram: int = 200, words:
                 columns["n_chars"] = pa.array([None if t is None else len(t) for t in texts], columns["n_chars"].type)
             yield pa.RecordBatch.from_arrays([columns[n] for n in names], names=names)
 
-    return _join(marked, length, gram).mapInArrow(work, docs.schema)
+    return _join(marked, wanted).mapInArrow(work, docs.schema)
