@@ -45,7 +45,7 @@ u AS (SELECT doc_id, i, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS run
 s AS (SELECT doc_id, min(i) AS a, max(i) + 400 AS b FROM u GROUP BY doc_id, run),
 e AS (SELECT doc_id, a, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS kept_from, b FROM s),
 k AS (SELECT doc_id, string_agg(substr(h, 2 * kept_from + 1, 2 * (a - kept_from)), '' ORDER BY a) AS kept, max(b) AS last_b, count(*) AS n_spans, sum(b - a) AS n_removed
- FROM e JOIN d USING (doc_id) GROUP BY doc_id)
+ FROM e JOIN d USING (doc_id) GROUP BY doc_id),
 p AS (SELECT doc_id, [x FOR x IN regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+') IF x <> ''] AS ws FROM documents),
 pw AS (SELECT doc_id, i, md5(array_to_string(ws[i + 1:i + 51], ' ')) AS k FROM p, unnest(range(len(ws) - 50)) AS r(i)),
 pt AS (SELECT k FROM pw GROUP BY k HAVING count(*) > 1),
