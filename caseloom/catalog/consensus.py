@@ -241,6 +241,45 @@ def sync_findings(spark, sf):
     return c.new_findings(c.agreement_levels(b.judgements(spark, sf)), notes, orders.filter("o_orderstatus = 'P'"), titles)
 
 
+# the parts of an order are its summary; a part's name and the first word of it are aliases
+FINDING = f"""fx AS (SELECT l_orderkey AS document_id, arg_max({TOPICS}[l_linenumber % 6 + 1], (l_shipdate, l_linenumber, l_partkey)) AS flags,
+ count(*) AS connections FROM lineitem WHERE l_discount > 0.05 GROUP BY 1),
+sm AS (SELECT l_orderkey AS document_id, string_agg(p_name, ' and ' ORDER BY l_linenumber, l_partkey) AS summary, max(p_type) AS relations
+ FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1),
+fd AS (SELECT document_id, top_item, summary || ' ' || coalesce(flags, '') || ' ' || relations AS blob, top_score, agreement FROM lv
+ JOIN sm USING (document_id) LEFT JOIN fx USING (document_id)
+ WHERE (top_score >= 30 OR coalesce(connections, 0) > 0 OR coalesce(flags, '') <> '') AND document_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')),
+al AS (SELECT lower(alias) AS t, min(entity_id) AS entity_id, len(string_split(lower(alias), ' ')) AS n FROM (SELECT p_partkey AS entity_id, p_name AS alias FROM part
+ UNION ALL SELECT p_partkey + 5000000, split_part(p_name, ' ', 1) FROM part) GROUP BY 1),
+wd AS (SELECT document_id, regexp_split_to_array(trim(regexp_replace(lower(top_item || ' . ' || blob), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM fd),
+mt AS (SELECT document_id, p, max(n) AS n FROM (SELECT document_id, w, unnest(range(1, len(w) + 1)) AS p FROM wd) JOIN (SELECT DISTINCT n FROM al) ON p + n - 1 <= len(w)
+ WHERE array_to_string(w[p:p + n - 1], ' ') IN (SELECT t FROM al) GROUP BY 1, 2),
+go(document_id, w, p) AS (SELECT document_id, w, 1::BIGINT FROM wd UNION ALL
+ SELECT go.document_id, go.w, go.p + coalesce(mt.n, 1) FROM go LEFT JOIN mt ON mt.document_id = go.document_id AND mt.p = go.p WHERE go.p <= len(go.w)),
+li AS (SELECT go.document_id, array_to_string(list_sort(list(DISTINCT entity_id)), ',') AS linked FROM go JOIN mt ON mt.document_id = go.document_id AND mt.p = go.p
+ JOIN al ON t = array_to_string(w[go.p:go.p + mt.n - 1], ' ') GROUP BY 1)"""
+
+
+@query("finding_rows", AGREED.replace("WITH", "WITH RECURSIVE", 1) + f""", {FINDING}
+SELECT document_id, top_item || ' investigative lead (Doc #' || document_id || ')' AS title, {category_sql("lower(blob)")} AS category,
+ CASE WHEN top_score >= 85 AND agreement IN ('full', 'majority') THEN 'confirmed' WHEN top_score >= 60 OR agreement IN ('full', 'majority') THEN 'likely'
+ ELSE 'unverified' END AS confidence, coalesce(linked, '') AS linked_ids FROM fd LEFT JOIN li USING (document_id)""")
+def finding_rows(spark, sf):
+    lines, part = b.table(spark, sf, "lineitem"), b.table(spark, sf, "part")
+    doc = F.col("l_orderkey").alias("document_id")
+    topic = F.element_at(F.array(*map(F.lit, TOPICS)), (F.col("l_linenumber") % 6 + 1).cast("int"))
+    flags = lines.filter("l_discount > 0.05").groupBy(doc).agg(
+        F.max(F.struct("l_shipdate", "l_linenumber", "l_partkey", topic.alias("flags"))).getField("flags").alias("flags"), F.count(F.lit(1)).alias("connections"))
+    named = lines.join(part, F.col("p_partkey") == F.col("l_partkey")).groupBy(doc).agg(
+        F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "p_name"))).alias("x"), F.max("p_type").alias("relations"))
+    notes = named.select("document_id", F.array_join("x.p_name", " and ").alias("summary"), "relations").join(flags, "document_id", "left")
+    aliases = part.select(F.col("p_partkey").alias("entity_id"), F.col("p_name").alias("alias")).unionByName(
+        part.select((F.col("p_partkey") + 5_000_000).alias("entity_id"), F.split_part("p_name", F.lit(" "), F.lit(1)).alias("alias")))
+    shut = b.table(spark, sf, "orders").filter("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("document_id"))
+    rows = c.finding_rows(c.agreement_levels(b.judgements(spark, sf)), notes, aliases, shut, spark.createDataFrame([], "title string"))
+    return rows.withColumn("linked_ids", F.array_join(F.transform("linked_ids", lambda i: i.cast("string")), ","))
+
+
 @query("assemble_prompts", using(V1, V3, V5, SCORES, V4) + r""", kn AS (SELECT array_to_string(list(name ORDER BY score DESC, entity_id), '; ') AS names FROM
  (SELECT * FROM v4 WHERE NOT is_protected ORDER BY score DESC, entity_id LIMIT 200)),
 p AS (SELECT conv_id, turn, text, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS position FROM conversations),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from caseloom import fixed
 from caseloom.functions.names import is_garbage, map_entity_type, names_match, normalize_name
 from caseloom.functions.text import categorize, confidence_class, find_all
+from caseloom.operators.dictionary import longest_matches
 from caseloom.operators.sets import missing_values
 from caseloom.operators.skew import spread
 from caseloom.operators.windows import align_answers, top_per_key
@@ -269,6 +270,24 @@ def new_findings(levels: DataFrame, notes: DataFrame, known_docs: DataFrame, kno
         confidence_class(F.col("top_score"), F.col("agreement")).alias("confidence"))
 
 
+def finding_rows(levels: DataFrame, notes: DataFrame, aliases: DataFrame, known_docs: DataFrame, known_titles: DataFrame, most: int | None = None) -> DataFrame:
+    """New findings with their category by the whole text and the entities that it names.
+
+    ``notes`` is (document_id, summary, flags, relations, connections), the first three text; ``aliases`` (entity_id, alias). The text of a finding
+    is its top name, summary, flags and relations together; names are matched as whole words, the longest first.
+    """
+    found = new_findings(levels, notes.select("document_id", "flags", "connections"), known_docs, known_titles, most).drop("category")
+    top = levels.select("document_id", F.col("top_item").cast("string").alias("top_item"))
+    parts = found.join(notes, "document_id", "left").join(top, "document_id", "left")
+    blob = F.concat_ws(" ", *(F.coalesce(c, F.lit("")) for c in ("summary", "flags", "relations")))
+    texts = parts.select("document_id", "title", "confidence", blob.alias("blob"), "top_item")
+    named = longest_matches(texts.select("document_id", F.concat_ws(" . ", "top_item", "blob").alias("text")), "document_id", "text", aliases, "entity_id", "alias")
+    linked = named.groupBy("document_id").agg(F.array_sort(F.collect_set("entity_id")).alias("linked_ids"))
+    none = F.array().cast(linked.schema["linked_ids"].dataType)
+    return texts.join(linked, "document_id", "left").select(
+        "document_id", "title", categorize(F.col("blob")).alias("category"), "confidence", F.coalesce("linked_ids", none).alias("linked_ids"))
+
+
 def prompt_parts(documents: DataFrame, key: Sequence[str], prior: DataFrame, known_names: Column) -> DataFrame:
     """The text put before an annotator, as ordered parts: (key, block, place, text).
 
