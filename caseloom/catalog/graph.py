@@ -6,7 +6,7 @@ from caseloom import bindings as b
 from caseloom.catalog.aggs import CARD, OBS, card_members
 from caseloom.catalog.joins import ASOF, WATCH, followed, watchlist
 from caseloom.catalog.registry import query
-from caseloom.catalog.views import SCORES, V1, V1S, V3, V4, V5, using
+from caseloom.catalog.views import LETTERS, SCORES, V1, V1S, V3, V4, V5, using
 from caseloom.catalog.windows import CLUSTERS
 from caseloom.operators import aggs, topk, windows
 from caseloom.operators.blocking import placeholder_candidates
@@ -238,6 +238,23 @@ def merged_card(spark, sf):
                        "edge_count")
 
 
+@query("card_details", using(V1, CARD, LETTERS) + r""", own AS (SELECT DISTINCT document_id FROM v1 WHERE entity_id IN (SELECT * FROM card)),
+an AS (SELECT document_id, max((l_shipdate, l_linenumber)) AS m FROM own JOIN lineitem ON l_orderkey = document_id GROUP BY 1),
+top AS (SELECT document_id, m FROM an ORDER BY m DESC, document_id DESC LIMIT 6),
+rg AS (SELECT registry_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(upper(text), '\bN\d{1,5}[A-Z]{0,2}\b')) AS registry_id
+ FROM letters WHERE doc_id IN (SELECT * FROM own)) GROUP BY 1 ORDER BY n DESC, registry_id LIMIT 20)
+SELECT (SELECT string_agg(document_id || '@' || strftime(m[1], '%Y-%m-%d'), ',' ORDER BY m DESC, document_id DESC) FROM top) AS recent,
+ (SELECT string_agg(registry_id, ',' ORDER BY n DESC, registry_id) FROM rg) AS registry_ids""")
+def card_details(spark, sf):
+    lines = b.table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("document_id"), (F.col("l_linenumber").cast("long") * 10**12 + F.col("l_orderkey")).alias("analysis_id"),
+        F.col("l_shipdate").alias("analyzed_at"))
+    texts = b.letters(spark, sf).select(F.col("doc_id").alias("document_id"), "text")
+    row = evidence.card_details(card_members(spark, sf), b.mentions(spark, sf), lines, texts)
+    shown = F.transform("recent", lambda r: F.concat(r["document_id"].cast("string"), F.lit("@"), F.date_format(r["analyzed_at"], "yyyy-MM-dd")))
+    return row.select(F.array_join(shown, ",").alias("recent"), F.array_join("registry_ids", ",").alias("registry_ids"))
+
+
 CANDS = """cp AS (SELECT doc_id AS context_id, entity_id, lower(text) AS c, lower(name) AS n, lower(canonical) AS k FROM documents, w),
 cands AS (SELECT * FROM (SELECT context_id, entity_id, CASE WHEN contains(c, n) THEN 0.6 WHEN contains(c, k) THEN 0.5 ELSE 0 END::DOUBLE AS score FROM cp) WHERE score >= 0.5)"""
 REBUILD = """, sp AS (SELECT count(*) AS c FROM (SELECT entity_id, evidence_type, (n - avg(n) OVER w) / nullif(stddev_samp(n) OVER w, 0) AS z,

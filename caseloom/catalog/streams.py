@@ -71,3 +71,13 @@ def stream_stitch(spark, sf):
     messages = arrivals(spark, sf, "events").select(
         F.concat_ws(":", "user_id", "event_type").alias("thread_key"), F.col("event_id").alias("message_id"), F.col("ts").alias("sent_at"))
     return stitching.stream_stitch(messages, scratch_path(spark, "stitch"), days=1).drop("sent_at")
+
+
+@query("stream_month_spikes", """WITH l AS (SELECT l_suppkey AS k, strftime(l_shipdate, '%Y-%m') AS month, count(*) AS n FROM lineitem GROUP BY 1, 2),
+s AS (SELECT *, avg(n) OVER w AS mean, stddev_samp(n) OVER w AS sd, sum(n) OVER w AS t, count(*) OVER w AS c FROM l WINDOW w AS (PARTITION BY k))
+SELECT k, month, n, round((n - mean) / sd, 4)::DOUBLE AS z FROM s WHERE t >= 5 AND c >= 2 AND sd > 0 AND (n - mean) / sd >= 2.0""")
+def stream_month_spikes(spark, sf):
+    """Months that stand out, from the counts that the batches add up."""
+    rows = arrivals(spark, sf, "lineitem").select(F.col("l_suppkey").alias("k"), F.col("l_shipdate").cast("timestamp").alias("at"))
+    months = jobs.stream_months(rows, "k", "at", scratch_path(spark, "months"))
+    return windows.count_spikes(months, ["k"], "month", 2.0, 5).select("k", "month", "n", F.round("z", 4).alias("z"))

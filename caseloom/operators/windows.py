@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseloom.operators.skew import bucketed_before, bucketed_neighbours, bucketed_rank
+from caseloom.session import cut
 
 DAY = 86_400_000_000  # microseconds
 BLOCK = 1 << 16  # ids of one bucket where ids give the order
@@ -101,12 +102,17 @@ def time_clusters(members: DataFrame, at_least: int = 3) -> DataFrame:
 
 
 def neighbour_ids(df: DataFrame, key: str, rows: int = 1 << 17) -> DataFrame:
-    """Previous and next id of every row, over the whole table, by id ranges of about ``rows`` rows, however sparse ids are."""
-    size = df.agg(F.count(key).alias("n"), F.min(key).alias("a"), F.max(key).alias("z")).first()
-    width = max(1, (size.z - size.a + 1) * rows // size.n) if size.n else 1
-    ids = df.select(key, F.floor(F.col(key) / width).alias("_b"))
-    rows = bucketed_neighbours(ids, [], "_b", [key], [], prev="_p", following="_n")
-    return rows.select(key, F.col(f"_p.{key}").alias("prev_id"), F.col(f"_n.{key}").alias("next_id"))
+    """Previous and next id of every row, over the whole table.
+
+    Ids are cut into ranges of about ``rows`` rows at splitters that Spark samples, so a dense stretch gets more ranges, however uneven ids
+    are. Inside a range they are ordered; between ranges one id is handed on at either end. The ranges are written, as a range partition is
+    not drawn twice the same.
+    """
+    ids = df.select(key).filter(F.col(key).isNotNull()).distinct()
+    parts = max(1, -(-ids.count() // rows))
+    ranged = cut(ids.repartitionByRange(parts, key).withColumn("_b", F.spark_partition_id()), "id-ranges")
+    near = bucketed_neighbours(ranged, [], "_b", [key], [], prev="_p", following="_n")
+    return near.select(key, F.col(f"_p.{key}").alias("prev_id"), F.col(f"_n.{key}").alias("next_id"))
 
 
 def align_answers(gap_rows: DataFrame, answers: DataFrame, page: str, key: str, block: int = 1024) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caseloom import fixed
-from caseloom.functions.text import contains_any
+from caseloom.functions.text import contains_any, registry_ids
 from caseloom.operators import aggs, joins
 from caseloom.operators.scoring import both_ends, literal_map
 
@@ -68,6 +68,23 @@ def merged_card(members: DataFrame, entities: DataFrame, mentions: DataFrame, ed
     return row
 
 
+def card_details(members: DataFrame, mentions: DataFrame, analyses: DataFrame, texts: DataFrame, recent: int = 6, ids: int = 20) -> DataFrame:
+    """(recent, registry_ids) of a card: the newest analysis of each of its documents, newest first, and the registry ids in most of their texts.
+
+    ``analyses`` is (document_id, analysis_id, analyzed_at), ``texts`` (document_id, text). Both lists are top-k: every task keeps its own best rows.
+    """
+    own = mentions.join(members.select("entity_id"), "entity_id", "left_semi").select("document_id").distinct()
+    newest = analyses.join(own, "document_id", "left_semi").groupBy("document_id").agg(
+        F.max(F.struct("analyzed_at", "analysis_id")).alias("m")).select("document_id", "m.*")
+    best = newest.orderBy(F.desc("analyzed_at"), F.desc("analysis_id")).limit(recent)
+    listed = best.agg(F.reverse(F.array_sort(F.collect_list(F.struct("analyzed_at", "analysis_id", "document_id")))).alias("recent"))
+    found = texts.join(own, "document_id", "left_semi").select("document_id", F.explode(registry_ids(F.col("text"))).alias("registry_id"))
+    often = found.groupBy("registry_id").agg(F.countDistinct("document_id").alias("n")).orderBy(F.desc("n"), "registry_id").limit(ids)
+    named = often.agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("minus"), "registry_id"))).alias("x")).select(
+        F.col("x.registry_id").alias("registry_ids"))
+    return listed.withColumn("registry_ids", named.scalar())
+
+
 def weighted(links: DataFrame, weights: DataFrame, column: str = "evidence_type") -> DataFrame:
     """Scores from a weights table (kind, weight); a kind that the table lacks takes its 'other' row."""
     default = weights.filter("kind = 'other'").agg(F.max("weight")).scalar()

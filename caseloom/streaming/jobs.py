@@ -122,6 +122,22 @@ def months_of(daily: DataFrame, key: str) -> DataFrame:
     return daily.groupBy(key, F.date_format("day", "yyyy-MM").alias("month")).agg(F.sum("n").alias("n"))
 
 
+def stream_months(events: DataFrame, key: str, at: str, root: str) -> DataFrame:
+    """(key, month, n): events per key and month, of all batches so far.
+
+    Each batch adds the counts of its own rows, so no batch reads an earlier one, no state is kept and no row is too late; counts of the same month are
+    added up by the reader, combined before they are shuffled.
+    """
+
+    def handle(batch: DataFrame, number: int) -> None:
+        month = F.date_format(at, "yyyy-MM").alias("month")
+        added = batch.filter(F.col(at).isNotNull()).groupBy(key, month).agg(F.count(F.lit(1)).alias("n"))
+        added.write.mode("overwrite").parquet(batch_folder(f"{root}/months", number))
+
+    run(events.select(key, at), handle, root)
+    return events.sparkSession.read.parquet(f"{root}/months").groupBy(key, "month").agg(F.sum("n").alias("n"))
+
+
 def stream_dedup(events: DataFrame, keys: list[str], at: str, root: str) -> DataFrame:
     """First arrival of each key; repeats within a day of it are dropped."""
     once = events.withWatermark(at, "1 day").dropDuplicatesWithinWatermark(keys)
