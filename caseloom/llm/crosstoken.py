@@ -6,7 +6,8 @@ puts the blank before the text itself. Tokens are bytes; a text whose joined tok
 Anchors. Prefix sums of the tokens' byte lengths give the places where tokens of both sides end together. Where the tokens that follow are
 marked with a blank on both sides, the text is cut, so that it falls into windows of a word or so. What happens in a window depends on its two id
 tuples alone: its groups (cut at every shared end) and its links (tokens whose byte ranges overlap) are worked out once and kept
-under those tuples. The memory of a task holds at most ``MEMO`` windows and starts anew beyond that; long windows are not kept.
+under those tuples. The memory of a task starts anew beyond ``MEMO`` windows; long windows are not kept. Of A's side, the ids of the pieces between blanks are
+kept likewise, as A never merges across them.
 
 Counts. How many documents link an id pair is summed inside a chunk (the documents of an Arrow batch, at most about ``CHUNK_BYTES``
 of text, or one longer text) before it is shuffled: a chunk is one written row with its distinct pairs, and its documents hold places in that list. The
@@ -19,7 +20,10 @@ no rows. One text is tokenised by one task.
 
 from __future__ import annotations
 
+import gc
 import hashlib
+import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,10 +32,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from caseloom.llm.arrays import slices
+from caseloom.llm.arrays import Prefix, slices
 from caseloom.llm.common import cut
 
-MEMO, LONG_WINDOW = 200_000, 64
+MEMO, LONG_WINDOW, LONG_PIECE, JOINED = 200_000, 64, 256, 10_000
+PIECE_STARTS = re.compile(r"(?= [^\W_])")
 CHUNK_BYTES = 4 << 20
 BLANK = "▁"
 COUNTS = ("n_a", "n_b", "n_groups", "n_links")
@@ -77,48 +82,87 @@ class Both:
         for name, i in vocab.items():
             names[i] = name
         self.tokens_a = Tokens([bytes(alphabet[c] for c in n) if all(c in alphabet for c in n) else n.encode() for n in names])
+        self.pieces: dict[str, bytes] = {}
         self.tokens_b = Tokens([piece_bytes(self.b.id_to_piece(i)) for i in range(self.b.get_piece_size())])
 
-    def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
+    def encode_a(self, texts: list[str]) -> list[np.ndarray]:
+        """A's ids of a blank and each text.
+
+        No token of A crosses the place before a blank that a letter or digit follows: its words are cut there before they are merged. So the
+        pieces between such places are tokenised once each and kept, as bytes of their ids; new ones are tokenised end to end and told
+        apart by their lengths. As each piece gives back its bytes, so do the texts.
+        """
+        cut_up = [PIECE_STARTS.split(f" {t}") for t in texts]
+        if len(self.pieces) > MEMO:
+            self.pieces = {}
+        known = self.pieces
+        fresh = list({p: None for pieces in cut_up for p in pieces if p not in known})
+        alone = [p for p in fresh if len(p) > LONG_PIECE or not PIECE_STARTS.match(p)]
+        apart = set(alone)
+        joined = [p for p in fresh if p not in apart]
+        new = {p: np.array(e.ids, np.int32).tobytes() for p, e in zip(alone, self.a.encode_batch_fast(alone, add_special_tokens=False))}
+        for k in range(0, len(joined), JOINED):
+            own = joined[k : k + JOINED]
+            ids = np.array(self.a.encode_batch_fast(["".join(own)], add_special_tokens=False)[0].ids, np.int32)
+            ends, stops = np.cumsum(self.tokens_a.sizes[ids]), np.cumsum([len(p.encode()) for p in own])
+            last = np.searchsorted(ends, stops)
+            if not np.array_equal(ends[last], stops):
+                raise ValueError("a token crosses the start of a piece")
+            bounds, raw = [0, *(4 * last + 4).tolist()], ids.tobytes()
+            new |= {p: raw[x:y] for p, x, y in zip(own, bounds, bounds[1:])}
+        if b"".join([self.tokens_a.bytes[i] for i in np.frombuffer(b"".join(new.values()), np.int32).tolist()]) != "".join(new).encode():
+            raise ValueError("a byte-level vocabulary gives back all bytes")
+        known |= {p: i for p, i in new.items() if len(p) <= LONG_PIECE}
+        if any(len(p) > LONG_PIECE for p in alone):
+            known = known | new
+        return [np.frombuffer(b"".join([known[p] for p in pieces]), np.int32) for pieces in cut_up]
+
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """The ids of each text on both sides; of none where the bytes do not come back."""
-        pairs = []
-        for text, left, right in zip(texts, self.a.encode_batch_fast([f" {t}" for t in texts], add_special_tokens=False), self.b.encode(texts, num_threads=1)):
-            ids, whole = left.ids, f" {text}".encode()
-            good = text and b"".join(map(self.tokens_a.bytes.__getitem__, ids)) == whole and b"".join(map(self.tokens_b.bytes.__getitem__, right)) == whole
-            pairs.append((ids, right) if good else ([], []))
+        pairs, none = [], np.zeros(0, np.int32)
+        for text, left, right in zip(texts, self.encode_a(texts), self.b.encode(texts, num_threads=1)):
+            good = text and b"".join(map(self.tokens_b.bytes.__getitem__, right)) == f" {text}".encode()
+            pairs.append((left, np.array(right, np.int32)) if good else (none, none))
         return pairs
 
 
-def align(ids_a: list[int], ends_a: list[int], ids_b: list[int], ends_b: list[int]) -> tuple[bytes, int, list[int]]:
-    """(groups as text, their number, links as ``a << 32 | b``) of one window."""
-    groups, links, i, j, from_a, from_b = [], [], 0, 0, 0, 0
-    while i < len(ids_a):
-        links.append(ids_a[i] << 32 | ids_b[j])
-        x, y = ends_a[i], ends_b[j]
-        i += x <= y
-        j += y <= x
-        if x == y:
-            groups.append(f"{','.join(map(str, ids_a[from_a:i]))}|{','.join(map(str, ids_b[from_b:j]))}")
-            from_a, from_b = i, j
-    return ";".join(groups).encode(), len(groups), links
-
-
 class Memo:
-    """Windows by their id tuples: text of the groups, number of groups, links."""
+    """Windows by their id tuples: text of the groups, number of groups, links laid end to end."""
 
     def __init__(self):
-        self.clear()
-
-    def clear(self) -> None:
         self.known: dict[tuple[bytes, bytes], int] = {}
-        self.texts: list[bytes] = []
-        self.groups: list[int] = []
-        self.links: list[list[int]] = []
-
-    def add(self, window: tuple[bytes, int, list[int]]) -> int:
-        for column, value in zip((self.texts, self.groups, self.links), window):
-            column.append(value)
-        return len(self.texts) - 1
+        self.texts: list[str] = []
+        self.groups, self.links, self.bounds = array("q"), array("q"), array("q", [0])
+
+    def full(self) -> bool:
+        return len(self.known) > MEMO or len(self.links) > 16 * MEMO
+
+    def add(self, tokens: tuple[Tokens, Tokens], ids: list[np.ndarray], numbers: list[np.ndarray]) -> None:
+        """Align new windows, whose ids are laid end to end; ``numbers`` tells how many each has on both sides.
+
+        A token of A is linked to the tokens of B from the one in which it begins to the one in which it ends; groups end where both sides do.
+        """
+        sizes = [t.sizes[i] for t, i in zip(tokens, ids)]
+        ends = [np.cumsum(x) for x in sizes]
+        first, last = np.searchsorted(ends[1], ends[0] - sizes[0], "right"), np.searchsorted(ends[1], ends[0])
+        often = last - first + 1
+        partner = np.repeat(first - np.cumsum(often) + often, often) + np.arange(often.sum())
+        links = (np.repeat(ids[0].astype(np.int64), often) << 32) | ids[1][partner]
+        shared = np.intersect1d(*ends, assume_unique=True)
+        group = [np.searchsorted(shared, e) for e in ends]
+        bounds = [np.concatenate(([0], np.cumsum(n))) for n in numbers]
+        count = np.diff(np.searchsorted(shared, np.concatenate(([0], ends[0]))[bounds[0]], "right"))
+        # ids in the order of the text, each with what follows it
+        written = []
+        for own, g, close in zip(ids, group, "|;"):
+            ending = np.append(g[1:] != g[:-1], True)
+            written += [f"{i}{close}" if e else f"{i}," for i, e in zip(own.tolist(), ending.tolist())]
+        order = np.argsort(np.concatenate((group[0] * 2, group[1] * 2 + 1)), kind="stable").tolist()
+        stops = (bounds[0] + bounds[1]).tolist()
+        self.texts += ["".join([written[k] for k in order[x:y]])[:-1] for x, y in zip(stops, stops[1:])]
+        self.groups.frombytes(count.astype(np.int64).tobytes())
+        self.links.frombytes(links.astype(np.int64).tobytes())
+        self.bounds.frombytes((np.concatenate(([0], np.cumsum(often)))[bounds[0][1:]] + self.bounds[-1]).astype(np.int64).tobytes())
 
 
 def windows(ids: tuple[np.ndarray, np.ndarray], ends: tuple[np.ndarray, np.ndarray], tokens: tuple[Tokens, Tokens],
@@ -130,42 +174,47 @@ def windows(ids: tuple[np.ndarray, np.ndarray], ends: tuple[np.ndarray, np.ndarr
     return at_a[chosen] + 1, at_b[chosen] + 1
 
 
-def aligned(pairs: list[tuple[list[int], list[int]]], tokens: tuple[Tokens, Tokens], memo: Memo) -> tuple[dict[str, np.ndarray], list[str], list[np.ndarray]]:
-    """Of each document: the counts, the digest of its groups, and its links in order."""
+def aligned(pairs: list[tuple[np.ndarray, np.ndarray]], tokens: tuple[Tokens, Tokens], memo: Memo) -> tuple[dict[str, np.ndarray], list[str], np.ndarray]:
+    """The counts and the digest of the groups of each document, and all links in order, document by document."""
     numbers = [np.array([len(p[s]) for p in pairs], np.int64) for s in (0, 1)]
-    ids = tuple(np.concatenate([np.array(p[s], np.int32) for p in pairs] or [np.zeros(0, np.int32)]) for s in (0, 1))
+    ids = tuple(np.concatenate([p[s] for p in pairs]) for s in (0, 1))
     ends = tuple(np.cumsum(t.sizes[i]) for t, i in zip(tokens, ids))
     doc_a = np.cumsum(numbers[0])
     to_a, to_b = windows(ids, ends, tokens, ends[0][doc_a[doc_a > 0] - 1])
+    # equal windows of the chunk by two 64-bit hashes, then one look into the memory for each
+    from_a, from_b = np.append(0, to_a)[:-1], np.append(0, to_b)[:-1]
+    names = [Prefix(i.astype(np.uint64)).span(x, y) for i, x, y in zip(ids, (from_a, from_b), (to_a, to_b))]
+    order = np.lexsort(names)
+    first = np.ones(len(order), bool)
+    first[1:] = np.diff(names[0][order]).astype(bool) | np.diff(names[1][order]).astype(bool)
+    heads = order[first]
     raw_a, raw_b = (i.tobytes() for i in ids)
-    if len(memo.known) > MEMO:
-        memo.clear()
-    once, found, a, b = len(memo.texts), [], 0, 0
-    for x, y in zip(to_a.tolist(), to_b.tolist()):
+    known, found, new, places = memo.known, [], [], len(memo.texts)
+    for a, x, b, y in zip(*(v[heads].tolist() for v in (from_a, to_a, from_b, to_b))):
         key = raw_a[4 * a : 4 * x], raw_b[4 * b : 4 * y]
-        place = memo.known.get(key)
+        place = known.get(key)
         if place is None:
-            base = int(ends[0][a - 1]) if a else 0
-            place = memo.add(align(ids[0][a:x].tolist(), (ends[0][a:x] - base).tolist(), ids[1][b:y].tolist(), (ends[1][b:y] - base).tolist()))
+            place = places + len(new)
+            new.append((a, x, b, y))
             if x - a + y - b <= LONG_WINDOW:
-                memo.known[key] = place
+                known[key] = place
         found.append(place)
-        a, b = x, y
+    if new:
+        spans = np.array(new, np.int64)
+        fresh = [np.repeat(f - np.cumsum(n) + n, n) + np.arange(n.sum()) for f, n in ((spans[:, 0], spans[:, 1] - spans[:, 0]), (spans[:, 2], spans[:, 3] - spans[:, 2]))]
+        memo.add(tokens, [i[at] for i, at in zip(ids, fresh)], [spans[:, 1] - spans[:, 0], spans[:, 3] - spans[:, 2]])
+    place, texts = np.empty(len(order), np.int64), memo.texts
+    place[order] = np.array(found, np.int64)[np.cumsum(first) - 1]
+    groups, flat, bounds = (np.array(x, np.int64) for x in (memo.groups, memo.links, memo.bounds))
+    starts, sizes = bounds[place], bounds[place + 1] - bounds[place]
+    links = flat[np.repeat(starts, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)]
     of_doc = np.searchsorted(to_a, np.concatenate(([0], doc_a)), "right")
-    digests, links, groups = [], [], []
+    total = lambda v: np.diff(np.concatenate(([0], np.cumsum(v)))[of_doc])
+    digests, named = [], place.tolist()
     for k in range(len(pairs)):
-        own = found[of_doc[k] : of_doc[k + 1]]
-        digests.append(hashlib.sha256(b";".join([memo.texts[w] for w in own])).hexdigest() if own else "")
-        groups.append(sum(memo.groups[w] for w in own))
-        links.append(np.array([code for w in own for code in memo.links[w]], np.int64))
-    if len(memo.texts) > len(memo.known) and len(memo.texts) > once:  # long windows are not kept
-        kept = {key: place for key, place in memo.known.items()}
-        texts, group_counts, link_lists = memo.texts, memo.groups, memo.links
-        memo.clear()
-        for key, place in kept.items():
-            memo.known[key] = memo.add((texts[place], group_counts[place], link_lists[place]))
-    counts = {"n_a": numbers[0], "n_b": numbers[1], "n_groups": np.array(groups, np.int64), "n_links": np.array([len(x) for x in links], np.int64)}
-    return counts, digests, links
+        own = named[of_doc[k] : of_doc[k + 1]]
+        digests.append(hashlib.sha256(";".join([texts[w] for w in own]).encode()).hexdigest() if own else "")
+    return {"n_a": numbers[0], "n_b": numbers[1], "n_groups": total(groups[place]), "n_links": total(sizes)}, digests, links
 
 
 CHUNK = ("chunk long, doc_ids array<{id}>, " + ", ".join(f"{c} array<long>" for c in COUNTS) + ", groups_sha256 array<string>, "
@@ -179,13 +228,14 @@ def _chunk_rows(path_a: str, path_b: str):
         import zstandard
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        gc.disable()  # the kept pieces and windows hold no cycles, and walking them costs as much as aligning
         both, memo, press, number = Both(path_a, path_b), Memo(), zstandard.ZstdCompressor(level=1), 0
         part = TaskContext.get().partitionId()
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             for i, j in slices(np.cumsum([0, *map(len, texts)]), CHUNK_BYTES):
-                counts, digests, links = aligned(both.encode(texts[i:j]), (both.tokens_a, both.tokens_b), memo)
-                flat = np.concatenate(links)
+                memo = Memo() if memo.full() else memo
+                counts, digests, flat = aligned(both.encode(texts[i:j]), (both.tokens_a, both.tokens_b), memo)
                 pairs, place = np.unique(flat, return_inverse=True)
                 doc = np.repeat(np.arange(j - i), counts["n_links"])
                 held, often = np.unique(doc * max(len(pairs), 1) + place, return_counts=True)

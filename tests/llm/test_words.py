@@ -132,6 +132,14 @@ def test_alignment_memory_does_not_matter(docs):
         assert digests == whole[1][k : k + 7] and all((counts[c] == whole[0][c][k : k + 7]).all() for c in counts)
 
 
+def test_kept_pieces_equal_the_library():
+    both, rnd = crosstoken.Both(BYTES, PIECES), random.Random(6)
+    parts = [" ", "  ", "\n", "\t", "a", "b1", "'s", "'ll", "_", "-", ".", "É", "日本", "\u0085", "\u00a0", "\u3000", "\x1c", "\u180e", "😀", "٣", "Ⅷ", "<|endoftext|>", "x" * 300, "\u200b", "\u0301"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 20))) for _ in range(6000)]
+    whole = both.a.encode_batch_fast([f" {t}" for t in texts], add_special_tokens=False)
+    assert [ids.tolist() for ids in both.encode_a(texts)] == [e.ids for e in whole] and max(map(len, both.pieces)) <= crosstoken.LONG_PIECE
+
+
 def spelt(counts, ratio=10):
     near = {w: set() for w in counts}
     rest = collections.defaultdict(set)
