@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from caseloom.llm.arrays import Prefix, slices
 from caseloom.llm.common import cut
 
-MEMO, LONG_WINDOW, LONG_PIECE, JOINED = 200_000, 64, 256, 10_000
+MEMO, LONG_WINDOW, LONG_PIECE, JOINED = 400_000, 64, 256, 10_000
 PIECE_STARTS = re.compile(r"(?= [^\W_])")
 CHUNK_BYTES = 4 << 20
 BLANK = "▁"
