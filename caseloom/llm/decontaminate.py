@@ -7,8 +7,9 @@ still meets its template. A template needs half of its tokens literal to count.
 windows of equal values match whatever their placeholders are, so numbers and names copied verbatim, and copies in capitals, are found.
 
 Slot consistency: windows of one document and item on one diagonal (same distance of places) are one alignment. There each value in a
-slot of the item must stand for one value in the document; an alignment that maps one value to two is no rewriting of the item and
-is dropped. A document is contaminated by an item if the windows left cover ``share`` of the item's, or if ``run`` tokens in a row match. Coverage is
+slot of the item stands for the value that most windows put in its place (its own value, then the largest hash, if several do), and
+windows with another value there are dropped. So one of two equal numbers may be edited, or asked anew as another, and the rest still counts; windows
+of equal values always do. A document is contaminated by an item if the windows left cover ``share`` of the item's, or if ``run`` tokens in a row match. Coverage is
 the greater one of two: over all windows of the item, and over those with enough literal tokens, as only these can match with other values.
 
 Documents first pass a filter of all window hashes of the benchmark, sent in blocks of at most ``BLOCK`` hashes; a larger
@@ -189,17 +190,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 5, share: fl
     joined = cut(met.distinct().join(items.withColumnsRenamed({"place": "at", "slots": "asked"}), "hash").withColumn(
         "diagonal", F.col("place") - F.col("at")), "met-windows")
     alignment = ["key", "doc_id", "item_id", "diagonal"]
-    slots = joined.select(*alignment, F.explode(F.arrays_zip("asked", "slots")).alias("s")).groupBy(*alignment, "s.asked").agg(
-        (F.min("s.slots") != F.max("s.slots")).alias("broken"), F.max((F.col("s.slots") != F.col("s.asked")).cast("int")).alias("changed"))
-    checked = slots.groupBy(*alignment).agg(F.max("broken").alias("broken"), F.sum("changed").alias("changed_slots"))
-    good = joined.groupBy(*alignment).agg(F.collect_set(F.struct("at", "tokens", "literal")).alias("seen"))  # at most the windows of the item
+    # each slot value of the item stands for the value that most windows of the alignment put in its place
+    pairs = joined.select(*alignment, F.explode(F.arrays_zip("asked", "slots")).alias("s")).groupBy(*alignment, "s.asked", "s.slots").agg(F.count(F.lit(1)).alias("n"))
+    chosen = pairs.groupBy(*alignment, "asked").agg(F.max(F.struct("n", (F.col("slots") == F.col("asked")).alias("same"), "slots")).getField("slots").alias("slot"))
+    mapping = chosen.groupBy(*alignment).agg(
+        F.map_from_entries(F.collect_list(F.struct("asked", "slot"))).alias("mapping"),  # at most the slots of the item
+        F.count_if(F.col("slot") != F.col("asked")).alias("changed_slots"))
     same = [F.col(f"g.{c}").eqNullSafe(F.col(f"c.{c}")) for c in alignment]
-    good = good.alias("g").join(checked.alias("c"), same, "left").filter(~F.coalesce("broken", F.lit(False))).select(
-        *(f"g.{c}" for c in alignment), F.sort_array("seen").alias("seen"), F.coalesce("changed_slots", F.lit(0)).alias("changed_slots"))
+    agrees = F.forall(F.arrays_zip("asked", "slots"), lambda s: F.col("mapping")[s["asked"]] == s["slots"])  # windows of equal values have no pairs
+    good = joined.alias("g").join(mapping.alias("c"), same, "left").filter(agrees).groupBy(*(f"g.{c}" for c in alignment)).agg(
+        F.sort_array(F.collect_set(F.struct("at", "tokens", "literal"))).alias("seen"),  # at most the windows of the item
+        F.coalesce(F.max("changed_slots"), F.lit(0)).alias("changed_slots"))
     longest = F.aggregate("seen", F.struct(F.lit(-9).alias("at"), F.lit(0).alias("now"), F.lit(0).alias("best")), lambda a, x: F.struct(
         x.at.alias("at"), F.when(x.at == a.at + 1, a.now + 1).otherwise(x.tokens).alias("now"),
         F.greatest(a.best, F.when(x.at == a.at + 1, a.now + 1).otherwise(x.tokens)).alias("best")), lambda a: a.best)
-    pairs = good.withColumn("run", longest).groupBy("key", "doc_id", "item_id").agg(
+    matched = good.withColumn("run", longest).groupBy("key", "doc_id", "item_id").agg(
         F.size(F.array_distinct(F.flatten(F.collect_set("seen.at")))).cast("long").alias("all_matched"),
         F.size(F.array_distinct(F.flatten(F.collect_set(F.filter("seen", lambda w: w.literal).at)))).cast("long").alias("literal_matched"),
         F.max("run").alias("longest_run"),
@@ -209,8 +214,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 5, share: fl
     whole = F.col("all_matched") / F.col("all_windows")
     part = F.coalesce(F.try_divide("literal_matched", "literal_windows"), F.lit(0.0))
     better = lambda kind: F.when(part >= whole, F.col(f"literal_{kind}")).otherwise(F.col(f"all_{kind}")).alias(kind)
-    return pairs.join(counts, pairs.item_id.eqNullSafe(counts.item_id)).select(
-        "key", "doc_id", pairs.item_id, better("matched"), better("windows"), F.greatest(part, whole).alias("coverage"), "longest_run",
+    return matched.join(counts, matched.item_id.eqNullSafe(counts.item_id)).select(
+        "key", "doc_id", matched.item_id, better("matched"), better("windows"), F.greatest(part, whole).alias("coverage"), "longest_run",
         "changed_slots").filter((F.col("coverage") >= share) | (F.col("longest_run") >= run))
 
 

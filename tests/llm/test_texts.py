@@ -337,17 +337,28 @@ def test_decontaminate_finds_new_parameters(spark, odd, none):
     twisted = "Anna has 3 cats and Anna sees 3 dogs near the old house while 3 birds sing to Anna in a very big tree by night"
     broken = twisted.replace("Anna", "Bob", 1).replace("sees 3", "sees 5")
     texts = {1: f"Some words before. {ITEM} and after", 2: f"intro here: {other}. The end", 3: "nothing of the kind " * 30, 4: None, 5: "",
-             6: "Zero. " + broken, 7: " ".join(ITEM.split()[:5])}
+             6: "Zero. " + broken, 7: " ".join(ITEM.split()[:5]),
+             8: "Zero. Bob has 5 cats and Carl sees 6 dogs near one old house while 7 birds sing to Dora in some very big tree at night"}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     bench = spark.createDataFrame([(10, ITEM), (11, None), (12, ""), (13, "Zero. " + twisted), (14, "3 km 4 kg")], "item_id long, text string")
     found = {(r.doc_id, r.item_id): r for r in decontaminate.contaminated(docs, bench).collect()}
-    assert set(found) == {(1, 10), (2, 10)}
+    assert set(found) == {(1, 10), (2, 10), (6, 13)} and found[6, 13].longest_run >= 13
     assert found[1, 10].changed_slots == 0 and found[2, 10].changed_slots >= 4 and found[1, 10].coverage > 0.9
-    assert sorted(r.doc_id for r in decontaminate.clean(docs, bench).collect()) == [3, 4, 5, 6, 7]
+    assert sorted(r.doc_id for r in decontaminate.clean(docs, bench).collect()) == [3, 4, 5, 7, 8]
     assert decontaminate.clean(odd, bench).columns == odd.columns and decontaminate.clean(odd, bench).count() == odd.count()
     assert decontaminate.contaminated(none, bench).count() == 0 and decontaminate.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_decontaminate_one_value_for_two(spark):
+    """A copy with one of two equal numbers edited, and one that asks with two numbers, are found as well as the copy itself."""
+    item = "at the market the old farmer puts 3 apples and 3 pears into every basket and then wonders how many of them he must carry home before the rain comes down again"
+    first, second = item.replace("3 pears", "7 pears"), item.replace("3 apples", "4 apples").replace("3 pears", "7 pears")
+    rows = [(1, item), (2, first), (3, second), (4, "at the market there were 3 apples and 3 pears and nothing else to be seen that day")]
+    found = decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    got = {r.doc_id: r for r in found.collect()}
+    assert set(got) == {1, 2, 3} and got[1].coverage == 1 and got[2].longest_run >= 13 and got[3].coverage > 0.5
+
+
 def test_decontaminate_equal_values(spark):
     """Items of mostly numbers, quotes with such a spot inside, and copies in capitals are found by their values; other values are not."""
     sums = "What is 12 + 30 * 4 - 17 / 5 + 600"
