@@ -127,6 +127,5 @@ WHERE state = 'done' ORDER BY o_totalprice DESC, o_orderkey LIMIT 25 OFFSET 50""
 def status_filter(spark, sf):
     docs = b.table(spark, sf, "orders").withColumn(
         "state", filters.derived_state(F.col("o_orderstatus"), F.col("o_orderpriority") == "1-URGENT"))
-    sorts = {"newest": F.desc("o_orderdate"), "oldest": F.asc("o_orderdate"), "value": F.desc("o_totalprice"),
-             "name": F.asc("o_orderkey"), "state": F.asc("state")}
-    return filters.document_page(docs, "o_orderkey", "done", [sorts["value"]], 3, 25).select("o_orderkey", "state")
+    dear = F.floor(F.col("o_totalprice") / 10_000)
+    return filters.document_page(docs, "o_orderkey", "done", dear, [F.desc("o_totalprice")], 3, 25, descending=True).select("o_orderkey", "state")

@@ -51,8 +51,8 @@ def names_match(spark, sf):
     return b.raw_names(spark, sf).select("id", names.names_match(F.col("plain"), other).alias("same"))
 
 
-# candidate strings: document starts, shouted names, debris made from brands and sizes
-CANDIDATES = """cand AS (SELECT doc_id AS id, string_split(text, '. ')[1] AS s FROM documents
+# candidate strings: all sentences of the documents, shouted names, debris made from brands and sizes
+CANDIDATES = """cand AS (SELECT doc_id AS id, unnest(string_split(text, '. ')) AS s FROM documents
  UNION ALL SELECT p_partkey + 1000000000, CASE p_size % 8 WHEN 0 THEN p_name WHEN 1 THEN 'A' || p_size || '00' WHEN 2 THEN
  repeat(p_name[1], 6) || p_name WHEN 3 THEN repeat(p_name[1:2], 4) WHEN 4 THEN p_name || ' xkcdrt pqrst vwxzt' WHEN 5 THEN
  '$' || p_size || '00' WHEN 6 THEN replace(p_name, ' ', '_') ELSE replace(p_name, ' ', '') || p_type END FROM part)"""
@@ -66,7 +66,7 @@ def _candidates(spark, sf):
               .when(k == 3, F.repeat(F.substring(n, 1, 2), F.lit(4))).when(k == 4, F.concat(n, F.lit(" xkcdrt pqrst vwxzt")))
               .when(k == 5, F.concat(F.lit("$"), size, F.lit("00"))).when(k == 6, F.replace(n, F.lit(" "), F.lit("_")))
               .otherwise(F.concat(F.replace(n, F.lit(" "), F.lit("")), F.col("p_type"))))
-    return b.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.element_at(F.split("text", r"\. "), 1).alias("s")).union(
+    return b.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.explode(F.split("text", r"\. ")).alias("s")).union(
         b.table(spark, sf, "part").select((F.col("p_partkey") + 1000000000).alias("id"), shaped.alias("s")))
 
 

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from caseloom.operators.skew import page_of
+
 from caseloom.functions.text import phrase_pattern, phrase_words, token_text
 
 
@@ -82,7 +84,8 @@ def derived_state(status: Column, flagged: Column) -> Column:
     return F.when(flagged, "flagged").when(status == "F", "done").when(status == "P", "running").otherwise("pending")
 
 
-def document_page(docs: DataFrame, key: str, state: str | None, order: Sequence[Column], page: int, size: int) -> DataFrame:
-    """Documents of one state in the given order, one page of them (see ``skew.page_of`` for deep pages)."""
+def document_page(docs: DataFrame, key: str, state: str | None, bucket: Column, order: Sequence[Column], page: int, size: int,
+                  descending: bool = False) -> DataFrame:
+    """Documents of one state in the order (bucket, *order, key), one page of them, with its position; only the buckets that meet the page are ordered."""
     kept = docs if state is None else docs.filter(F.col("state") == state)
-    return kept.orderBy(*order, key).offset((max(page, 1) - 1) * size).limit(size)
+    return page_of(kept.withColumn("_bucket", bucket), "_bucket", [*order, F.asc(key)], page, size, descending).drop("_bucket")
