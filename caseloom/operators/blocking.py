@@ -128,11 +128,13 @@ def phrase_matches(texts: DataFrame, text_id: str, text: str, phrases: DataFrame
     )
 
 
-def placeholder_candidates(contexts: DataFrame, entities: DataFrame, threshold: float = 0.3) -> DataFrame:
+def placeholder_candidates(contexts: DataFrame, entities: DataFrame, threshold: float = 0.3, protected: DataFrame | None = None) -> DataFrame:
     """(context_id, entity_id, score): 0.6 name in context, 0.5 canonical name, 0.3 half of the name's words.
 
-    ``contexts`` is (context_id, context), ``entities`` (entity_id, name, canonical).
+    ``contexts`` is (context_id, context), ``entities`` (entity_id, name, canonical). Those of ``protected`` (entity_id) are no candidates.
     """
+    if protected is not None:
+        entities = entities.join(protected.select("entity_id").distinct(), "entity_id", "left_anti")
     low = spread(contexts, "context_id").select("context_id", F.lower("context").alias("context"))
     needles = entities.select("entity_id", F.explode(F.array(
         F.struct(F.lit(0.6).alias("s"), F.lower("name").alias("n")),

@@ -76,12 +76,12 @@ def stream_threads(messages: DataFrame, root: str, days: int = 7) -> DataFrame:
     return checked.join(newest, ["thread_id", "batch"]).filter(F.col("after_id").isNotNull()).drop("batch")
 
 
-def stream_candidates(documents: DataFrame, entities: DataFrame, root: str, threshold: float = 0.5) -> DataFrame:
-    """New documents against the names in wait: (context_id, entity_id, score)."""
+def stream_candidates(documents: DataFrame, entities: DataFrame, root: str, threshold: float = 0.5, protected: DataFrame | None = None) -> DataFrame:
+    """New documents against the names in wait, protected ones left out: (context_id, entity_id, score)."""
 
     def handle(batch: DataFrame, number: int) -> None:
         batch.persist()
-        placeholder_candidates(batch, entities, threshold).write.mode("overwrite").parquet(batch_folder(root, number))
+        placeholder_candidates(batch, entities, threshold, protected).write.mode("overwrite").parquet(batch_folder(root, number))
         batch.unpersist()
 
     run(documents, handle, root)
