@@ -10,7 +10,7 @@ from caseloom.catalog.views import LETTERS, NAMES, V6, using
 from caseloom.functions import dates, names, text, urls
 from caseloom.operators.skew import spread
 
-TITLE_SQL, SUFFIX_SQL = names.TITLE, names.SUFFIX
+TITLE_SQL, SUFFIX_SQL = fixed.TITLE, fixed.SUFFIX
 CANON = (f"upper(trim(regexp_replace(regexp_replace(regexp_replace(trim(name), '{TITLE_SQL}', ''), '{SUFFIX_SQL}', ''), "
          r"'\s+', ' ', 'g')))")
 

@@ -8,10 +8,6 @@ from pyspark.sql import functions as F
 from caseloom import fixed
 from caseloom.operators.scoring import literal_map
 
-TITLE = r"(?i)^(?:(?:" + "|".join(fixed.TITLES_WITH_DOT) + r")\.?|" + "|".join(fixed.TITLES_PLAIN) + r")\s+"
-SUFFIX = (r"(?i),?\s+(?:(?:" + "|".join(fixed.SUFFIXES_WITH_DOT) + r")\.?|" + "|".join(fixed.SUFFIXES_PLAIN)
-          + r")\s*$")
-
 
 def squeeze(c: Column) -> Column:
     """Single blanks, none at the ends."""
@@ -20,7 +16,7 @@ def squeeze(c: Column) -> Column:
 
 def normalize_name(c: Column) -> Column:
     """Canonical name: one title and one suffix removed, blanks squeezed, upper case."""
-    bare = F.regexp_replace(F.regexp_replace(F.trim(c), TITLE, ""), SUFFIX, "")
+    bare = F.regexp_replace(F.regexp_replace(F.trim(c), fixed.TITLE, ""), fixed.SUFFIX, "")
     return F.upper(squeeze(F.coalesce(bare, F.lit(""))))
 
 
