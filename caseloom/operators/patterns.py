@@ -12,15 +12,15 @@ from caseloom.fixed import PATTERN_WEIGHTS
 
 def pattern_score(events: DataFrame, people: DataFrame, registries: DataFrame, strong: DataFrame,
                   routes: Sequence[tuple[str, str]], places: Sequence[str], ranges: Sequence[tuple[str, str]],
-                  prefixes: Mapping[str, float]) -> DataFrame:
+                  prefixes: Mapping[str, float], owner: str = "tail") -> DataFrame:
     """Four components, their weighted sum, flags and class.
 
-    ``registries`` is (tail, confidence); ``strong`` the (entity_id) of high-score
+    ``registries`` is (``owner``, confidence), where ``owner`` tells registries apart that share a tail; ``strong`` the (entity_id) of high-score
     participants; routes, places, date ranges and prefix classes are parameters.
     """
     aboard = people.join(strong.select("entity_id"), "entity_id", "left_semi").groupBy("event_id").agg(
         F.countDistinct("entity_id").alias("strong"))
-    df = events.join(registries, "tail", "left").join(aboard, "event_id", "left")
+    df = events.join(registries, owner, "left").join(aboard, "event_id", "left")
     tail = F.col("tail")
     guess = F.lit(0.0)
     for start, value in prefixes.items():
