@@ -88,21 +88,24 @@ def stream_candidates(documents: DataFrame, entities: DataFrame, root: str, thre
     return documents.sparkSession.read.parquet(root).drop("batch")
 
 
-def stream_removed(known: DataFrame, current: DataFrame, root: str) -> DataFrame:
-    """Addresses missing from the current listing, each as it was first recorded.
+def stream_removed(known: DataFrame, current: DataFrame, root: str, once: tuple[str, ...] = ("url",)) -> DataFrame:
+    """(page_id, url) whose address is missing from the current listing, each as it was first recorded.
 
-    A batch writes what it finds and reads no earlier batch; repeats are resolved by the reader.
+    ``once`` names the columns of which one record is kept: the address alone, or with it the page, so that pages of one
+    address stay apart. A batch writes what it finds and reads no earlier batch; repeats are resolved by the reader.
+    Records without an address are not looked for.
     """
     spark = known.sparkSession
     schema = "page_id bigint, url string"
 
     def handle(batch: DataFrame, number: int) -> None:
-        gone = removed(batch.select("page_id", "url").dropDuplicates(["url"]), current)
-        gone.select("page_id", "url").write.mode("overwrite").parquet(batch_folder(root, number))
+        gone = removed(batch.filter(F.col("url").isNotNull()).groupBy(*once).agg(F.min("page_id").alias("_p")), current)
+        gone.select(F.col("_p").alias("page_id"), "url").write.mode("overwrite").parquet(batch_folder(root, number))
 
     run(known, handle, root)
     recorded = spark.read.schema(schema + ", batch int").parquet(root)
-    return recorded.groupBy("url").agg(F.min(F.struct("batch", "page_id")).alias("m")).select("m.page_id", "url")
+    first = recorded.groupBy(*once).agg(F.min(F.struct("batch", F.col("page_id").alias("p"))).alias("m"))
+    return first.select(F.col("m.p").alias("page_id"), "url")
 
 
 def stream_activity(events: DataFrame, key: str, at: str, root: str) -> DataFrame:
