@@ -327,13 +327,24 @@ def similar(marked: DataFrame, distinct: DataFrame, words: int = 5, similarity:
     return cut(linked.unionByName(others).distinct(), "similar-links")
 
 
-def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``docs`` with its columns, one row of each component of similar texts: that of the smallest id, nulls last, then the first written."""
+def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, distance: int | None = None) -> DataFrame:
+    """``docs`` with its columns, one row of each component of similar texts: that of the smallest id, nulls last, then the first written.
+
+    With ``distance``, texts whose SimHash fingerprints differ in at most that many bits are linked too.
+    """
     marked = cut(docs.withColumn(ROW, F.monotonically_increasing_id()), "near-input")  # written once, so numbers stay
     made = f"{ROW} long, doc_id long, fp long, n long, bands array<long>"
-    rows = cut(marked.select(ROW, F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sets(words), made), "shingle-sets")
+    texts = marked.select(ROW, F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = cut(texts.mapInArrow(_sets(words), made), "shingle-sets")
     distinct = cut(rows.groupBy("fp").agg(
         F.min("doc_id").alias("first_id"), F.min(F.struct(ROW, "n", "bands")).alias("m")).select("fp", "first_id", "m.*"), "distinct-sets")
-    whole = _named(rows.select(ROW, "doc_id", "fp"), distinct.select("fp", "first_id"), similar(marked, distinct, words, similarity))
+    linked = similar(marked, distinct, words, similarity)
+    if distance is not None:
+        prints = cut(texts.mapInArrow(_fingerprints(4), f"{ROW} long, doc_id long, fp long"), "fingerprints")
+        alike = group(prints, distance).select(ROW, F.col("root").alias("alike")).join(rows.select(ROW, "fp"), ROW)
+        alike = cut(alike.select("alike", "fp").distinct(), "alike-sets")
+        stars = alike.join(alike.groupBy("alike").agg(F.min("fp").alias("b")), "alike").filter("fp <> b").select(F.col("fp").alias("a"), "b")
+        linked = cut(linked.unionByName(stars).distinct(), "all-links")
+    whole = _named(rows.select(ROW, "doc_id", "fp"), distinct.select("fp", "first_id"), linked)
     first = whole.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", ROW)).alias("first"))
     return marked.join(first.select(f"first.{ROW}"), ROW, "left_semi").drop(ROW)

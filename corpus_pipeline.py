@@ -25,9 +25,13 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that five-word shingles of a Jaccard similarity of at least 0.8 link: the one of the smallest id."""
+    """One document of each near-copy group, the one of the smallest id.
+
+    SimHash fingerprints of at most 4 differing bits link; so do edited copies that fingerprints do not tell, by a Jaccard similarity of
+    their five-word shingles of at least 0.8.
+    """
     short_batches(spark)
-    return neardup.keep_one(docs)
+    return neardup.keep_one(docs, distance=4)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
