@@ -378,6 +378,17 @@ def repeated_spots(docs: DataFrame, wanted: list[Search]) -> DataFrame:
     return cut(met.select("key", "spot"), "met-names").groupBy("key").agg(F.collect_set("spot").alias("spots"))
 
 
+def _merged(runs: F.Column) -> F.Column:
+    """Runs (first, last) of falling places, those of neighbouring parts made one."""
+    def add(made, run):
+        end = F.get(made, F.size(made) - 1)
+        longer = F.struct(end["first"].alias("first"), F.least(end["last"], run["last"]).alias("last"))
+        return F.when(run["first"] >= end["last"] - 1, F.concat(F.slice(made, F.lit(1), F.size(made) - 1), F.array(longer))).otherwise(
+            F.concat(made, F.array(run)))
+
+    return F.aggregate(F.reverse(F.array_sort(runs)), F.array().cast("array<struct<first:int,last:int>>"), add)
+
+
 def repeated_windows(docs: DataFrame, texts: DataFrame, wanted: list[Search]) -> DataFrame:
     """(key, kind, first, last): runs of window starts that repeat, from (key, text); ``texts`` has (key, packed)."""
     spots = repeated_spots(docs, wanted)
@@ -397,9 +408,12 @@ def repeated_windows(docs: DataFrame, texts: DataFrame, wanted: list[Search]) ->
     runs = cut_out.withColumn("bucket", F.pmod(F.xxhash64(*STRING, "part"), F.lit(buckets))).groupBy("kind", "bucket").applyInPandas(
         _sort_blocks(wanted), "ga long, gb long, ua long, ub long, first int, last int")
     again = cut(runs, "block-runs").join(blocks.filter("n = 1").select(*BLOCK), BLOCK, "left_semi")  # copies of a block repeat whole
-    copies = blocks.filter("n > 1").select(*BLOCK, (F.col("at.place") - F.col("at.low")).alias("first"), (F.col("at.place") - F.col("at.high")).alias("last"))
-    return met.join(again.unionByName(copies), BLOCK).select(
-        "key", "kind", (F.col("place") - F.col("first")).alias("first"), (F.col("place") - F.col("last")).alias("last"))
+    # one row a block, so that the join gives each anchor back once, in however many parts its block was searched
+    again = again.groupBy(*BLOCK).agg(F.collect_list(F.struct("first", "last")).alias("runs")).withColumn("runs", _merged(F.col("runs")))
+    whole = F.struct((F.col("at.place") - F.col("at.low")).alias("first"), (F.col("at.place") - F.col("at.high")).alias("last"))
+    copies = blocks.filter("n > 1").select(*BLOCK, F.array(whole).alias("runs"))
+    return met.join(again.unionByName(copies), BLOCK).select("key", "kind", "place", F.explode("runs").alias("run")).select(
+        "key", "kind", (F.col("place") - F.col("run.first")).alias("first"), (F.col("place") - F.col("run.last")).alias("last"))
 
 
 def _spans(runs: list[dict] | None, search: Search) -> list[tuple[int, int]]:
