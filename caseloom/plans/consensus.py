@@ -8,12 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseloom import fixed
-from caseloom.functions.names import is_garbage, map_entity_type, names_match, normalize_name
+from caseloom.functions.names import forms_match, is_garbage, map_entity_type, match_form, normalize_name
 from caseloom.functions.text import categorize, confidence_class, find_all
 from caseloom.operators.dictionary import longest_matches
 from caseloom.operators.sets import missing_values
 from caseloom.operators.skew import spread
 from caseloom.operators.windows import align_answers, top_per_key
+from caseloom.session import cut
 from caseloom.sources.contributions import Contributions
 
 ANY_HEADER = r"(?i)===\s*(?:" + "|".join(fixed.SECTIONS.values()) + r")\s*==="
@@ -208,11 +209,12 @@ def contributions(items: DataFrame, roles: DataFrame, scores: DataFrame, connect
     score of a name counts. Connections hold between names of the same document. Candidates meet the gap of their place in page order; numbers
     without a gap drop out.
     """
-    named = items.select("document_id", F.trim("name").alias("name"), normalize_name(F.col("name")).alias("canonical"),
-                         map_entity_type(F.col("raw_type")).alias("entity_type")).filter("canonical <> ''").distinct()
-    # roles are looked up by the distinct names of a document
-    asked = named.select("document_id", "name").distinct().join(roles.withColumnRenamed("name", "whose"), "document_id")
-    found = asked.filter(names_match(F.col("whose"), F.col("name"))).groupBy("document_id", "name").agg(
+    named = cut(items.select("document_id", F.trim("name").alias("name"), normalize_name(F.col("name")).alias("canonical"),
+                             map_entity_type(F.col("raw_type")).alias("entity_type")).filter("canonical <> ''").distinct(), "named")
+    # roles are looked up by the distinct names of a document; forms are made before names meet
+    asked = named.select("document_id", "name").distinct().withColumn("form", match_form(F.col("name")))
+    held = roles.select("document_id", "place", "role", match_form(F.col("name")).alias("whose"))
+    found = asked.join(held, "document_id").filter(forms_match(F.col("whose"), F.col("form"))).groupBy("document_id", "name").agg(
         F.min(F.struct("place", "role")).getField("role").alias("role"))
     best = scores.groupBy("document_id", normalize_name(F.col("name")).alias("canonical")).agg(
         F.max(F.struct("score", "reason")).alias("best"))
