@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -11,6 +12,7 @@ from caseloom import fixed
 from caseloom.functions.names import forms_match, is_garbage, map_entity_type, match_form, normalize_name
 from caseloom.functions.text import categorize, confidence_class, find_all
 from caseloom.operators.dictionary import longest_matches
+from caseloom.operators.scoring import literal_map
 from caseloom.operators.sets import missing_values
 from caseloom.operators.skew import spread
 from caseloom.operators.windows import align_answers, top_per_key
@@ -28,11 +30,11 @@ def _strip(c: Column) -> Column:
 
 def sections(responses: DataFrame, key: str, text: str) -> DataFrame:
     """(key, section, body) of each answer; a repeated header keeps its last body."""
+    plain = re.sub(r"\[_ \]\?|\?", "", " ".join(fixed.SECTIONS.values())).lower().split()  # singular and plural
+    names = {form: section for section, word in zip(fixed.SECTIONS, plain) for form in (word, word.removesuffix("s"))}
+
     def named(header: Column) -> Column:
-        name = F.lit(None).cast("string")
-        for section, pattern in fixed.SECTIONS.items():
-            name = F.when(header.rlike(r"(?i)===\s*" + pattern + r"\s*==="), section).otherwise(name)
-        return name
+        return literal_map(names, None)(F.translate(F.lower(header), "=_ \t\n\x0b\f\r", ""))
 
     split = spread(responses, key).select(
         key, F.transform(find_all(F.col(text), ANY_HEADER), named).alias("_h"), F.split(F.col(text), ANY_HEADER).alias("_b"))
@@ -50,11 +52,17 @@ def section_records(responses: DataFrame, key: str, text: str) -> DataFrame:
     gaps index, context, rank, name, confidence, reason; the rest as written.
     """
     parts = sections(responses, key, text)
-    summary = parts.filter("section = 'summary'").select(
-        key, "section", F.lit(0).alias("pos"), F.array("body").alias("fields"))
     stripped = F.transform(F.split("body", "\n"), lambda x: _strip(F.regexp_replace(_strip(x), r"^-*\**", "")))
-    lines = parts.filter(~F.col("section").isin("summary", "redaction_inferences")).select(
-        key, "section", F.posexplode(F.filter(stripped, lambda x: x != "")).alias("pos", "line"))
+    none = F.lit(None).cast("string")
+
+    def line(i, x, head):
+        return F.struct(i.alias("pos"), x.alias("line"), head.alias("head"))
+
+    # every answer is cut up once: the lines of its sections, those of gaps with their header
+    written = F.when(F.col("section") == "summary", F.array(line(F.lit(0), F.col("body"), none))).when(
+        F.col("section") == "redaction_inferences", _gap_lines(line)).otherwise(
+        F.transform(F.filter(stripped, lambda x: x != ""), lambda x, i: line(i, x, none)))
+    lines = parts.select(key, "section", F.explode(written).alias("w")).select(key, "section", "w.*")
     cells = F.transform(F.split("line", r"\|"), lambda c: _strip(c))
     size = F.size("c")
     arrow = F.col("line").rlike(fixed.ARROW)
@@ -72,7 +80,9 @@ def section_records(responses: DataFrame, key: str, text: str) -> DataFrame:
     piped = F.slice("c", F.lit(1), F.least(width, size))
     section = F.col("section")
     fields = (
-        F.when((section == "connections") & arrow, drawn)
+        F.when(section == "summary", F.array("line"))
+        .when(section == "redaction_inferences", F.when(F.col("line").rlike(fixed.CANDIDATE), _candidate()))
+        .when((section == "connections") & arrow, drawn)
         .when(section == "connections", F.when(size >= 3, F.slice("c", 1, 4)))
         .when(section.isin("cross_references", "flags"), F.array("line"))
         .when(size < fewest, F.lit(None))
@@ -80,20 +90,20 @@ def section_records(responses: DataFrame, key: str, text: str) -> DataFrame:
         .when((section == "entities") & is_garbage(F.get("c", F.lit(0))), F.lit(None))
         .otherwise(piped))
     # an explode of none or one, where a filter would compute the fields twice
-    records = lines.withColumn("c", cells).select(key, "section", "pos", F.explode(F.array_compact(F.array(fields))).alias("fields"))
-    return summary.unionByName(records).unionByName(gap_candidates(parts, key))
+    return lines.withColumn("c", cells).select(key, "section", "pos", F.explode(F.array_compact(F.array(fields))).alias("fields"))
 
 
-def gap_candidates(parts: DataFrame, key: str) -> DataFrame:
-    """Numbered candidates below each gap header; a header without candidates leaves no record."""
+def _gap_lines(line) -> Column:
+    """The lines below each gap header, with it; what comes before the first header is none of them."""
     body = F.split("body", fixed.GAP_HEADER)
     blocks = F.arrays_zip(find_all(F.col("body"), fixed.GAP_HEADER).alias("h"), F.slice(body, F.lit(2), F.size(body)).alias("b"))
-    rows = parts.filter("section = 'redaction_inferences'").select(key, "section", F.explode(blocks).alias("z")).select(
-        key, "section", F.regexp_extract("z.h", r"(?i)REDACTION\s*#?\s*(\d+)", 1).alias("i"),
-        F.regexp_extract("z.h", r'(?i)context:\s*"(.*?)"', 1).alias("ctx"), F.posexplode(F.split("z.b", "\n")).alias("pos", "line"))
-    rows = rows.withColumn("line", _strip(F.col("line"))).filter(F.col("line").rlike(fixed.CANDIDATE))
-    named = [_strip(F.regexp_extract("line", fixed.CANDIDATE, i)) for i in (1, 2, 3, 4)]
-    return rows.select(key, "section", "pos", F.array("i", "ctx", *named).alias("fields"))
+    return F.flatten(F.transform(blocks, lambda z: F.transform(F.split(z["b"], "\n"), lambda x, i: line(i, _strip(x), z["h"]))))
+
+
+def _candidate() -> Column:
+    """Fields of a numbered candidate; a header without candidates leaves no record."""
+    return F.array(F.regexp_extract("head", r"(?i)REDACTION\s*#?\s*(\d+)", 1), F.regexp_extract("head", r'(?i)context:\s*"(.*?)"', 1),
+                   *[_strip(F.regexp_extract("line", fixed.CANDIDATE, i)) for i in (1, 2, 3, 4)])
 
 
 def response_quality(responses: DataFrame, key: str, text: str) -> DataFrame:
