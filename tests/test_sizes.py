@@ -1,7 +1,11 @@
 """Steps whose shuffles or memory grew faster than their input."""
 
+import re
 from itertools import combinations
 
+from caseloom import bindings
+from caseloom.operators import aggs, pairs
+from caseloom.operators.skew import dealt
 from caseloom.plans import graph
 
 
@@ -21,3 +25,33 @@ def test_cluster_pairs_are_counted_in_tiles(spark):
     assert {(r.a, r.b): (r.clusters, r.evidence_doc) for r in found.collect()} == want
     # members go to their tiles, pairs stay there
     assert "hashpartitioning(a" not in plan_of(found) and "hashpartitioning(i" in plan_of(found)
+
+
+def test_more_rows_are_dealt_to_more_tasks(spark):
+    assert dealt(spark.range(9), 10_000_000, "id", each=1_000_000).rdd.getNumPartitions() == 10
+    assert dealt(spark.range(9), 20_000_000, "id", each=1_000_000).rdd.getNumPartitions() == 20
+    assert dealt(spark.range(9), 0, "id").rdd.getNumPartitions() == 1
+
+
+def test_edges_of_documents_are_grouped_once(spark):
+    rows = [(1, 2, "co_occurs_with", d, 0.6, False, None, n) for d, n in ((7, "x"), (5, "z"), (6, "a"))]
+    seen = spark.createDataFrame(rows + [(1, 3, "emailed", 5, 0.9, False, None, None)],
+                                 "source_id long, target_id long, kind string, document_id long, confidence double, inferred boolean, seen_at timestamp, note string")
+    merged = aggs.merge_edges(seen, once=4)
+    assert plan_of(merged).count("Exchange ") == 1
+    assert sorted(map(tuple, merged.collect())) == sorted(map(tuple, aggs.merge_edges(seen).collect()))
+
+
+def test_groups_without_hot_ones_are_paired_in_one_pass(spark):
+    rows = spark.createDataFrame([(g, t, i) for g in range(3) for t in "ab" for i in range(g + 2)], "g int, t string, i long")
+    whole = pairs.shared_pairs(rows, ["g", "t"], "i")
+    assert "Join" not in plan_of(whole) and "Union" not in plan_of(whole)
+    want = {(g, t, a, b) for g in range(3) for t in "ab" for a, b in combinations(range(g + 2), 2)}
+    for found in (whole, pairs.shared_pairs(rows, ["g", "t"], "i", tile=2)):
+        assert sorted(map(tuple, found.collect())) == sorted(want)
+
+
+def test_lines_of_mentions_are_shuffled_once(spark):
+    plan = plan_of(aggs.seen_in_kinds(bindings.supplier_mentions(spark, "/root/testdata/sf0.01")))
+    assert "hashpartitioning(l_orderkey" in plan
+    assert not re.search(r"hashpartitioning\(entity_id#\w+, (doc_type#\w+, )?document_id", plan)
