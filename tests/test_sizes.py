@@ -51,6 +51,16 @@ def test_groups_without_hot_ones_are_paired_in_one_pass(spark):
         assert sorted(map(tuple, found.collect())) == sorted(want)
 
 
+def test_marks_are_summed_in_one_pass(spark):
+    rows = [(e, d, e == 1 or d == 3) for e in range(1, 4) for d in range(1, 9) if (e * d) % 5]
+    found = aggs.concealment(spark.createDataFrame(rows, "entity_id long, document_id long, redacted boolean"), 0.5, 1)
+    assert "Join" not in plan_of(found)
+    marked = {d: sum(m for _, x, m in rows if x == d) for _, d, _ in rows}
+    for r in found.collect():
+        own = {d for e, d, _ in rows if e == r.entity_id}
+        assert (r.total_docs, r.redacted_docs, r.total_redactions) == (len(own), sum(marked[d] > 0 for d in own), sum(marked[d] for d in own))
+
+
 def test_lines_of_mentions_are_shuffled_once(spark):
     plan = plan_of(aggs.seen_in_kinds(bindings.supplier_mentions(spark, "/root/testdata/sf0.01")))
     assert "hashpartitioning(l_orderkey" in plan
