@@ -61,6 +61,13 @@ def test_marks_are_summed_in_one_pass(spark):
         assert (r.total_docs, r.redacted_docs, r.total_redactions) == (len(own), sum(marked[d] > 0 for d in own), sum(marked[d] for d in own))
 
 
+def test_merged_counts_deal_links_by_survivor_and_document(spark):
+    mentions = spark.createDataFrame([(1, 5, "A"), (2, 5, "A"), (2, 6, "R"), (3, 6, "R"), (9, 6, "R")], "entity_id long, document_id long, evidence_type string")
+    found = graph.merged_counts(mentions, spark.createDataFrame([(2, 1), (3, 2)], "dropped long, kept long"))
+    assert sorted(map(tuple, found.collect())) == [(1, 2, 2), (9, 1, 1)]
+    assert "REPARTITION_BY_NUM" in plan_of(found)
+
+
 def test_lines_of_mentions_are_shuffled_once(spark):
     plan = plan_of(aggs.seen_in_kinds(bindings.supplier_mentions(spark, "/root/testdata/sf0.01")))
     assert "hashpartitioning(l_orderkey" in plan
