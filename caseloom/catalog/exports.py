@@ -18,14 +18,15 @@ PUB = """pub AS (SELECT v4.entity_id, v4.name, v4.entity_type, v4.score, p_brand
 GRAPH_SQL = using(V1, V3, V5, SCORES, V4, PUB)
 
 
-def guarded(spark, sf):
+def guarded(spark, sf, seen=None, linked=None):
     flag = b.table(spark, sf, "part").select(F.col("p_partkey").alias("entity_id"), (F.col("p_brand") == "Brand#7").alias("is_protected"))
-    return b.scored_parts(spark, sf).drop("is_protected").join(flag, "entity_id")
+    return b.scored_parts(spark, sf, seen, linked).drop("is_protected").join(flag, "entity_id")
 
 
 @query("export_graph", GRAPH_SQL + "SELECT entity_id, name, score FROM pub WHERE NOT is_protected AND score >= 60")
 def export_graph(spark, sf):
-    nodes, _ = exports.graph(guarded(spark, sf), b.edges(spark, sf), 60)
+    edges = cut(b.edges(spark, sf), "edges")
+    nodes, _ = exports.graph(cut(guarded(spark, sf, linked=edges), "entities"), edges, 60)
     path = scratch_path(spark, "nodes")
     exports.write_json(nodes.select("entity_id", "name", "score"), path)
     return spark.read.schema("entity_id bigint, name string, score double").json(path)
@@ -34,7 +35,8 @@ def export_graph(spark, sf):
 @query("export_graph_links", GRAPH_SQL + """, k AS (SELECT entity_id FROM pub WHERE NOT is_protected AND score >= 60)
 SELECT source_id, target_id, evidence FROM v5 WHERE source_id IN (SELECT * FROM k) AND target_id IN (SELECT * FROM k)""")
 def export_graph_links(spark, sf):
-    _, links = exports.graph(guarded(spark, sf), b.edges(spark, sf), 60)
+    edges = cut(b.edges(spark, sf), "edges")
+    _, links = exports.graph(cut(guarded(spark, sf, linked=edges), "entities"), edges, 60)
     return links.select("source_id", "target_id", "evidence")
 
 
@@ -44,8 +46,8 @@ SELECT 'node' AS part, entity_type AS value, count(*) AS n FROM k GROUP BY 2 UNI
 SELECT 'link', kind, count(*) FROM l WHERE NOT inferred GROUP BY 2""")
 def export_graph_counts(spark, sf):
     """Counts of the export without inferred links; its links are written as well."""
-    edges = b.edges(spark, sf).withColumn("inferred", F.col("source_id") % 3 == 0)
-    nodes, links = exports.graph(guarded(spark, sf), edges, 60, inferred=False)
+    edges = cut(b.edges(spark, sf).withColumn("inferred", F.col("source_id") % 3 == 0), "edges")
+    nodes, links = exports.graph(cut(guarded(spark, sf, linked=edges), "entities"), edges, 60, inferred=False)
     path = scratch_path(spark, "links")
     exports.write_json(links.select("source_id", "target_id", "kind", "evidence"), path)
     written = spark.read.schema("source_id bigint, target_id bigint, kind string, evidence bigint").json(path)
@@ -62,7 +64,8 @@ t AS (SELECT entity_id, array_to_string(list(strftime(event_ts, '%Y-%m-%d') || '
 SELECT pub.entity_id, evidence, connections, timeline FROM pub LEFT JOIN e USING (entity_id) LEFT JOIN k USING (entity_id) LEFT JOIN t USING (entity_id)
 WHERE NOT is_protected""")
 def export_cards(spark, sf):
-    card = exports.cards(guarded(spark, sf), b.mentions(spark, sf), b.edges(spark, sf))
+    seen, edges = cut(b.mentions(spark, sf), "seen"), cut(b.edges(spark, sf), "edges")
+    card = exports.cards(cut(guarded(spark, sf, seen, edges), "entities"), seen, edges)
 
     def flat(column, *fields):
         return F.array_join(F.transform(column, lambda r: F.concat_ws(":", *[r[f].cast("string") for f in fields])), ",").alias(column)

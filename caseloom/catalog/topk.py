@@ -10,13 +10,14 @@ from caseloom.operators import aggs, diff, sets, skew, topk
 from caseloom.operators.scoring import both_ends, entity_scores
 from caseloom.operators.skew import bucketed_rank
 from caseloom.sources.tables import manifest
+from caseloom.session import cut
 
 SCORED = using(V1, V3, V5, SCORES, V4)
 
 
 @query("decayed_score", using(V1, V5, SCORES) + "SELECT entity_id, score, evidence_count, document_count FROM scores")
 def decayed_score(spark, sf):
-    return entity_scores(b.mentions(spark, sf), b.edges(spark, sf))
+    return entity_scores(cut(b.mentions(spark, sf).select("entity_id", "document_id", "evidence_score"), "seen"), b.edges(spark, sf))
 
 
 @query("ranking", SCORED + """SELECT entity_id, name, entity_type, score, evidence_count FROM v4
@@ -71,7 +72,8 @@ def capped_pairs(spark, sf):
  (SELECT entity_id, count(*) AS d FROM v5b GROUP BY 1) USING (entity_id))
 SELECT entity_id, degree, score FROM n ORDER BY CASE WHEN degree > 0 THEN 0 ELSE 1 END, score DESC, degree DESC, entity_id LIMIT 350""")
 def multi_key_topk(spark, sf):
-    nodes = aggs.node_priority(b.scored_parts(spark, sf), b.edges(spark, sf))
+    edges = cut(b.edges(spark, sf), "edges")
+    nodes = aggs.node_priority(b.scored_parts(spark, sf, linked=edges), edges)
     return topk.capped_nodes(nodes, 350).select("entity_id", "degree", "score")
 
 

@@ -3,7 +3,9 @@
 import re
 from itertools import combinations
 
-from caseloom import bindings
+import pytest
+
+from caseloom import bindings, catalog
 from caseloom.operators import aggs, pairs
 from caseloom.operators.skew import dealt
 from caseloom.plans import graph
@@ -72,3 +74,12 @@ def test_lines_of_mentions_are_shuffled_once(spark):
     plan = plan_of(aggs.seen_in_kinds(bindings.supplier_mentions(spark, "/root/testdata/sf0.01")))
     assert "hashpartitioning(l_orderkey" in plan
     assert not re.search(r"hashpartitioning\(entity_id#\w+, (doc_type#\w+, )?document_id", plan)
+
+
+@pytest.mark.parametrize("key", ["export_graph_counts", "graph_view", "merged_card", "export_cards"])
+def test_edges_and_mentions_are_made_once_a_query(spark, monkeypatch, key):
+    made, real = [], {n: getattr(bindings, n) for n in ("edges", "mentions")}
+    for name, fn in real.items():
+        monkeypatch.setattr(bindings, name, lambda *a, name=name, fn=fn: made.append(name) or fn(*a))
+    catalog.queries()[key](spark, "/root/testdata/sf0.001")
+    assert sorted(made) == ["edges", "mentions"]
