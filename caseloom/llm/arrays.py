@@ -29,7 +29,7 @@ def _upto(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i for i in 0..n, kept between calls while short."""
     if len(_powers[0]) > n:
         return _powers[0], _powers[1]
-    n = max(n, SLICE)
+    n = max(1 << n.bit_length(), SLICE // 4) if n < 2 * SLICE else n  # grows by doubling, not with each longer slice
     made = []
     for factor in (BASE, INVERSE):
         steps = np.full(n + 1, factor, np.uint64)

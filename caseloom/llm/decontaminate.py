@@ -154,7 +154,7 @@ def _meet(sent, sizes: list[int]):
         for batch in batches:
             data, offsets = column_bytes(batch.column("text"))
             keys, ids = batch.column("key").to_pylist(), batch.column("doc_id").to_pylist()
-            for i, j in slices(offsets, SLICE):
+            for i, j in slices(offsets, SLICE // 4):
                 tokens = Tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 rows = []
                 for size in sizes:

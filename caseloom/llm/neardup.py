@@ -217,7 +217,7 @@ def _sets(words: int):
         for batch in batches:
             data, offsets = column_bytes(batch.column("text"))
             fp, n, bands = [np.zeros(0, np.uint64)], [], []
-            for i, j in slices(offsets, SLICE):
+            for i, j in slices(offsets, SLICE // 4):
                 hashes, begin = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words)
                 own = [np.unique(hashes[a:b]) for a, b in zip(begin[:-1].tolist(), begin[1:].tolist())]
                 size = np.array([len(x) for x in own])

@@ -103,7 +103,7 @@ def _pieces(path: str, tokens: int, end_id: int, with_ids: bool):
         for batch in batches:
             data, offsets = column_bytes(batch.column(1))
             doc_ids = batch.column(0).to_pylist()
-            for i, j in slices(offsets, 2 * SLICE):
+            for i, j in slices(offsets, SLICE // 4):
                 ids, bounds = coder.texts(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 rows = []
                 for doc_id, a, b in zip(doc_ids[i:j], bounds[:-1].tolist(), bounds[1:].tolist()):

@@ -136,7 +136,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         own = Model(*sent.value)
         for batch in batches:
             data, offsets = column_bytes(batch.column("text"))
-            parts = [own.score(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in slices(offsets, SLICE // 2)]
+            parts = [own.score(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in slices(offsets, SLICE // 4)]
             values = np.concatenate(parts) if parts else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values)], names=[*batch.schema.names, "score"])
 

@@ -3,10 +3,12 @@
 import collections
 import hashlib
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,6 +127,19 @@ def test_word_ids_equal_the_library():
             assert ids[a:b].tolist() == library.encode(t, add_special_tokens=False).ids
 
 
+def test_encoding_keeps_little_memory():
+    """A worker's arrays grow with a slice of the texts, not with the batch."""
+    text = " ".join(f"word{i % 977} of{i % 13}" for i in range(3_000))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(160), pa.int64()), pa.array([text] * 160)], names=["doc_id", "text"])
+    encode = packing._pieces(public_tokenizers.path("word_bpe_49k.json"), 4096, 1, False)
+    list(encode(iter([batch.slice(0, 1)])))
+    tracemalloc.start()
+    rows = sum(part.num_rows for part in encode(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows >= 160 and peak < 60 << 20
+
+
 def test_pack_whole(docs, odd, none):
     from tokenizers import Tokenizer
 
