@@ -3,7 +3,8 @@
 The state of a thread is its last settled message with its place, and the messages that the watermark has not passed. A message is settled once the
 watermark has passed it, as nothing earlier can arrive any more; a timer settles what waits when no further message of its thread comes.
 Waiting messages are placed as things stand and placed again when others come between. No batch reads what earlier batches wrote: state is
-kept by key in the state store, below the job's root.
+kept by key in the state store, below the job's root. It comes with the rows of its thread, many threads at a time, so a thread costs
+no calls of its own to the state store.
 
 Messages without a date need no state; they follow the dated ones by id, as the reader adds them. Messages later than the
 watermark are dropped. Repeats of a waiting message, or of the last settled one, are dropped too. A task holds the messages of one thread of
@@ -17,7 +18,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from caseloom.operators.windows import DAY
 from caseloom.streaming.jobs import batch_folder, run
@@ -27,53 +28,34 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 PLACED = "thread_key string, message_id long, at long, position long, after_id long, after_at long"
 
 
-class Threads(StatefulProcessor):
-    """Settled and waiting messages of one thread."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.last = handle.getValueState("last", "message_id long, at long, position long")
-        self.waiting = handle.getListState("waiting", "at long, message_id long")
-
-    def _placed(self, key: str, messages: list[tuple[int, int]], watermark: int) -> Iterator[pd.DataFrame]:
-        """Rows of ``messages`` (in order), of which those that the watermark has passed become settled."""
-        last = tuple(self.last.get()) if self.last.exists() else (None, None, 0)
-        rows, waiting, settled = [], [], last
-        for at, message in messages:
-            row = (key, message, at, last[2] + 1, last[0], last[1])
-            rows.append(row)
-            last = (message, at, last[2] + 1)
-            if at < watermark:
-                settled = last
-            else:
-                waiting.append((at, message))
-        if settled[0] is not None:
-            self.last.update(settled)
-        self.waiting.clear()
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if waiting:
-            self.waiting.put(waiting)
-            self.handle.registerTimer(waiting[-1][0] // 1000 + 1)
-        if rows:
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in PLACED.split(", ")]).astype(
-                {"after_id": "Int64", "after_at": "Int64"})
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        known = {tuple(w) for w in self.waiting.get()} if self.waiting.exists() else set()
-        for frame in rows:
-            known |= set(zip(frame["at"].tolist(), frame["message_id"].tolist()))
-        if self.last.exists():
-            message, at, _ = self.last.get()
-            known.discard((at, message))
-        yield from self._placed(key[0], sorted(known), timerValues.getCurrentWatermarkInMs() * 1000)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        waiting = sorted(tuple(w) for w in self.waiting.get()) if self.waiting.exists() else []
-        yield from self._placed(key[0], waiting, timerValues.getCurrentWatermarkInMs() * 1000)
-
-    def close(self) -> None:
-        pass
+#: The last settled message with its place, and the waiting messages in order.
+STATE = "message_id long, at long, position long, waiting_at array<long>, waiting_id array<long>"
+
+
+def place(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Rows of the waiting and new messages of one thread, of which those that the watermark has passed become settled."""
+    last, waiting = (None, None, 0), []
+    if state.exists:
+        *last, ats, ids = state.get
+        waiting = list(zip(ats, ids))
+    known = set(waiting)
+    for frame in frames:  # none if a timer has called
+        known |= set(zip(frame["at"].tolist(), frame["message_id"].tolist()))
+    known.discard((last[1], last[0]))
+    watermark = state.getCurrentWatermarkMs() * 1000
+    rows, waiting, settled = [], [], last
+    for at, message in sorted(known):
+        rows.append((key[0], message, at, last[2] + 1, last[0], last[1]))
+        last = (message, at, last[2] + 1)
+        if at < watermark:
+            settled = last
+        else:
+            waiting.append((at, message))
+    state.update((*settled, [at for at, _ in waiting], [message for _, message in waiting]))
+    if waiting:
+        state.setTimeoutTimestamp(waiting[-1][0] // 1000 + 1)
+    if rows:
+        yield pd.DataFrame(rows, columns=[c.split()[0] for c in PLACED.split(", ")]).astype({"after_id": "Int64", "after_at": "Int64"})
 
 
 def stream_stitch(messages: DataFrame, root: str, late: str = "1 day", days: int = 7, high: int = 30) -> DataFrame:
@@ -86,8 +68,8 @@ def stream_stitch(messages: DataFrame, root: str, late: str = "1 day", days: int
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     rows = messages.select(F.col("thread_key").cast("string"), F.col("message_id").cast("long"), F.col("sent_at").cast("timestamp"))
     dated = rows.withWatermark("sent_at", late).select("thread_key", "message_id", "sent_at", F.unix_micros("sent_at").alias("at"))
-    placed = dated.filter("sent_at IS NOT NULL").groupBy("thread_key").transformWithStateInPandas(
-        statefulProcessor=Threads(), outputStructType=PLACED, outputMode="Update", timeMode="EventTime")
+    placed = dated.filter("sent_at IS NOT NULL").groupBy("thread_key").applyInPandasWithState(
+        place, PLACED, STATE, "update", GroupStateTimeout.EventTimeTimeout)
     undated = rows.filter("sent_at IS NULL").select("thread_key", "message_id", *(
         F.lit(None).cast("long").alias(c) for c in ("at", "position", "after_id", "after_at")))
 
