@@ -142,7 +142,8 @@ def links(distinct: DataFrame, distance: int = 4) -> DataFrame:
         F.struct(F.lit(i).cast("int").alias("choice"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("entry"))
         for i, m in enumerate(signed)))).alias("e")).select("e.choice", "e.entry", "fp")
     lengths = posted.groupBy("choice", "entry").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = cut(posted.join(lengths, ["choice", "entry"]), "postings")
+    # Spark sizes the exploded side as the fingerprints alone and would broadcast all postings
+    met = cut(posted.join(lengths.hint("merge"), ["choice", "entry"]), "postings")
     tiles = F.ceil(F.col("n") / TILE)
     own = F.pmod(F.xxhash64("fp"), tiles)
     unit = F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1)).alias("other")

@@ -4,8 +4,10 @@ import re
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
 from caseloom import bindings, catalog
+from caseloom.llm import neardup
 from caseloom.operators import aggs, pairs
 from caseloom.operators.skew import dealt
 from caseloom.plans import graph
@@ -83,3 +85,12 @@ def test_edges_and_mentions_are_made_once_a_query(spark, monkeypatch, key):
         monkeypatch.setattr(bindings, name, lambda *a, name=name, fn=fn: made.append(name) or fn(*a))
     catalog.queries()[key](spark, "/root/testdata/sf0.001")
     assert sorted(made) == ["edges", "mentions"]
+
+
+def test_postings_are_never_broadcast(spark, monkeypatch):
+    plans, real = {}, neardup.cut
+    monkeypatch.setattr(neardup, "cut", lambda df, name="step": plans.update({name: plan_of(df)}) or real(df, name))
+    prints = real(spark.range(200).select(F.xxhash64(F.col("id") % 150).alias("fp")).distinct())
+    neardup.links(prints).count()
+    # sized as the fingerprints alone, far below the threshold, and 70 rows each
+    assert "SortMergeJoin" in plans["postings"] and "BroadcastHashJoin" not in plans["postings"]
