@@ -94,3 +94,19 @@ def test_postings_are_never_broadcast(spark, monkeypatch):
     neardup.links(prints).count()
     # sized as the fingerprints alone, far below the threshold, and 70 rows each
     assert "SortMergeJoin" in plans["postings"] and "BroadcastHashJoin" not in plans["postings"]
+
+
+def test_cluster_pairs_are_counted_as_bits(spark):
+    rows = [(s, e, 10_000 - s * 10 + e) for s in range(700) for e in range(9) if (s * 7 + e * e) % 5 < 3]
+    found = graph.cluster_edges(spark.createDataFrame(rows, "start int, entity_id long, document_id long"), block=2)
+    holders = {s: {e for t, e, _ in rows if t == s} for s in range(700)}
+    first = {s: min(d for t, _, d in rows if t == s) for s in range(700) if len(holders[s]) >= 3}
+    want = {}
+    for a, b in combinations(range(9), 2):
+        shared = [s for s in first if {a, b} <= holders[s]]
+        if shared:
+            want[a, b] = (len(shared), min(first[s] for s in shared))
+    assert {(r.a, r.b): (r.clusters, r.evidence_doc) for r in found.collect()} == want
+    assert max(n for n, _ in want.values()) > 256
+    # members' lists went to every tile, and a tile's pairs to a table of counts
+    assert "MapInArrow" in plan_of(found) and "HashAggregate" not in plan_of(found).split("MapInArrow")[0]
