@@ -11,6 +11,7 @@ from caseloom.llm import neardup
 from caseloom.operators import aggs, pairs
 from caseloom.operators.skew import dealt
 from caseloom.plans import graph
+from caseloom.sources.contributions import Contributions
 
 
 def plan_of(df):
@@ -110,3 +111,16 @@ def test_cluster_pairs_are_counted_as_bits(spark):
     assert max(n for n, _ in want.values()) > 256
     # members' lists went to every tile, and a tile's pairs to a table of counts
     assert "MapInArrow" in plan_of(found) and "HashAggregate" not in plan_of(found).split("MapInArrow")[0]
+
+
+def test_only_observations_of_documents_are_grouped(spark, tmp_path):
+    store = Contributions(spark, str(tmp_path), "detector", "string")
+    schema = "source_id long, target_id long, kind string, document_id long, confidence double, inferred boolean, seen_at timestamp, note string"
+    said = spark.createDataFrame([(1, 2, "co_occurs_with", d, 0.6, False, None, "x") for d in (5, 6, 7)], schema)
+    found = spark.createDataFrame([(3, 4, "temporal_cluster", 9, 0.5, True, None, "2 clusters"), (3, 5, "may_be", None, 0.6, True, None, None)], schema)
+    graph.write_detected(store, {graph.DOCUMENTS: said, "temporal": found})
+    merged = graph.merge_detected(store)
+    documents, detectors = plan_of(merged).split("\n   +- ", 1)
+    assert "Aggregate(keys=[source_id" in documents and "Aggregate(keys=[source_id" not in detectors
+    columns = ["source_id", "target_id", "kind", "evidence", "confidence", "inferred"]
+    assert sorted(map(tuple, merged.collect())) == sorted(map(tuple, aggs.merge_edges(store.read("edges")).select(columns).collect()))
