@@ -14,9 +14,8 @@ from caseloom.functions.text import categorize, confidence_class, find_all
 from caseloom.operators.dictionary import longest_matches
 from caseloom.operators.scoring import literal_map
 from caseloom.operators.sets import missing_values
-from caseloom.operators.skew import spread
+from caseloom.operators.skew import dealt, spread
 from caseloom.operators.windows import align_answers, top_per_key
-from caseloom.session import cut
 from caseloom.sources.contributions import Contributions
 
 ANY_HEADER = r"(?i)===\s*(?:" + "|".join(fixed.SECTIONS.values()) + r")\s*==="
@@ -210,36 +209,42 @@ def consensus_edges(items: DataFrame, connections: DataFrame) -> DataFrame:
 
 
 def contributions(items: DataFrame, roles: DataFrame, scores: DataFrame, connections: DataFrame, inferred: DataFrame,
-                  gaps: DataFrame) -> dict[str, DataFrame]:
+                  gaps: DataFrame, rows: int | None = None) -> dict[str, DataFrame]:
     """What each document's consensus adds to the graph: its links, edges and gap candidates, every row with its document_id.
 
     ``items`` is (document_id, name, raw_type), ``roles`` (document_id, place, name, role), ``scores`` (document_id, name, score, reason),
     ``connections`` (document_id, source, target, kind, confidence), ``inferred`` (document_id, index, rank, candidate, confidence) with 1-based
     indices, ``gaps`` (document_id, page, gap_id, status). A name takes the role of the first entry that matches it. The best
     score of a name counts. Connections hold between names of the same document. Candidates meet the gap of their place in page order; numbers
-    without a gap drop out.
+    without a gap drop out. With ``rows``, about how many rows the largest of the tables has, each is dealt by document once and all that
+    follows works in place.
     """
-    named = cut(items.select("document_id", F.trim("name").alias("name"), normalize_name(F.col("name")).alias("canonical"),
-                             map_entity_type(F.col("raw_type")).alias("entity_type")).filter("canonical <> ''").distinct(), "named")
-    # roles are looked up by the distinct names of a document; forms are made before names meet
-    asked = named.select("document_id", "name").distinct().withColumn("form", match_form(F.col("name")))
-    held = roles.select("document_id", "place", "role", match_form(F.col("name")).alias("whose"))
-    found = asked.join(held, "document_id").filter(forms_match(F.col("whose"), F.col("form"))).groupBy("document_id", "name").agg(
-        F.min(F.struct("place", "role")).getField("role").alias("role"))
-    best = scores.groupBy("document_id", normalize_name(F.col("name")).alias("canonical")).agg(
-        F.max(F.struct("score", "reason")).alias("best"))
-    links = named.join(found, ["document_id", "name"], "left").groupBy("document_id", "canonical", "entity_type").agg(
-        F.min("role").alias("role")).join(best, ["document_id", "canonical"], "left").select(
+    def by_document(df: DataFrame) -> DataFrame:
+        return df if rows is None else dealt(df, rows, "document_id", each=1 << 19)
+
+    named = by_document(items.select("document_id", F.trim("name").alias("name"), normalize_name(F.col("name")).alias("canonical"),
+                                     map_entity_type(F.col("raw_type")).alias("entity_type")).filter("canonical <> ''")).distinct()
+    # forms are made before names meet the roles of their document
+    asked = named.withColumn("form", match_form(F.col("name")))
+    held = by_document(roles.select("document_id", "place", "role", match_form(F.col("name")).alias("whose")))
+    first = F.min(F.when(forms_match(F.col("whose"), F.col("form")), F.struct("place", "role")))
+    found = asked.join(held, "document_id", "left").groupBy("document_id", "canonical", "entity_type", "name").agg(
+        first.getField("role").alias("role")).groupBy("document_id", "canonical", "entity_type").agg(F.min("role").alias("role"))
+    best = by_document(scores.select("document_id", normalize_name(F.col("name")).alias("canonical"), "score", "reason")).groupBy(
+        "document_id", "canonical").agg(F.max(F.struct("score", "reason")).alias("best"))
+    links = found.join(best, ["document_id", "canonical"], "left").select(
         "document_id", "canonical", "entity_type", "role", F.col("best.score").alias("score"), F.col("best.reason").alias("reason"))
 
     ends = named.select("document_id", "canonical").distinct()
-    between = connections.select("document_id", normalize_name(F.col("source")).alias("source"), normalize_name(F.col("target")).alias("target"),
-                                 "kind", "confidence").filter("source <> target")
+    between = by_document(connections.select(
+        "document_id", normalize_name(F.col("source")).alias("source"), normalize_name(F.col("target")).alias("target"),
+        "kind", "confidence").filter("source <> target"))
     for side in ("source", "target"):
         between = between.join(ends.withColumnRenamed("canonical", side), ["document_id", side], "left_semi")
     edges = between.groupBy("document_id", "source", "target", "kind").agg(F.max("confidence").alias("confidence"))
 
-    placed = align_answers(gaps, inferred.select("document_id", F.col("index").cast("long").alias("index"), "rank", "candidate", "confidence"), "page", "gap_id")
+    answers = by_document(inferred.select("document_id", F.col("index").cast("long").alias("index"), "rank", "candidate", "confidence"))
+    placed = align_answers(by_document(gaps), answers, "page", "gap_id")
     candidates = placed.select("document_id", "gap_id", "rank", "candidate", "confidence",
                                F.when(F.col("status") == "unresolved", "inferred").otherwise(F.col("status")).alias("status"))
     return {"links": links, "edges": edges, "candidates": candidates}
@@ -251,9 +256,12 @@ def apply_documents(store: Contributions, documents: DataFrame, tables: dict[str
 
 
 def applied_entities(links: DataFrame) -> DataFrame:
-    """Entities over all documents: documents counted once, first document and its role, best score, scored documents."""
+    """Entities over all documents: documents, first document and its role, best score, scored documents.
+
+    The links of the store hold a document's name and type once, so documents are counted as links.
+    """
     return links.groupBy("canonical", "entity_type").agg(
-        F.countDistinct("document_id").alias("document_count"), F.min("document_id").alias("first_doc"),
+        F.count("document_id").alias("document_count"), F.min("document_id").alias("first_doc"),
         F.min_by("role", "document_id").alias("role"), F.coalesce(F.max("score"), F.lit(0)).alias("score"),
         F.count("score").alias("evidence_count"))
 

@@ -124,3 +124,17 @@ def test_only_observations_of_documents_are_grouped(spark, tmp_path):
     assert "Aggregate(keys=[source_id" in documents and "Aggregate(keys=[source_id" not in detectors
     columns = ["source_id", "target_id", "kind", "evidence", "confidence", "inferred"]
     assert sorted(map(tuple, merged.collect())) == sorted(map(tuple, aggs.merge_edges(store.read("edges")).select(columns).collect()))
+
+
+def test_answers_of_documents_are_dealt_once(spark):
+    from caseloom.catalog import consensus as queries
+    from caseloom.plans import consensus
+
+    lines = queries.named_lines(spark, "/root/testdata/sf0.001")
+    parts = queries.answers_of(lines)
+    wanted, dealt_once = consensus.contributions(*parts), consensus.contributions(*parts, rows=4 << 19)
+    for name in ("links", "edges", "candidates"):
+        assert sorted(map(tuple, wanted[name].collect()), key=str) == sorted(map(tuple, dealt_once[name].collect()), key=str)
+    # names meet roles where they were dealt
+    plan = plan_of(consensus.contributions(*parts, rows=4 << 19)["links"])
+    assert plan.count("REPARTITION_BY_NUM") == 3 and not re.search(r"hashpartitioning\(document_id#\w+, name", plan)
