@@ -10,7 +10,7 @@ from caseloom import bindings, catalog
 from caseloom.llm import neardup
 from caseloom.operators import aggs, pairs
 from caseloom.operators.skew import dealt
-from caseloom.plans import graph
+from caseloom.plans import graph, threads
 from caseloom.sources.contributions import Contributions
 
 
@@ -138,3 +138,19 @@ def test_answers_of_documents_are_dealt_once(spark):
     # names meet roles where they were dealt
     plan = plan_of(consensus.contributions(*parts, rows=4 << 19)["links"])
     assert plan.count("REPARTITION_BY_NUM") == 3 and not re.search(r"hashpartitioning\(document_id#\w+, name", plan)
+
+
+def test_messages_of_a_key_are_met_once(spark, monkeypatch):
+    names, real = [], threads.cut
+    monkeypatch.setattr(threads, "cut", lambda df, name="step": names.append((name, plan_of(df))) or real(df, name))
+    rows = [(i, f"t{i // 4}" if i % 3 else "", f"s{i // 3}" if i % 5 else "", [f"p{i % 7}"], f"b{i % 11}" if i % 2 else "", f"2001-01-{i % 28 + 1:02d}") for i in range(60)]
+    mail = spark.createDataFrame(rows, "id long, thread_key string, subject string, people array<string>, body_hash string, day string").withColumn(
+        "sent_at", F.to_timestamp("day")).drop("day")
+    short = threads.short_keys(mail)
+    assert {r.thread_key == "" for r in mail.join(short.filter("thread_key = ''").select("id"), "id").collect()} == {True}
+    assert short.select("thread_key").distinct().count() == mail.select("thread_key").distinct().count()
+    assert {len(r[0]) for r in short.select("thread_key").union(short.select("body_hash")).collect()} == {0, 22}
+    threads.thread_links(mail, 2).count()
+    # runs and the lowest messages of a subject and key are made once; only keys with an open message are ordered
+    assert [n for n, _ in names].count("runs") == 1 and [n for n, _ in names].count("subject-keys") == 2
+    assert [n for n, _ in names].count("open-keys") == 2
